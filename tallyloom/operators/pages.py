@@ -66,7 +66,7 @@ def extract_specs(html: Column) -> Column:
         )
 
     def tidy(items: Column) -> Column:
-        return F.transform(items, lambda p: F.struct(clean(p["0"]).alias("k"), clean(p["1"]).alias("v")))
+        return F.transform(items, lambda p: F.struct(clean(p["k"]).alias("k"), clean(p["v"]).alias("v")))
 
     both = F.filter(F.concat(tidy(pairs(TH_TD)), tidy(pairs(DT_DD))), lambda p: (p["k"] != "") & (p["v"] != ""))
     last = F.filter(

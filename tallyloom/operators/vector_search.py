@@ -241,16 +241,15 @@ def search(
         return rows.select("query_id", F.col(field).alias("vector"), *names)
 
     by_image = knn(items, ask(checked.filter(image.isNotNull()), "image_vector"), "image_vector", image_k, names)
-    both = checked.filter(image.isNotNull() & text.isNotNull())
-    only_text = knn(
-        items, ask(checked.filter(image.isNull()), "text_vector"), "text_vector", text_k, names
-    ).filter(F.col("rank") <= final_k)
-    staged = by_image.join(both.select("query_id"), "query_id", "left_semi")
-    rescored = knn_within(items, ask(both, "text_vector"), "text_vector", staged, image_k)
+    by_text = knn(items, ask(checked.filter(image.isNull()), "text_vector"), "text_vector", text_k, names)
+    flags = checked.filter(image.isNotNull()).select("query_id", text.isNotNull().alias("__both"))
+    tagged = by_image.join(flags, "query_id")
+    staged = tagged.filter("__both").drop("__both")
+    rescored = knn_within(items, ask(checked.filter(image.isNotNull() & text.isNotNull()), "text_vector"), "text_vector", staged, image_k)
     fuse = fuse_minmax if fusion == "minmax" else fuse_rrf
     fused = rank_hits(fuse(staged, rescored), k=final_k)
-    only_image = by_image.join(both.select("query_id"), "query_id", "left_anti").filter(F.col("rank") <= final_k)
-    return only_image.unionByName(only_text).unionByName(fused)
+    alone = tagged.filter(~F.col("__both")).drop("__both").unionByName(by_text).filter(F.col("rank") <= final_k)
+    return alone.unionByName(fused)
 
 
 def score_map(hits: DataFrame) -> DataFrame:

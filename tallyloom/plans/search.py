@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import constants as C
@@ -23,28 +23,24 @@ def search_and_hydrate(
 ) -> DataFrame:
     """Hydrated hits per query; a query without any gets ``limit`` products in a seeded random order.
 
-    The fallback rows are one top-n of the products, shared by the queries
-    that need them.
+    Every query is given the same ``limit`` spare rows, and keeps them only if
+    it has no hit, which is seen within its own few rows: the search runs once.
     """
     hits = V.search(items, queries)
     hydrated = J.hydrate_scores(hits.drop("rank"), products, offers, condition, key, limit)
     spare = random_rows(products if condition is None else products.filter(condition), "product_id", limit, seed)
-    priced = J.with_lowest_price(spare, offers).select(
-        F.lit(1).alias("__k"),
-        "product_id",
-        "prod_name",
-        "brand_name",
-        F.col("lowest_price").alias("price"),
-        J.display_path(F.col("img_hdfs_path")).alias("image_url"),
-        F.coalesce("mall_name", F.lit(C.DEFAULT_MALL)).alias("mall_name"),
-        F.coalesce("mall_url", F.lit(C.DEFAULT_MALL_URL)).alias("mall_url"),
+    shown = ["product_id", "prod_name", "brand_name", "price", "image_url", "mall_name", "mall_url"]
+    priced = (
+        J.with_lowest_price(spare, offers)
+        .withColumn("price", F.col("lowest_price"))
+        .withColumn("image_url", J.display_path(F.col("img_hdfs_path")))
+        .withColumn("mall_name", F.coalesce("mall_name", F.lit(C.DEFAULT_MALL)))
+        .withColumn("mall_url", F.coalesce("mall_url", F.lit(C.DEFAULT_MALL_URL)))
     )
-    empty = queries.select("query_id").join(hydrated.select("query_id"), "query_id", "left_anti")
-    # ``spare`` holds ``limit`` rows, which bounds what every query takes from it.
-    packed = priced.groupBy("__k").agg(F.sort_array(F.collect_list(F.struct(*priced.columns[1:]))).alias("rows"))
-    fallback = (
-        empty.withColumn("__k", F.lit(1))
-        .join(F.broadcast(packed), "__k")
+    packed = priced.agg(F.sort_array(F.collect_list(F.struct(*shown))).alias("rows"))  # ``limit`` rows
+    offered = (
+        queries.select("query_id", F.lit(1).alias("__k"))
+        .join(F.broadcast(packed.withColumn("__k", F.lit(1))), "__k")
         .select("query_id", F.posexplode("rows").alias("p", "r"))
         .select(
             "query_id",
@@ -54,7 +50,13 @@ def search_and_hydrate(
             (F.col("p") + 1).alias("rank"),
         )
     )
-    return hydrated.unionByName(fallback)
+    found = F.max(F.col("search_source") != "fallback").over(Window.partitionBy("query_id"))
+    return (
+        hydrated.unionByName(offered)
+        .withColumn("__found", found)
+        .filter((F.col("search_source") != "fallback") == F.col("__found"))
+        .drop("__found")
+    )
 
 
 def log_search(requests: DataFrame, hydrated: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("scalars", "offers", "keyed", "activity")
+MODULES = ("scalars", "offers", "keyed", "activity", "logs", "alerts", "vectors", "documents", "inference", "pages")
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}

@@ -36,15 +36,13 @@ def refine_clean_products(spark, d):
 
 @register(
     "refine_clean_products_selective",
-    with_(PRODUCTS_SQL, OFFERS_SQL, "dear AS (SELECT product_id, price + base_price * 2 - 2000 AS price FROM offers JOIN products USING (product_id))")
+    with_(PRODUCTS_SQL, OFFERS_SQL, "dear AS (SELECT product_id, price * 15 AS price FROM offers)")
     + f"SELECT p.product_id, p.base_price FROM products p WHERE EXISTS (SELECT 1 FROM dear o WHERE o.product_id = p.product_id AND {INSIDE})",
 )
 def refine_clean_products_selective(spark, d):
     """The same over offers priced so that not every product keeps one."""
     products = D.products(spark, d)
-    dear = D.offers(spark, d).join(products.select("product_id", "base_price"), "product_id").select(
-        "product_id", (F.col("price") + F.col("base_price") * 2 - 2000).alias("price")
-    )
+    dear = D.offers(spark, d).select("product_id", (F.col("price") * 15).alias("price"))
     return J.refine_clean_products(products, dear).select("product_id", "base_price")
 
 

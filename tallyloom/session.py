@@ -15,6 +15,9 @@ SETTINGS = {
     # Split skewed join partitions even where that costs one more exchange:
     # a hot product or service is the common case here, not the exception.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A union claims its inputs' partitioning, which adaptive re-planning of one
+    # input can break ("Can't zip RDDs with unequal numbers of partitions").
+    "spark.sql.unionOutputPartitioning": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Stateful operators written with transformWithState need this provider.
     "spark.sql.streaming.stateStore.providerClass": (
