@@ -254,7 +254,7 @@ def pivot_series(df: DataFrame, ts: str, field: str, known: Sequence[str], value
 
     The columns are given, so no extra job looks for them.
     """
-    last = best_per_key(df.select(ts, field, value, order), [ts, field], F.col(order))
+    last = best_per_key(df.select(ts, field, value, order), [ts, field], F.desc(order))
     return last.groupBy(ts).pivot(field, list(known)).agg(F.max(value))
 
 

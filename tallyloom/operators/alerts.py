@@ -31,13 +31,16 @@ def after_grace(df: DataFrame, started_at: dt.datetime, grace_s: int = C.STARTUP
     return df.filter(F.col(ts) >= F.lit(started_at + dt.timedelta(seconds=grace_s)).cast("timestamp_ntz"))
 
 
-def tracked_errors(df: DataFrame, min_level: str = "CRITICAL", excluded: Sequence[str] = ()) -> DataFrame:
-    """Rows that count toward a spike: level high enough, service not excluded, no start-up noise."""
-    rank = level_rank(F.col("level"))
-    kept = df.filter((rank >= C.LEVEL_RANK.get(min_level, 0)) & F.col("level").isin("ERROR", "CRITICAL"))
+def counts_toward_spike(min_level: str = "CRITICAL", excluded: Sequence[str] = ()) -> Column:
+    """Errors of a level high enough, of a service not excluded, that are no start-up noise."""
+    counted = F.col("level").isin("ERROR", "CRITICAL") & (level_rank(F.col("level")) >= C.LEVEL_RANK.get(min_level, 0))
     if excluded:
-        kept = kept.filter(~F.col("service").isin(list(excluded)))
-    return kept.filter(~is_startup_noise(F.col("message")))
+        counted = counted & ~F.col("service").isin(list(excluded))
+    return counted & ~is_startup_noise(F.col("message"))
+
+
+def tracked_errors(df: DataFrame, min_level: str = "CRITICAL", excluded: Sequence[str] = ()) -> DataFrame:
+    return df.filter(counts_toward_spike(min_level, excluded))
 
 
 def spike_candidates(

@@ -1,5 +1,5 @@
-"""Best, latest and top-k rows. One best row per key is an aggregate, combined map-side;
-a rank filter keeps at most k rows per key and map task before the shuffle."""
+"""Best, latest and top-k rows: a rank filter keeps at most k rows per key and task before
+the shuffle, so a key holding a third of all rows costs its reader no more than any other."""
 
 from __future__ import annotations
 
@@ -9,33 +9,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _whole(df: DataFrame, keys: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in df.columns if c not in keys])
+def best_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
+    """The first row of each key in ``order``.
 
-
-def best_per_key(df: DataFrame, keys: Sequence[str], *order: Column, largest: bool = True) -> DataFrame:
-    """The row with the largest (or smallest) order struct per key."""
-    pick = F.max_by if largest else F.min_by
-    return (
-        df.groupBy(*keys)
-        .agg(pick(_whole(df, keys), F.struct(*order)).alias("__row"))
-        .select(*keys, "__row.*")
-        .select(*df.columns)
-    )
+    Planned as a group limit of 1 on either side of the exchange: a task sends
+    at most one row per key, whole rows are never buffered in an aggregate.
+    """
+    return top_per_key(df, keys, order, 1, "__first").drop("__first")
 
 
 def best_detection(detections: DataFrame, key: str, confidence: str, position: str) -> DataFrame:
     """Highest confidence per key; the earlier row wins a tie."""
-    return best_per_key(detections, [key], F.col(confidence), -F.col(position))
+    return best_per_key(detections, [key], F.desc(confidence), F.asc(position))
 
 
-def last_wins(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
+def last_wins(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
     """A later document replaces an earlier one of the same key."""
-    return best_per_key(df, keys, *order)
+    return best_per_key(df, keys, *[F.desc(c) for c in order])
 
 
 def latest_per(df: DataFrame, keys: Sequence[str], ts: str, tie: str) -> DataFrame:
-    return best_per_key(df, keys, F.col(ts), F.col(tie))
+    return best_per_key(df, keys, F.desc(ts), F.desc(tie))
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -51,7 +45,7 @@ def rank_hits(hits: DataFrame, query: str = "query_id", k: int = 1000) -> DataFr
 
 def first_per_mall(offers: DataFrame, keys: Sequence[str], *order: Column, mall: str = "mall_name") -> DataFrame:
     """The cheapest offer of each mall."""
-    return best_per_key(offers, [*keys, mall], *order, largest=False)
+    return best_per_key(offers, [*keys, mall], *order)
 
 
 def rank_offers(offers: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 5) -> DataFrame:

@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import constants as C
-from tallyloom.functions.vectors import dot, l2_normalize
+from tallyloom.functions.vectors import dot, l2_normalize, norm
 from tallyloom.operators.ranking import rank_hits
 
-# Query vectors held by every task must stay below this many values (64 MB as float64).
+# What every task may hold of the queries: rows, and vector values (64 MB as float64).
+BROADCAST_ROWS = 20_000
 BROADCAST_VALUES = 8_000_000
 DIGITS = 9
 
@@ -115,8 +116,8 @@ def knn(
     Items without the vector are left out. ``filters`` names metadata columns
     for which a query may hold a list of allowed values (NULL: all);
     ``condition`` is a filter common to all queries and goes into the scan.
-    Query vectors are sent to the tasks only while they are few; past
-    ``broadcast_values`` both sides are cut into blocks that meet in a grid.
+    Query vectors are sent to the tasks only while they are few; past the
+    row and value bounds both sides are cut into blocks that meet in a grid.
     Each task returns at most k rows per query, so the final ranking is small.
     """
     usable = items.filter(F.col(field).isNotNull())
@@ -124,13 +125,13 @@ def knn(
         usable = usable.filter(condition)
     usable = usable.select(F.col("id").cast("string").alias("id"), F.col(field).alias("__vec"), *filters)
     asked = queries.filter(F.col("vector").isNotNull()).select("query_id", "vector", *filters)
-    size = asked.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("n")).first()["n"]
-    if size == 0:
-        hits = asked.select("query_id", F.lit("").alias("id"), F.lit(0.0).alias("score")).limit(0)
-    elif size <= broadcast_values:
-        hits = _by_broadcast(usable, asked, filters, k, asked.toPandas())
-    else:
+    held = asked.limit(BROADCAST_ROWS + 1).toPandas() if broadcast_values else None
+    if held is None or len(held) > BROADCAST_ROWS or sum(map(len, held["vector"])) > broadcast_values:
         hits = _by_grid(usable, asked, filters, k, grid_blocks)
+    elif len(held):
+        hits = _by_broadcast(usable, asked, filters, k, held)
+    else:
+        hits = asked.limit(0).select("query_id", F.lit("").alias("id"), F.lit(0.0).alias("score"))
     return rank_hits(hits, k=k)
 
 
@@ -158,9 +159,9 @@ def knn_lsh(
     from pyspark.ml.functions import array_to_vector
 
     def unit(df: DataFrame, name: str, source: str, out: str) -> DataFrame:
-        return df.filter(F.col(source).isNotNull()).select(
-            F.col(name).alias(out), array_to_vector(l2_normalize(F.col(source))).alias("features")
-        )
+        there = df.filter(F.col(source).isNotNull() & (norm(F.col(source)) > 0))  # a zero vector has no direction
+        direction = F.coalesce(l2_normalize(F.col(source)), F.array().cast("array<double>"))
+        return there.select(F.col(name).alias(out), array_to_vector(direction).alias("features"))
 
     stored, asked = unit(items, "id", field, "id"), unit(queries, "query_id", "vector", "query_id")
     model = BucketedRandomProjectionLSH(
@@ -180,37 +181,39 @@ def _both(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     return left.join(right, ["query_id", "id"], "full_outer")
 
 
+def _rrf(rank_a: str, rank_b: str, weights: tuple[float, float], rrf_k: int) -> Column:
+    def part(rank: str, weight: float) -> Column:
+        return F.coalesce(F.lit(weight) * (F.lit(1.0) / (F.lit(rrf_k) + F.col(rank))), F.lit(0.0))
+
+    return part(rank_a, weights[0]) + part(rank_b, weights[1])
+
+
+def _scaled(hits: DataFrame) -> DataFrame:
+    """Scores moved to 0..1 per query; a flat list is 0."""
+    window = Window.partitionBy("query_id")
+    low, high = F.min("score").over(window), F.max("score").over(window)
+    value = F.when(high - low < 1e-12, F.lit(0.0)).otherwise((F.col("score") - low) / (high - low))
+    return hits.withColumn("scaled", value)
+
+
+def _weighted(a: str, b: str, weights: tuple[float, float]) -> Column:
+    return F.lit(weights[0]) * F.coalesce(a, F.lit(0.0)) + F.lit(weights[1]) * F.coalesce(b, F.lit(0.0))
+
+
 def fuse_rrf(
     image_hits: DataFrame, text_hits: DataFrame, weights: tuple[float, float] = (C.IMAGE_WEIGHT, C.TEXT_WEIGHT), rrf_k: int = C.RRF_K
 ) -> DataFrame:
     """Weighted reciprocal ranks; a list without the id adds nothing."""
-
-    def part(rank: str, weight: float) -> Column:
-        return F.coalesce(F.lit(weight) * (F.lit(1.0) / (F.lit(rrf_k) + F.col(rank))), F.lit(0.0))
-
-    return _both(image_hits, text_hits, "rank").select(
-        "query_id", "id", (part("__a", weights[0]) + part("__b", weights[1])).alias("score")
-    )
+    joined = _both(image_hits, text_hits, "rank")
+    return joined.select("query_id", "id", _rrf("__a", "__b", weights, rrf_k).alias("score"))
 
 
 def fuse_minmax(
     image_hits: DataFrame, text_hits: DataFrame, weights: tuple[float, float] = (C.IMAGE_WEIGHT, C.TEXT_WEIGHT)
 ) -> DataFrame:
     """Weighted sum of scores scaled to 0..1 per query and list; a flat list counts 0."""
-
-    def scaled(hits: DataFrame) -> DataFrame:
-        window = Window.partitionBy("query_id")
-        low, high = F.min("score").over(window), F.max("score").over(window)
-        value = F.when(high - low < 1e-12, F.lit(0.0)).otherwise((F.col("score") - low) / (high - low))
-        return hits.select("query_id", "id", value.alias("score"))
-
-    return _both(scaled(image_hits), scaled(text_hits), "score").select(
-        "query_id",
-        "id",
-        (
-            F.lit(weights[0]) * F.coalesce("__a", F.lit(0.0)) + F.lit(weights[1]) * F.coalesce("__b", F.lit(0.0))
-        ).alias("score"),
-    )
+    joined = _both(_scaled(image_hits), _scaled(text_hits), "scaled")
+    return joined.select("query_id", "id", _weighted("__a", "__b", weights).alias("score"))
 
 
 def search(
@@ -230,26 +233,29 @@ def search(
     """
     names = [f for f in filters if f in queries.columns]
     image, text = F.col("image_vector"), F.col("text_vector")
-    checked = queries.withColumn(
-        "query_id",
-        F.when(image.isNull() & text.isNull(), F.raise_error(F.lit("a query needs an image or a text"))).otherwise(
-            F.col("query_id")
-        ),
-    )
-
     def ask(rows: DataFrame, field: str) -> DataFrame:
         return rows.select("query_id", F.col(field).alias("vector"), *names)
 
-    by_image = knn(items, ask(checked.filter(image.isNotNull()), "image_vector"), "image_vector", image_k, names)
-    by_text = knn(items, ask(checked.filter(image.isNull()), "text_vector"), "text_vector", text_k, names)
-    flags = checked.filter(image.isNotNull()).select("query_id", text.isNotNull().alias("__both"))
-    tagged = by_image.join(flags, "query_id")
-    staged = tagged.filter("__both").drop("__both")
-    rescored = knn_within(items, ask(checked.filter(image.isNotNull() & text.isNotNull()), "text_vector"), "text_vector", staged, image_k)
-    fuse = fuse_minmax if fusion == "minmax" else fuse_rrf
-    fused = rank_hits(fuse(staged, rescored), k=final_k)
-    alone = tagged.filter(~F.col("__both")).drop("__both").unionByName(by_text).filter(F.col("rank") <= final_k)
-    return alone.unionByName(fused)
+    by_image = knn(items, ask(queries.filter(image.isNotNull()), "image_vector"), "image_vector", image_k, names)
+    missing = F.raise_error(F.lit("a query needs an image or a text")).cast(queries.schema["text_vector"].dataType)
+    no_image = queries.filter(image.isNull()).withColumn("text_vector", F.when(text.isNull(), missing).otherwise(text))
+    by_text = knn(items, ask(no_image, "text_vector"), "text_vector", text_k, names)
+    flags = queries.filter(image.isNotNull()).select("query_id", text.isNotNull().alias("both"))
+    first = by_image.join(flags, "query_id")
+    asked_twice = ask(queries.filter(image.isNotNull() & text.isNotNull()), "text_vector")
+    second = knn_within(items, asked_twice, "text_vector", first.filter("both"), image_k)
+    # The second list only holds ids of the first, so a left join sees every fused id.
+    if fusion == "minmax":
+        first, second = _scaled(first), _scaled(second)
+        fused = _weighted("scaled", "__b", (C.IMAGE_WEIGHT, C.TEXT_WEIGHT))
+        other = second.select("query_id", "id", F.col("scaled").alias("__b"))
+    else:
+        fused = _rrf("rank", "__b", (C.IMAGE_WEIGHT, C.TEXT_WEIGHT), C.RRF_K)
+        other = second.select("query_id", "id", F.col("rank").alias("__b"))
+    with_image = first.join(other, ["query_id", "id"], "left").select(
+        "query_id", "id", F.when(F.col("both"), fused).otherwise(F.col("score")).alias("score")
+    )
+    return rank_hits(with_image.unionByName(by_text.drop("rank")), k=final_k)
 
 
 def score_map(hits: DataFrame) -> DataFrame:

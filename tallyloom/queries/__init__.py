@@ -8,7 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("scalars", "offers", "keyed", "activity", "logs", "alerts", "vectors", "documents", "inference", "pages")
+MODULES = (
+    "scalars",
+    "offers",
+    "keyed",
+    "activity",
+    "logs",
+    "alerts",
+    "vectors",
+    "documents",
+    "inference",
+    "pages",
+    "catalog",
+    "sources",
+    "streams",
+)
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}

@@ -138,7 +138,7 @@ for _how, _join in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("
 )
 def last_wins_by_id(spark, d):
     docs = D.table(spark, d, "documents").select(F.col("source").alias("id"), "doc_id", "lang", "n_chars")
-    return R.last_wins(docs, ["id"], F.col("doc_id"))
+    return R.last_wins(docs, ["id"], "doc_id")
 
 
 @register("without_error_docs", "SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE NOT coalesce(toxic = 1, FALSE)")

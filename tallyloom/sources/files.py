@@ -50,6 +50,11 @@ def read_json_docs(spark: SparkSession, path: str, schema: T.StructType | str, r
     return reader.json(path)
 
 
+def read_json_docs_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The same for JSON lines, which split by size: the form to prefer for large collections."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def _catalog(df: DataFrame, price: Column, url: Column) -> DataFrame:
     def text(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit("")) if name in df.columns else F.lit("")

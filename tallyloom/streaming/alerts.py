@@ -7,23 +7,33 @@ in order of time to the state.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyloom.functions import constants as C
-from tallyloom.operators.alerts import Limiter, Recovery, tracked_errors
+from tallyloom.operators.alerts import Limiter, Recovery, counts_toward_spike
 
 
-def per_second(stream: DataFrame, keys: Sequence[str], watermark: str = "10 minutes", ts: str = "timestamp") -> DataFrame:
-    """(keys, at, n): closed seconds with their number of rows."""
+def per_second(
+    stream: DataFrame, keys: Mapping[str, Column], condition: Column | None = None, watermark: str = "10 minutes", ts: str = "timestamp"
+) -> DataFrame:
+    """(keys, at, s, n): closed seconds with their number of rows that meet the condition.
+
+    All rows move the watermark, also those that are not counted: a filter
+    would leave the last seconds of a quiet stream open. Rows not counted
+    share one group per second.
+    """
+    counted = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+    marked = timed.select(ts, counted.alias("__hit"), *[F.when(counted, c).alias(k) for k, c in keys.items()])
     return (
-        timed.groupBy(F.window(ts, "1 second").alias("w"), *keys)
-        .agg(F.count("*").alias("n"))
+        marked.groupBy(F.window(ts, "1 second").alias("w"), *keys)
+        .agg(F.count_if("__hit").alias("n"))
+        .filter(F.col("n") > 0)
         .select(*keys, F.col("w.start").alias("at"), F.unix_seconds("w.start").alias("s"), "n")
     )
 
@@ -127,12 +137,13 @@ def _stateful(seconds: DataFrame, keys: Sequence[str], processor: StatefulProces
     )
 
 
+def _is_error() -> Column:
+    return F.col("level").isin("ERROR", "CRITICAL")
+
+
 def critical_alert_stream(logs: DataFrame, cooldown_s: int = C.CRITICAL_COOLDOWN_S, watermark: str = "10 minutes") -> DataFrame:
-    errors = logs.filter(F.col("level").isin("ERROR", "CRITICAL"))
-    keyed = errors.withColumn("message", F.substring("message", 1, 100))
-    return _stateful(
-        per_second(keyed, ["message"], watermark), ["message"], CooldownProcessor("message", cooldown_s), "message string, at timestamp"
-    )
+    seconds = per_second(logs, {"message": F.substring("message", 1, 100)}, _is_error(), watermark)
+    return _stateful(seconds, ["message"], CooldownProcessor("message", cooldown_s), "message string, at timestamp")
 
 
 def spike_alert_stream(
@@ -142,9 +153,10 @@ def spike_alert_stream(
     cooldown_s: int = C.SPIKE_COOLDOWN_S,
     min_level: str = "CRITICAL",
     watermark: str = "10 minutes",
+    excluded: Sequence[str] = (),
 ) -> DataFrame:
     """One state for all services, fed with at most one row per second."""
-    seconds = per_second(tracked_errors(logs, min_level), [], watermark).withColumn("scope", F.lit("all"))
+    seconds = per_second(logs, {"scope": F.lit("all")}, counts_toward_spike(min_level, excluded), watermark)
     return _stateful(seconds, ["scope"], SpikeProcessor(window_s, threshold, cooldown_s), "at timestamp, errors long")
 
 
@@ -155,7 +167,7 @@ def rate_limit_stream(
     open_s: int = C.CIRCUIT_OPEN_S,
     watermark: str = "10 minutes",
 ) -> DataFrame:
-    seconds = per_second(attempts, [], watermark).withColumn("scope", F.lit("all"))
+    seconds = per_second(attempts, {"scope": F.lit("all")}, None, watermark)
     return _stateful(
         seconds, ["scope"], LimitProcessor(window_s, max_sent, open_s), "at timestamp, sent long, rate_limited long, circuit_open long"
     )
@@ -169,9 +181,8 @@ def recovery_stream(
     per_hour: int = C.RECOVERY_PER_HOUR,
     watermark: str = "10 minutes",
 ) -> DataFrame:
-    errors = logs.filter(F.col("level").isin("ERROR", "CRITICAL"))
     return _stateful(
-        per_second(errors, ["service"], watermark),
+        per_second(logs, {"service": F.col("service")}, _is_error(), watermark),
         ["service"],
         RecoveryProcessor(window_s, threshold, cooldown_s, per_hour),
         "service string, at timestamp, action string, errors long",
