@@ -105,7 +105,7 @@ def strip_markup(title: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """difflib ratio; equal pairs in an Arrow batch are computed once."""
+    """difflib ratio, 0 next to a NULL; equal pairs in an Arrow batch are computed once."""
     from difflib import SequenceMatcher
 
     seen: dict[tuple[str, str], float] = {}
@@ -115,25 +115,32 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
             seen[pair] = SequenceMatcher(None, *pair).ratio()
         return seen[pair]
 
-    return pd.Series([0.0 if not a or not b else ratio((a, b)) for a, b in zip(left, right)])
+    return pd.Series([0.0 if a is None or b is None else ratio((a, b)) for a, b in zip(left, right)])
 
 
-def title_similarity(name: Column, title: Column, method: str = "ratio") -> Column:
-    """1.0 where the normalised name is inside the title, else the similarity of both.
+def normal_similarity(a: Column, b: Column, method: str = "ratio") -> Column:
+    """Similarity of two normalised texts: 1.0 where ``a`` is inside ``b``.
 
     ``ratio`` is the difflib ratio, evaluated in Arrow batches. ``levenshtein``
     is ``1 - distance / longer length`` and stays in the JVM.
     """
-    a, b = norm_text(F.coalesce(name, F.lit(""))), norm_text(F.coalesce(title, F.lit("")))
-    empty = (F.coalesce(name, F.lit("")) == "") | (F.coalesce(title, F.lit("")) == "")
+    inside = (a != "") & F.contains(b, a)
     if method == "ratio":
-        other = sequence_ratio(a, b)
+        other = sequence_ratio(F.when(~inside, a), b)  # settled pairs reach the UDF as NULL
     elif method == "levenshtein":
         longer = F.greatest(F.length(a), F.length(b))
-        other = F.when(longer > 0, 1 - F.levenshtein(a, b) / longer).otherwise(F.lit(0.0))
+        other = F.when(longer > 0, 1 - F.levenshtein(a, b) / longer).otherwise(F.lit(1.0))
     else:
         raise ValueError(f"unknown method {method}")
-    return F.when((a != "") & F.contains(b, a), F.lit(1.0)).when(empty, F.lit(0.0)).otherwise(other)
+    return F.when(inside, F.lit(1.0)).otherwise(other)
+
+
+def title_similarity(name: Column, title: Column, method: str = "ratio") -> Column:
+    """Similarity of a product name and an offer title; 0 where either is empty."""
+    name, title = F.coalesce(name, F.lit("")), F.coalesce(title, F.lit(""))
+    return F.when((name == "") | (title == ""), F.lit(0.0)).otherwise(
+        normal_similarity(norm_text(name), norm_text(title), method)
+    )
 
 
 def expand_category(values: Column) -> Column:

@@ -25,25 +25,32 @@ def query_phrases(products: DataFrame) -> DataFrame:
 def acceptable_offers(products: DataFrame, staged: DataFrame, method: str = "ratio") -> DataFrame:
     """Staged offers (product, kind, pos, id, title, price, ..) that pass every filter.
 
-    Cheap filters come first; the similarity is evaluated on what they leave.
+    Texts are normalised on their own side of the join, so a product's name
+    once. Cheap filters come first. The similarity is evaluated once per row
+    they leave: as an array element that its own test may drop, since a plain
+    filter on it would be pushed into the join and evaluated there again.
     """
-    wanted = products.filter(P.searchable(F.col("brand_name"), F.col("prod_name"), F.col("model_code")))
-    wanted = wanted.select("product_id", "prod_name", "model_code", "base_price")
+    wanted = products.filter(P.searchable(F.col("brand_name"), F.col("prod_name"), F.col("model_code"))).select(
+        "product_id",
+        "base_price",
+        F.lower(X.clean_model_code(F.coalesce(F.col("model_code"), F.lit("")))).alias("__code"),
+        F.nullif(X.norm_text(F.trim(F.coalesce("prod_name", F.lit("")))), F.lit("")).alias("__name"),
+    )
+    rows = staged.withColumn("title", X.strip_markup(F.col("title"))).filter(~P.is_spam_title(F.col("title")))
+    rows = rows.withColumns(
+        {"__title": X.norm_text(F.col("title")), "__packed": F.lower(F.replace(F.col("title"), F.lit(" "), F.lit("")))}
+    )
     is_code = F.col("kind").endswith("_code")
-    cleaned = X.clean_model_code(F.coalesce(F.col("model_code"), F.lit("")))
-    rows = (
-        staged.withColumn("title", X.strip_markup(F.col("title")))
-        .filter(~P.is_spam_title(F.col("title")))
-        .join(wanted, "product_id")
+    exact = (F.col("__code") != "") & F.contains(F.col("__packed"), F.col("__code"))
+    kept = (
+        rows.join(wanted, "product_id")
         .filter(P.plausible_price(F.col("price"), F.col("base_price")))
-        .filter(~is_code | X.is_valid_code(cleaned))
-        .withColumn("exact_code", P.has_exact_code(F.col("title"), F.col("model_code")))
-        .filter(~is_code | F.col("exact_code"))
+        .filter(~is_code | (X.is_valid_code(F.col("__code")) & exact))
     )
-    name = F.trim(F.coalesce(F.col("prod_name"), F.lit("")))
-    rows = rows.withColumn("similarity", X.title_similarity(name, F.col("title"), method))
-    gate = P.similarity_gate(is_code, F.col("exact_code"), F.col("similarity"))
-    return rows.filter(gate).drop("base_price", "prod_name", "model_code", "exact_code")
+    floor = F.when(exact, C.SIMILARITY_FLOOR_WITH_CODE).otherwise(C.SIMILARITY_FLOOR)
+    similarity = F.coalesce(X.normal_similarity(F.col("__name"), F.col("__title"), method), F.lit(0.0))
+    scored = F.explode_outer(F.filter(F.array(similarity), lambda s: s >= floor)).alias("similarity")
+    return kept.select(*staged.columns, scored).filter(F.col("similarity").isNotNull())
 
 
 def _accept(pool: Column) -> Column:
@@ -143,9 +150,11 @@ def candidate_titles(products: DataFrame, titles: DataFrame, min_shared: int = 2
         .select("brand", F.array_join("tokens", " ").alias("query"), F.array_distinct("tokens").alias("tokens"))
         .distinct()
     )
-    texts = titles.select(
-        F.lower("brand_name").alias("brand"), "title", F.array_distinct(X.core_tokens(F.lower(X.strip_markup(F.col("title"))), None)).alias("words")
-    ).distinct()
+    texts = (
+        titles.select(F.lower("brand_name").alias("brand"), "title")
+        .distinct()
+        .withColumn("words", F.array_distinct(X.core_tokens(F.lower(X.strip_markup(F.col("title"))), None)))
+    )
     postings = texts.select("brand", "title", "words", F.explode("words").alias("token"))
     spread = postings.groupBy("brand", "token").agg(F.count("*").alias("df"))
     probes = queries.select("brand", "query", "tokens", F.explode("tokens").alias("token")).join(

@@ -69,11 +69,10 @@ def extract_specs(html: Column) -> Column:
         return F.transform(items, lambda p: F.struct(clean(p["k"]).alias("k"), clean(p["v"]).alias("v")))
 
     both = F.filter(F.concat(tidy(pairs(TH_TD)), tidy(pairs(DT_DD))), lambda p: (p["k"] != "") & (p["v"] != ""))
-    last = F.filter(
-        both,
-        lambda p, i: ~F.exists(F.slice(both, i + 2, F.greatest(F.size(both), F.lit(1))), lambda q: q["k"] == p["k"]),
+    empty = F.create_map().cast("map<string,string>")
+    return F.aggregate(
+        both, empty, lambda seen, p: F.map_concat(F.map_filter(seen, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"]))
     )
-    return F.map_from_entries(last)
 
 
 def extract_json_state(html: Column, script_id: str) -> Column:

@@ -158,10 +158,14 @@ def knn_lsh(
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
+    some = queries.filter(F.col("vector").isNotNull()).select(F.size("vector").alias("n")).first()
+    # Rows without a direction drop out; the stand-in keeps the hash defined wherever the filter runs.
+    stand_in = F.array_repeat(F.lit(1.0), some["n"] if some else 1)
+
     def unit(df: DataFrame, name: str, source: str, out: str) -> DataFrame:
-        there = df.filter(F.col(source).isNotNull() & (norm(F.col(source)) > 0))  # a zero vector has no direction
-        direction = F.coalesce(l2_normalize(F.col(source)), F.array().cast("array<double>"))
-        return there.select(F.col(name).alias(out), array_to_vector(direction).alias("features"))
+        there = F.coalesce(norm(F.col(source)) > 0, F.lit(False))
+        direction = F.when(there, l2_normalize(F.col(source))).otherwise(stand_in)
+        return df.filter(there).select(F.col(name).alias(out), array_to_vector(direction).alias("features"))
 
     stored, asked = unit(items, "id", field, "id"), unit(queries, "query_id", "vector", "query_id")
     model = BucketedRandomProjectionLSH(

@@ -137,8 +137,9 @@ def cooldown_fires(
 ) -> DataFrame:
     """Times at which a key fires when it must rest ``cooldown_s`` after each fire.
 
-    Whether a row fires depends on the fire before it, so the chain of a busy
-    key is cut into time chunks of about ``rows_per_chunk`` rows. Per chunk a
+    Whether a row fires depends on the fire before it. A calm key is walked at
+    once. The chain of a busy one, with more than ``rows_per_chunk`` distinct
+    times, is cut into time chunks of about that size. Per chunk a
     small table says, for every time the chunk may be entered with, when it
     is left; the tables of a key are folded in order, and each chunk is then
     replayed from its known entry.
@@ -149,17 +150,15 @@ def cooldown_fires(
     keys = list(keys)
     wait = cooldown_s * MICROS
     times = df.select(*keys, micros(ts).alias("__us")).distinct()
+    share = F.greatest(F.lit(1.0), F.count("*") / F.lit(rows_per_chunk))
     rate = times.groupBy(*keys).agg(
-        F.greatest(
-            F.lit(wait),
-            F.ceil((F.max("__us") - F.min("__us") + 1) / F.greatest(F.lit(1.0), F.count("*") / F.lit(rows_per_chunk))),
-        )
-        .cast("long")
-        .alias("__span")
+        (F.count("*") > rows_per_chunk).alias("__busy"),
+        F.greatest(F.lit(wait), F.ceil((F.max("__us") - F.min("__us") + 1) / share)).cast("long").alias("__span"),
     )
     if keys == ["__all"]:
         rate = F.broadcast(rate)  # a single row
-    chunked = times.join(rate, keys).withColumn("__chunk", F.floor(F.col("__us") / F.col("__span")).cast("long"))
+    rated = times.join(rate, keys)
+    chunked = rated.filter("__busy").withColumn("__chunk", F.floor(F.col("__us") / F.col("__span")).cast("long"))
     types = dict(chunked.dtypes)
     head = "".join(f"`{k}` {types[k]}, " for k in keys)
 
@@ -190,16 +189,22 @@ def cooldown_fires(
                 entry = int(part["__exit"].iloc[at])
         return fill(pdf, {"__chunk": chunks, "__entry": entries})
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fires_from(pdf: pd.DataFrame, entry: int) -> pd.DataFrame:
         us = np.sort(pdf["__us"].to_numpy(dtype=np.int64))
         hop = _next_index(us, wait)
-        at = int(np.searchsorted(us, int(pdf["__entry"].iloc[0]), side="left"))
+        at = int(np.searchsorted(us, entry, side="left"))
         fires = []
         while at < len(us):
             fires.append(int(us[at]))
             at = int(hop[at])
         return fill(pdf, {"__us": np.array(fires, dtype=np.int64)})
 
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        return fires_from(pdf, np.iinfo(np.int64).min)
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        return fires_from(pdf, int(pdf["__entry"].iloc[0]))
+
     tables = chunked.groupBy(*keys, "__chunk").applyInPandas(
         chunk_table, f"{head}__chunk long, __upto long, __exit long"
     )
@@ -209,4 +214,5 @@ def cooldown_fires(
         .groupBy(*keys, "__chunk")
         .applyInPandas(replay, f"{head}__us long")
     )
-    return fires.select(*keys, from_micros(F.col("__us")).alias(ts))
+    calm = rated.filter("not __busy").select(*keys, "__us").groupBy(*keys).applyInPandas(whole, f"{head}__us long")
+    return calm.unionByName(fires).select(*keys, from_micros(F.col("__us")).alias(ts))
