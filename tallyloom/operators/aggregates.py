@@ -5,12 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import predicates as P
 from tallyloom.functions.logs import mb
-from tallyloom.operators.ranking import best_per_key, top_per_key
+from tallyloom.operators.ranking import best_per_key
 
 KEYWORD_LIMIT = 256  # longer messages are no keys
 
@@ -29,12 +29,22 @@ def hour_bucket(ts: str = "timestamp") -> Column:
     return F.date_trunc("HOUR", F.col(ts)).cast("timestamp_ntz")
 
 
-def fill_hours(trend: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Add the empty hours between the first and the last bucket with zeros."""
-    ends = trend.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).filter(F.col("lo").isNotNull())
-    hours = ends.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 hour"))).alias("bucket"))
-    return hours.join(trend, "bucket", "left").select(
-        "bucket", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in columns]
+def fill_hours(trend: DataFrame, columns: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """Add the empty hours between buckets with zeros, without reading the input again.
+
+    Every bucket is stretched up to the next one. Only buckets are ordered,
+    one row per hour of the lookback.
+    """
+    following = F.lead("bucket").over(Window.partitionBy(*within).orderBy("bucket"))
+    hour = F.expr("interval 1 hour")
+    stretched = trend.withColumn("__next", following).withColumn(
+        "__hour", F.explode_outer(F.sequence("bucket", F.coalesce(F.col("__next") - hour, F.col("bucket")), hour))
+    )
+    kept = [c for c in trend.columns if c != "bucket" and c not in columns]
+    return stretched.select(
+        F.col("__hour").alias("bucket"),
+        *kept,
+        *[F.when(F.col("__hour").eqNullSafe(F.col("bucket")), F.col(c)).otherwise(F.lit(0)).alias(c) for c in columns],
     )
 
 
@@ -57,32 +67,27 @@ def log_trend(df: DataFrame, ts: str = "timestamp") -> DataFrame:
 def top_errors(df: DataFrame, n: int = 5, services: int = 5) -> DataFrame:
     """The n most frequent error messages with their top services, last time and its container.
 
-    Counted per (message, service) first. Only the n messages that win reach
-    the service ranking, so a message seen everywhere costs no more.
+    Counted per (message, service) before anything is ordered, so a message
+    seen everywhere is as many rows as there are services.
     """
     errors = df.filter(_is_error() & (F.length("message") <= KEYWORD_LIMIT))
     cells = errors.groupBy("message", "service").agg(
-        F.count("*").alias("c"),
-        F.max("timestamp").alias("seen"),
-        F.max_by("container", F.struct("timestamp", "event_id")).alias("container"),
-        F.max(F.struct("timestamp", "event_id")).alias("at"),
+        F.count("*").alias("c"), F.max(F.struct("timestamp", "event_id", "container")).alias("last")
     )
-    best = (
-        cells.groupBy("message")
-        .agg(F.sum("c").alias("count"), F.max("seen").alias("last_seen"), F.max_by("container", "at").alias("container"))
+    message = Window.partitionBy("message")
+    ranked = cells.select(
+        "message",
+        "service",
+        F.sum("c").over(message).alias("count"),
+        F.max("last").over(message).alias("last"),
+        F.row_number().over(message.orderBy(F.desc("c"), F.asc("service"))).alias("r"),
+    ).filter(F.col("r") <= services)
+    return (
+        ranked.groupBy("message", "count", "last")
+        .agg(F.sort_array(F.collect_list(F.struct("r", "service"))).alias("s"))
         .orderBy(F.desc("count"), F.asc("message"))
         .limit(n)
-    )
-    ranked = top_per_key(
-        cells.join(best.select("message"), "message", "left_semi"),
-        ["message"],
-        [F.desc("c"), F.asc("service")],
-        services,
-        "r",
-    )
-    names = ranked.groupBy("message").agg(F.sort_array(F.collect_list(F.struct("r", "service"))).alias("s"))
-    return best.join(names, "message").select(
-        "message", "count", F.col("s.service").alias("services"), "last_seen", "container"
+        .select("message", "count", F.col("s.service").alias("services"), F.col("last.timestamp").alias("last_seen"), "last.container")
     )
 
 
@@ -103,11 +108,17 @@ def service_health(df: DataFrame) -> DataFrame:
     )
 
 
+# How many levels and services a report lists.
+LISTED = {"level": 10, "service": 20}
+
+
 def dashboard(df: DataFrame, as_of: dt.datetime, hours: int = 24, recent_hours: int = 1) -> DataFrame:
     """Stats, trend, health and top errors as one (section, key, metric, value) table.
 
-    One scan of the lookback is folded to (hour, recent, service, level)
-    counts, from which three sections are read; the fourth keeps messages.
+    The lookback is scanned once for the three counting sections: it is folded
+    to (hour, recent, service, level) counts before the shuffle, and each of
+    those few rows then counts toward its level, its service and its hour.
+    Only top errors, which need the messages, read it a second time.
     """
     window = df.filter(P.since(F.col("timestamp"), as_of, hours))
     cube = window.groupBy(
@@ -116,36 +127,48 @@ def dashboard(df: DataFrame, as_of: dt.datetime, hours: int = 24, recent_hours:
         "service",
         "level",
     ).agg(F.count("*").alias("n"))
-    recent = cube.filter("recent")
-
-    def long(section: str, rows: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
-        pairs = F.explode(
-            F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names])
-        )
-        return rows.select(F.lit(section).alias("section"), F.col(key).cast("string").alias("key"), pairs.alias("p")).select(
-            "section", "key", "p.metric", "p.value"
-        )
-
-    def stats(field: str, top: int) -> DataFrame:
-        rows = recent.groupBy(field).agg(F.sum("n").alias("rows")).orderBy(F.desc("rows"), F.asc(field)).limit(top)
-        return long(f"by_{field}", rows, field, ["rows"])
-
-    trend = fill_hours(cube.groupBy("bucket").agg(*_level_sums(F.col("n"))), ["errors", "warns", "infos"])
-    trend = trend.withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd HH:mm"))
-    health = recent.groupBy("service").agg(F.sum("n").alias("total"), *_level_sums(F.col("n")))
-    health = health.withColumn("error_rate", _rate(F.col("errors"), F.col("total")))
-    top = top_errors(window)
-    parts = [
-        stats("level", 10),
-        stats("service", 20),
-        long("trend", trend, "bucket", ["errors", "warns", "infos"]),
-        long("health", health, "service", ["total", "errors", "warns", "error_rate"]),
-        long("top_errors", top, "message", ["count"]),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    no_hour = F.lit(None).cast("timestamp_ntz")
+
+    def member(section: str, key: Column, hour: Column) -> Column:
+        return F.struct(F.lit(section).alias("of"), key.alias("key"), hour.alias("bucket"))
+
+    hour_of = member("hour", F.lit(None).cast("string"), F.col("bucket"))
+    members = F.when(
+        F.col("recent"),
+        F.array(member("level", F.col("level"), no_hour), member("service", F.col("service"), no_hour), hour_of),
+    ).otherwise(F.array(hour_of))
+    sums = (
+        cube.select(F.explode(members).alias("m"), "level", "n")
+        .groupBy("m.of", "m.key", "m.bucket")
+        .agg(F.sum("n").alias("total"), *_level_sums(F.col("n")))
+    )
+    place = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("total"), F.asc("key")))
+    listed = F.when(F.col("of") == "level", LISTED["level"]).when(F.col("of") == "service", LISTED["service"])
+    kept = sums.withColumn("__place", place).filter(listed.isNull() | (F.col("__place") <= listed)).drop("__place")
+    full = fill_hours(kept, ["total", "errors", "warns", "infos"], within=["of"])
+
+    def entry(section: str, metric: str, value: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+
+    levels = F.array(entry("by_level", "rows", F.col("total")))
+    services = F.array(
+        entry("by_service", "rows", F.col("total")),
+        entry("health", "total", F.col("total")),
+        entry("health", "errors", F.col("errors")),
+        entry("health", "warns", F.col("warns")),
+        entry("health", "error_rate", _rate(F.col("errors"), F.col("total"))),
+    )
+    trend = F.array(*[entry("trend", c, F.col(c)) for c in ("errors", "warns", "infos")])
+    entries = F.when(F.col("of") == "level", levels).when(F.col("of") == "service", services).otherwise(trend)
+    key = F.coalesce("key", F.date_format("bucket", "yyyy-MM-dd HH:mm"))
+    counted = full.select(key.alias("key"), F.explode(entries).alias("e")).select("e.section", "key", "e.metric", "e.value")
+    top = top_errors(window).select(
+        F.lit("top_errors").alias("section"),
+        F.col("message").alias("key"),
+        F.lit("count").alias("metric"),
+        F.col("count").cast("double").alias("value"),
+    )
+    return counted.unionByName(top)
 
 
 def metric_stats(df: DataFrame, digits: int | None = 2) -> DataFrame:
@@ -214,10 +237,15 @@ def spike_summary(df: DataFrame, messages: int = 3, shown: int = 80) -> DataFram
     cells = df.groupBy("service", text.alias("short")).agg(
         F.count("*").alias("c"), F.min(F.struct("timestamp", "event_id")).alias("first")
     )
-    totals = cells.groupBy("service").agg(F.sum("c").alias("rows"))
-    early = top_per_key(cells, ["service"], [F.col("first")], messages, "r")
-    texts = early.groupBy("service").agg(F.sort_array(F.collect_list(F.struct("r", "short"))).alias("m"))
-    return totals.join(texts, "service").select("service", "rows", F.col("m.short").alias("messages"))
+    service = Window.partitionBy("service")
+    early = cells.select(
+        "service",
+        "short",
+        F.sum("c").over(service).alias("rows"),
+        F.row_number().over(service.orderBy("first")).alias("r"),
+    ).filter(F.col("r") <= messages)
+    texts = early.groupBy("service", "rows").agg(F.sort_array(F.collect_list(F.struct("r", "short"))).alias("m"))
+    return texts.select("service", "rows", F.col("m.short").alias("messages"))
 
 
 def throughput_per_min(df: DataFrame, minutes: int = 60) -> DataFrame:

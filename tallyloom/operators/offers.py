@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import constants as C
@@ -189,28 +189,41 @@ def candidate_codes(products: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def refine_prices(products: DataFrame, offers: DataFrame) -> dict[str, DataFrame]:
-    """Clean products, clean offers and quarantined offers; write them under one version path."""
+    """Clean products, clean offers and quarantined offers out of one join of offers and products."""
     tagged = J.tag_offers(products, offers)
+    clean = tagged.filter(F.col("verdict") == "clean").select(*offers.columns)
     return {
-        "products_clean": J.refine_clean_products(products, offers),
-        "offers_clean": tagged.filter(F.col("verdict") == "clean").select(*offers.columns),
+        "products_clean": products.join(clean.select("product_id").distinct(), "product_id", "left_semi"),
+        "offers_clean": clean,
         "offers_anomaly": tagged.filter(F.col("verdict") == "anomaly").select(*offers.columns),
     }
 
 
-def publish_refined(tables: dict[str, DataFrame], root: str, version: str) -> dict[str, str]:
-    """Write the tables below ``root/version``; readers switch to the version once all are there.
+def publish_refined(products: DataFrame, offers: DataFrame, root: str, version: str) -> dict[str, DataFrame]:
+    """Write the refined tables below ``root/version``, then point ``root/CURRENT`` at it.
 
-    Offers are written once, partitioned by verdict, so clean and quarantined
-    rows come out of a single pass over the join.
+    The join runs once: tagged offers are written partitioned by verdict, and
+    the clean products are those of the clean partition just written. Readers
+    follow CURRENT, so they see all tables of a version or none.
     """
-    paths = {}
-    for name, df in tables.items():
-        paths[name] = f"{root}/{version}/{name}"
-        df.write.mode("errorifexists").parquet(paths[name])
-    spark = next(iter(tables.values())).sparkSession
+    spark = products.sparkSession
+    offers_path, products_path = f"{root}/{version}/offers", f"{root}/{version}/products_clean"
+    tagged = J.tag_offers(products, offers).filter(F.col("verdict").isNotNull()).select(*offers.columns, "verdict")
+    tagged.write.mode("errorifexists").partitionBy("verdict").parquet(offers_path)
+    written = spark.read.schema(tagged.schema).parquet(offers_path)
+    clean = written.filter(F.col("verdict") == "clean").drop("verdict")
+    kept = products.join(clean.select("product_id").distinct(), "product_id", "left_semi")
+    kept.write.mode("errorifexists").parquet(products_path)
     spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/CURRENT")
-    return paths
+    return {
+        "products_clean": spark.read.schema(kept.schema).parquet(products_path),
+        "offers_clean": clean,
+        "offers_anomaly": written.filter(F.col("verdict") == "anomaly").drop("verdict"),
+    }
+
+
+def current_version(spark: SparkSession, root: str) -> str:
+    return spark.read.json(f"{root}/CURRENT").first()["version"]
 
 
 def offer_coverage(products: DataFrame, matched: DataFrame, wanted: int = C.OFFERS_KEPT) -> DataFrame:

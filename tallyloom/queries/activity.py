@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.functions import constants as C
 from tallyloom.operators import aggregates as A
 from tallyloom.operators import joins as J
 from tallyloom.operators import keyed as K
@@ -177,25 +178,19 @@ def random_rows(spark, d):
 
 @register(
     "log_search_snapshot",
-    """WITH t AS (SELECT o_orderkey AS log_id, l_linenumber, l_extendedprice, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS rank
-  FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
-SELECT log_id, CAST(l_linenumber AS BIGINT) AS item, l_extendedprice AS price, rank FROM t""",
+    """WITH t AS (SELECT l_orderkey AS log_id, l_linenumber, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS rank FROM lineitem)
+SELECT log_id, CAST(l_linenumber AS BIGINT) AS item, l_extendedprice AS price, rank FROM t WHERE rank <= 6""",
 )
 def log_search_snapshot(spark, d):
-    """Orders as searches, their lines (at most seven) as results, best first."""
-    results = (
-        D.table(spark, d, "lineitem")
+    """Orders as searches; the six dearest lines are what each search showed, as one array, then as rows."""
+    line = D.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_partkey")
+    order = [F.desc("l_extendedprice"), F.col("l_linenumber"), F.col("l_partkey")]
+    shown = (
+        R.top_per_key(line, ["l_orderkey"], order, C.FINAL_K, "__r")
         .groupBy(F.col("l_orderkey").alias("log_id"))
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct((-F.col("l_extendedprice")).alias("o"), F.col("l_linenumber").alias("item"), F.col("l_partkey").alias("p"))
-                )
-            ).alias("results")
-        )
+        .agg(F.sort_array(F.collect_list(F.struct("__r", F.col("l_linenumber").alias("item"), F.col("l_extendedprice").alias("price")))).alias("results"))
     )
-    logged = D.table(spark, d, "orders").select(F.col("o_orderkey").alias("log_id")).join(results, "log_id")
-    return K.snapshot_results(logged).select("log_id", F.col("item").cast("long").alias("item"), (-F.col("o")).alias("price"), "rank")
+    return K.snapshot_results(shown).select("log_id", F.col("item").cast("long").alias("item"), "price", "rank")
 
 
 # --- detections: part is the catalog, line items are detected boxes ----------

@@ -44,16 +44,12 @@ def spike_alerts(spark, d):
     return AL.spike_alerts(tracked(spark, d), **SPIKE)
 
 
-@register(
-    "critical_alerts",
-    with_(LOGS_SQL, "keyed AS (SELECT DISTINCT message[1:100] AS message, \"timestamp\" AS moment FROM logs WHERE level IN ('ERROR', 'CRITICAL'))")
-    .replace("WITH ", "WITH RECURSIVE ", 1)
-    .rstrip()
-    + f""",
-fires AS (SELECT message, min(moment) AS moment FROM keyed GROUP BY 1
-  UNION ALL SELECT f.message, min(k.moment) FROM fires f JOIN keyed k ON k.message = f.message AND k.moment >= f.moment + INTERVAL {CRITICAL_COOLDOWN} SECOND GROUP BY f.message, f.moment)
-SELECT message, moment AS "timestamp" FROM fires""",
-)
+KEYED_SQL = """keyed AS (SELECT DISTINCT message[1:100] AS message, "timestamp" AS moment FROM logs WHERE level IN ('ERROR', 'CRITICAL'))"""
+FIRES_SQL = f"""fires AS (SELECT message, min(moment) AS moment FROM keyed GROUP BY 1
+  UNION ALL SELECT f.message, min(k.moment) FROM fires f JOIN keyed k ON k.message = f.message AND k.moment >= f.moment + INTERVAL {CRITICAL_COOLDOWN} SECOND GROUP BY f.message, f.moment)"""
+
+
+@register("critical_alerts", with_(LOGS_SQL, KEYED_SQL, FIRES_SQL).replace("WITH ", "WITH RECURSIVE ", 1) + 'SELECT message, moment AS "timestamp" FROM fires')
 def critical_alerts(spark, d):
     return AL.critical_alerts(D.logs(spark, d), CRITICAL_COOLDOWN, min_level="ERROR")
 
@@ -73,29 +69,83 @@ def error_sessions(spark, d):
     return W.sessions(errors, ["service"], "timestamp", 3600).groupBy("service", "session").agg(F.count("*").alias("rows"))
 
 
-@register("rate_limit")
+# The limiter, one second at a time and all keys side by side: the state travels in lists.
+def limiter_sql(attempts: str) -> str:
+    """CTEs ``seconds`` and ``walk`` over ``attempts``, a query with columns (service, moment)."""
+    return f"""seconds AS (SELECT service, moment, epoch(moment)::BIGINT AS s, count(*) AS n, row_number() OVER (PARTITION BY service ORDER BY moment) AS i
+  FROM ({attempts}) GROUP BY 1, 2, 3),
+walk AS (
+  SELECT service, 0::BIGINT AS i, NULL::TIMESTAMP AS moment, []::BIGINT[] AS sent_at, NULL::BIGINT AS opened, 0::BIGINT AS sent, 0::BIGINT AS rate_limited, 0::BIGINT AS circuit_open
+  FROM (SELECT DISTINCT service FROM seconds)
+  UNION ALL
+  SELECT service, i, moment, CASE WHEN is_open THEN sent_at ELSE list_concat(live, list_transform(range(granted), lambda x: s)) END,
+    CASE WHEN is_open THEN opened WHEN n > granted THEN s END, granted, CASE WHEN NOT is_open AND n > granted THEN 1 ELSE 0 END,
+    CASE WHEN is_open THEN n WHEN n > granted THEN n - granted - 1 ELSE 0 END
+  FROM (SELECT *, CASE WHEN is_open THEN 0 ELSE least(n, {RATE['max_sent']} - len(live)) END::BIGINT AS granted FROM (
+    SELECT c.service, c.i, c.moment, c.s, c.n, w.sent_at, w.opened, coalesce(c.s - w.opened < {RATE['open_s']}, FALSE) AS is_open,
+      list_filter(w.sent_at, lambda x: c.s - x <= {RATE['window_s']}) AS live
+    FROM walk w JOIN seconds c ON c.service = w.service AND c.i = w.i + 1)))
+"""
+
+
+def recursive(*views: str) -> str:
+    return with_(*views).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+SENT_SQL = recursive(LOGS_SQL, KEYED_SQL, FIRES_SQL, limiter_sql("SELECT '' AS service, date_trunc('second', moment) AS moment FROM fires"))
+
+
+@register("rate_limit", SENT_SQL + 'SELECT moment AS "at", sent, rate_limited, circuit_open FROM walk WHERE i > 0')
 def rate_limit(spark, d):
     return AL.rate_limit(AL.critical_alerts(D.logs(spark, d), CRITICAL_COOLDOWN, min_level="ERROR"), **RATE)
 
 
-@register("rate_limit_by_service")
+BY_SERVICE = """SELECT service, date_trunc('second', "timestamp") AS moment FROM logs WHERE level = 'ERROR'"""
+
+
+@register(
+    "rate_limit_by_service",
+    recursive(LOGS_SQL, limiter_sql(BY_SERVICE)) + 'SELECT service, moment AS "at", sent, rate_limited, circuit_open FROM walk WHERE i > 0',
+)
 def rate_limit_by_service(spark, d):
     errors = D.logs(spark, d).filter(F.col("level") == "ERROR")
     return AL.rate_limit(errors, ["service"], **RATE)
 
 
-@register("recovery_decisions")
+RECOVERY_SQL = f"""seconds AS (SELECT service, date_trunc('second', "timestamp") AS moment, epoch(date_trunc('second', "timestamp"))::BIGINT AS s, count(*) AS n,
+    row_number() OVER (PARTITION BY service ORDER BY date_trunc('second', "timestamp")) AS i FROM logs WHERE level IN ('ERROR', 'CRITICAL') GROUP BY 1, 2, 3),
+walk AS (
+  SELECT service, 0::BIGINT AS i, NULL::TIMESTAMP AS moment, []::STRUCT(t BIGINT, c BIGINT)[] AS held, []::BIGINT[] AS restarts, NULL::VARCHAR AS action, 0::BIGINT AS errors
+  FROM (SELECT DISTINCT service FROM seconds)
+  UNION ALL
+  SELECT service, i, moment,
+    CASE WHEN act AND len(recent) < {RECOVERY['per_hour']} THEN [{{'t': s, 'c': before + n - due}}] ELSE list_append(live, {{'t': s, 'c': n}}) END,
+    CASE WHEN NOT act THEN restarts WHEN len(recent) < {RECOVERY['per_hour']} THEN list_append(recent, s) ELSE recent END,
+    CASE WHEN act THEN CASE WHEN len(recent) < {RECOVERY['per_hour']} THEN 'restart' ELSE 'restart_limit' END END, due
+  FROM (SELECT *, before + n >= due AND (len(restarts) = 0 OR s - restarts[-1] >= {RECOVERY['cooldown_s']}) AS act, list_filter(restarts, lambda r: r > s - 3600) AS recent
+    FROM (SELECT *, greatest({RECOVERY['threshold']}, before + 1) AS due FROM (SELECT *, coalesce(list_sum(list_transform(live, lambda x: x.c)), 0)::BIGINT AS before
+      FROM (SELECT c.service, c.i, c.moment, c.s, c.n, w.restarts, list_filter(w.held, lambda x: c.s - x.t <= {RECOVERY['window_s']}) AS live
+        FROM walk w JOIN seconds c ON c.service = w.service AND c.i = w.i + 1)))))
+"""
+DECIDED_SQL = recursive(LOGS_SQL, RECOVERY_SQL) + 'SELECT service, moment AS "at", action, errors FROM walk WHERE action IS NOT NULL'
+
+
+@register("recovery_decisions", DECIDED_SQL)
 def recovery_decisions(spark, d):
     return AL.recovery_decisions(D.logs(spark, d).filter(F.col("level").isin("ERROR", "CRITICAL")), **RECOVERY)
 
 
-@register("last_actions")
+@register("last_actions", DECIDED_SQL + ' ORDER BY "at" DESC, service LIMIT 10')
 def last_actions(spark, d):
     errors = D.logs(spark, d).filter(F.col("level").isin("ERROR", "CRITICAL"))
     return AL.last_actions(AL.recovery_decisions(errors, **RECOVERY))
 
 
-@register("limiter_status")
+@register(
+    "limiter_status",
+    SENT_SQL + """SELECT coalesce(sum(sent) FILTER (WHERE moment BETWEEN TIMESTAMP '2024-01-29 20:00:00' AND TIMESTAMP '2024-01-30 00:00:00'), 0)::BIGINT AS sent_in_window,
+  180::BIGINT AS grace_remaining_sec FROM walk WHERE i > 0""",
+)
 def limiter_status(spark, d):
     sent = AL.rate_limit(AL.critical_alerts(D.logs(spark, d), CRITICAL_COOLDOWN, min_level="ERROR"), **RATE)
     return AL.limiter_status(sent, dt.datetime(2024, 1, 30), dt.datetime(2024, 1, 29, 23, 58), RATE["window_s"])

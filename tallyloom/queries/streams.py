@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyloom.plans import domain as D
 from tallyloom.plans.domain import LOGS_SQL, METRICS_SQL, with_
 from tallyloom.queries import register
+from tallyloom.queries.alerts import CANDIDATES_SQL, DECIDED_SQL, RATE, RECOVERY, SPIKE, TRACKED_SQL, limiter_sql, recursive
 from tallyloom.queries.logs import SUMS
 from tallyloom.session import scratch_path
 from tallyloom.sources import streams as S
@@ -108,10 +109,15 @@ def tumbling_trend(spark, d):
     return trend.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
-@register("tumbling_trend_stream")
+# What a watermark of ten minutes has closed at the end of the table.
+CLOSED = """(SELECT max("timestamp") - INTERVAL 10 MINUTE FROM logs)"""
+
+
+@register("tumbling_trend_stream", with_(LOGS_SQL) + f"SELECT * FROM ({TUMBLING_SQL}) WHERE bucket + INTERVAL 1 HOUR <= {CLOSED}")
 def tumbling_trend_stream(spark, d):
     """Closed hours only: the last hours stay open behind the watermark."""
-    return run_once(L.tumbling_trend(log_stream(spark, d)), spark, "trend")
+    stored = run_once(L.tumbling_trend(log_stream(spark, d)), spark, "trend")
+    return stored.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
 @register(
@@ -135,23 +141,51 @@ def late_rows(spark, d):
     return L.split_late(D.logs(spark, d), horizon)[1]
 
 
-@register("critical_alert_stream")
+def naive(stored):
+    return stored.withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@register(
+    "critical_alert_stream",
+    with_(LOGS_SQL, """keyed AS (SELECT DISTINCT message[1:100] AS message, date_trunc('second', "timestamp") AS moment FROM logs WHERE level IN ('ERROR', 'CRITICAL'))""")
+    .replace("WITH ", "WITH RECURSIVE ", 1)
+    .rstrip()
+    + f""",
+fires AS (SELECT message, min(moment) AS moment FROM keyed GROUP BY 1
+  UNION ALL SELECT f.message, min(k.moment) FROM fires f JOIN keyed k ON k.message = f.message AND k.moment >= f.moment + INTERVAL 6 HOUR GROUP BY f.message, f.moment)
+SELECT message, moment AS "at" FROM fires WHERE moment + INTERVAL 1 SECOND <= {CLOSED}""",
+)
 def critical_alert_stream(spark, d):
-    return run_once(A.critical_alert_stream(log_stream(spark, d), 6 * 3600), spark, "critical")
+    return naive(run_once(A.critical_alert_stream(log_stream(spark, d), 6 * 3600), spark, "critical"))
 
 
-@register("spike_alert_stream")
+@register(
+    "spike_alert_stream",
+    with_(
+        LOGS_SQL,
+        TRACKED_SQL,
+        CANDIDATES_SQL,
+    ).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + f""",
+fires AS (SELECT min(moment) AS moment FROM candidates
+  UNION ALL SELECT (SELECT min(c.moment) FROM candidates c WHERE c.moment >= f.moment + INTERVAL {SPIKE['cooldown_s']} SECOND) FROM fires f WHERE f.moment IS NOT NULL)
+SELECT f.moment AS "at", errors FROM fires f JOIN candidates USING (moment) WHERE f.moment + INTERVAL 1 SECOND <= {CLOSED}""",
+)
 def spike_alert_stream(spark, d):
-    stream = A.spike_alert_stream(log_stream(spark, d), 6 * 3600, 40, 3 * 3600, min_level="ERROR")
-    return run_once(stream, spark, "spikes")
+    stream = A.spike_alert_stream(log_stream(spark, d), **SPIKE, min_level="ERROR", excluded=["svc3"])
+    return naive(run_once(stream, spark, "spikes"))
 
 
-@register("rate_limit_stream")
+@register(
+    "rate_limit_stream",
+    recursive(LOGS_SQL, limiter_sql("""SELECT '' AS service, date_trunc('second', "timestamp") AS moment FROM logs WHERE level = 'ERROR'"""))
+    + f'SELECT moment AS "at", sent, rate_limited, circuit_open FROM walk WHERE i > 0 AND moment + INTERVAL 1 SECOND <= (SELECT max("timestamp") - INTERVAL 10 MINUTE FROM logs WHERE level = \'ERROR\')',
+)
 def rate_limit_stream(spark, d):
     errors = log_stream(spark, d).filter(F.col("level") == "ERROR")
-    return run_once(A.rate_limit_stream(errors, 4 * 3600, 3, 8 * 3600), spark, "limited")
+    return naive(run_once(A.rate_limit_stream(errors, **RATE), spark, "limited"))
 
 
-@register("recovery_stream")
+@register("recovery_stream", DECIDED_SQL + f' AND moment + INTERVAL 1 SECOND <= {CLOSED}')
 def recovery_stream(spark, d):
-    return run_once(A.recovery_stream(log_stream(spark, d), 6 * 3600, 8, 4 * 3600, 1), spark, "recovery")
+    return naive(run_once(A.recovery_stream(log_stream(spark, d), **RECOVERY), spark, "recovery"))
