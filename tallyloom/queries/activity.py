@@ -82,7 +82,7 @@ def board_page(spark, d):
     "thread_comments",
     """WITH users AS (SELECT c_custkey AS user_id, c_name AS author_name FROM customer WHERE c_mktsegment <> 'BUILDING')
 SELECT l_orderkey AS post_id, l_linenumber AS comment_id, l_suppkey AS author_id, author_name, l_shipdate AS comment_dt,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_suppkey) AS position
+  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_suppkey) AS INTEGER) AS position
 FROM lineitem LEFT JOIN users ON l_suppkey = user_id""",
 )
 def thread_comments(spark, d):
@@ -178,7 +178,7 @@ def random_rows(spark, d):
 
 @register(
     "log_search_snapshot",
-    """WITH t AS (SELECT l_orderkey AS log_id, l_linenumber, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS rank FROM lineitem)
+    """WITH t AS (SELECT l_orderkey AS log_id, l_linenumber, l_extendedprice, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS INTEGER) AS rank FROM lineitem)
 SELECT log_id, CAST(l_linenumber AS BIGINT) AS item, l_extendedprice AS price, rank FROM t WHERE rank <= 6""",
 )
 def log_search_snapshot(spark, d):

@@ -21,7 +21,7 @@ MALL_SQL = """per_mall AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id, mall_name ORDER BY price, offer_id) AS m FROM offers) WHERE m = 1)"""
 RANKED_SQL = """ranked AS (
   SELECT product_id, offer_id, price, mall_name, mall_url, rank
-  FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY price, offer_id) AS rank FROM per_mall) WHERE rank <= 5)"""
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY product_id ORDER BY price, offer_id) AS INTEGER) AS rank FROM per_mall) WHERE rank <= 5)"""
 
 
 def ranked_offers(spark, d):
@@ -173,7 +173,7 @@ def matched_sql(id_key: str) -> str:
         *[stage_sql(k) for k in range(4)],
         "pooled AS (" + " UNION ALL ".join(f"SELECT * FROM kind{k}" for k in range(4)) + ")",
         """mall AS (SELECT * EXCLUDE (m) FROM (SELECT *, row_number() OVER (PARTITION BY product_id, mall_name ORDER BY price, kind_ord, pos) AS m FROM pooled) WHERE m = 1)""",
-        """matched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY price, kind_ord, pos) AS rank FROM mall) WHERE rank <= 5)""",
+        """matched AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY product_id ORDER BY price, kind_ord, pos) AS INTEGER) AS rank FROM mall) WHERE rank <= 5)""",
     )
 
 
@@ -211,7 +211,7 @@ def match_offers_ratio(spark, d):
     "match_offers_fallback",
     with_(STAGED_OFFERS_SQL.replace("CAST(l_partkey AS VARCHAR) AS product_id", "CAST(l_suppkey * 1000 + l_partkey % 50 AS VARCHAR) AS product_id"))
     + """SELECT product_id, pos, price, rank FROM (
-  SELECT product_id, pos, price, row_number() OVER (PARTITION BY product_id ORDER BY price, pos) AS rank FROM staged s
+  SELECT product_id, pos, price, CAST(row_number() OVER (PARTITION BY product_id ORDER BY price, pos) AS INTEGER) AS rank FROM staged s
   WHERE ends_with(kind, '_code') = EXISTS (SELECT 1 FROM staged c WHERE c.product_id = s.product_id AND ends_with(c.kind, '_code'))) WHERE rank <= 5""",
 )
 def match_offers_fallback(spark, d):
@@ -247,8 +247,8 @@ def branded_titles(spark, d):
               '[^가-힣a-zA-Z0-9\\s]', ' ', 'g')), '\\s+'), lambda w: w <> '' AND NOT regexp_full_match(w, '[0-9]+'))) AS words FROM titles)""",
     )
     + """SELECT brand, query, title, shared, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY brand, query ORDER BY shared DESC, title) AS rank FROM (
-    SELECT q.brand, query, title, len(list_intersect(string_split(query, ' '), words)) AS shared
+  SELECT *, CAST(row_number() OVER (PARTITION BY brand, query ORDER BY shared DESC, title) AS INTEGER) AS rank FROM (
+    SELECT q.brand, query, title, CAST(len(list_intersect(string_split(query, ' '), words)) AS INTEGER) AS shared
     FROM queries q JOIN texts t ON q.brand = t.brand) WHERE shared >= 2) WHERE rank <= 100""",
 )
 def candidate_titles(spark, d):

@@ -42,7 +42,7 @@ FILTERS = "(q.category IS NULL OR list_contains(q.category, i.category)) AND (q.
 
 
 def hits_sql(name: str, field: str, k: int, where: str = FILTERS, extra: str = "") -> str:
-    return f"""{name} AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+    return f"""{name} AS (SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM (
   SELECT q.query_id, i.id, {cosine(f"q.{field}", f"i.{field}")} AS score FROM asked q JOIN items i ON {where} {extra}
   WHERE i.{field} IS NOT NULL AND q.{field} IS NOT NULL)) WHERE rank <= {k})"""
 
@@ -131,7 +131,7 @@ def search_sql(fuse: str) -> str:
         "image_hits AS (SELECT h.* FROM by_image h JOIN asked q USING (query_id) WHERE q.text_vector IS NOT NULL)",
         hits_sql("text_hits", "text_vector", 60, "TRUE", "JOIN image_hits c ON c.query_id = q.query_id AND c.id = i.id"),
         fuse,
-        """found AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fused
+        """found AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM fused
   UNION ALL SELECT h.* FROM by_image h JOIN asked q USING (query_id) WHERE q.text_vector IS NULL UNION ALL SELECT * FROM by_text)""",
     )
 
@@ -187,7 +187,7 @@ HYDRATE_SQL = f"""hydrated AS (
     coalesce(CASE WHEN starts_with(img_hdfs_path, '/') THEN img_hdfs_path ELSE '/' || img_hdfs_path END, '{PLACEHOLDER}') AS image_url,
     coalesce(r.mall_name, '공식몰') AS mall_name, coalesce(r.mall_url, '#') AS mall_url, round(score, 4) AS similarity_score, 'vector' AS search_source
   FROM scores s JOIN products p ON s.id = p.product_id AND p.gender = 'men' LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) r ON r.product_id = p.product_id),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, product_id DESC) AS rank FROM hydrated) WHERE rank <= 6)"""
+best AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, product_id DESC) AS INTEGER) AS rank FROM hydrated) WHERE rank <= 6)"""
 
 
 @register(
