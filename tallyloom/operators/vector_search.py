@@ -17,9 +17,13 @@ from tallyloom.functions import constants as C
 from tallyloom.functions.vectors import dot, l2_normalize, norm
 from tallyloom.operators.ranking import rank_hits
 
-# What every task may hold of the queries: rows, and vector values (64 MB as float64).
+# What every task may hold of the queries: rows, vector values (64 MB as float64), and hits kept.
 BROADCAST_ROWS = 20_000
 BROADCAST_VALUES = 8_000_000
+BROADCAST_HITS = 5_000_000
+# Rows of one side that meet in a cell of the grid, and scores computed at a time.
+QUERIES_PER_CELL, ITEMS_PER_CELL = 2_000, 50_000
+SCORES_AT_ONCE = 4_000_000
 DIGITS = 9
 
 
@@ -50,24 +54,37 @@ def _allowed(filters: pd.DataFrame, batch: pd.DataFrame, names: Sequence[str]) -
 
 
 def _best(queries: pd.DataFrame, unit_queries: np.ndarray, batch: pd.DataFrame, names: Sequence[str], k: int) -> pd.DataFrame:
-    """Top k of one Arrow batch for every query; ties by id."""
-    scores = np.round(unit_queries @ _unit(_matrix(batch["__vec"])).T, DIGITS)
+    """Top k of a batch of items for every query; ties by id."""
+    batch = batch.iloc[np.argsort(batch["id"].to_numpy(), kind="stable")]
+    items, ids, n = _unit(_matrix(batch["__vec"])).T, batch["id"].to_numpy(), len(batch)
     mask = _allowed(queries, batch, names)
-    if mask is not None:
-        scores = np.where(mask, scores, -np.inf)
-    ids = batch["id"].to_numpy()
-    by_id = np.argsort(ids, kind="stable")
-    scores, ids = scores[:, by_id], ids[by_id]
-    top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    kept = np.take_along_axis(scores, top, axis=1)
-    fine = np.isfinite(kept)
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(queries["query_id"].to_numpy(), fine.sum(axis=1)),
-            "id": ids[top][fine],
-            "score": kept[fine],
-        }
-    )
+    step = max(1, SCORES_AT_ONCE // n)
+    scale, nothing = 10**DIGITS, -(2**62)  # no score of any item reaches that low
+    out = []
+    for start in range(0, len(queries), step):
+        part = slice(start, start + step)
+        scores = np.round((unit_queries[part] @ items) * scale).astype(np.int64)
+        # One whole number per cell orders by score, then id: a partition then finds the exact top k.
+        order = scores * n + np.arange(n - 1, -1, -1)
+        if mask is not None:
+            order = np.where(mask[part], order, nothing)
+        top = np.argpartition(-order, min(k, n) - 1, axis=1)[:, : min(k, n)]
+        fine = np.take_along_axis(order, top, axis=1) > nothing
+        out.append(
+            pd.DataFrame(
+                {
+                    "query_id": np.repeat(queries["query_id"].to_numpy()[part], fine.sum(axis=1)),
+                    "id": ids[top][fine],
+                    "score": np.take_along_axis(scores, top, axis=1)[fine] / scale,
+                }
+            )
+        )
+    return pd.concat(out, ignore_index=True)
+
+
+def _top(hits: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    rows = pd.concat(hits, ignore_index=True).sort_values(["query_id", "score", "id"], ascending=[True, False, True])
+    return rows.groupby("query_id", sort=False).head(k)
 
 
 def _hits_schema(queries: DataFrame) -> str:
@@ -75,23 +92,39 @@ def _hits_schema(queries: DataFrame) -> str:
 
 
 def _by_broadcast(items: DataFrame, queries: DataFrame, names: Sequence[str], k: int, held: pd.DataFrame) -> DataFrame:
+    """Items stay where they are; a task answers with at most k rows per query, however many batches it reads."""
     shared = items.sparkSession.sparkContext.broadcast((held, _unit(_matrix(held["vector"]))))
+    room = max(1_000_000, 4 * k * len(held))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, unit = shared.value
+        kept: list[pd.DataFrame] = []
         for batch in batches:
             if len(batch):
-                yield _best(table, unit, batch, names, k)
+                kept.append(_best(table, unit, batch, names, k))
+            if sum(map(len, kept)) > room:
+                kept = [_top(kept, k)]
+        if kept:
+            yield _top(kept, k)
 
     return items.mapInPandas(scan, _hits_schema(queries))
 
 
-def _by_grid(items: DataFrame, queries: DataFrame, names: Sequence[str], k: int, blocks: int) -> DataFrame:
-    """Blocks of queries meet blocks of items: each pair of blocks is one matrix product."""
-    qs = queries.withColumn("__q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    qs = qs.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    its = items.withColumn("__i", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    its = its.withColumn("__q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+def _by_grid(items: DataFrame, queries: DataFrame, names: Sequence[str], k: int, cell: tuple[int, int]) -> DataFrame:
+    """Blocks of queries meet blocks of items; a cell holds about ``cell`` rows of each, whatever the totals."""
+    rows, columns = (
+        int(df.agg(F.greatest(F.ceil(F.count("*") / F.lit(size)), F.lit(1)).alias("n")).first()["n"])
+        for df, size in ((queries, cell[0]), (items, cell[1]))
+    )
+
+    def block(name: str, blocks: int):
+        return F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
+
+    def every(blocks: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    qs = queries.withColumn("__q", block("query_id", rows)).withColumn("__i", every(columns))
+    its = items.withColumn("__i", block("id", columns)).withColumn("__q", every(rows))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -108,7 +141,7 @@ def knn(
     k: int,
     filters: Sequence[str] = (),
     condition: Column | None = None,
-    grid_blocks: int = 16,
+    cell: tuple[int, int] = (QUERIES_PER_CELL, ITEMS_PER_CELL),
     broadcast_values: int = BROADCAST_VALUES,
 ) -> DataFrame:
     """Exact cosine top k per query: (query_id, id, score, rank).
@@ -117,17 +150,18 @@ def knn(
     for which a query may hold a list of allowed values (NULL: all);
     ``condition`` is a filter common to all queries and goes into the scan.
     Query vectors are sent to the tasks only while they are few; past the
-    row and value bounds both sides are cut into blocks that meet in a grid.
-    Each task returns at most k rows per query, so the final ranking is small.
+    bounds above both sides are cut into blocks of bounded size that meet in a
+    grid. A task returns at most k rows per query, so the final ranking is small.
     """
     usable = items.filter(F.col(field).isNotNull())
     if condition is not None:
         usable = usable.filter(condition)
     usable = usable.select(F.col("id").cast("string").alias("id"), F.col(field).alias("__vec"), *filters)
     asked = queries.filter(F.col("vector").isNotNull()).select("query_id", "vector", *filters)
-    held = asked.limit(BROADCAST_ROWS + 1).toPandas() if broadcast_values else None
-    if held is None or len(held) > BROADCAST_ROWS or sum(map(len, held["vector"])) > broadcast_values:
-        hits = _by_grid(usable, asked, filters, k, grid_blocks)
+    most = min(BROADCAST_ROWS, BROADCAST_HITS // k)
+    held = asked.limit(most + 1).toPandas() if broadcast_values else None
+    if held is None or len(held) > most or sum(map(len, held["vector"])) > broadcast_values:
+        hits = _by_grid(usable, asked, filters, k, cell)
     elif len(held):
         hits = _by_broadcast(usable, asked, filters, k, held)
     else:

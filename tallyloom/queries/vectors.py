@@ -74,7 +74,7 @@ def knn_text(spark, d):
 def knn_grid(spark, d):
     """The plan for queries too many to broadcast."""
     return rounded(
-        V.knn(D.items(spark, d), image_queries(spark, d), "image_vector", 20, ("category", "gender"), grid_blocks=3, broadcast_values=1)
+        V.knn(D.items(spark, d), image_queries(spark, d), "image_vector", 20, ("category", "gender"), cell=(40, 150), broadcast_values=0)
     )
 
 

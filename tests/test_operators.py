@@ -382,7 +382,7 @@ def corpus(spark):
     return items, queries, want
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_values": 0, "grid_blocks": 3}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_values": 0, "cell": (4, 90)}])
 def test_knn_is_exact(corpus, options):
     items, queries, want = corpus
     got = defaultdict(list)
