@@ -22,9 +22,15 @@ def category_code(gender: Column, sub_category: Column, joined: bool = False) ->
     return F.concat(gender, F.lit("_"), sub_category) if joined else sub_category
 
 
-def surrogate_id(prefix: str, number: Column) -> Column:
+def zero_padded(number: Column, width: int) -> Column:
+    """Decimal text of at least ``width`` digits; longer numbers stay whole."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
+def surrogate_id(prefix: str | Column, number: Column) -> Column:
     """``PREFIX`` and the number, zero-padded to four digits and longer where needed."""
-    return F.format_string(f"{prefix}%04d", number)
+    return F.concat(F.lit(prefix) if isinstance(prefix, str) else prefix, zero_padded(number, 4))
 
 
 def image_name(brand: Column, gender: Column, category: Column, code: Column, skip_nulls: bool = True) -> Column:

@@ -96,7 +96,7 @@ def load_catalog(
     ids do not depend on how rows were read.
     """
     numbered = assign_sequence(catalog_rows(raw), ["goods_no", "file_path"], "brand_name", last_seq)
-    identity = F.concat("prefix", F.format_string("%04d", "seq"))
+    identity = G.surrogate_id(F.col("prefix"), F.col("seq"))
     products = numbered.withColumn("product_id", identity).select(
         "product_id",
         *[c for c in numbered.columns if c not in ("prefix", "goods_no", "file_path", "seq")],

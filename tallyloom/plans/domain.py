@@ -7,9 +7,11 @@ ANSI SQL; the oracles are built on those, not on the Spark code.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.catalog import zero_padded
+
 
 # Tables whose rows are worth dealing out when a scan leaves cores idle.
 LARGE = ("lineitem", "orders", "events", "documents", "pages", "part", "conversations")
@@ -26,12 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if name in LARGE and df.rdd.getNumPartitions() < cores else df
 
 
+def part_code() -> Column:
+    return F.concat(F.lit("K"), zero_padded(F.col("p_partkey"), 8))
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     key = F.col("p_partkey").cast("string")
     return p.select(
         key.alias("product_id"),
-        F.concat(F.format_string("K%08d", "p_partkey"), F.lit("-"), F.col("p_size").cast("string")).alias("model_code"),
+        F.concat(part_code(), F.lit("-"), F.col("p_size").cast("string")).alias("model_code"),
         F.col("p_brand").alias("brand_name"),
         F.col("p_name").alias("prod_name"),
         F.floor("p_retailprice").cast("int").alias("base_price"),
@@ -88,8 +94,8 @@ def staged_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"
     )
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    code = F.format_string("K%08d", "p_partkey")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", part_code().alias("code"))
+    code = F.col("code")
     order_key, line_number = F.col("l_orderkey"), F.col("l_linenumber")
     return line.join(part, line.l_partkey == part.p_partkey).select(
         F.col("l_partkey").cast("string").alias("product_id"),

@@ -393,6 +393,18 @@ def test_knn_is_exact(corpus, options):
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in hits])
 
 
+def test_knn_merges_batches_of_a_task(spark, corpus):
+    items, queries, want = corpus
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "17")
+    try:
+        got = V.knn(items.coalesce(1), queries, "image_vector", 15, ("category",)).filter("query_id = 1").orderBy("rank").collect()
+        assert [r["id"] for r in got] == [i for i, _ in want[1]]
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_lsh_finds_most(corpus):
     items, queries, _ = corpus
     exact = {(r["query_id"], r["id"]) for r in V.knn(items, queries, "image_vector", 5).collect()}
@@ -429,3 +441,38 @@ def test_specs_last_pair_wins(spark):
 def test_meta_without_tags(spark):
     row = spark.range(1).select(H.extract_meta(F.lit("<title> a \n b </title>")).alias("m")).first()["m"]
     assert (row["title"], row["name"], row["image"], row["price"]) == ("a b", "a b", "", 0)
+
+
+# --- skew and partitioning ---------------------------------------------------
+
+
+@pytest.mark.parametrize("partitions", ["1", "3", "16"])
+@pytest.mark.parametrize("name", ["match_offers", "sliding_error_count", "critical_alerts", "top_errors", "load_catalog", "search"])
+def test_answers_do_not_depend_on_partitions(spark, small, name, partitions):
+    import __spark_entry__ as entry
+
+    def answer():
+        return sorted(map(str, entry.queries()[name](spark, small).collect()))
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    want = answer()
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert answer() == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_hot_product_leaves_few_rows_behind_the_exchange(spark):
+    """A third of the offers belong to one product: its tasks send five rows each, not all."""
+    offers = spark.range(0, 60_000, 1, 6).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 997).cast("string")).alias("product_id"),
+        (F.col("id") * 7919 % 100_003).alias("price"),
+        F.col("id").alias("offer_id"),
+    )
+    ranked = R.rank_offers(offers, ["product_id"], [F.col("price"), F.col("offer_id")])
+    rows = ranked.filter("product_id = 'hot'").orderBy("rank").collect()
+    want = sorted((i * 7919 % 100_003, i) for i in range(0, 60_000, 3))[:5]
+    assert [(r["price"], r["offer_id"]) for r in rows] == want
+    text = ranked._jdf.queryExecution().executedPlan().toString()
+    assert text.index("Final") < text.index("Exchange hashpartitioning") < text.index("Partial")

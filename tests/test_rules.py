@@ -168,3 +168,8 @@ def test_audit_columns(spark):
     stamp = F.lit(dt.datetime(2024, 5, 1)).cast("timestamp")
     row = spark.range(1).select(*G.audit_columns(stamp)).first()
     assert row["create_dt"] == row["update_dt"] is not None
+
+
+@pytest.mark.parametrize("number, text", [(7, "ZR0007"), (9999, "ZR9999"), (10001, "ZR10001")])
+def test_surrogate_id_grows(spark, number, text):
+    assert one(spark, G.surrogate_id("ZR", F.lit(number))) == text
