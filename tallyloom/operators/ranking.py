@@ -64,4 +64,4 @@ def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> Data
 
 def random_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n rows in a random order fixed by the seed, whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("#", F.lit(str(seed)), F.col(key))), F.col(key)).limit(n)

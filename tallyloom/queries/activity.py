@@ -171,7 +171,7 @@ def distinct_values(spark, d):
     return A.distinct_values(D.table(spark, d, "lineitem"), "l_suppkey", "l_returnflag")
 
 
-@register("random_rows")
+@register("random_rows", with_(PRODUCTS_SQL) + "SELECT product_id, prod_name FROM products ORDER BY md5('3#' || product_id), product_id LIMIT 6")
 def random_rows(spark, d):
     return R.random_rows(D.products(spark, d), "product_id", 6, seed=3).select("product_id", "prod_name")
 

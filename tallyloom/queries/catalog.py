@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tallyloom.operators import sequence as Q
@@ -86,7 +88,8 @@ LOAD_SQL = with_(RAW_SQL) + f"""SELECT {PREFIX_SQL} || printf('%04d', row_number
     WHEN '8seconds' THEN CASE WHEN p_size % 6 >= 3 THEN 'i3-' || CAST(p_partkey AS VARCHAR) END
     WHEN 'zara' THEN CASE WHEN p_size % 4 <> 0 THEN 't' || CAST(p_partkey AS VARCHAR) WHEN p_size % 6 >= 1 THEN 'i1-' || CAST(p_partkey AS VARCHAR) END
     ELSE CASE WHEN p_size % 6 >= 1 THEN 'i1-' || CAST(p_partkey AS VARCHAR) END END AS target_img_url,
-  CASE WHEN brand = '8seconds' THEN '{{"소재":"' || p_name || '"}}' ELSE '{{"배송 안내":"x","소재":"' || p_name || '"}}' END AS detail_desc
+  CASE WHEN brand = '8seconds' THEN '{{"소재":"' || p_name || '"}}' ELSE '{{"배송 안내":"x","소재":"' || p_name || '"}}' END AS detail_desc,
+  TIMESTAMP '2024-01-31 00:00:00' AS create_dt, TIMESTAMP '2024-01-31 00:00:00' AS update_dt
 FROM attrs"""
 
 
@@ -95,5 +98,4 @@ def load_catalog(spark, d):
     records = raw_records(spark, d)
     raw = {s.brand: records.filter(F.col("brand") == s.brand).drop("brand") for s in P.SOURCES}
     stored = spark.createDataFrame([("ZARA", 9990)], "brand_name string, last_seq int")
-    products, _ = P.load_catalog(raw, stored)
-    return products.drop("create_dt", "update_dt")
+    return P.load_catalog(raw, stored, as_of=F.lit(dt.datetime(2024, 1, 31)).cast("timestamp_ntz"))[0]

@@ -9,12 +9,25 @@ from tallyloom.plans import domain as D
 from tallyloom.queries import register
 
 
-@register("embed_texts")
+@register(
+    "embed_texts",
+    r"""WITH words AS (SELECT doc_id, unnest(string_split_regex(trim(lower(text)), '\s+')) AS w FROM documents ANTI JOIN labels USING (doc_id)),
+cells AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS UBIGINT) % 32 AS cell, sum(CASE WHEN contains('13579bdf', substr(md5(w), 10, 1)) THEN 1 ELSE -1 END) AS v FROM words WHERE w <> '' GROUP BY 1, 2)
+SELECT doc_id, CAST(32 AS INTEGER) AS dims, count(*) FILTER (WHERE v <> 0) AS nonzero, count(*) FILTER (WHERE v > 0) AS positive, CASE WHEN max(v) > 0 THEN CAST(arg_max(cell, (v, -CAST(cell AS BIGINT))) AS INTEGER) END AS largest
+FROM cells GROUP BY 1""",
+)
 def embed_texts(spark, d):
-    """Documents that carry no label yet are embedded."""
+    """Documents that carry no label yet are embedded; the vector's shape is what SQL can see."""
     docs, done = D.table(spark, d, "documents"), D.table(spark, d, "labels")
     out = I.embed(docs, "doc_id", "text", I.hashing_encoder(32), done)
-    return out.select("doc_id", F.transform("text_vector", lambda x: F.round(x, 5)).alias("text_vector"))
+    v = F.col("text_vector")
+    return out.select(
+        "doc_id",
+        F.size(v).alias("dims"),
+        F.size(F.filter(v, lambda x: x != 0)).cast("long").alias("nonzero"),
+        F.size(F.filter(v, lambda x: x > 0)).cast("long").alias("positive"),
+        F.when(F.array_max(v) > 0, F.array_position(v, F.array_max(v)) - 1).cast("int").alias("largest"),
+    )
 
 
 def byte_detector():
@@ -32,7 +45,18 @@ def byte_detector():
     return run
 
 
-@register("detect_boxes")
+BYTE = "CAST('0x' || coalesce(nullif(substr(hex(encode(text)), 2 * (i + {k}) + 1, 2), ''), '00') AS INTEGER)"
+
+
+@register(
+    "detect_boxes",
+    f"""WITH raw AS (SELECT CAST(doc_id AS VARCHAR) AS path, CAST(i // 20 AS INTEGER) AS box, list_extract(['top', 'Bottom', '아우터', 'hat'], {BYTE.format(k=0)} % 4 + 1) AS class_name,
+  {BYTE.format(k=1)} / 255.0::DOUBLE AS confidence, {BYTE.format(k=2)} * 4 - 60 AS a1, {BYTE.format(k=3)} * 3 - 40 AS b1, {BYTE.format(k=4)} * 6 AS a2, {BYTE.format(k=5)} * 5 AS b2
+  FROM documents, (SELECT unnest([0, 20, 40]) AS i)),
+c AS (SELECT path, box, class_name, confidence, greatest(0, least(a1, 639)) AS x1, greatest(0, least(b1, 479)) AS y1, greatest(0, least(a2, 640)) AS x2, greatest(0, least(b2, 480)) AS y2 FROM raw WHERE confidence >= 0.25)
+SELECT *, CAST(640 AS INTEGER) AS width, CAST(480 AS INTEGER) AS height, x2 - x1 AS w, y2 - y1 AS h,
+  CASE class_name WHEN 'top' THEN 'Top' WHEN 'Bottom' THEN 'Bottom' WHEN '아우터' THEN 'Outer' END AS category FROM c WHERE x2 > x1 AND y2 > y1""",
+)
 def detect_boxes(spark, d):
     images = D.table(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content")

@@ -200,7 +200,24 @@ def hydrate_scores(spark, d):
     return J.hydrate_scores(hits.drop("rank"), D.products(spark, d), ranked_offers(spark, d), F.col("gender") == "men")
 
 
-@register("search_and_hydrate")
+SPARE_SQL = f"""spare AS (SELECT p.product_id, prod_name, brand_name, coalesce(r.price, base_price) AS price,
+    coalesce(CASE WHEN starts_with(img_hdfs_path, '/') THEN img_hdfs_path ELSE '/' || img_hdfs_path END, '{PLACEHOLDER}') AS image_url,
+    coalesce(r.mall_name, '공식몰') AS mall_name, coalesce(r.mall_url, '#') AS mall_url
+  FROM (SELECT * FROM products WHERE gender = 'men' ORDER BY md5('0#' || product_id), product_id LIMIT 6) p
+  LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) r ON r.product_id = p.product_id)"""
+
+
+@register(
+    "search_and_hydrate",
+    search_sql(RRF_SQL).replace("rank <= 60", "rank <= 300").rstrip()
+    + ",\n"
+    + ",\n".join(["scores AS (SELECT * FROM found WHERE rank <= 6)", PRODUCTS_SQL, OFFERS_SQL, MALL_SQL, RANKED_SQL, HYDRATE_SQL, SPARE_SQL])
+    + """
+SELECT * FROM best
+UNION ALL BY NAME
+SELECT query_id, s.*, NULL::DOUBLE AS similarity_score, 'fallback' AS search_source, CAST(row_number() OVER (PARTITION BY query_id ORDER BY product_id) AS INTEGER) AS rank
+FROM asked, spare s WHERE query_id NOT IN (SELECT query_id FROM best)""",
+)
 def search_and_hydrate(spark, d):
     return S.search_and_hydrate(
         D.items(spark, d), mixed(spark, d), D.products(spark, d), ranked_offers(spark, d), condition=F.col("gender") == "men"
