@@ -23,6 +23,11 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros(column.cast("timestamp"))
 
 
+def chunk_of(us: Column, span: Column) -> Column:
+    """Number of the whole span a time falls in; exact, also before the epoch."""
+    return ((us - F.pmod(us, span)) / span).cast("long")
+
+
 def from_micros(value: Column) -> Column:
     return F.timestamp_micros(value).cast("timestamp_ntz")
 
@@ -39,7 +44,7 @@ def sliding_count(
     keys = list(keys)
     span, width = seconds * chunk * MICROS, seconds * MICROS
     counted = df.groupBy(*keys, ts).agg(F.count("*").alias("__n")).withColumn("__us", micros(ts))
-    own = F.floor(F.col("__us") / F.lit(span)).cast("long")
+    own = chunk_of(F.col("__us"), F.lit(span))
     near_end = F.col("__us") >= (own + 1) * F.lit(span) - width
     spread = counted.withColumn("__own", own).withColumn(
         "__chunk", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own)))
@@ -57,7 +62,7 @@ def chunked_lag(
 ) -> DataFrame:
     """``prev_<c>`` of the row before, per key and in ``order`` (whose first column is ``ts``)."""
     keys = list(keys)
-    chunked = df.withColumn("__chunk", F.floor(micros(ts) / F.lit(chunk_s * MICROS)).cast("long"))
+    chunked = df.withColumn("__chunk", chunk_of(micros(ts), F.lit(chunk_s * MICROS)))
     window = Window.partitionBy(*keys, "__chunk").orderBy(*order)
     packed = F.struct(*[F.col(c) for c in columns])
     inside = chunked.withColumn("__prev", F.lag(packed).over(window))
@@ -89,7 +94,7 @@ def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_s: int, name: str
     ).withColumn(
         "__start", F.when(F.col("prev___us").isNull() | (F.col("__us") - F.col("prev___us") >= gap), F.col("__us"))
     )
-    marked = marked.withColumn("__chunk", F.floor(F.col("__us") / F.lit(chunk_us)).cast("long"))
+    marked = marked.withColumn("__chunk", chunk_of(F.col("__us"), F.lit(chunk_us)))
     inside = marked.withColumn(
         "__seen",
         F.max("__start").over(
@@ -158,7 +163,7 @@ def cooldown_fires(
     if keys == ["__all"]:
         rate = F.broadcast(rate)  # a single row
     rated = times.join(rate, keys)
-    chunked = rated.filter("__busy").withColumn("__chunk", F.floor(F.col("__us") / F.col("__span")).cast("long"))
+    chunked = rated.filter("__busy").withColumn("__chunk", chunk_of(F.col("__us"), F.col("__span")))
     types = dict(chunked.dtypes)
     head = "".join(f"`{k}` {types[k]}, " for k in keys)
 

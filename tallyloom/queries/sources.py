@@ -119,3 +119,12 @@ def truncated_table(spark, d):
     T.truncate_tables(spark, [path])
     left = spark.read.parquet(path).select("p_partkey", F.lit(1).alias("__left"))
     return part.join(left, "p_partkey", "left").select("p_partkey", "p_name", F.coalesce("__left", F.lit(0)).cast("long").alias("rows_left"))
+
+
+@register("scan_files", "SELECT CAST(sum(strlen(p_name) + 1) AS BIGINT) AS bytes FROM part")
+def scan_files(spark, d):
+    """Files listed by extension and size below a folder, without their content."""
+    path = scratch_path(spark, "files")
+    D.table(spark, d, "part").select("p_name").write.text(path)
+    found = S.scan_images(spark, path, extensions=("txt",), min_bytes=1)
+    return found.agg(F.sum("length").alias("bytes"))

@@ -34,15 +34,23 @@ def per_second(
         marked.groupBy(F.window(ts, "1 second").alias("w"), *keys)
         .agg(F.count_if("__hit").alias("n"))
         .filter(F.col("n") > 0)
-        .select(*keys, F.col("w.start").alias("at"), F.unix_seconds("w.start").alias("s"), "n")
+        .select(*keys, F.col("w.start").alias("at"), F.unix_seconds("w.start").alias("s"), "n", F.window_time("w").alias("closed"))
     )
 
 
 class _Seconds(StatefulProcessor):
-    """Feeds the seconds of a key in order of time; subclasses keep the state."""
+    """Feeds the seconds of a key in order of time; subclasses keep the state.
+
+    A key that stays silent for ``keep_s`` of event time is forgotten, so the
+    state holds recent keys only.
+    """
+
+    keep_s = 3600
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", "packed string")
+        self.seen = handle.getValueState("seen", "s long")
 
     def load(self) -> dict | None:
         import json
@@ -56,8 +64,18 @@ class _Seconds(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seconds = pd.concat(list(rows)).sort_values("s")  # one micro-batch of closed seconds
+        latest = int(seconds["s"].iloc[-1])
+        self.seen.update((latest,))
+        self.handle.registerTimer((latest + self.keep_s + 1) * 1000)
         yield self.walk(key, seconds)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        if self.seen.exists() and self.seen.get()[0] + self.keep_s < due:
+            self.state.clear()
+            self.seen.clear()
+        return iter([])
+
     def walk(self, key, seconds: pd.DataFrame) -> pd.DataFrame:
         raise NotImplementedError
 
@@ -70,6 +88,7 @@ class CooldownProcessor(_Seconds):
 
     def __init__(self, key: str, cooldown_s: int):
         self.key, self.cooldown_s = key, cooldown_s
+        self.keep_s = max(cooldown_s, self.keep_s)
 
     def walk(self, key, seconds: pd.DataFrame) -> pd.DataFrame:
         state = self.load()
@@ -88,6 +107,7 @@ class SpikeProcessor(_Seconds):
 
     def __init__(self, window_s: int, threshold: int, cooldown_s: int):
         self.window_s, self.threshold, self.cooldown_s = window_s, threshold, cooldown_s
+        self.keep_s = max(window_s, cooldown_s, self.keep_s)
 
     def walk(self, key, seconds: pd.DataFrame) -> pd.DataFrame:
         state = self.load() or {"window": [], "last": None}
@@ -106,6 +126,7 @@ class SpikeProcessor(_Seconds):
 class LimitProcessor(_Seconds):
     def __init__(self, window_s: int, max_sent: int, open_s: int):
         self.rules = (window_s, max_sent, open_s)
+        self.keep_s = max(window_s, open_s, self.keep_s)
 
     def walk(self, key, seconds: pd.DataFrame) -> pd.DataFrame:
         state = self.load() or {"sent": [], "opened": None}
@@ -118,6 +139,7 @@ class LimitProcessor(_Seconds):
 class RecoveryProcessor(_Seconds):
     def __init__(self, window_s: int, threshold: int, cooldown_s: int, per_hour: int):
         self.rules = (window_s, threshold, cooldown_s, per_hour)
+        self.keep_s = max(window_s, cooldown_s, self.keep_s)
 
     def walk(self, key, seconds: pd.DataFrame) -> pd.DataFrame:
         state = self.load() or {"errors": [], "restarts": []}
@@ -133,7 +155,7 @@ class RecoveryProcessor(_Seconds):
 
 def _stateful(seconds: DataFrame, keys: Sequence[str], processor: StatefulProcessor, schema: str) -> DataFrame:
     return seconds.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None"
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
 
 

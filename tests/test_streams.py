@@ -124,3 +124,23 @@ def test_late_rows_are_counted(spark):
     df = spark.createDataFrame([(START,), (START + dt.timedelta(hours=1),)], "timestamp timestamp_ntz")
     kept, late = L.split_late(df, F.lit(START + dt.timedelta(minutes=1)).cast("timestamp_ntz"))
     assert kept.count() == 1 and late.first()["late_rows"] == 1
+
+
+def test_silent_keys_are_forgotten(spark, tmp_path):
+    """Many messages once, then a row far ahead: what they left in the state goes."""
+    feed = tmp_path / "feed"
+    early = [(START + dt.timedelta(seconds=i), "s", "ERROR", f"message {i}") for i in range(200)]
+    for batch in (early, [(START + dt.timedelta(days=1), "s", "INFO", "a")], [(START + dt.timedelta(days=2), "s", "INFO", "b")]):
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(str(feed))
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(feed))
+    query = S.micro_batch_sink(A.critical_alert_stream(source, 60), S.store_batches(str(tmp_path / "out")), str(tmp_path / "state"))
+    query.awaitTermination()
+    ops = [
+        op
+        for p in query.recentProgress
+        for op in p["stateOperators"]
+        if op["operatorName"].startswith("transformWithState")
+    ]
+    written, removed = (sum(op[m] for op in ops) for m in ("numRowsUpdated", "numRowsRemoved"))
+    assert written >= 400 and removed == 400  # two values per message
+    assert spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out")).count() == 200
