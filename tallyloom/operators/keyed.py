@@ -137,6 +137,12 @@ def delete_where(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame
     return df.filter(~hit), df.agg(F.count_if(hit).alias("deleted_count"))
 
 
+def split_rejected(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows that meet the condition, and apart those that do not (NULL does not)."""
+    fine = F.coalesce(condition, F.lit(False))
+    return df.filter(fine), df.filter(~fine)
+
+
 def purge_cutoff(df: DataFrame, ts: str, cutoff: dt.datetime) -> DataFrame:
     """Ignore what is older than the purge marker."""
     return df.filter(F.col(ts) >= F.lit(cutoff).cast("timestamp_ntz"))

@@ -9,6 +9,7 @@ from tallyloom.functions import constants as C
 from tallyloom.operators import joins as J
 from tallyloom.operators import vector_search as V
 from tallyloom.operators.ranking import random_rows
+from tallyloom.operators.sequence import assign_sequence
 
 
 def search_and_hydrate(
@@ -59,17 +60,17 @@ def search_and_hydrate(
     )
 
 
-def log_search(requests: DataFrame, hydrated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Search log rows (one per request) and their ranked result snapshot."""
+def log_search(requests: DataFrame, hydrated: DataFrame, last_id: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Search log rows, numbered on from ``last_id``, and their ranked result snapshot."""
     counts = hydrated.groupBy("query_id").agg(F.count("*").alias("result_count"))
+    numbered = assign_sequence(requests, ["query_id"], name="log_id").withColumn("log_id", F.col("log_id") + last_id)
     log = (
-        requests.join(counts, "query_id", "left")
+        numbered.join(counts, "query_id", "left")
         .withColumn("result_count", F.coalesce("result_count", F.lit(0)))
         .withColumn("search_status", F.lit("completed"))
-        .withColumnRenamed("query_id", "log_id")
     )
-    snapshot = hydrated.select(
-        F.col("query_id").alias("log_id"),
+    snapshot = hydrated.join(numbered.select("query_id", "log_id"), "query_id").select(
+        "log_id",
         "rank",
         F.col("prod_name").alias("product_name"),
         F.col("brand_name").alias("brand"),

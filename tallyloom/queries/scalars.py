@@ -766,3 +766,15 @@ def record_completeness(spark, d):
         ).alias("complete"),
         P.big_enough(F.col("p_size"), F.col("p_size") * 2).alias("big_enough"),
     )
+
+
+@register("rejected_records", "SELECT p_partkey FROM part WHERE p_partkey % 9 = 0 OR p_partkey % 7 = 0 OR p_partkey % 5 = 0")
+def rejected_records(spark, d):
+    """The side output of the completeness check."""
+    from tallyloom.operators.keyed import split_rejected
+
+    key = F.col("p_partkey")
+    fine = P.complete_record(
+        F.when(key % 9 == 0, "failed"), F.when(key % 7 != 0, F.col("p_name")), F.when(key % 5 == 0, "").otherwise("code")
+    )
+    return split_rejected(table(spark, d, "part"), fine)[1].select("p_partkey")

@@ -227,13 +227,13 @@ def search_and_hydrate(spark, d):
 @register(
     "search_log",
     search_sql(RRF_SQL).replace("rank <= 60", "rank <= 300")
-    + """SELECT q.query_id AS log_id, coalesce(n, 6) AS result_count, 'completed' AS search_status
+    + """SELECT q.query_id, 1000 + row_number() OVER (ORDER BY q.query_id) AS log_id, coalesce(n, 6) AS result_count, 'completed' AS search_status
 FROM asked q LEFT JOIN (SELECT query_id, count(*) AS n FROM found JOIN part ON id = CAST(p_partkey AS VARCHAR) WHERE rank <= 6 GROUP BY 1) USING (query_id)""",
 )
 def search_log(spark, d):
     queries = mixed(spark, d)
     hydrated = S.search_and_hydrate(queries=queries, items=D.items(spark, d), products=D.products(spark, d), offers=ranked_offers(spark, d))
-    return S.log_search(queries.select("query_id"), hydrated)[0]
+    return S.log_search(queries.select("query_id"), hydrated, last_id=1000)[0]
 
 
 @register(
