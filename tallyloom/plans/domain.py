@@ -20,8 +20,10 @@ LARGE = ("lineitem", "orders", "events", "documents", "pages", "part", "conversa
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; its rows are dealt out where the scan has fewer splits than there are cores.
 
-    A file written as one row group is read by one task. With as many splits
-    as cores, which is any table of size, the scan is left alone.
+    A file written as one row group is read by one task, and everything up to
+    the first exchange with it: at sf0.1 dealing halves the time of most
+    queries. With as many splits as cores, which is any table of size, the
+    scan is left alone and no exchange is added.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism

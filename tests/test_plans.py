@@ -54,3 +54,15 @@ def test_refined_offers_join_once(spark, small):
     assert set(out) == {"products_clean", "offers_clean", "offers_anomaly"}
     assert out["offers_clean"].columns == offers.columns
     assert out["offers_clean"].filter(F.col("price").isNull()).count() == 0
+
+
+def test_a_scan_with_enough_splits_is_not_dealt_out(spark, small, tmp_path):
+    """Many files, as any table of size has: no exchange before the work."""
+    D.table(spark, small, "lineitem").repartition(32).write.parquet(str(tmp_path / "lineitem.parquet"))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 * 1024 * 1024))  # one split per file
+    try:
+        assert "RoundRobinPartitioning" not in plan(D.offers(spark, str(tmp_path)))
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert "RoundRobinPartitioning" in plan(D.offers(spark, small))
