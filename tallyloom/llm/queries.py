@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import langid, mixture, packing, pii, simhash
+from tallyloom.llm import langid, licenses, mixture, neighbours, ordermin, packing, pages, pii, quality, simhash
 from tallyloom.llm.common import load, prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,16 @@ FROM p
 """
 
 
+@register("op1_order_minhash")
+def order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.compared(load(spark, sf_dir, "documents"))
+
+
+@register("op2_multiprobe_lsh")
+def multiprobe_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 @register("op3_source_mixture", MIX_SQL)
 def source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixture.copies(load(spark, sf_dir, "documents"))
@@ -73,6 +83,21 @@ def mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(load(spark, sf_dir, "documents"), tokenizer())
 
 
+@register("op5_byte_cnn_quality")
+def byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    network = quality.fit(docs, labels.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), quality.scored(docs, network).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@register("op6_html_main_text")
+def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = load(spark, sf_dir, "pages").select("page_id", "url", pages.extracted(F.col("html")).alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @register("op7_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
@@ -82,6 +107,11 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.cross_entropy", "found.rejected")
 
 
+@register("op8_license_scan", licenses.scan_sql())
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(load(spark, sf_dir, "documents"))
+
+
 @register("op9_pii_sanitisation")
 def pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal(load(spark, sf_dir, "documents"))
