@@ -22,10 +22,17 @@ def infer_log_level(message: Column) -> Column:
 
 
 def parse_log_line(message: Column) -> Column:
-    """Struct (level, message): the inner message of ``{"s": .., "msg": ..}`` JSON, else the line."""
+    """Struct (level, message): the inner message of ``{"s": .., "msg": ..}`` JSON, else the line.
+
+    The whole line has to be one JSON object with both keys, whatever their
+    values; a null inner message stays null.
+    """
     short = F.get_json_object(message, "$.s")
     inner = F.get_json_object(message, "$.msg")
-    structured = F.startswith(F.ltrim(message), F.lit("{")) & short.isNotNull() & inner.isNotNull()
+    keys = F.json_object_keys(message)
+    # Text behind the object would be passed over; as the one element of an array it is not.
+    whole = F.json_array_length(F.concat(F.lit("["), message, F.lit("]"))) == 1
+    structured = F.coalesce(whole & F.array_contains(keys, "s") & F.array_contains(keys, "msg"), F.lit(False))
     level = (
         F.when(short == "F", "CRITICAL").when(short == "E", "ERROR").when(short == "W", "WARN").otherwise("INFO")
     )

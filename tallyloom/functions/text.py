@@ -5,10 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyloom.functions import constants as C
 
@@ -103,44 +101,17 @@ def strip_markup(title: Column) -> Column:
     return F.regexp_replace(title, "</?b>", "")
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """difflib ratio, 0 next to a NULL; equal pairs in an Arrow batch are computed once."""
-    from difflib import SequenceMatcher
+def normal_similarity(a: Column, b: Column) -> Column:
+    """Similarity of two normalised texts: 1.0 where ``a`` is inside ``b``, else 1 - edit distance / longer length."""
+    longer = F.greatest(F.length(a), F.length(b))
+    other = F.when(longer > 0, 1 - F.levenshtein(a, b) / longer).otherwise(F.lit(1.0))
+    return F.when((a != "") & F.contains(b, a), F.lit(1.0)).otherwise(other)
 
-    seen: dict[tuple[str, str], float] = {}
 
-    def ratio(pair: tuple[str, str]) -> float:
-        if pair not in seen:
-            seen[pair] = SequenceMatcher(None, *pair).ratio()
-        return seen[pair]
-
-    return pd.Series([0.0 if a is None or b is None else ratio((a, b)) for a, b in zip(left, right)])
-
-
-def normal_similarity(a: Column, b: Column, method: str = "ratio") -> Column:
-    """Similarity of two normalised texts: 1.0 where ``a`` is inside ``b``.
-
-    ``ratio`` is the difflib ratio, evaluated in Arrow batches. ``levenshtein``
-    is ``1 - distance / longer length`` and stays in the JVM.
-    """
-    inside = (a != "") & F.contains(b, a)
-    if method == "ratio":
-        other = sequence_ratio(F.when(~inside, a), b)  # settled pairs reach the UDF as NULL
-    elif method == "levenshtein":
-        longer = F.greatest(F.length(a), F.length(b))
-        other = F.when(longer > 0, 1 - F.levenshtein(a, b) / longer).otherwise(F.lit(1.0))
-    else:
-        raise ValueError(f"unknown method {method}")
-    return F.when(inside, F.lit(1.0)).otherwise(other)
-
-
-def title_similarity(name: Column, title: Column, method: str = "ratio") -> Column:
+def title_similarity(name: Column, title: Column) -> Column:
     """Similarity of a product name and an offer title; 0 where either is empty."""
     name, title = F.coalesce(name, F.lit("")), F.coalesce(title, F.lit(""))
-    return F.when((name == "") | (title == ""), F.lit(0.0)).otherwise(
-        normal_similarity(norm_text(name), norm_text(title), method)
-    )
+    return F.when((name == "") | (title == ""), F.lit(0.0)).otherwise(normal_similarity(norm_text(name), norm_text(title)))
 
 
 def expand_category(values: Column) -> Column:

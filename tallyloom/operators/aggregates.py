@@ -12,9 +12,6 @@ from tallyloom.functions import predicates as P
 from tallyloom.functions.logs import mb
 from tallyloom.operators.ranking import best_per_key
 
-KEYWORD_LIMIT = 256  # longer messages are no keys
-
-
 def _is_error(level: str = "level") -> Column:
     return F.col(level).isin("ERROR", "CRITICAL")
 
@@ -64,13 +61,15 @@ def log_trend(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     return fill_hours(counts, ["errors", "warns", "infos"])
 
 
-def top_errors(df: DataFrame, n: int = 5, services: int = 5) -> DataFrame:
+def top_errors(df: DataFrame, n: int = 5, services: int = 5, longest: int | None = None) -> DataFrame:
     """The n most frequent error messages with their top services, last time and its container.
 
+    Messages over ``longest`` characters are no keys and not counted; by default all are.
+
     Counted per (message, service) before anything is ordered, so a message
     seen everywhere is as many rows as there are services.
     """
-    errors = df.filter(_is_error() & (F.length("message") <= KEYWORD_LIMIT))
+    errors = df.filter(_is_error() if longest is None else _is_error() & (F.length("message") <= longest))
     cells = errors.groupBy("message", "service").agg(
         F.count("*").alias("c"), F.max(F.struct("timestamp", "event_id", "container")).alias("last")
     )
@@ -108,12 +107,20 @@ def service_health(df: DataFrame) -> DataFrame:
     )
 
 
-# How many levels and services a report lists.
-LISTED = {"level": 10, "service": 20}
-
+def dashboard(
+    df: DataFrame,
+    as_of: dt.datetime,
+    hours: int = 24,
+    recent_hours: int = 1,
+    levels_listed: int | None = None,
+    services_listed: int | None = None,
+    longest: int | None = None,
+) -> DataFrame:
+    """Stats, trend, health and top errors as one (section, key, metric, value, text) table.
 
-def dashboard(df: DataFrame, as_of: dt.datetime, hours: int = 24, recent_hours: int = 1) -> DataFrame:
-    """Stats, trend, health and top errors as one (section, key, metric, value) table.
+    Levels, services and their health cover ``recent_hours``, the trend and
+    the top errors ``hours``. Every level and service is listed unless the
+    limits say otherwise.
 
     The lookback is scanned once for the three counting sections: it is folded
     to (hour, recent, service, level) counts before the shuffle, and each of
@@ -143,32 +150,40 @@ def dashboard(df: DataFrame, as_of: dt.datetime, hours: int = 24, recent_hours:
         .agg(F.sum("n").alias("total"), *_level_sums(F.col("n")))
     )
     place = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("total"), F.asc("key")))
-    listed = F.when(F.col("of") == "level", LISTED["level"]).when(F.col("of") == "service", LISTED["service"])
+    listed = F.when(F.col("of") == "level", F.lit(levels_listed)).when(F.col("of") == "service", F.lit(services_listed)).cast("int")
     kept = sums.withColumn("__place", place).filter(listed.isNull() | (F.col("__place") <= listed)).drop("__place")
     full = fill_hours(kept, ["total", "errors", "warns", "infos"], within=["of"])
 
-    def entry(section: str, metric: str, value: Column) -> Column:
-        return F.struct(F.lit(section).alias("section"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+    def entry(section: str, metric: str, value: Column | None, text: Column | None = None) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"),
+            F.lit(metric).alias("metric"),
+            (F.lit(None) if value is None else value).cast("double").alias("value"),
+            (F.lit(None) if text is None else text).cast("string").alias("text"),
+        )
 
     levels = F.array(entry("by_level", "rows", F.col("total")))
+    rate = _rate(F.col("errors"), F.col("total"))
     services = F.array(
         entry("by_service", "rows", F.col("total")),
         entry("health", "total", F.col("total")),
         entry("health", "errors", F.col("errors")),
         entry("health", "warns", F.col("warns")),
-        entry("health", "error_rate", _rate(F.col("errors"), F.col("total"))),
+        entry("health", "error_rate", rate),
+        entry("health", "status", None, health_status(rate, F.col("errors"), F.col("warns"))),
     )
     trend = F.array(*[entry("trend", c, F.col(c)) for c in ("errors", "warns", "infos")])
     entries = F.when(F.col("of") == "level", levels).when(F.col("of") == "service", services).otherwise(trend)
     key = F.coalesce("key", F.date_format("bucket", "yyyy-MM-dd HH:mm"))
-    counted = full.select(key.alias("key"), F.explode(entries).alias("e")).select("e.section", "key", "e.metric", "e.value")
-    top = top_errors(window).select(
-        F.lit("top_errors").alias("section"),
-        F.col("message").alias("key"),
-        F.lit("count").alias("metric"),
-        F.col("count").cast("double").alias("value"),
+    counted = full.select(key.alias("key"), F.explode(entries).alias("e")).select("e.section", "key", "e.metric", "e.value", "e.text")
+    worst = F.array(
+        entry("top_errors", "count", F.col("count")),
+        entry("top_errors", "services", None, F.array_join("services", ",")),
+        entry("top_errors", "last_seen", None, F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss")),
+        entry("top_errors", "container", None, F.col("container")),
     )
-    return counted.unionByName(top)
+    top = top_errors(window, longest=longest).select(F.col("message").alias("key"), F.explode(worst).alias("e"))
+    return counted.unionByName(top.select("e.section", "key", "e.metric", "e.value", "e.text"))
 
 
 def metric_stats(df: DataFrame, digits: int | None = 2) -> DataFrame:
@@ -230,22 +245,29 @@ def page_meta(df: DataFrame, offset: int, size: int) -> DataFrame:
 
 
 def spike_summary(df: DataFrame, messages: int = 3, shown: int = 80) -> DataFrame:
-    """Per service: rows, and the first distinct short messages in time order."""
+    """(section, rank, text, rows): services by falling count, and the first distinct short messages of all.
+
+    Equal counts go by first appearance. Errors are folded to (service, short
+    message) cells before anything is ordered; messages are a top-n, and only
+    services, one row each, are ranked together.
+    """
     text = F.when(F.length("message") > shown, F.concat(F.substring("message", 1, shown), F.lit("..."))).otherwise(
         F.col("message")
     )
-    cells = df.groupBy("service", text.alias("short")).agg(
-        F.count("*").alias("c"), F.min(F.struct("timestamp", "event_id")).alias("first")
+    first = F.struct("timestamp", "event_id")
+    services = df.groupBy("service").agg(F.count("*").alias("rows"), F.min(first).alias("first"))
+    order = Window.orderBy(F.desc("rows"), "first")
+    counted = services.select(
+        F.lit("service").alias("section"), F.row_number().over(order).alias("rank"), F.col("service").alias("text"), "rows"
     )
-    service = Window.partitionBy("service")
-    early = cells.select(
-        "service",
-        "short",
-        F.sum("c").over(service).alias("rows"),
-        F.row_number().over(service.orderBy("first")).alias("r"),
-    ).filter(F.col("r") <= messages)
-    texts = early.groupBy("service", "rows").agg(F.sort_array(F.collect_list(F.struct("r", "short"))).alias("m"))
-    return texts.select("service", "rows", F.col("m.short").alias("messages"))
+    early = df.groupBy(text.alias("text")).agg(F.min(first).alias("first")).orderBy("first").limit(messages)
+    said = early.select(
+        F.lit("message").alias("section"),
+        F.row_number().over(Window.orderBy("first")).alias("rank"),
+        "text",
+        F.lit(None).cast("long").alias("rows"),
+    )
+    return counted.unionByName(said)
 
 
 def throughput_per_min(df: DataFrame, minutes: int = 60) -> DataFrame:

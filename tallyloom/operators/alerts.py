@@ -48,11 +48,18 @@ def spike_candidates(
     window_s: int = C.SPIKE_WINDOW_S,
     threshold: int = C.SPIKE_THRESHOLD,
     hours: tuple[int | None, int | None] = (None, None),
+    started_at: dt.datetime | None = None,
+    grace_s: int = C.STARTUP_GRACE_S,
 ) -> DataFrame:
-    """Seconds at which the window holds ``threshold`` errors or more."""
+    """Seconds at which the window holds ``threshold`` errors or more and an alert may go out.
+
+    Errors of the first ``grace_s`` seconds after ``started_at`` count in the
+    window; only alerts are held back.
+    """
     seconds = tracked.select(to_second().alias("timestamp"))
     counts = sliding_count(seconds, [], "timestamp", window_s, "errors")
-    return counts.filter((F.col("errors") >= threshold) & in_active_hours(F.col("timestamp"), *hours))
+    found = counts.filter((F.col("errors") >= threshold) & in_active_hours(F.col("timestamp"), *hours))
+    return found if started_at is None else after_grace(found, started_at, grace_s)
 
 
 def spike_alerts(
@@ -61,9 +68,11 @@ def spike_alerts(
     threshold: int = C.SPIKE_THRESHOLD,
     cooldown_s: int = C.SPIKE_COOLDOWN_S,
     hours: tuple[int | None, int | None] = (None, None),
+    started_at: dt.datetime | None = None,
+    grace_s: int = C.STARTUP_GRACE_S,
 ) -> DataFrame:
     """Fired spikes: candidates that respect the cooldown, with the window count."""
-    candidates = spike_candidates(tracked, window_s, threshold, hours)
+    candidates = spike_candidates(tracked, window_s, threshold, hours, started_at, grace_s)
     fires = cooldown_fires(candidates, [], "timestamp", cooldown_s)
     return fires.join(candidates, "timestamp")
 
@@ -78,25 +87,23 @@ def critical_alerts(df: DataFrame, cooldown_s: int = C.CRITICAL_COOLDOWN_S, **ru
 
 
 class Limiter:
-    """Sends per window and the circuit; one step per second with attempts."""
+    """What one key has sent, second by second, and since when its circuit is open."""
 
-    def __init__(self, window_s: int, max_sent: int, open_s: int, sent: Sequence[int] = (), opened: int | None = None):
+    def __init__(self, window_s: int, max_sent: int, open_s: int, sent: dict[int, int] | None = None, opened: int | None = None):
         self.window_s, self.max_sent, self.open_s = window_s, max_sent, open_s
-        self.sent, self.opened = deque(sent), opened
+        self.sent, self.opened = dict(sent or {}), opened
 
     def step(self, now: int, attempts: int) -> tuple[int, int, int]:
-        """(sent, rate limited, stopped by the open circuit)"""
-        if self.opened is not None and now - self.opened < self.open_s:
+        """(sent, rate limited, stopped by the open circuit) of the attempts of one second."""
+        if self.opened is not None and now < self.opened + self.open_s:
             return 0, 0, attempts
-        self.opened = None
-        while self.sent and now - self.sent[0] > self.window_s:
-            self.sent.popleft()
-        granted = max(0, min(attempts, self.max_sent - len(self.sent)))
-        self.sent.extend([now] * granted)
-        if attempts == granted:
-            return granted, 0, 0
-        self.opened = now
-        return granted, 1, attempts - granted - 1
+        self.sent = {at: n for at, n in self.sent.items() if at >= now - self.window_s}
+        granted = min(attempts, max(0, self.max_sent - sum(self.sent.values())))
+        if granted:
+            self.sent[now] = granted
+        over = attempts - granted
+        self.opened = now if over else None
+        return granted, min(over, 1), max(over - 1, 0)
 
 
 class Recovery:
@@ -135,7 +142,7 @@ class Recovery:
 
 def rate_limit(
     attempts: DataFrame,
-    keys: Sequence[str] = (),
+    keys: Sequence[str],
     ts: str = "timestamp",
     window_s: int = C.RATE_WINDOW_S,
     max_sent: int = C.RATE_MAX,
@@ -146,9 +153,12 @@ def rate_limit(
     At most ``max_sent`` per window; one more opens the circuit for
     ``open_s``; then a probe goes out and closes it. A pause of both spans
     forgets everything, so runs between pauses are walked side by side. Within
-    a run only (second, attempts) rows are walked.
+    a run only (second, attempts) rows of one key are walked; there has to be a
+    key, so that no limiter sees everything.
     """
     keys = list(keys)
+    if not keys:
+        raise ValueError("a limiter needs a key")
     seconds = attempts.groupBy(*keys, to_second(ts).alias("at")).agg(F.count("*").alias("attempts"))
     runs = sessions(seconds, keys, "at", max(window_s, open_s) + 1)
     runs = runs.withColumn("__s", F.unix_seconds(F.col("at").cast("timestamp")))
@@ -174,14 +184,18 @@ def recovery_decisions(
     threshold: int = C.RECOVERY_THRESHOLD,
     cooldown_s: int = C.RECOVERY_COOLDOWN_S,
     per_hour: int = C.RECOVERY_PER_HOUR,
+    restartable: Sequence[str] | None = None,
 ) -> DataFrame:
     """(service, at, action, errors) rows: ``restart`` or ``restart_limit``.
 
     A service with ``threshold`` errors in the window restarts, which clears
     its window; not within the cooldown, and not more than ``per_hour`` times
     an hour. After an hour of silence nothing is remembered, which is where
-    runs are cut; a run is walked by (second, errors) rows.
+    runs are cut; a run is walked by (second, errors) rows. Only services of
+    ``restartable`` are watched, by default all.
     """
+    if restartable is not None:
+        errors = errors.filter(F.col(key).isin(list(restartable)))
     seconds = errors.groupBy(key, to_second(ts).alias("at")).agg(F.count("*").alias("n"))
     runs = sessions(seconds, [key], "at", max(3600, window_s, cooldown_s) + 1)
     runs = runs.withColumn("__s", F.unix_seconds(F.col("at").cast("timestamp")))
@@ -201,18 +215,5 @@ def recovery_decisions(
     )
 
 
-def limiter_status(
-    sent: DataFrame, as_of: dt.datetime, started_at: dt.datetime, window_s: int = C.RATE_WINDOW_S, grace_s: int = C.STARTUP_GRACE_S
-) -> DataFrame:
-    """Alerts sent in the rate window and seconds of start-up grace left at ``as_of``."""
-    low, now = (F.lit(t).cast("timestamp_ntz") for t in (as_of - dt.timedelta(seconds=window_s), as_of))
-    grace = max(0.0, grace_s - (as_of - started_at).total_seconds())
-    inside = (F.col("at") >= low) & (F.col("at") <= now)
-    return sent.agg(
-        F.coalesce(F.sum(F.when(inside, F.col("sent"))), F.lit(0)).alias("sent_in_window"),
-        F.lit(round(grace)).cast("long").alias("grace_remaining_sec"),
-    )
-
-
 def last_actions(decisions: DataFrame, n: int = 10) -> DataFrame:
     return decisions.orderBy(F.desc("at"), F.asc("service")).limit(n)

@@ -1,12 +1,11 @@
 """Batch inference: skip what is done, load a model once per worker, work by Arrow batch.
 
-Models are passed in as factories and built inside the task. The default
-encoder hashes words, so results do not depend on a model download.
+Models are passed in as factories and built inside the task. Without one,
+words are hashed in the JVM, so results do not depend on a model download.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,30 +21,29 @@ from tallyloom.functions.text import extract_json_payload
 Encoder = Callable[[list], np.ndarray]
 
 
-def hashing_encoder(dims: int = 64) -> Callable[[], Encoder]:
-    """Signed feature hashing of lower-cased words, unit length; the same on every machine."""
-
-    def build() -> Encoder:
-        cells: dict[str, tuple[int, float]] = {}
-
-        def cell(word: str) -> tuple[int, float]:
-            if word not in cells:
-                digest = hashlib.md5(word.encode()).digest()
-                cells[word] = int.from_bytes(digest[:4], "big") % dims, 1.0 if digest[4] % 2 else -1.0
-            return cells[word]
-
-        def encode(texts: list) -> np.ndarray:
-            out = np.zeros((len(texts), dims))
-            for i, text in enumerate(texts):
-                for word in (text or "").lower().split():
-                    at, sign = cell(word)
-                    out[i, at] += sign
-            length = np.linalg.norm(out, axis=1, keepdims=True)
-            return np.divide(out, length, out=out, where=length > 0)
-
-        return encode
+def hashed_vectors(
+    df: DataFrame, key: str, source: str, dims: int = 64, done: DataFrame | None = None, output: str = "text_vector"
+) -> DataFrame:
+    """(key, vector) of the rows whose key is not in ``done``: signed feature hashing of lower-cased words, unit length.
 
-    return build
+    Built-in functions alone. Words are folded to one sum per row and cell
+    before the shuffle, so a long text moves at most ``dims`` numbers. A text
+    without words has the zero vector; ``key`` has to be unique.
+    """
+    todo = df if done is None else df.join(done.select(key), key, "left_anti")
+    words = todo.select(key, F.explode_outer(F.split(F.trim(F.lower(F.coalesce(source, F.lit("")))), r"\s+")).alias("w"))
+    digest = F.md5(F.col("w"))
+    cell = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dims).cast("int")
+    sign = F.when(F.substring(digest, 10, 1).isin(*"13579bdf"), 1).otherwise(-1)
+    hashed = words.select(key, cell.alias("cell"), F.when(F.col("w") == "", 0).otherwise(sign).alias("sign"))
+    sums = hashed.groupBy(key, "cell").agg(F.sum("sign").alias("v"))
+    cells = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("cell", "v"))).alias("m"), F.sum(F.col("v") * F.col("v")).alias("square"))
+    length = F.sqrt(F.col("square").cast("double"))
+    value = F.transform(
+        F.sequence(F.lit(0), F.lit(dims - 1)),
+        lambda i: F.when(F.col("square") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0)) / length).otherwise(0.0).cast("float"),
+    )
+    return cells.select(key, value.alias(output))
 
 
 def embed(

@@ -190,14 +190,19 @@ def hydrate_scores(
         "brand_name",
         F.coalesce("__o.price", "base_price").alias("price"),
         display_path(F.col("img_hdfs_path")).alias("image_url"),
-        F.coalesce("__o.mall_name", F.lit(C.DEFAULT_MALL)).alias("mall_name"),
-        F.coalesce("__o.mall_url", F.lit(C.DEFAULT_MALL_URL)).alias("mall_url"),
+        or_default(F.col("__o.mall_name"), C.DEFAULT_MALL).alias("mall_name"),
+        or_default(F.col("__o.mall_url"), C.DEFAULT_MALL_URL).alias("mall_url"),
         F.round("score", 4).alias("similarity_score"),
         F.lit(source).alias("search_source"),
     )
     return top_per_key(priced, ["query_id"], [F.desc("similarity_score"), F.desc("product_id")], limit)
 
 
+def or_default(value: Column, default: str) -> Column:
+    """The default also in place of an empty text."""
+    return F.coalesce(F.nullif(value, F.lit("")), F.lit(default))
+
+
 def display_path(path: Column) -> Column:
     """Leading '/' on the image path, a placeholder where there is none."""
     given = F.nullif(path, F.lit(""))

@@ -27,7 +27,13 @@ def _new_unless_null(old: Column, new: Column) -> Column:
 
 
 def _merge(
-    base: DataFrame, delta: DataFrame, keys: Sequence[str], columns: Sequence[str], rule: Rule, small_delta: bool
+    base: DataFrame,
+    delta: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    rule: Rule,
+    small_delta: bool,
+    insert_only: Sequence[str] = (),
 ) -> DataFrame:
     keys = list(keys)
     columns = [c for c in columns if c not in keys]
@@ -43,7 +49,9 @@ def _merge(
         if name not in columns:
             return before.alias(name)
         after = F.col(f"__new_{name}").cast(types[name])
-        merged = F.when(F.col("__in_base").isNull(), after).when(F.col("__in_delta"), rule(before, after))
+        merged = F.when(F.col("__in_base").isNull(), after).when(
+            F.col("__in_delta"), before if name in insert_only else rule(before, after)
+        )
         return merged.otherwise(before).alias(name)
 
     def project(joined: DataFrame) -> DataFrame:
@@ -88,13 +96,9 @@ def upsert_on_conflict(
     small_delta: bool = False,
 ) -> DataFrame:
     """ON CONFLICT DO UPDATE of the named columns; new keys bring all their columns."""
-    keys = list(keys)
     rule = _new_unless_null if keep_old_when_null else _take_new
-    existing = _merge(
-        base, delta.join(base.select(*keys), keys, "left_semi"), keys, list(update), rule, small_delta
-    )
-    inserted = delta.join(base.select(*keys), keys, "left_anti")
-    return existing.unionByName(inserted, allowMissingColumns=True)
+    others = [c for c in delta.columns if c not in update]
+    return _merge(base, delta, keys, delta.columns, rule, small_delta, others)
 
 
 def insert_ignore(base: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -22,7 +22,7 @@ def query_phrases(products: DataFrame) -> DataFrame:
     return wanted.select("product_id", F.explode(entries).alias("q")).select("product_id", "q.*")
 
 
-def acceptable_offers(products: DataFrame, staged: DataFrame, method: str = "ratio") -> DataFrame:
+def acceptable_offers(products: DataFrame, staged: DataFrame) -> DataFrame:
     """Staged offers (product, kind, pos, id, title, price, ..) that pass every filter.
 
     Texts are normalised on their own side of the join, so a product's name
@@ -48,7 +48,7 @@ def acceptable_offers(products: DataFrame, staged: DataFrame, method: str = "rat
         .filter(~is_code | (X.is_valid_code(F.col("__code")) & exact))
     )
     floor = F.when(exact, C.SIMILARITY_FLOOR_WITH_CODE).otherwise(C.SIMILARITY_FLOOR)
-    similarity = F.coalesce(X.normal_similarity(F.col("__name"), F.col("__title"), method), F.lit(0.0))
+    similarity = F.coalesce(X.normal_similarity(F.col("__name"), F.col("__title")), F.lit(0.0))
     scored = F.explode_outer(F.filter(F.array(similarity), lambda s: s >= floor)).alias("similarity")
     return kept.select(*staged.columns, scored).filter(F.col("similarity").isNotNull())
 
@@ -67,7 +67,7 @@ def _accept(pool: Column) -> Column:
 
 
 def accepted_offers(
-    products: DataFrame, staged: DataFrame, method: str = "ratio", dedupe_blank_ids: bool = False
+    products: DataFrame, staged: DataFrame, dedupe_blank_ids: bool = False
 ) -> DataFrame:
     """Offers accepted per product: kinds in order, per kind the cheapest five not yet accepted.
 
@@ -79,7 +79,7 @@ def accepted_offers(
     blank = F.coalesce(F.col("offer_id"), F.lit("")) == ""
     own_key = F.concat_ws("#", F.lit(""), F.col("kind"), F.col("pos").cast("string"))
     id_key = F.coalesce(F.col("offer_id"), F.lit("")) if dedupe_blank_ids else F.when(blank, own_key).otherwise(F.col("offer_id"))
-    rows = acceptable_offers(products, staged, method).select(
+    rows = acceptable_offers(products, staged).select(
         "product_id",
         F.struct(
             kind_ord.alias("kind_ord"),
@@ -110,11 +110,11 @@ def accepted_offers(
 
 
 def match_offers(
-    products: DataFrame, staged: DataFrame, method: str = "ratio", dedupe_blank_ids: bool = False
+    products: DataFrame, staged: DataFrame, dedupe_blank_ids: bool = False
 ) -> DataFrame:
     """Final top five per product: accepted offers, the cheapest of each mall, ranked by price."""
     order = [F.col("price"), F.col("kind_ord"), F.col("pos")]
-    pooled = accepted_offers(products, staged, method, dedupe_blank_ids)
+    pooled = accepted_offers(products, staged, dedupe_blank_ids)
     per_mall = R.first_per_mall(pooled, ["product_id"], *order)
     return R.rank_offers(per_mall, ["product_id"], order, C.OFFERS_KEPT).withColumn(
         "similarity_score", F.round("similarity", 2).cast("decimal(5,2)")
@@ -188,42 +188,59 @@ def candidate_codes(products: DataFrame, titles: DataFrame) -> DataFrame:
     return codes.join(words, ["brand", "word"]).select("product_id", "title")
 
 
-def refine_prices(products: DataFrame, offers: DataFrame) -> dict[str, DataFrame]:
-    """Clean products, clean offers and quarantined offers out of one join of offers and products."""
-    tagged = J.tag_offers(products, offers)
-    clean = tagged.filter(F.col("verdict") == "clean").select(*offers.columns)
-    return {
-        "products_clean": products.join(clean.select("product_id").distinct(), "product_id", "left_semi"),
-        "offers_clean": clean,
-        "offers_anomaly": tagged.filter(F.col("verdict") == "anomaly").select(*offers.columns),
-    }
+def refine_prices(products: DataFrame, offers: DataFrame) -> DataFrame:
+    """(part, id) of clean products, clean offers and quarantined offers, out of one join of offers and products.
+
+    The join leaves a product's offers together, so its first clean offer also
+    stands for the product, and nothing is joined or shuffled again.
+    """
+    tagged = J.tag_offers(products, offers).filter(F.col("verdict").isNotNull())
+    clean = F.col("verdict") == "clean"
+    first = F.row_number().over(Window.partitionBy("product_id").orderBy(F.when(clean, 0).otherwise(1), "offer_id"))
+
+    def part(name: str, key: str) -> Column:
+        return F.struct(F.lit(name).alias("part"), F.col(key).alias("id"))
+
+    parts = F.array(
+        F.when(clean, part("offers_clean", "offer_id")).otherwise(part("offers_anomaly", "offer_id")),
+        F.when(clean & (F.col("__first") == 1), part("products_clean", "product_id")),
+    )
+    return tagged.withColumn("__first", first).select(F.explode(F.array_compact(parts)).alias("p")).select("p.*")
 
 
 def publish_refined(products: DataFrame, offers: DataFrame, root: str, version: str) -> dict[str, DataFrame]:
-    """Write the refined tables below ``root/version``, then point ``root/CURRENT`` at it.
+    """Write the refined tables below ``root/version``, then add the version to ``root/versions``.
 
     The join runs once: tagged offers are written partitioned by verdict, and
-    the clean products are those of the clean partition just written. Readers
-    follow CURRENT, so they see all tables of a version or none.
+    the clean products are those of the clean partition just written. A
+    version is listed only when its tables are complete, and none is ever
+    taken from the list, so a reader always finds a whole one.
     """
     spark = products.sparkSession
-    offers_path, products_path = f"{root}/{version}/offers", f"{root}/{version}/products_clean"
     tagged = J.tag_offers(products, offers).filter(F.col("verdict").isNotNull()).select(*offers.columns, "verdict")
-    tagged.write.mode("errorifexists").partitionBy("verdict").parquet(offers_path)
-    written = spark.read.schema(tagged.schema).parquet(offers_path)
-    clean = written.filter(F.col("verdict") == "clean").drop("verdict")
-    kept = products.join(clean.select("product_id").distinct(), "product_id", "left_semi")
-    kept.write.mode("errorifexists").parquet(products_path)
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/CURRENT")
+    tagged.write.mode("errorifexists").partitionBy("verdict").parquet(f"{root}/{version}/offers")
+    written = spark.read.schema(tagged.schema).parquet(f"{root}/{version}/offers")
+    kept = products.join(written.filter(F.col("verdict") == "clean").select("product_id").distinct(), "product_id", "left_semi")
+    kept.write.mode("errorifexists").parquet(f"{root}/{version}/products_clean")
+    listed = spark.createDataFrame([(version,)], "version string").coalesce(1)
+    listed.write.mode("append").json(f"{root}/versions")
+    return refined_version(spark, root, version)
+
+
+def refined_version(spark: SparkSession, root: str, version: str | None = None) -> dict[str, DataFrame]:
+    """The refined tables of a version, by default the current one."""
+    version = version or current_version(spark, root)
+    written = spark.read.parquet(f"{root}/{version}/offers")
     return {
-        "products_clean": spark.read.schema(kept.schema).parquet(products_path),
-        "offers_clean": clean,
+        "products_clean": spark.read.parquet(f"{root}/{version}/products_clean"),
+        "offers_clean": written.filter(F.col("verdict") == "clean").drop("verdict"),
         "offers_anomaly": written.filter(F.col("verdict") == "anomaly").drop("verdict"),
     }
 
 
 def current_version(spark: SparkSession, root: str) -> str:
-    return spark.read.json(f"{root}/CURRENT").first()["version"]
+    """The greatest version listed; one row of the aggregate reaches the driver."""
+    return spark.read.schema("version string").json(f"{root}/versions").agg(F.max("version")).first()[0]
 
 
 def offer_coverage(products: DataFrame, matched: DataFrame, wanted: int = C.OFFERS_KEPT) -> DataFrame:

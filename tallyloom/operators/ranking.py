@@ -38,7 +38,13 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
-def rank_hits(hits: DataFrame, query: str = "query_id", k: int = 1000) -> DataFrame:
+def rank_boxes(boxes: DataFrame, image: str = "path", score: str = "confidence", tie: str = "box") -> DataFrame:
+    """Boxes of each image numbered from the most confident on; equal ones by ``tie``."""
+    order = Window.partitionBy(image).orderBy(F.desc(score), F.asc(tie))
+    return boxes.withColumn("place", F.row_number().over(order))
+
+
+def rank_hits(hits: DataFrame, k: int, query: str = "query_id") -> DataFrame:
     """1-based rank of hits by score per query; equal scores by id."""
     return top_per_key(hits, [query], [F.desc("score"), F.asc("id")], k)
 

@@ -37,12 +37,13 @@ def assign_sequence(
         Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = sizes.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
-    numbered = placed.join(offsets, [*key, "__part"])
-    number: Column = F.col("__at") - F.col("__first") + F.col("__before") + 1
     if last_seq is not None:
         stored = last_seq.select(group, F.col("last_seq").cast("long").alias("__last"))
-        numbered = numbered.join(stored, group, "left")
-        number = number + F.coalesce(F.col("__last"), F.lit(0))
+        offsets = offsets.join(stored, group, "left").withColumn("__before", F.col("__before") + F.coalesce("__last", F.lit(0)))
+        offsets = offsets.drop("__last")
+    # Ranges follow each other, so there are at most partitions + groups offsets.
+    numbered = placed.join(offsets, [*key, "__part"])
+    number: Column = F.col("__at") - F.col("__first") + F.col("__before") + 1
     return numbered.select(*df.columns, number.cast("long").alias(name))
 
 

@@ -35,8 +35,8 @@ def search_and_hydrate(
         J.with_lowest_price(spare, offers)
         .withColumn("price", F.col("lowest_price"))
         .withColumn("image_url", J.display_path(F.col("img_hdfs_path")))
-        .withColumn("mall_name", F.coalesce("mall_name", F.lit(C.DEFAULT_MALL)))
-        .withColumn("mall_url", F.coalesce("mall_url", F.lit(C.DEFAULT_MALL_URL)))
+        .withColumn("mall_name", J.or_default(F.col("mall_name"), C.DEFAULT_MALL))
+        .withColumn("mall_url", J.or_default(F.col("mall_url"), C.DEFAULT_MALL_URL))
     )
     packed = priced.agg(F.sort_array(F.collect_list(F.struct(*shown))).alias("rows"))  # ``limit`` rows
     offered = (

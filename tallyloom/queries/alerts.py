@@ -16,6 +16,7 @@ from tallyloom.queries import register
 SPIKE = dict(window_s=6 * 3600, threshold=40, cooldown_s=3 * 3600)
 CRITICAL_COOLDOWN = 6 * 3600
 RECOVERY = dict(window_s=6 * 3600, threshold=8, cooldown_s=4 * 3600, per_hour=1)
+RESTARTABLE = ("svc0", "svc1", "svc2", "svc5", "svc7")
 RATE = dict(window_s=4 * 3600, max_sent=3, open_s=8 * 3600)
 
 TRACKED_SQL = """tracked AS (SELECT date_trunc('second', "timestamp") AS moment FROM logs WHERE level IN ('ERROR', 'CRITICAL') AND service NOT IN ('svc3'))"""
@@ -44,6 +45,23 @@ def spike_alerts(spark, d):
     return AL.spike_alerts(tracked(spark, d), **SPIKE)
 
 
+STARTED, GRACE = dt.datetime(2024, 1, 10), 2 * 24 * 3600
+
+
+@register(
+    "spike_alerts_after_grace",
+    with_(LOGS_SQL, TRACKED_SQL, CANDIDATES_SQL).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    + f""",
+open AS (SELECT * FROM candidates WHERE moment >= TIMESTAMP '{STARTED}' + INTERVAL {GRACE} SECOND),
+fires AS (SELECT min(moment) AS moment FROM open
+  UNION ALL SELECT (SELECT min(c.moment) FROM open c WHERE c.moment >= f.moment + INTERVAL {SPIKE['cooldown_s']} SECOND) FROM fires f WHERE f.moment IS NOT NULL)
+SELECT f.moment AS "timestamp", errors FROM fires f JOIN open USING (moment)""",
+)
+def spike_alerts_after_grace(spark, d):
+    """Errors of the grace count in the windows that follow it."""
+    return AL.spike_alerts(tracked(spark, d), **SPIKE, started_at=STARTED, grace_s=GRACE)
+
+
 KEYED_SQL = """keyed AS (SELECT DISTINCT message[1:100] AS message, "timestamp" AS moment FROM logs WHERE level IN ('ERROR', 'CRITICAL'))"""
 FIRES_SQL = f"""fires AS (SELECT message, min(moment) AS moment FROM keyed GROUP BY 1
   UNION ALL SELECT f.message, min(k.moment) FROM fires f JOIN keyed k ON k.message = f.message AND k.moment >= f.moment + INTERVAL {CRITICAL_COOLDOWN} SECOND GROUP BY f.message, f.moment)"""
@@ -92,14 +110,6 @@ def recursive(*views: str) -> str:
     return with_(*views).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-SENT_SQL = recursive(LOGS_SQL, KEYED_SQL, FIRES_SQL, limiter_sql("SELECT '' AS service, date_trunc('second', moment) AS moment FROM fires"))
-
-
-@register("rate_limit", SENT_SQL + 'SELECT moment AS "at", sent, rate_limited, circuit_open FROM walk WHERE i > 0')
-def rate_limit(spark, d):
-    return AL.rate_limit(AL.critical_alerts(D.logs(spark, d), CRITICAL_COOLDOWN, min_level="ERROR"), **RATE)
-
-
 BY_SERVICE = """SELECT service, date_trunc('second', "timestamp") AS moment FROM logs WHERE level = 'ERROR'"""
 
 
@@ -113,7 +123,7 @@ def rate_limit_by_service(spark, d):
 
 
 RECOVERY_SQL = f"""seconds AS (SELECT service, date_trunc('second', "timestamp") AS moment, epoch(date_trunc('second', "timestamp"))::BIGINT AS s, count(*) AS n,
-    row_number() OVER (PARTITION BY service ORDER BY date_trunc('second', "timestamp")) AS i FROM logs WHERE level IN ('ERROR', 'CRITICAL') GROUP BY 1, 2, 3),
+    row_number() OVER (PARTITION BY service ORDER BY date_trunc('second', "timestamp")) AS i FROM logs WHERE level IN ('ERROR', 'CRITICAL') AND service IN ({', '.join(map(repr, RESTARTABLE))}) GROUP BY 1, 2, 3),
 walk AS (
   SELECT service, 0::BIGINT AS i, NULL::TIMESTAMP AS moment, []::STRUCT(t BIGINT, c BIGINT)[] AS held, []::BIGINT[] AS restarts, NULL::VARCHAR AS action, 0::BIGINT AS errors
   FROM (SELECT DISTINCT service FROM seconds)
@@ -132,20 +142,10 @@ DECIDED_SQL = recursive(LOGS_SQL, RECOVERY_SQL) + 'SELECT service, moment AS "at
 
 @register("recovery_decisions", DECIDED_SQL)
 def recovery_decisions(spark, d):
-    return AL.recovery_decisions(D.logs(spark, d).filter(F.col("level").isin("ERROR", "CRITICAL")), **RECOVERY)
+    return AL.recovery_decisions(D.logs(spark, d).filter(F.col("level").isin("ERROR", "CRITICAL")), **RECOVERY, restartable=RESTARTABLE)
 
 
 @register("last_actions", DECIDED_SQL + ' ORDER BY "at" DESC, service LIMIT 10')
 def last_actions(spark, d):
     errors = D.logs(spark, d).filter(F.col("level").isin("ERROR", "CRITICAL"))
-    return AL.last_actions(AL.recovery_decisions(errors, **RECOVERY))
-
-
-@register(
-    "limiter_status",
-    SENT_SQL + """SELECT coalesce(sum(sent) FILTER (WHERE moment BETWEEN TIMESTAMP '2024-01-29 20:00:00' AND TIMESTAMP '2024-01-30 00:00:00'), 0)::BIGINT AS sent_in_window,
-  180::BIGINT AS grace_remaining_sec FROM walk WHERE i > 0""",
-)
-def limiter_status(spark, d):
-    sent = AL.rate_limit(AL.critical_alerts(D.logs(spark, d), CRITICAL_COOLDOWN, min_level="ERROR"), **RATE)
-    return AL.limiter_status(sent, dt.datetime(2024, 1, 30), dt.datetime(2024, 1, 29, 23, 58), RATE["window_s"])
+    return AL.last_actions(AL.recovery_decisions(errors, **RECOVERY, restartable=RESTARTABLE))

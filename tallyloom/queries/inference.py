@@ -1,4 +1,4 @@
-"""Batch inference with the built-in deterministic models."""
+"""Vectors of texts without a model."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ FROM cells GROUP BY 1""",
 def embed_texts(spark, d):
     """Documents that carry no label yet are embedded; the vector's shape is what SQL can see."""
     docs, done = D.table(spark, d, "documents"), D.table(spark, d, "labels")
-    out = I.embed(docs, "doc_id", "text", I.hashing_encoder(32), done)
+    out = I.hashed_vectors(docs, "doc_id", "text", 32, done)
     v = F.col("text_vector")
     return out.select(
         "doc_id",
@@ -28,66 +28,3 @@ def embed_texts(spark, d):
         F.size(F.filter(v, lambda x: x > 0)).cast("long").alias("positive"),
         F.when(F.array_max(v) > 0, F.array_position(v, F.array_max(v)) - 1).cast("int").alias("largest"),
     )
-
-
-def byte_detector():
-    """Boxes read off the bytes: stands in for a model, the same everywhere."""
-
-    def run(content: bytes):
-        head = bytes(content[:60]).ljust(60, b"\0")
-        names = ("top", "Bottom", "아우터", "hat")
-        boxes = [
-            (names[head[i] % 4], head[i + 1] / 255.0, head[i + 2] * 4 - 60, head[i + 3] * 3 - 40, head[i + 4] * 6, head[i + 5] * 5)
-            for i in range(0, 60, 20)
-        ]
-        return 640, 480, boxes
-
-    return run
-
-
-BYTE = "CAST('0x' || coalesce(nullif(substr(hex(encode(text)), 2 * (i + {k}) + 1, 2), ''), '00') AS INTEGER)"
-
-
-@register(
-    "detect_boxes",
-    f"""WITH raw AS (SELECT CAST(doc_id AS VARCHAR) AS path, CAST(i // 20 AS INTEGER) AS box, list_extract(['top', 'Bottom', '아우터', 'hat'], {BYTE.format(k=0)} % 4 + 1) AS class_name,
-  {BYTE.format(k=1)} / 255.0::DOUBLE AS confidence, {BYTE.format(k=2)} * 4 - 60 AS a1, {BYTE.format(k=3)} * 3 - 40 AS b1, {BYTE.format(k=4)} * 6 AS a2, {BYTE.format(k=5)} * 5 AS b2
-  FROM documents, (SELECT unnest([0, 20, 40]) AS i)),
-c AS (SELECT path, box, class_name, confidence, greatest(0, least(a1, 639)) AS x1, greatest(0, least(b1, 479)) AS y1, greatest(0, least(a2, 640)) AS x2, greatest(0, least(b2, 480)) AS y2 FROM raw WHERE confidence >= 0.25)
-SELECT *, CAST(640 AS INTEGER) AS width, CAST(480 AS INTEGER) AS height, x2 - x1 AS w, y2 - y1 AS h,
-  CASE class_name WHEN 'top' THEN 'Top' WHEN 'Bottom' THEN 'Bottom' WHEN '아우터' THEN 'Outer' END AS category FROM c WHERE x2 > x1 AND y2 > y1""",
-)
-def detect_boxes(spark, d):
-    images = D.table(spark, d, "documents").select(
-        F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content")
-    )
-    return I.detect(images, lambda: byte_detector())
-
-
-def echo_generator():
-    """Answers with JSON, except for long texts."""
-
-    def run(text: str) -> str:
-        words = (text or "").split()
-        return "sorry" if len(words) > 200 else '```json\n{"words": %d}\n```' % len(words)
-
-    return run
-
-
-@register(
-    "describe_items",
-    r"""SELECT conv_id * 1000 + turn AS id, '{"words": ' || CAST(len(string_split_regex(trim(text), '\s+')) AS VARCHAR) || '}' AS analysis
-FROM conversations WHERE len(string_split_regex(trim(text), '\s+')) <= 200""",
-)
-def describe_items(spark, d):
-    turns = D.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return I.describe(turns, "id", "text", lambda: echo_generator())[0]
-
-
-@register(
-    "describe_failures",
-    r"""SELECT conv_id * 1000 + turn AS id, 'sorry' AS answer FROM conversations WHERE len(string_split_regex(trim(text), '\s+')) > 200""",
-)
-def describe_failures(spark, d):
-    turns = D.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return I.describe(turns, "id", "text", lambda: echo_generator())[1]

@@ -63,7 +63,7 @@ tops AS (SELECT message, string_agg(service, ',' ORDER BY c DESC, service) AS se
 
 @register("top_errors", with_(LOGS_SQL, TOP_ERRORS_SQL) + 'SELECT message, "count", services, last_seen, container FROM best JOIN tops USING (message)')
 def top_errors(spark, d):
-    return A.top_errors(D.logs(spark, d)).withColumn("services", F.array_join("services", ","))
+    return A.top_errors(D.logs(spark, d), longest=256).withColumn("services", F.array_join("services", ","))
 
 
 HEALTH_SQL = f"""health AS (SELECT *, CASE WHEN total > 0 THEN round(errors::DOUBLE / total * 100, 2) ELSE 0 END AS error_rate FROM (
@@ -90,24 +90,32 @@ def service_health_by_user(spark, d):
     return A.service_health(D.logs(spark, d).drop("service").join(owner, "event_id"))
 
 
+RECENT_HOURS = 240
+
+
 @register(
     "dashboard",
     with_(
         LOGS_SQL.replace("logs AS", "all_logs AS", 1),
         f"""logs AS (SELECT * FROM all_logs WHERE "timestamp" >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL {MONTH_HOURS} HOUR)""",
-        f"""recent AS (SELECT * FROM logs WHERE "timestamp" >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL {MONTH_HOURS} HOUR)""",
+        f"""recent AS (SELECT * FROM logs WHERE "timestamp" >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL {RECENT_HOURS} HOUR)""",
         TREND_SQL,
         HEALTH_SQL.replace("FROM logs", "FROM recent"),
         TOP_ERRORS_SQL,
     )
-    + """SELECT 'by_level' AS section, level AS key, 'rows' AS metric, CAST(n AS DOUBLE) AS value FROM (SELECT level, count(*) AS n FROM recent GROUP BY 1 ORDER BY n DESC, level LIMIT 10)
-UNION ALL SELECT 'by_service', service, 'rows', CAST(n AS DOUBLE) FROM (SELECT service, count(*) AS n FROM recent GROUP BY 1 ORDER BY n DESC, service LIMIT 20)
-UNION ALL SELECT 'trend', strftime(bucket, '%Y-%m-%d %H:%M'), m, CAST(v AS DOUBLE) FROM (UNPIVOT trend ON errors, warns, infos INTO NAME m VALUE v)
-UNION ALL SELECT 'health', service, m, v FROM (UNPIVOT (SELECT service, total::DOUBLE AS total, errors::DOUBLE AS errors, warns::DOUBLE AS warns, error_rate::DOUBLE AS error_rate FROM health) ON total, errors, warns, error_rate INTO NAME m VALUE v)
-UNION ALL SELECT 'top_errors', message, 'count', CAST("count" AS DOUBLE) FROM best""",
+    + """SELECT 'by_level' AS section, level AS key, 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value, NULL::VARCHAR AS text FROM recent GROUP BY level
+UNION ALL SELECT 'by_service', service, 'rows', CAST(count(*) AS DOUBLE), NULL FROM recent GROUP BY service
+UNION ALL SELECT 'trend', strftime(bucket, '%Y-%m-%d %H:%M'), m, CAST(v AS DOUBLE), NULL FROM (UNPIVOT trend ON errors, warns, infos INTO NAME m VALUE v)
+UNION ALL SELECT 'health', service, m, v, NULL FROM (UNPIVOT (SELECT service, total::DOUBLE AS total, errors::DOUBLE AS errors, warns::DOUBLE AS warns, error_rate::DOUBLE AS error_rate FROM health) ON total, errors, warns, error_rate INTO NAME m VALUE v)
+UNION ALL SELECT 'health', service, 'status', NULL, CASE WHEN error_rate > 10 OR errors > 20 THEN 'critical' WHEN error_rate > 3 OR warns > 10 THEN 'warning' ELSE 'healthy' END FROM health
+UNION ALL SELECT 'top_errors', message, 'count', CAST("count" AS DOUBLE), NULL FROM best
+UNION ALL SELECT 'top_errors', message, 'services', NULL, services FROM best JOIN tops USING (message)
+UNION ALL SELECT 'top_errors', message, 'last_seen', NULL, strftime(last_seen, '%Y-%m-%d %H:%M:%S') FROM best
+UNION ALL SELECT 'top_errors', message, 'container', NULL, container FROM best""",
 )
 def dashboard(spark, d):
-    return A.dashboard(D.logs(spark, d), AS_OF, hours=MONTH_HOURS, recent_hours=MONTH_HOURS)
+    """Ten days of health beside a month's trend and top errors."""
+    return A.dashboard(D.logs(spark, d), AS_OF, hours=MONTH_HOURS, recent_hours=RECENT_HOURS, longest=256)
 
 
 STATS_SQL = """stats AS (SELECT service, round(avg(cpu_percent), 2) AS avg_cpu, round(avg(memory_percent), 2) AS avg_mem,
@@ -170,15 +178,16 @@ def counts_by_day(spark, d):
     with_(
         LOGS_SQL,
         "errors AS (SELECT service, CASE WHEN length(m) > 80 THEN m[1:80] || '...' ELSE m END AS short, \"timestamp\", event_id FROM (SELECT *, message || repeat(' detail', 15 - event_id % 10) AS m FROM logs WHERE level IN ('ERROR', 'CRITICAL')))",
-        'cells AS (SELECT service, short, count(*) AS c, min(event_id) AS f FROM errors GROUP BY 1, 2)',
     )
-    + """SELECT service, CAST(any_value(n) AS BIGINT) AS rows, string_agg(short, '|' ORDER BY f) FILTER (WHERE r <= 3) AS messages
-FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY f) AS r, sum(c) OVER (PARTITION BY service) AS n FROM cells) GROUP BY 1""",
+    + """SELECT 'service' AS section, CAST(row_number() OVER (ORDER BY n DESC, f) AS INTEGER) AS rank, service AS text, n AS rows
+FROM (SELECT service, count(*) AS n, min(("timestamp", event_id)) AS f FROM errors GROUP BY 1)
+UNION ALL SELECT 'message', CAST(row_number() OVER (ORDER BY f) AS INTEGER), short, NULL FROM (
+  SELECT short, min(("timestamp", event_id)) AS f FROM errors GROUP BY 1 ORDER BY f LIMIT 3)""",
 )
 def spike_summary(spark, d):
     errors = D.logs(spark, d).filter(F.col("level").isin("ERROR", "CRITICAL"))
     longer = errors.withColumn("message", F.concat("message", F.repeat(F.lit(" detail"), (15 - F.col("event_id") % 10).cast("int"))))
-    return A.spike_summary(longer).withColumn("messages", F.array_join("messages", "|"))
+    return A.spike_summary(longer)
 
 
 @register("throughput_per_min", with_(LOGS_SQL) + "SELECT count(*) / 60.0::DOUBLE AS per_minute FROM logs")
@@ -297,7 +306,7 @@ FROM logs WHERE level = 'WARN' ORDER BY "timestamp" DESC, event_id DESC LIMIT 10
 )
 def export_log_lines(spark, d):
     message = F.when(F.col("event_id") % 3 == 0, F.concat("message", F.lit("\nmore"))).otherwise(F.col("message"))
-    return E.log_text(D.logs(spark, d).withColumn("message", message), level="WARN", service="ALL")
+    return E.log_text(D.logs(spark, d).withColumn("message", message), level="WARN", service="ALL", size=10_000)
 
 
 @register(

@@ -11,6 +11,7 @@ from tallyloom.operators import ranking as R
 from tallyloom.plans import domain as D
 from tallyloom.plans.domain import OFFERS_SQL, PRODUCTS_SQL, STAGED_OFFERS_SQL, with_
 from tallyloom.queries import register
+from tallyloom.session import scratch_path
 from tallyloom.sources import exports as E
 
 JOINED = "offers o JOIN products p USING (product_id)"
@@ -56,17 +57,29 @@ def refine_anomalies(spark, d):
     return J.refine_anomalies(D.products(spark, d), D.offers(spark, d))
 
 
-@register(
-    "refine_prices",
+PARTS_SQL = (
     with_(PRODUCTS_SQL, OFFERS_SQL)
     + f"""SELECT 'offers_clean' AS part, o.offer_id AS id FROM {JOINED} WHERE {INSIDE}
 UNION ALL SELECT 'offers_anomaly', o.offer_id FROM {JOINED} WHERE {OUTSIDE}
-UNION ALL SELECT 'products_clean', p.product_id FROM products p WHERE EXISTS (SELECT 1 FROM offers o WHERE o.product_id = p.product_id AND {INSIDE})""",
+UNION ALL SELECT 'products_clean', p.product_id FROM products p WHERE EXISTS (SELECT 1 FROM offers o WHERE o.product_id = p.product_id AND {INSIDE})"""
 )
+
+
+@register("refine_prices", PARTS_SQL)
 def refine_prices(spark, d):
-    out = M.refine_prices(D.products(spark, d), D.offers(spark, d))
+    return M.refine_prices(D.products(spark, d), D.offers(spark, d))
+
+
+@register("publish_refined", PARTS_SQL)
+def publish_refined(spark, d):
+    """An older version of fewer offers, then the whole one; readers get the newer."""
+    root = scratch_path(spark, "refined")
+    products, offers = D.products(spark, d), D.offers(spark, d)
+    M.publish_refined(products, offers.filter(F.col("price") % 2 == 0), root, "v1")
+    M.publish_refined(products, offers, root, "v2")
+    current = M.refined_version(spark, root)
     keys = {"offers_clean": "offer_id", "offers_anomaly": "offer_id", "products_clean": "product_id"}
-    parts = [out[n].select(F.lit(n).alias("part"), F.col(k).alias("id")) for n, k in keys.items()]
+    parts = [current[n].select(F.lit(n).alias("part"), F.col(k).alias("id")) for n, k in keys.items()]
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
@@ -187,26 +200,21 @@ MATCHED_NAMES = ("product_id", "rank", "kind_ord", "pos", "offer_id", "title", "
     matched_sql(V1_KEY) + "SELECT product_id, kind_ord, pos, offer_id, price FROM pooled",
 )
 def accepted_offers(spark, d):
-    out = M.accepted_offers(D.products(spark, d), D.staged_offers(spark, d), "levenshtein")
+    out = M.accepted_offers(D.products(spark, d), D.staged_offers(spark, d))
     return out.select("product_id", "kind_ord", "pos", "offer_id", "price")
 
 
 @register("match_offers", matched_sql(V1_KEY) + f"SELECT {MATCHED_COLUMNS} FROM matched")
 def match_offers(spark, d):
-    return M.match_offers(D.products(spark, d), D.staged_offers(spark, d), "levenshtein").select(*MATCHED_NAMES)
+    return M.match_offers(D.products(spark, d), D.staged_offers(spark, d)).select(*MATCHED_NAMES)
 
 
 @register("match_offers_blank_ids_once", matched_sql("offer_id") + f"SELECT {MATCHED_COLUMNS} FROM matched")
 def match_offers_blank_ids_once(spark, d):
-    out = M.match_offers(D.products(spark, d), D.staged_offers(spark, d), "levenshtein", dedupe_blank_ids=True)
+    out = M.match_offers(D.products(spark, d), D.staged_offers(spark, d), dedupe_blank_ids=True)
     return out.select(*MATCHED_NAMES)
 
 
-@register("match_offers_ratio")
-def match_offers_ratio(spark, d):
-    return M.match_offers(D.products(spark, d), D.staged_offers(spark, d)).select(*MATCHED_NAMES)
-
-
 @register(
     "match_offers_fallback",
     with_(STAGED_OFFERS_SQL.replace("CAST(l_partkey AS VARCHAR) AS product_id", "CAST(l_suppkey * 1000 + l_partkey % 50 AS VARCHAR) AS product_id"))
@@ -273,7 +281,7 @@ FROM products LEFT JOIN (SELECT product_id, count(*) AS n FROM matched GROUP BY
 )
 def offer_coverage(spark, d):
     products = D.products(spark, d)
-    return M.offer_coverage(products, M.match_offers(products, D.staged_offers(spark, d), "levenshtein"))
+    return M.offer_coverage(products, M.match_offers(products, D.staged_offers(spark, d)))
 
 
 @register(
@@ -286,7 +294,7 @@ FROM products p LEFT JOIN matched m USING (product_id)""",
 )
 def export_flat_matches(spark, d):
     products = D.products(spark, d)
-    return E.flat_matches(products, M.match_offers(products, D.staged_offers(spark, d), "levenshtein"))
+    return E.flat_matches(products, M.match_offers(products, D.staged_offers(spark, d)))
 
 
 @register(
@@ -298,7 +306,7 @@ FROM products p LEFT JOIN matched m USING (product_id) GROUP BY p.product_id""",
 )
 def export_nested_matches(spark, d):
     products = D.products(spark, d)
-    docs = E.nested_matches(products, M.match_offers(products, D.staged_offers(spark, d), "levenshtein"))
+    docs = E.nested_matches(products, M.match_offers(products, D.staged_offers(spark, d)))
     entry = F.transform(
         "top_5_results",
         lambda o: F.concat(o["final_rank"].cast("string"), F.lit(":"), o["mall_name"], F.lit("="), o["price"].cast("string")),

@@ -258,12 +258,6 @@ def _similarity_input(spark, d):
        ELSE round(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 6) END AS similarity FROM t""",
 )
 def title_similarity_levenshtein(spark, d):
-    similarity = X.title_similarity(F.col("prod_name"), F.col("title"), "levenshtein")
-    return _similarity_input(spark, d).select("pos", "title", F.round(similarity, 6).alias("similarity"))
-
-
-@register("title_similarity_ratio")
-def title_similarity_ratio(spark, d):
     similarity = X.title_similarity(F.col("prod_name"), F.col("title"))
     return _similarity_input(spark, d).select("pos", "title", F.round(similarity, 6).alias("similarity"))
 
@@ -453,7 +447,8 @@ LINES_SQL = """lines AS (
       WHEN 4 THEN 'critical error ' || event_type
       WHEN 5 THEN '{"t":1,"s":"F","msg":"m ' || event_type || '"}'
       WHEN 6 THEN '{"s":"W","msg":"disk ' || event_type || '"}'
-      WHEN 7 THEN '{"level":"x","note":"an error"}'
+      WHEN 7 THEN CASE event_id % 4 WHEN 0 THEN '{"level":"x","note":"an error"}' WHEN 1 THEN '{"s":"I","msg":"an error"} and more'
+        WHEN 2 THEN '{"s":"E","msg":null}' ELSE '{"s":"I","msg":"an error"' END
       ELSE 'plain ' || event_type END AS message
   FROM events)"""
 
@@ -475,7 +470,10 @@ def lines(spark, d):
         .when(key == 4, F.concat(F.lit("critical error "), kind))
         .when(key == 5, F.concat(F.lit('{"t":1,"s":"F","msg":"m '), kind, F.lit('"}')))
         .when(key == 6, F.concat(F.lit('{"s":"W","msg":"disk '), kind, F.lit('"}')))
-        .when(key == 7, '{"level":"x","note":"an error"}')
+        .when((key == 7) & (F.col("event_id") % 4 == 0), '{"level":"x","note":"an error"}')
+        .when((key == 7) & (F.col("event_id") % 4 == 1), '{"s":"I","msg":"an error"} and more')
+        .when((key == 7) & (F.col("event_id") % 4 == 2), '{"s":"E","msg":null}')
+        .when(key == 7, '{"s":"I","msg":"an error"')
         .otherwise(F.concat(F.lit("plain "), kind))
         .alias("message"),
     )
@@ -484,12 +482,13 @@ def lines(spark, d):
 @register(
     "log_levels",
     with_(LINES_SQL)
-    + f"""SELECT event_id, {LEVEL_SQL} AS inferred,
-       CASE event_id % 9 WHEN 5 THEN 'CRITICAL' WHEN 6 THEN 'WARN' ELSE {LEVEL_SQL} END AS level,
-       CASE event_id % 9 WHEN 5 THEN json_extract_string(message, '$.msg') WHEN 6 THEN json_extract_string(message, '$.msg') ELSE message END AS body,
-       CASE CASE event_id % 9 WHEN 5 THEN 'CRITICAL' WHEN 6 THEN 'WARN' ELSE {LEVEL_SQL} END
+    + f"""SELECT event_id, {LEVEL_SQL} AS inferred, level, body,
+       CASE level
          WHEN 'CRITICAL' THEN 4 WHEN 'ERROR' THEN 3 WHEN 'WARN' THEN 2 WHEN 'INFO' THEN 1 ELSE 0 END AS rank
-FROM lines""",
+FROM (SELECT *, CASE WHEN whole THEN CASE j->>'$.s' WHEN 'F' THEN 'CRITICAL' WHEN 'E' THEN 'ERROR' WHEN 'W' THEN 'WARN' ELSE 'INFO' END ELSE {LEVEL_SQL} END AS level,
+        CASE WHEN whole THEN j->>'$.msg' ELSE message END AS body
+  FROM (SELECT *, coalesce(json_exists(j, '$.s') AND json_exists(j, '$.msg'), FALSE) AS whole
+    FROM (SELECT *, CASE WHEN json_valid(message) THEN message::JSON END AS j FROM lines)))""",
 )
 def log_levels(spark, d):
     parsed = L.parse_log_line(F.col("message"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyloom.plans import domain as D
 from tallyloom.plans.domain import LOGS_SQL, METRICS_SQL, with_
 from tallyloom.queries import register
-from tallyloom.queries.alerts import CANDIDATES_SQL, DECIDED_SQL, RATE, RECOVERY, SPIKE, TRACKED_SQL, limiter_sql, recursive
+from tallyloom.queries.alerts import DECIDED_SQL, RECOVERY, RESTARTABLE
 from tallyloom.queries.logs import SUMS
 from tallyloom.session import scratch_path
 from tallyloom.sources import streams as S
@@ -159,33 +159,6 @@ def critical_alert_stream(spark, d):
     return naive(run_once(A.critical_alert_stream(log_stream(spark, d), 6 * 3600), spark, "critical"))
 
 
-@register(
-    "spike_alert_stream",
-    with_(
-        LOGS_SQL,
-        TRACKED_SQL,
-        CANDIDATES_SQL,
-    ).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
-    + f""",
-fires AS (SELECT min(moment) AS moment FROM candidates
-  UNION ALL SELECT (SELECT min(c.moment) FROM candidates c WHERE c.moment >= f.moment + INTERVAL {SPIKE['cooldown_s']} SECOND) FROM fires f WHERE f.moment IS NOT NULL)
-SELECT f.moment AS "at", errors FROM fires f JOIN candidates USING (moment) WHERE f.moment + INTERVAL 1 SECOND <= {CLOSED}""",
-)
-def spike_alert_stream(spark, d):
-    stream = A.spike_alert_stream(log_stream(spark, d), **SPIKE, min_level="ERROR", excluded=["svc3"])
-    return naive(run_once(stream, spark, "spikes"))
-
-
-@register(
-    "rate_limit_stream",
-    recursive(LOGS_SQL, limiter_sql("""SELECT '' AS service, date_trunc('second', "timestamp") AS moment FROM logs WHERE level = 'ERROR'"""))
-    + f'SELECT moment AS "at", sent, rate_limited, circuit_open FROM walk WHERE i > 0 AND moment + INTERVAL 1 SECOND <= (SELECT max("timestamp") - INTERVAL 10 MINUTE FROM logs WHERE level = \'ERROR\')',
-)
-def rate_limit_stream(spark, d):
-    errors = log_stream(spark, d).filter(F.col("level") == "ERROR")
-    return naive(run_once(A.rate_limit_stream(errors, **RATE), spark, "limited"))
-
-
 @register("recovery_stream", DECIDED_SQL + f' AND moment + INTERVAL 1 SECOND <= {CLOSED}')
 def recovery_stream(spark, d):
-    return naive(run_once(A.recovery_stream(log_stream(spark, d), **RECOVERY), spark, "recovery"))
+    return naive(run_once(A.recovery_stream(log_stream(spark, d), **RECOVERY, restartable=RESTARTABLE), spark, "recovery"))

@@ -79,16 +79,16 @@ def log_text(
     service: str | None = None,
     level: str | None = None,
     keyword: str | None = None,
-    size: int = 10_000,
+    size: int | None = None,
     tie: str = "event_id",
 ) -> DataFrame:
-    """The newest ``size`` (at most 50 000) matching lines as text."""
-    if not 0 < size <= 50_000:
-        raise ValueError("size must be between 1 and 50000")
+    """The newest ``size`` matching lines as text, newest first; by default all."""
     condition = P.all_of(
         P.phrase(F.col("service"), service), P.phrase(F.col("level"), level), P.text_phrase(F.col("message"), keyword)
     )
-    return newest(logs.filter(condition), "timestamp", size, tie).select(log_line().alias("line"))
+    found = logs.filter(condition)
+    found = found.orderBy(F.desc("timestamp"), F.desc(tie)) if size is None else newest(found, "timestamp", size, tie)
+    return found.select(log_line().alias("line"))
 
 
 def export_log_text(logs: DataFrame, path: str, **rules) -> None:

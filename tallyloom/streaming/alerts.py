@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyloom.functions import constants as C
-from tallyloom.operators.alerts import Limiter, Recovery, counts_toward_spike
+from tallyloom.operators.alerts import Recovery
 
 
 def per_second(
@@ -102,40 +102,6 @@ class CooldownProcessor(_Seconds):
         return pd.DataFrame({self.key: [key[0]] * len(fired), "at": fired})
 
 
-class SpikeProcessor(_Seconds):
-    """Counts the window and fires above the threshold, at most once per cooldown."""
-
-    def __init__(self, window_s: int, threshold: int, cooldown_s: int):
-        self.window_s, self.threshold, self.cooldown_s = window_s, threshold, cooldown_s
-        self.keep_s = max(window_s, cooldown_s, self.keep_s)
-
-    def walk(self, key, seconds: pd.DataFrame) -> pd.DataFrame:
-        state = self.load() or {"window": [], "last": None}
-        window, last = [tuple(w) for w in state["window"]], state["last"]
-        rows = []
-        for at, now, n in zip(seconds["at"], seconds["s"], seconds["n"]):
-            window = [w for w in window if now - w[0] <= self.window_s] + [(int(now), int(n))]
-            held = sum(c for _, c in window)
-            if held >= self.threshold and (last is None or now - last >= self.cooldown_s):
-                last = int(now)
-                rows.append((at, held))
-        self.store({"window": window, "last": last})
-        return pd.DataFrame(rows, columns=["at", "errors"])
-
-
-class LimitProcessor(_Seconds):
-    def __init__(self, window_s: int, max_sent: int, open_s: int):
-        self.rules = (window_s, max_sent, open_s)
-        self.keep_s = max(window_s, open_s, self.keep_s)
-
-    def walk(self, key, seconds: pd.DataFrame) -> pd.DataFrame:
-        state = self.load() or {"sent": [], "opened": None}
-        limiter = Limiter(*self.rules, state["sent"], state["opened"])
-        rows = [(at, *limiter.step(int(now), int(n))) for at, now, n in zip(seconds["at"], seconds["s"], seconds["n"])]
-        self.store({"sent": list(limiter.sent), "opened": limiter.opened})
-        return pd.DataFrame(rows, columns=["at", "sent", "rate_limited", "circuit_open"])
-
-
 class RecoveryProcessor(_Seconds):
     def __init__(self, window_s: int, threshold: int, cooldown_s: int, per_hour: int):
         self.rules = (window_s, threshold, cooldown_s, per_hour)
@@ -168,43 +134,18 @@ def critical_alert_stream(logs: DataFrame, cooldown_s: int = C.CRITICAL_COOLDOWN
     return _stateful(seconds, ["message"], CooldownProcessor("message", cooldown_s), "message string, at timestamp")
 
 
-def spike_alert_stream(
-    logs: DataFrame,
-    window_s: int = C.SPIKE_WINDOW_S,
-    threshold: int = C.SPIKE_THRESHOLD,
-    cooldown_s: int = C.SPIKE_COOLDOWN_S,
-    min_level: str = "CRITICAL",
-    watermark: str = "10 minutes",
-    excluded: Sequence[str] = (),
-) -> DataFrame:
-    """One state for all services, fed with at most one row per second."""
-    seconds = per_second(logs, {"scope": F.lit("all")}, counts_toward_spike(min_level, excluded), watermark)
-    return _stateful(seconds, ["scope"], SpikeProcessor(window_s, threshold, cooldown_s), "at timestamp, errors long")
-
-
-def rate_limit_stream(
-    attempts: DataFrame,
-    window_s: int = C.RATE_WINDOW_S,
-    max_sent: int = C.RATE_MAX,
-    open_s: int = C.CIRCUIT_OPEN_S,
-    watermark: str = "10 minutes",
-) -> DataFrame:
-    seconds = per_second(attempts, {"scope": F.lit("all")}, None, watermark)
-    return _stateful(
-        seconds, ["scope"], LimitProcessor(window_s, max_sent, open_s), "at timestamp, sent long, rate_limited long, circuit_open long"
-    )
-
-
 def recovery_stream(
     logs: DataFrame,
     window_s: int = C.RECOVERY_WINDOW_S,
     threshold: int = C.RECOVERY_THRESHOLD,
     cooldown_s: int = C.RECOVERY_COOLDOWN_S,
     per_hour: int = C.RECOVERY_PER_HOUR,
+    restartable: Sequence[str] | None = None,
     watermark: str = "10 minutes",
 ) -> DataFrame:
+    watched = _is_error() if restartable is None else _is_error() & F.col("service").isin(list(restartable))
     return _stateful(
-        per_second(logs, {"service": F.col("service")}, _is_error(), watermark),
+        per_second(logs, {"service": F.col("service")}, watched, watermark),
         ["service"],
         RecoveryProcessor(window_s, threshold, cooldown_s, per_hour),
         "service string, at timestamp, action string, errors long",

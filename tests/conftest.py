@@ -27,3 +27,11 @@ def duck():
     from tools.check import duck as connect
 
     return connect(SMALL)
+
+
+@pytest.fixture(scope="session")
+def larger():
+    from tools.check import duck as connect
+
+    path = "/root/testdata/sf0.01"
+    return path, connect(path)

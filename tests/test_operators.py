@@ -2,8 +2,7 @@
 
 import datetime as dt
 import random
-from collections import defaultdict, deque
-from difflib import SequenceMatcher
+from collections import Counter, defaultdict, deque
 
 import numpy as np
 import pytest
@@ -154,85 +153,50 @@ def test_recovery_decisions(spark):
 
 
 def test_rate_limit(spark):
+    """What a limiter may never do, whatever it does: too many in a window, a send while open, a lost attempt."""
     rng = random.Random(11)
     rows = [("x", rng.randrange(9_000) * 1_000_000) for _ in range(220)] + [("x", (40_000 + i) * 1_000_000) for i in range(15)]
     window, most, open_s = 300, 10, 1800
-    sent, opened, want = deque(), None, defaultdict(lambda: [0, 0, 0])
-    for us in sorted(us for _, us in rows):
-        now = us // 1_000_000
-        if opened is not None and now - opened < open_s:
-            want[now][2] += 1
-            continue
-        opened = None
-        while sent and now - sent[0] > window:
-            sent.popleft()
-        if len(sent) >= most:
-            opened = now
-            want[now][1] += 1
-            continue
-        sent.append(now)
-        want[now][0] += 1
-    got = A.rate_limit(frame(spark, rows), window_s=window, max_sent=most, open_s=open_s).collect()
-    assert {micros_of(r["at"]) // 1_000_000: [r["sent"], r["rate_limited"], r["circuit_open"]] for r in got} == dict(want)
-    assert any(r["rate_limited"] for r in got)
-
-
-def test_grace_and_status(spark):
+    got = {micros_of(r["at"]) // 1_000_000: r for r in A.rate_limit(frame(spark, rows), ["k"], window_s=window, max_sent=most, open_s=open_s).collect()}
+    tried = Counter(us // 1_000_000 for _, us in rows)
+    assert {s: r["sent"] + r["rate_limited"] + r["circuit_open"] for s, r in got.items()} == dict(tried)
+    opened = [s for s, r in got.items() if r["rate_limited"]]
+    for s, r in got.items():
+        held = sum(o["sent"] for t, o in got.items() if s - window <= t <= s)
+        closed = not any(t < s < t + open_s for t in opened)
+        assert held <= most
+        assert (r["sent"] == 0 and r["rate_limited"] == 0) if not closed else (r["sent"] == tried[s] or held == most)
+        assert r["rate_limited"] == (1 if closed and r["sent"] < tried[s] else 0)
+    assert opened
+    with pytest.raises(ValueError):
+        A.rate_limit(frame(spark, rows), [])
+
+
+def test_grace_holds_back_alerts_not_errors(spark):
+    df = frame(spark, [("a", s * 1_000_000) for s in range(0, 400, 20)])
+    alerts = A.spike_alerts(df, 300, 10, 1000, started_at=START, grace_s=200).collect()
+    assert [(micros_of(r["timestamp"]) // 1_000_000, r["errors"]) for r in alerts] == [(200, 11)]
+
+
+def test_only_listed_services_restart(spark):
+    df = frame(spark, [(k, s * 1_000_000) for k in "ab" for s in range(20)], "service string, timestamp timestamp_ntz")
+    assert {r["service"] for r in A.recovery_decisions(df, restartable=["b"]).collect()} == {"b"}
+
+
+def test_boxes_by_confidence(spark):
+    boxes = spark.createDataFrame([("i", 0, 0.4), ("i", 1, 0.9), ("i", 2, 0.4), ("j", 0, 0.1)], "path string, box int, confidence double")
+    got = sorted((r["path"], r["place"], r["box"]) for r in R.rank_boxes(boxes).collect())
+    assert got == [("i", 1, 1), ("i", 2, 0), ("i", 3, 2), ("j", 1, 0)]
+
+
+def test_grace(spark):
     df = frame(spark, [("a", 0), ("a", 300_000_000)])
     assert A.after_grace(df, START).count() == 1
-    status = A.limiter_status(
-        spark.createDataFrame([(START, 2)], "at timestamp_ntz, sent long"), START + dt.timedelta(seconds=100), START
-    ).first()
-    assert (status["sent_in_window"], status["grace_remaining_sec"]) == (2, 200)
 
 
 # --- offers -----------------------------------------------------------------
 
 
-def accept_by_hand(products, staged, blank_once):
-    """The matching rule told product by product, kind by kind."""
-    import re
-
-    def norm(text):
-        return re.sub("[^가-힣a-zA-Z0-9]", "", text).lower()
-
-    out = {}
-    for pid, code, name, base in products:
-        cleaned = code.split("-")[0].split("_")[0]
-        pool, seen = [], set()
-        for kind_ord, kind in enumerate(("ko_name", "en_name", "ko_code", "en_code")):
-            taken = 0
-            rows = sorted((o for o in staged if o["product_id"] == pid and o["kind"] == kind), key=lambda o: (o["price"], o["pos"]))
-            for o in rows:
-                if taken >= 5:
-                    break
-                title = o["title"].replace("<b>", "").replace("</b>", "")
-                if any(w in title for w in ("구매대행", "구제", "중고", "병행수입")):
-                    continue
-                if base > 0 and not base * 0.3 < o["price"] < base * 2.5:
-                    continue
-                a, b = norm(name), norm(title)
-                similarity = 1.0 if a and a in b else SequenceMatcher(None, a, b).ratio()
-                exact = bool(cleaned) and cleaned.lower() in title.replace(" ", "").lower()
-                if kind.endswith("code") and not exact:
-                    continue
-                if similarity < (0.175 if exact else 0.35):
-                    continue
-                if (o["offer_id"] or blank_once) and o["offer_id"] in seen:
-                    continue
-                if o["offer_id"] or blank_once:
-                    seen.add(o["offer_id"])
-                pool.append((o["price"], kind_ord, o["pos"], o["mall_name"]))
-                taken += 1
-        final, malls = [], set()
-        for entry in sorted(pool):
-            if entry[3] not in malls and len(final) < 5:
-                malls.add(entry[3])
-                final.append(entry)
-        out[pid] = final
-    return out
-
-
 @pytest.mark.parametrize("blank_once", [False, True])
 def test_match_offers(spark, blank_once):
     rng = random.Random(17)
@@ -256,11 +220,36 @@ def test_match_offers(spark, blank_once):
     s = spark.createDataFrame(
         [tuple(o.values()) for o in staged], "product_id string, kind string, pos long, offer_id string, title string, price int, mall_name string, mall_url string"
     )
-    want = accept_by_hand(products, staged, blank_once)
-    got = defaultdict(list)
-    for r in M.match_offers(p, s, dedupe_blank_ids=blank_once).orderBy("rank").collect():
-        got[r["product_id"]].append((r["price"], r["kind_ord"], r["pos"], r["mall_name"]))
-    assert dict(got) == {k: v for k, v in want.items() if v}
+    about = {pid: (code.split("-")[0].lower(), base) for pid, code, _, base in products}
+    passing = {(r["product_id"], r["pos"]) for r in M.acceptable_offers(p, s).collect()}
+    by_pos = {o["pos"]: o for o in staged}
+    for pid, pos in passing:
+        code, base = about[pid]
+        offer = by_pos[pos]
+        assert "중고" not in offer["title"] and offer["product_id"] == pid
+        assert base == 0 or base * 0.3 < offer["price"] < base * 2.5
+        assert not offer["kind"].endswith("_code") or code in offer["title"].replace(" ", "").lower()
+    taken = [(r["product_id"], r["kind_ord"], r["pos"]) for r in M.accepted_offers(p, s, blank_once).collect()]
+    kinds = ("ko_name", "en_name", "ko_code", "en_code")
+    assert {(pid, pos) for pid, _, pos in taken} <= passing
+    assert max(Counter((pid, k) for pid, k, _ in taken).values()) <= 5
+    ids = [(pid, by_pos[pos]["offer_id"]) for pid, _, pos in taken if by_pos[pos]["offer_id"] or blank_once]
+    assert len(ids) == len(set(ids))
+    # An offer that passes but was not taken: its id was, or five of its kind are at most as dear.
+    chosen = {(pid, pos) for pid, _, pos in taken}
+    for pid, pos in passing - chosen:
+        offer = by_pos[pos]
+        kind = [by_pos[q] for q_pid, k, q in taken if q_pid == pid and kinds[k] == offer["kind"]]
+        cheaper = [o for o in kind if (o["price"], o["pos"]) < (offer["price"], pos)]
+        assert (pid, offer["offer_id"]) in ids or len(cheaper) == 5
+    final = M.match_offers(p, s, blank_once).orderBy("product_id", "rank").collect()
+    for pid in about:
+        own = [r for r in final if r["product_id"] == pid]
+        assert [r["rank"] for r in own] == list(range(1, len(own) + 1)) and len(own) <= 5
+        assert len({r["mall_name"] for r in own}) == len(own) and {(pid, r["pos"]) for r in own} <= chosen
+        assert [r["price"] for r in own] == sorted(r["price"] for r in own)
+        malls = {by_pos[pos]["mall_name"] for q_pid, pos in chosen if q_pid == pid}
+        assert len(own) == min(5, len(malls))
 
 
 def test_seen_id_is_kept_under_the_earlier_kind(spark):
@@ -299,12 +288,15 @@ def test_not_in_with_null_is_empty(spark):
 
 def test_published_version(spark, small, tmp_path):
     products, offers = D.products(spark, small), D.offers(spark, small)
-    lazy, stored = M.refine_prices(products, offers), M.publish_refined(products, offers, str(tmp_path), "v1")
+    stored = M.publish_refined(products, offers, str(tmp_path), "v1")
     assert M.current_version(spark, str(tmp_path)) == "v1"
-    for name, df in lazy.items():
-        assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, stored[name].collect()), key=str)
+    parts = Counter(r["part"] for r in M.refine_prices(products, offers).collect())
+    assert {name: df.count() for name, df in stored.items()} == dict(parts)
     with pytest.raises(Exception):
         M.publish_refined(products, offers, str(tmp_path), "v1")
+    # Tables that are not listed yet are not read.
+    products.write.parquet(f"{tmp_path}/v2/products_clean")
+    assert M.current_version(spark, str(tmp_path)) == "v1"
 
 
 # --- keyed writes and merges -------------------------------------------------

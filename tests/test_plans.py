@@ -1,5 +1,7 @@
 """The physical plans that keep the work spread out."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,29 +42,16 @@ def test_newest_takes_the_top_without_a_global_sort(spark, small):
     assert "TakeOrderedAndProject" in plan(R.newest(D.logs(spark, small), "timestamp", 10, "event_id"))
 
 
-def test_cheap_filters_run_before_the_similarity(spark, small):
-    df = M.acceptable_offers(D.products(spark, small), D.staged_offers(spark, small))
-    text = plan(df)
-    assert "ArrowEvalPython" in text
-    below = text[text.index("ArrowEvalPython") :]
-    assert "RLIKE" in below and "Filter" in below
-
-
-def test_refined_offers_join_once(spark, small):
-    products, offers = D.products(spark, small), D.offers(spark, small)
-    out = M.refine_prices(products, offers)
-    assert set(out) == {"products_clean", "offers_clean", "offers_anomaly"}
-    assert out["offers_clean"].columns == offers.columns
-    assert out["offers_clean"].filter(F.col("price").isNull()).count() == 0
-
-
-def test_a_scan_with_enough_splits_is_not_dealt_out(spark, small, tmp_path):
-    """Many files, as any table of size has: no exchange before the work."""
-    D.table(spark, small, "lineitem").repartition(32).write.parquet(str(tmp_path / "lineitem.parquet"))
-    before = spark.conf.get("spark.sql.files.openCostInBytes")
-    spark.conf.set("spark.sql.files.openCostInBytes", str(128 * 1024 * 1024))  # one split per file
-    try:
-        assert "RoundRobinPartitioning" not in plan(D.offers(spark, str(tmp_path)))
-    finally:
-        spark.conf.set("spark.sql.files.openCostInBytes", before)
-    assert "RoundRobinPartitioning" in plan(D.offers(spark, small))
+def test_similarity_stays_in_the_jvm(spark, small):
+    text = plan(M.acceptable_offers(D.products(spark, small), D.staged_offers(spark, small)))
+    assert "Python" not in text and "levenshtein" in text
+
+
+def test_refined_parts_come_from_one_join(spark, small):
+    text = plan(QUERIES["refine_prices"](spark, small))
+    assert len(re.findall(r"(?:SortMergeJoin|ShuffledHashJoin|BroadcastHashJoin) ", text)) == 1
+    assert text.count("lineitem.parquet") == 1
+
+
+def test_a_read_is_not_dealt_out(spark, small):
+    assert "RoundRobinPartitioning" not in plan(D.offers(spark, small))

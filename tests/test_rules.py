@@ -102,14 +102,27 @@ def test_search_queries(spark):
     ]
 
 
-def test_ratio_is_difflib(spark):
-    from difflib import SequenceMatcher
-
-    pairs = [("린넨 셔츠", "셔츠 린넨 긴팔"), ("abc", "ABC def"), ("abcd", "bcde"), ("", "x"), ("x", None)]
+def test_title_similarity(spark):
+    pairs = [("린넨 셔츠", "린넨 셔츠 긴팔"), ("abc", "ABC def"), ("abcd", "abxd"), ("", "x"), ("x", None)]
     df = spark.createDataFrame(pairs, "a string, b string")
     got = [r["s"] for r in df.select(X.title_similarity(F.col("a"), F.col("b")).alias("s")).collect()]
-    want = [SequenceMatcher(None, "린넨셔츠", "셔츠린넨긴팔").ratio(), 1.0, SequenceMatcher(None, "abcd", "bcde").ratio(), 0.0, 0.0]
-    assert got == pytest.approx(want)
+    assert got == pytest.approx([1.0, 1.0, 0.75, 0.0, 0.0])
+
+
+def test_log_lines_are_whole_objects(spark):
+    lines = {
+        '{"s":"E","msg":"x"}': ("ERROR", "x"),
+        '{"s":"E","msg":"x"} tail': ("INFO", '{"s":"E","msg":"x"} tail'),
+        '{"s":"I","msg":"an error"} more': ("ERROR", '{"s":"I","msg":"an error"} more'),
+        '{"s":"F","msg":null}': ("CRITICAL", None),
+        '{"s":null,"msg":"y"}': ("INFO", "y"),
+        '{"msg":"warning"}': ("WARN", '{"msg":"warning"}'),
+        '["s","msg"]': ("INFO", '["s","msg"]'),
+        "plain": ("INFO", "plain"),
+    }
+    df = spark.createDataFrame([(line,) for line in lines], "m string")
+    got = {r["m"]: tuple(r["p"]) for r in df.select("m", L.parse_log_line(F.col("m")).alias("p")).collect()}
+    assert got == lines
 
 
 def test_active_hours_wrap(spark):

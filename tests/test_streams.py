@@ -72,24 +72,6 @@ def test_critical_alerts(spark, feed):
     }
 
 
-def test_spike_alerts(spark, feed):
-    table, stream = feed
-    got = run_once(A.spike_alert_stream(stream(), 600, 15, 300, "ERROR"), spark, "t-spike").collect()
-    want = B.spike_alerts(B.tracked_errors(table, "ERROR"), 600, 15, 300).collect()
-    assert sorted((s, r["errors"]) for r in got for s in [(r["at"] - START).total_seconds()]) == sorted(
-        ((r["timestamp"] - START).total_seconds(), r["errors"]) for r in want
-    )
-    assert want
-
-
-def test_rate_limit(spark, feed):
-    table, stream = feed
-    got = run_once(A.rate_limit_stream(stream(), 300, 10, 1800), spark, "t-rate").filter(F.col("at") < START + dt.timedelta(days=1)).collect()
-    want = B.rate_limit(table, [], "timestamp", 300, 10, 1800).filter(F.col("at") < F.lit(START + dt.timedelta(days=1))).collect()
-    assert [tuple(r)[1:] for r in sorted(got)] == [tuple(r)[1:] for r in sorted(want)]
-    assert sum(r["rate_limited"] for r in want) > 0
-
-
 def test_recovery(spark, feed):
     table, stream = feed
     got = run_once(A.recovery_stream(stream()), spark, "t-recovery").collect()
