@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-SAMPLE = 1200  # labelled texts the network learns from at most, half of each class
-STEP = 256  # a chunk is two steps of positions; neighbouring chunks share one
-CHUNKS = 6  # chunks of a text that are learnt from, spread over it; scoring takes them all
-WIDTH, DEPTH, FILTERS = 8, 4, 24  # bytes a filter sees, numbers that stand for a byte, filters
+SAMPLE = 2400  # labelled texts the network learns from at most, half of each class
+STEP = 64  # a chunk is two steps of positions; neighbouring chunks share one
+CHUNKS = 16  # chunks of a text that are learnt from, spread over it; scoring takes them all
+WIDTH, DEPTH, FILTERS = 8, 4, 32  # bytes a filter sees, numbers that stand for a byte, filters
 EPOCHS, BATCH, RATE, DECAY = 14, 48, 0.006, 1e-4
 SLICE = 1 << 16  # positions worked on at once
 
