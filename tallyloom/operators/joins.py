@@ -27,13 +27,30 @@ def with_lowest_price(products: DataFrame, offers: DataFrame) -> DataFrame:
     )
 
 
+def with_cheapest_offer(rows: DataFrame, offers: DataFrame, key: str = "product_id") -> DataFrame:
+    """Add ``cheapest``, the struct (price, mall_name, mall_url) of each row's cheapest offer, ties by offer id.
+
+    For few rows and many offers: the offers are reduced to those of the rows
+    by the join, and only these are folded. ``rows`` holds a key once.
+    """
+    wanted = rows.select(F.col(key).alias("__key"))
+    mine = wanted.join(offers, F.col("__key") == offers["product_id"])
+    best = mine.groupBy("__key").agg(F.min_by(F.struct("price", "mall_name", "mall_url"), F.struct("price", "offer_id")).alias("cheapest"))
+    return rows.join(best, rows[key] == best["__key"], "left").drop("__key")
+
+
 def activity_feed(
     activity: DataFrame, products: DataFrame, offers: DataFrame, user_id: str, limit: int = 20, ts: str = "at"
 ) -> DataFrame:
-    """A user's products, newest first, with lowest prices. The user filter reaches the scan."""
+    """A user's products, newest first, with lowest prices. The user filter reaches the scan.
+
+    The order does not depend on offers, so only the offers of the rows shown are looked at.
+    """
     mine = activity.filter(P.owned_by(F.col("user_id"), user_id))
-    feed = with_lowest_price(mine.join(products, "product_id"), offers)
-    return feed.orderBy(F.desc(ts), F.asc("product_id")).limit(limit)
+    newest = mine.join(products, "product_id").orderBy(F.desc(ts), F.asc("product_id")).limit(limit)
+    priced = with_cheapest_offer(newest, offers).withColumn("lowest_price", F.coalesce("cheapest.price", "base_price"))
+    priced = priced.withColumn("mall_name", F.col("cheapest.mall_name")).withColumn("mall_url", F.col("cheapest.mall_url"))
+    return priced.drop("cheapest").orderBy(F.desc(ts), F.asc("product_id"))
 
 
 def tag_offers(products: DataFrame, offers: DataFrame) -> DataFrame:
@@ -170,20 +187,22 @@ def hydrate_scores(
 ) -> DataFrame:
     """(query_id, id, score) joined to products and lowest prices; best ``limit`` per query.
 
-    Unknown ids drop out. Several rank-1 offers of one product count once, the
-    cheapest, folded before the join. ``key`` is the product column the
-    search ids stand for.
+    Unknown ids drop out. The best are picked first, which takes no price, and
+    only the offers of what is shown are folded to the cheapest. ``key`` is the
+    product column the search ids stand for.
     """
     from tallyloom.operators.ranking import top_per_key
 
-    cheapest = (
-        offers.filter(F.col("rank") == 1)
-        .groupBy("product_id")
-        .agg(F.min_by(F.struct("price", "mall_name", "mall_url"), F.struct("price", "mall_name")).alias("__o"))
-    )
     wanted = products if condition is None else products.filter(condition)
     hits = scores.filter(F.col("score").isNotNull()).join(wanted, scores["id"] == wanted[key])
-    priced = hits.join(cheapest, "product_id", "left").select(
+    hits = hits.withColumn("similarity_score", F.round("score", 4))
+    best = top_per_key(hits, ["query_id"], [F.desc("similarity_score"), F.desc("product_id")], limit)
+    mine = best.select(F.col("query_id").alias("__q"), F.col("product_id").alias("__p")).join(offers, F.col("__p") == offers["product_id"])
+    cheapest = mine.groupBy("__q", "__p").agg(
+        F.min_by(F.struct("price", "mall_name", "mall_url"), F.struct("price", "offer_id")).alias("__o")
+    )
+    priced = best.join(cheapest, (F.col("query_id") == F.col("__q")) & (F.col("product_id") == F.col("__p")), "left")
+    return priced.select(
         "query_id",
         "product_id",
         "prod_name",
@@ -192,10 +211,10 @@ def hydrate_scores(
         display_path(F.col("img_hdfs_path")).alias("image_url"),
         or_default(F.col("__o.mall_name"), C.DEFAULT_MALL).alias("mall_name"),
         or_default(F.col("__o.mall_url"), C.DEFAULT_MALL_URL).alias("mall_url"),
-        F.round("score", 4).alias("similarity_score"),
+        "similarity_score",
         F.lit(source).alias("search_source"),
+        "rank",
     )
-    return top_per_key(priced, ["query_id"], [F.desc("similarity_score"), F.desc("product_id")], limit)
 
 
 def or_default(value: Column, default: str) -> Column:

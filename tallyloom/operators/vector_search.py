@@ -17,10 +17,6 @@ from tallyloom.functions import constants as C
 from tallyloom.functions.vectors import dot, l2_normalize, norm
 from tallyloom.operators.ranking import rank_hits
 
-# What every task may hold of the queries: rows, vector values (64 MB as float64), and hits kept.
-BROADCAST_ROWS = 20_000
-BROADCAST_VALUES = 8_000_000
-BROADCAST_HITS = 5_000_000
 # Rows of one side that meet in a cell of the grid, and scores computed at a time.
 QUERIES_PER_CELL, ITEMS_PER_CELL = 2_000, 50_000
 SCORES_AT_ONCE = 4_000_000
@@ -82,40 +78,15 @@ def _best(queries: pd.DataFrame, unit_queries: np.ndarray, batch: pd.DataFrame,
     return pd.concat(out, ignore_index=True)
 
 
-def _top(hits: list[pd.DataFrame], k: int) -> pd.DataFrame:
-    rows = pd.concat(hits, ignore_index=True).sort_values(["query_id", "score", "id"], ascending=[True, False, True])
-    return rows.groupby("query_id", sort=False).head(k)
-
-
 def _hits_schema(queries: DataFrame) -> str:
     return f"query_id {dict(queries.dtypes)['query_id']}, id string, score double"
 
 
-def _by_broadcast(items: DataFrame, queries: DataFrame, names: Sequence[str], k: int, held: pd.DataFrame) -> DataFrame:
-    """Items stay where they are; a task answers with at most k rows per query, however many batches it reads."""
-    shared = items.sparkSession.sparkContext.broadcast((held, _unit(_matrix(held["vector"]))))
-    room = max(1_000_000, 4 * k * len(held))
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, unit = shared.value
-        kept: list[pd.DataFrame] = []
-        for batch in batches:
-            if len(batch):
-                kept.append(_best(table, unit, batch, names, k))
-            if sum(map(len, kept)) > room:
-                kept = [_top(kept, k)]
-        if kept:
-            yield _top(kept, k)
-
-    return items.mapInPandas(scan, _hits_schema(queries))
-
-
 def _by_grid(items: DataFrame, queries: DataFrame, names: Sequence[str], k: int, cell: tuple[int, int]) -> DataFrame:
     """Blocks of queries meet blocks of items; a cell holds about ``cell`` rows of each, whatever the totals."""
-    rows, columns = (
-        int(df.agg(F.greatest(F.ceil(F.count("*") / F.lit(size)), F.lit(1)).alias("n")).first()["n"])
-        for df, size in ((queries, cell[0]), (items, cell[1]))
-    )
+    sides = queries.select(F.lit(0).alias("side")).unionAll(items.select(F.lit(1).alias("side")))
+    counts = {row["side"]: row["n"] for row in sides.groupBy("side").agg(F.count("*").alias("n")).collect()}
+    rows, columns = (max(1, -(-counts.get(side, 0) // cell[side])) for side in (0, 1))
 
     def block(name: str, blocks: int):
         return F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
@@ -142,31 +113,22 @@ def knn(
     filters: Sequence[str] = (),
     condition: Column | None = None,
     cell: tuple[int, int] = (QUERIES_PER_CELL, ITEMS_PER_CELL),
-    broadcast_values: int = BROADCAST_VALUES,
 ) -> DataFrame:
     """Exact cosine top k per query: (query_id, id, score, rank).
 
     Items without the vector are left out. ``filters`` names metadata columns
     for which a query may hold a list of allowed values (NULL: all);
     ``condition`` is a filter common to all queries and goes into the scan.
-    Query vectors are sent to the tasks only while they are few; past the
-    bounds above both sides are cut into blocks of bounded size that meet in a
-    grid. A task returns at most k rows per query, so the final ranking is small.
+    Both sides are cut into blocks of bounded size that meet in a grid, whatever
+    their number. A cell returns at most k rows per query, so the final ranking
+    is small.
     """
     usable = items.filter(F.col(field).isNotNull())
     if condition is not None:
         usable = usable.filter(condition)
     usable = usable.select(F.col("id").cast("string").alias("id"), F.col(field).alias("__vec"), *filters)
     asked = queries.filter(F.col("vector").isNotNull()).select("query_id", "vector", *filters)
-    most = min(BROADCAST_ROWS, BROADCAST_HITS // k)
-    held = asked.limit(most + 1).toPandas() if broadcast_values else None
-    if held is None or len(held) > most or sum(map(len, held["vector"])) > broadcast_values:
-        hits = _by_grid(usable, asked, filters, k, cell)
-    elif len(held):
-        hits = _by_broadcast(usable, asked, filters, k, held)
-    else:
-        hits = asked.limit(0).select("query_id", F.lit("").alias("id"), F.lit(0.0).alias("score"))
-    return rank_hits(hits, k=k)
+    return rank_hits(_by_grid(usable, asked, filters, k, cell), k=k)
 
 
 def knn_within(items: DataFrame, queries: DataFrame, field: str, candidates: DataFrame, k: int) -> DataFrame:

@@ -196,7 +196,7 @@ def views_and_likes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         "event_id",
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"),
-        (F.col("event_id") * 7 % 2000).cast("string").alias("product_id"),
+        F.expr("event_id div 5").cast("string").alias("product_id"),
         F.col("event_type").alias("action"),
         F.col("ts").alias("at"),
     )
@@ -204,7 +204,7 @@ def views_and_likes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ACTIVITY_SQL = """activity AS (
   SELECT event_id, concat('u', CAST(user_id AS VARCHAR)) AS user_id,
-         CAST(event_id * 7 % 2000 AS VARCHAR) AS product_id, event_type AS action, ts AS "at"
+         CAST(event_id // 5 AS VARCHAR) AS product_id, event_type AS action, ts AS "at"
   FROM events)"""
 
 

@@ -32,11 +32,11 @@ def search_and_hydrate(
     spare = random_rows(products if condition is None else products.filter(condition), "product_id", limit, seed)
     shown = ["product_id", "prod_name", "brand_name", "price", "image_url", "mall_name", "mall_url"]
     priced = (
-        J.with_lowest_price(spare, offers)
-        .withColumn("price", F.col("lowest_price"))
+        J.with_cheapest_offer(spare, offers)
+        .withColumn("price", F.coalesce("cheapest.price", "base_price"))
         .withColumn("image_url", J.display_path(F.col("img_hdfs_path")))
-        .withColumn("mall_name", J.or_default(F.col("mall_name"), C.DEFAULT_MALL))
-        .withColumn("mall_url", J.or_default(F.col("mall_url"), C.DEFAULT_MALL_URL))
+        .withColumn("mall_name", J.or_default(F.col("cheapest.mall_name"), C.DEFAULT_MALL))
+        .withColumn("mall_url", J.or_default(F.col("cheapest.mall_url"), C.DEFAULT_MALL_URL))
     )
     packed = priced.agg(F.sort_array(F.collect_list(F.struct(*shown))).alias("rows"))  # ``limit`` rows
     offered = (

@@ -13,7 +13,7 @@ from tallyloom.operators import sets as S
 from tallyloom.plans import domain as D
 from tallyloom.plans.domain import ACTIVITY_SQL, OFFERS_SQL, PRODUCTS_SQL, with_
 from tallyloom.queries import register
-from tallyloom.queries.offers import MALL_SQL, RANKED_SQL, ranked_offers
+from tallyloom.queries.offers import MALL_SQL, RANKED_SQL
 
 FEED = """SELECT product_id, prod_name, brand_name, base_price, coalesce(r.price, base_price) AS lowest_price, r.mall_name, "at"
 FROM mine JOIN products p USING (product_id) LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) r USING (product_id)
@@ -28,7 +28,7 @@ FEED_COLUMNS = ("product_id", "prod_name", "brand_name", "base_price", "lowest_p
 )
 def recent_views_feed(spark, d):
     views = K.touch_latest(D.views_and_likes(spark, d).filter(F.col("action") == "view"), ["user_id", "product_id"])
-    return J.activity_feed(views, D.products(spark, d), ranked_offers(spark, d), "u7").select(*FEED_COLUMNS)
+    return J.activity_feed(views, D.products(spark, d), D.offers(spark, d), "u7").select(*FEED_COLUMNS)
 
 
 @register(
@@ -42,7 +42,7 @@ def recent_views_feed(spark, d):
 def likes_feed(spark, d):
     clicks = D.views_and_likes(spark, d).filter(F.col("action").isin("click", "error"))
     likes = K.toggle_state(clicks, ["user_id", "product_id"], "click")
-    return J.activity_feed(likes, D.products(spark, d), ranked_offers(spark, d), "u9").select(*FEED_COLUMNS)
+    return J.activity_feed(likes, D.products(spark, d), D.offers(spark, d), "u9").select(*FEED_COLUMNS)
 
 
 # Board: orders are posts, customers are users, line items are comments.

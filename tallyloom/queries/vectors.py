@@ -12,7 +12,7 @@ from tallyloom.plans import domain as D
 from tallyloom.plans import search as S
 from tallyloom.plans.domain import ITEMS_SQL, OFFERS_SQL, PRODUCTS_SQL, with_
 from tallyloom.queries import register
-from tallyloom.queries.offers import MALL_SQL, RANKED_SQL, ranked_offers
+from tallyloom.queries.offers import MALL_SQL, RANKED_SQL
 
 # One query per (label, last digit): the group's first vector as image, its last as text.
 ASKED_SQL = """asked AS (
@@ -72,9 +72,9 @@ def knn_text(spark, d):
 
 @register("knn_grid", with_(ITEMS_SQL, ASKED_SQL, hits_sql("hits", "image_vector", 20)) + ROUNDED + "hits")
 def knn_grid(spark, d):
-    """The plan for queries too many to broadcast."""
+    """Small cells, so that many meet."""
     return rounded(
-        V.knn(D.items(spark, d), image_queries(spark, d), "image_vector", 20, ("category", "gender"), cell=(40, 150), broadcast_values=0)
+        V.knn(D.items(spark, d), image_queries(spark, d), "image_vector", 20, ("category", "gender"), cell=(40, 150))
     )
 
 
@@ -126,10 +126,10 @@ def search_sql(fuse: str) -> str:
     return with_(
         ITEMS_SQL,
         MODES_SQL,
-        hits_sql("by_image", "image_vector", 60),
+        hits_sql("by_image", "image_vector", 300),
         hits_sql("by_text", "text_vector", 6, FILTERS + " AND q.image_vector IS NULL"),
         "image_hits AS (SELECT h.* FROM by_image h JOIN asked q USING (query_id) WHERE q.text_vector IS NOT NULL)",
-        hits_sql("text_hits", "text_vector", 60, "TRUE", "JOIN image_hits c ON c.query_id = q.query_id AND c.id = i.id"),
+        hits_sql("text_hits", "text_vector", 300, "TRUE", "JOIN image_hits c ON c.query_id = q.query_id AND c.id = i.id"),
         fuse,
         """found AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM fused
   UNION ALL SELECT h.* FROM by_image h JOIN asked q USING (query_id) WHERE q.text_vector IS NULL UNION ALL SELECT * FROM by_text)""",
@@ -147,12 +147,12 @@ def mixed(spark, d):
 
 @register("search", search_sql(RRF_SQL) + ROUNDED + "found WHERE rank <= 6")
 def search(spark, d):
-    return rounded(V.search(D.items(spark, d), mixed(spark, d), image_k=60, text_k=60))
+    return rounded(V.search(D.items(spark, d), mixed(spark, d)))
 
 
 @register("search_minmax", search_sql(MINMAX_SQL) + ROUNDED + "found WHERE rank <= 6")
 def search_minmax(spark, d):
-    return rounded(V.search(D.items(spark, d), mixed(spark, d), image_k=60, text_k=60, fusion="minmax"))
+    return rounded(V.search(D.items(spark, d), mixed(spark, d), fusion="minmax"))
 
 
 @register(
@@ -181,37 +181,50 @@ def score_map(spark, d):
     )
 
 
+# Every third supplier has neither a name nor an address.
+NAMELESS_SQL = OFFERS_SQL.replace("concat('mall', CAST(l_suppkey AS VARCHAR))", "CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE concat('mall', CAST(l_suppkey AS VARCHAR)) END").replace(
+    "concat('https://mall/', CAST(l_suppkey AS VARCHAR))", "CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE concat('https://mall/', CAST(l_suppkey AS VARCHAR)) END"
+)
+
+
+def nameless_offers(spark, d):
+    named = F.substring_index("mall_url", "/", -1).cast("long") % 3 != 0
+    offers = D.offers(spark, d).withColumn("__named", named)
+    shown = [F.when(F.col("__named"), F.col(c)).otherwise("").alias(c) for c in ("mall_name", "mall_url")]
+    return offers.select("offer_id", "product_id", "price", *shown)
+
+
 PLACEHOLDER = "https://placehold.co/300x300?text=No+Image"
 HYDRATE_SQL = f"""hydrated AS (
   SELECT query_id, p.product_id, prod_name, brand_name, coalesce(r.price, base_price) AS price,
     coalesce(CASE WHEN starts_with(img_hdfs_path, '/') THEN img_hdfs_path ELSE '/' || img_hdfs_path END, '{PLACEHOLDER}') AS image_url,
-    coalesce(r.mall_name, '공식몰') AS mall_name, coalesce(r.mall_url, '#') AS mall_url, round(score, 4) AS similarity_score, 'vector' AS search_source
+    coalesce(nullif(r.mall_name, ''), '공식몰') AS mall_name, coalesce(nullif(r.mall_url, ''), '#') AS mall_url, round(score, 4) AS similarity_score, 'vector' AS search_source
   FROM scores s JOIN products p ON s.id = p.product_id AND p.gender = 'men' LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) r ON r.product_id = p.product_id),
 best AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, product_id DESC) AS INTEGER) AS rank FROM hydrated) WHERE rank <= 6)"""
 
 
 @register(
     "hydrate_scores",
-    with_(ITEMS_SQL, ASKED_SQL, hits_sql("scores", "image_vector", 20), PRODUCTS_SQL, OFFERS_SQL, MALL_SQL, RANKED_SQL, HYDRATE_SQL)
+    with_(ITEMS_SQL, ASKED_SQL, hits_sql("scores", "image_vector", 20), PRODUCTS_SQL, NAMELESS_SQL, MALL_SQL, RANKED_SQL, HYDRATE_SQL)
     + "SELECT * FROM best",
 )
 def hydrate_scores(spark, d):
     hits = V.knn(D.items(spark, d), image_queries(spark, d), "image_vector", 20, ("category", "gender"))
-    return J.hydrate_scores(hits.drop("rank"), D.products(spark, d), ranked_offers(spark, d), F.col("gender") == "men")
+    return J.hydrate_scores(hits.drop("rank"), D.products(spark, d), nameless_offers(spark, d), F.col("gender") == "men")
 
 
 SPARE_SQL = f"""spare AS (SELECT p.product_id, prod_name, brand_name, coalesce(r.price, base_price) AS price,
     coalesce(CASE WHEN starts_with(img_hdfs_path, '/') THEN img_hdfs_path ELSE '/' || img_hdfs_path END, '{PLACEHOLDER}') AS image_url,
-    coalesce(r.mall_name, '공식몰') AS mall_name, coalesce(r.mall_url, '#') AS mall_url
+    coalesce(nullif(r.mall_name, ''), '공식몰') AS mall_name, coalesce(nullif(r.mall_url, ''), '#') AS mall_url
   FROM (SELECT * FROM products WHERE gender = 'men' ORDER BY md5('0#' || product_id), product_id LIMIT 6) p
   LEFT JOIN (SELECT * FROM ranked WHERE rank = 1) r ON r.product_id = p.product_id)"""
 
 
 @register(
     "search_and_hydrate",
-    search_sql(RRF_SQL).replace("rank <= 60", "rank <= 300").rstrip()
+    search_sql(RRF_SQL).rstrip()
     + ",\n"
-    + ",\n".join(["scores AS (SELECT * FROM found WHERE rank <= 6)", PRODUCTS_SQL, OFFERS_SQL, MALL_SQL, RANKED_SQL, HYDRATE_SQL, SPARE_SQL])
+    + ",\n".join(["scores AS (SELECT * FROM found WHERE rank <= 6)", PRODUCTS_SQL, NAMELESS_SQL, MALL_SQL, RANKED_SQL, HYDRATE_SQL, SPARE_SQL])
     + """
 SELECT * FROM best
 UNION ALL BY NAME
@@ -220,19 +233,19 @@ FROM asked, spare s WHERE query_id NOT IN (SELECT query_id FROM best)""",
 )
 def search_and_hydrate(spark, d):
     return S.search_and_hydrate(
-        D.items(spark, d), mixed(spark, d), D.products(spark, d), ranked_offers(spark, d), condition=F.col("gender") == "men"
+        D.items(spark, d), mixed(spark, d), D.products(spark, d), nameless_offers(spark, d), condition=F.col("gender") == "men"
     )
 
 
 @register(
     "search_log",
-    search_sql(RRF_SQL).replace("rank <= 60", "rank <= 300")
+    search_sql(RRF_SQL)
     + """SELECT q.query_id, 1000 + row_number() OVER (ORDER BY q.query_id) AS log_id, coalesce(n, 6) AS result_count, 'completed' AS search_status
 FROM asked q LEFT JOIN (SELECT query_id, count(*) AS n FROM found JOIN part ON id = CAST(p_partkey AS VARCHAR) WHERE rank <= 6 GROUP BY 1) USING (query_id)""",
 )
 def search_log(spark, d):
     queries = mixed(spark, d)
-    hydrated = S.search_and_hydrate(queries=queries, items=D.items(spark, d), products=D.products(spark, d), offers=ranked_offers(spark, d))
+    hydrated = S.search_and_hydrate(queries=queries, items=D.items(spark, d), products=D.products(spark, d), offers=nameless_offers(spark, d))
     return S.log_search(queries.select("query_id"), hydrated, last_id=1000)[0]
 
 

@@ -374,7 +374,7 @@ def corpus(spark):
     return items, queries, want
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_values": 0, "cell": (4, 90)}])
+@pytest.mark.parametrize("options", [{}, {"cell": (4, 90)}])
 def test_knn_is_exact(corpus, options):
     items, queries, want = corpus
     got = defaultdict(list)
@@ -385,18 +385,6 @@ def test_knn_is_exact(corpus, options):
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in hits])
 
 
-def test_knn_merges_batches_of_a_task(spark, corpus):
-    items, queries, want = corpus
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "17")
-    try:
-        got = V.knn(items.coalesce(1), queries, "image_vector", 15, ("category",)).filter("query_id = 1").orderBy("rank").collect()
-        assert [r["id"] for r in got] == [i for i, _ in want[1]]
-    finally:
-        spark.conf.set(name, before)
-
-
 def test_lsh_finds_most(corpus):
     items, queries, _ = corpus
     exact = {(r["query_id"], r["id"]) for r in V.knn(items, queries, "image_vector", 5).collect()}

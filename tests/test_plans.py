@@ -24,7 +24,7 @@ def test_no_single_partition_and_no_cross_product(spark, small, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
-@pytest.mark.parametrize("name", ["rank_offers", "match_offers", "knn_image", "best_detection", "latest_per_container"])
+@pytest.mark.parametrize("name", ["rank_offers", "match_offers", "best_detection", "latest_per_container"])
 def test_groups_are_limited_before_the_exchange(spark, small, name):
     text = plan(QUERIES[name](spark, small))
     assert "WindowGroupLimit" in text and "Partial" in text
