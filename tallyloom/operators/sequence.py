@@ -1,8 +1,8 @@
-"""Dense numbering without a single-partition window."""
+"""Order across tasks: dense numbers and running values without a single-partition window."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,41 @@ from pyspark.sql import functions as F
 from tallyloom.session import materialize
 
 
+def placed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows ranged over partitions by (keys, order) and sorted, with ``__part`` and ``__at``.
+
+    Ranges are cut by counted rows, so a hot key or a burst is as many
+    partitions as it needs; ``order`` should be total, since equal rows are
+    not parted. Written to the shared checkpoint folder, which freezes each
+    row's partition and place: ``__at`` grows by one from row to row of a
+    partition.
+    """
+    ranged = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).sortWithinPartitions(*keys, *order)
+    frozen = materialize(ranged.withColumn("__at", F.monotonically_increasing_id()))
+    return frozen.withColumn("__part", F.shiftright("__at", 33))
+
+
+def carried(rows: DataFrame, keys: Sequence[str], value: Column, over: Callable[[Column], Column], name: str) -> DataFrame:
+    """(keys, __part, name): ``over`` of ``value`` in all partitions of the key before this one.
+
+    One row per key and partition is ordered; ranges follow each other, so
+    there are at most as many as keys and partitions together.
+    """
+    ends = rows.groupBy(*keys, "__part").agg(over(value).alias("__end"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return ends.select(*keys, "__part", over(F.col("__end")).over(before).alias(name))
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add ``name``, the sum of ``value`` up to and with each row of its key in ``order``; no task sees a whole key."""
+    rows = placed(df, keys, order)
+    inside = Window.partitionBy(*keys, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    before = carried(rows, keys, F.col(value), F.sum, "__before")
+    total = F.sum(value).over(inside)
+    summed = rows.withColumn(name, total).join(before, [*keys, "__part"])
+    return summed.withColumn(name, F.col(name) + F.coalesce("__before", F.lit(0))).drop("__before", "__at", "__part")
+
+
 def assign_sequence(
     df: DataFrame,
     order: Sequence[str],
@@ -20,19 +55,13 @@ def assign_sequence(
     """Number rows 1..n in ``order`` within ``group``, continuing after ``last_seq``.
 
     ``order`` has to be total (end it with a unique column), then a hot value
-    spreads over partitions. Rows are range-partitioned and sorted once and
-    written to the shared checkpoint folder, which freezes each row's
-    partition and position. What is left works on one row per partition and
-    group. ``last_seq`` has the columns (group, last_seq).
+    spreads over partitions. Once the rows are placed, what is left works on
+    one row per partition and group. ``last_seq`` has the columns (group,
+    last_seq) and meets only those.
     """
     key = [group] if group else []
-    placed = (
-        df.repartitionByRange(*[F.col(c) for c in [*key, *order]])
-        .sortWithinPartitions(*key, *order)
-        .withColumn("__at", F.monotonically_increasing_id())
-    )
-    placed = materialize(placed).withColumn("__part", F.shiftright("__at", 33))
-    sizes = placed.groupBy(*key, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    rows = placed(df, key, order)
+    sizes = rows.groupBy(*key, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
     before = F.sum("__n").over(
         Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -41,8 +70,7 @@ def assign_sequence(
         stored = last_seq.select(group, F.col("last_seq").cast("long").alias("__last"))
         offsets = offsets.join(stored, group, "left").withColumn("__before", F.col("__before") + F.coalesce("__last", F.lit(0)))
         offsets = offsets.drop("__last")
-    # Ranges follow each other, so there are at most partitions + groups offsets.
-    numbered = placed.join(offsets, [*key, "__part"])
+    numbered = rows.join(offsets, [*key, "__part"])
     number: Column = F.col("__at") - F.col("__first") + F.col("__before") + 1
     return numbered.select(*df.columns, number.cast("long").alias(name))
 

@@ -1,9 +1,9 @@
 """Ordered operators that never send a whole key through one task.
 
-A hot key may hold a third of all rows, so each one is cut into time chunks:
-rows of (key, chunk) are ordered together, and what a chunk needs from its
-past is either copied in (bounded by the window) or handed over as one small
-summary row per chunk.
+A hot key may hold a third of all rows, and most of those in one second, so
+rows are ranged over partitions by count (``sequence.placed``). What a
+partition needs from its key's past is handed over as one small summary row
+per key and partition.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.sequence import carried, placed, running_sum
+
 MICROS = 1_000_000
 
 
@@ -23,98 +25,57 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros(column.cast("timestamp"))
 
 
-def chunk_of(us: Column, span: Column) -> Column:
-    """Number of the whole span a time falls in; exact, also before the epoch."""
-    return ((us - F.pmod(us, span)) / span).cast("long")
-
-
 def from_micros(value: Column) -> Column:
     return F.timestamp_micros(value).cast("timestamp_ntz")
 
 
-def sliding_count(
-    df: DataFrame, keys: Sequence[str], ts: str, seconds: int, name: str = "in_window", chunk: int = 8
-) -> DataFrame:
+def sliding_count(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, name: str = "in_window") -> DataFrame:
     """Distinct (keys, ts) with the number of rows aged 0..``seconds`` (both ends in).
 
-    Rows of equal key and time are counted first, before any exchange. A chunk
-    spans ``chunk`` windows; only rows in the last window of a chunk are
-    copied to the next one.
+    Rows of equal key and time are counted first. Every time then enters the
+    window with its count and leaves it again ``seconds`` later, behind what
+    enters at that moment: the running sum of both is the number inside.
     """
-    keys = list(keys)
-    span, width = seconds * chunk * MICROS, seconds * MICROS
-    counted = df.groupBy(*keys, ts).agg(F.count("*").alias("__n")).withColumn("__us", micros(ts))
-    own = chunk_of(F.col("__us"), F.lit(span))
-    near_end = F.col("__us") >= (own + 1) * F.lit(span) - width
-    spread = counted.withColumn("__own", own).withColumn(
-        "__chunk", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own)))
-    )
-    window = Window.partitionBy(*keys, "__chunk").orderBy("__us").rangeBetween(-width, Window.currentRow)
-    return (
-        spread.withColumn(name, F.sum("__n").over(window))
-        .filter(F.col("__own") == F.col("__chunk"))
-        .drop("__n", "__us", "__own", "__chunk")
-    )
+    own = list(keys) or ["__all"]
+    if not keys:
+        df = df.withColumn("__all", F.lit(0))
+    counted = df.groupBy(*own, ts).agg(F.count("*").alias("__n")).withColumn("__us", micros(ts))
+    entry = F.struct(F.col("__us").alias("us"), F.lit(0).alias("leaves"), F.col("__n").alias("change"))
+    exit_ = F.struct((F.col("__us") + seconds * MICROS).alias("us"), F.lit(1).alias("leaves"), (-F.col("__n")).alias("change"))
+    steps = counted.select(*own, ts, F.explode(F.array(entry, exit_)).alias("s")).select(*own, ts, "s.*")
+    summed = running_sum(steps, own, ["us", "leaves"], "change", name)
+    return summed.filter("leaves = 0").drop("us", "leaves", "change", "__all")
 
 
-def chunked_lag(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, columns: Sequence[str], chunk_s: int = 86400
-) -> DataFrame:
-    """``prev_<c>`` of the row before, per key and in ``order`` (whose first column is ``ts``)."""
+def chunked_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``prev_<c>`` of the row before, per key and in ``order``, which has to be total."""
     keys = list(keys)
-    chunked = df.withColumn("__chunk", chunk_of(micros(ts), F.lit(chunk_s * MICROS)))
-    window = Window.partitionBy(*keys, "__chunk").orderBy(*order)
+    rows = placed(df, keys, order)
     packed = F.struct(*[F.col(c) for c in columns])
-    inside = chunked.withColumn("__prev", F.lag(packed).over(window))
-    # Last row of every chunk, then the chunk before it: one row per key and chunk.
-    ends = chunked.groupBy(*keys, "__chunk").agg(F.max_by(packed, F.struct(*order)).alias("__end"))
-    handed = ends.withColumn(
-        "__before", F.lag("__end").over(Window.partitionBy(*keys).orderBy("__chunk"))
-    ).select(*keys, "__chunk", "__before")
-    return (
-        inside.join(handed, [*keys, "__chunk"], "left")
-        .select(
-            *df.columns,
-            *[F.coalesce(F.col(f"__prev.{c}"), F.when(F.col("__prev").isNull(), F.col(f"__before.{c}"))).alias(f"prev_{c}") for c in columns],
-        )
+    inside = rows.withColumn("__prev", F.lag(packed).over(Window.partitionBy(*keys, "__part").orderBy("__at")))
+    # The last row of the partitions before: the one that stands latest.
+    last = carried(rows, keys, F.struct("__at", packed.alias("row")), F.max, "__before")
+    joined = inside.join(last, [*keys, "__part"], "left")
+    return joined.select(
+        *df.columns,
+        *[F.when(F.col("__prev").isNull(), F.col(f"__before.row.{c}")).otherwise(F.col(f"__prev.{c}")).alias(f"prev_{c}") for c in columns],
     )
 
 
 def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_s: int, name: str = "session") -> DataFrame:
     """Number the runs of a key whose rows follow each other in less than ``gap_s``.
 
-    The session id is the start time of the run in micros. Chunks are summed
-    first: only (key, chunk) rows are ordered across chunks.
+    The session id is the start time of the run in micros: the latest time
+    that began a run, so far.
     """
     keys = list(keys)
-    gap = gap_s * MICROS
-    chunk_us = max(gap * 8, 3600 * MICROS)
-    marked = chunked_lag(
-        df.withColumn("__us", micros(ts)), keys, ["__us"], ts, ["__us"], chunk_us // MICROS
-    ).withColumn(
-        "__start", F.when(F.col("prev___us").isNull() | (F.col("__us") - F.col("prev___us") >= gap), F.col("__us"))
-    )
-    marked = marked.withColumn("__chunk", chunk_of(F.col("__us"), F.lit(chunk_us)))
-    inside = marked.withColumn(
-        "__seen",
-        F.max("__start").over(
-            Window.partitionBy(*keys, "__chunk").orderBy("__us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        ),
-    )
-    carried = (
-        marked.groupBy(*keys, "__chunk")
-        .agg(F.max("__start").alias("__last"))
-        .withColumn(
-            "__carry",
-            F.max("__last").over(
-                Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        )
-        .select(*keys, "__chunk", "__carry")
-    )
-    return inside.join(carried, [*keys, "__chunk"]).select(
-        *df.columns, F.coalesce("__seen", "__carry").alias(name)
-    )
+    timed = chunked_lag(df.withColumn("__us", micros(ts)), keys, ["__us"], ["__us"])
+    begins = F.col("prev___us").isNull() | (F.col("__us") - F.col("prev___us") >= gap_s * MICROS)
+    rows = placed(timed.withColumn("__start", F.when(begins, F.col("__us"))), keys, ["__us"])
+    inside = Window.partitionBy(*keys, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    before = carried(rows, keys, F.col("__start"), F.max, "__carry")
+    seen = rows.withColumn("__seen", F.max("__start").over(inside)).join(before, [*keys, "__part"])
+    return seen.select(*df.columns, F.coalesce("__seen", "__carry").alias(name))
 
 
 def _next_index(us: np.ndarray, wait: int) -> np.ndarray:
@@ -137,34 +98,21 @@ def _exits(us: np.ndarray, wait: int) -> np.ndarray:
     return us[last[:n]] + wait
 
 
-def cooldown_fires(
-    df: DataFrame, keys: Sequence[str], ts: str, cooldown_s: int, rows_per_chunk: int = 500_000
-) -> DataFrame:
+def cooldown_fires(df: DataFrame, keys: Sequence[str], ts: str, cooldown_s: int) -> DataFrame:
     """Times at which a key fires when it must rest ``cooldown_s`` after each fire.
 
-    Whether a row fires depends on the fire before it. A calm key is walked at
-    once. The chain of a busy one, with more than ``rows_per_chunk`` distinct
-    times, is cut into time chunks of about that size. Per chunk a
-    small table says, for every time the chunk may be entered with, when it
-    is left; the tables of a key are folded in order, and each chunk is then
-    replayed from its known entry.
+    Whether a row fires depends on the fire before it. Distinct times are
+    ranged over partitions by count. For each key and partition a small table
+    says, for every time it may be entered with, when it is left; tables of a
+    key are followed in order, which gives each its entry, and each is then
+    replayed from there.
     """
     if not keys:
-        alone = df.withColumn("__all", F.lit(0))
-        return cooldown_fires(alone, ["__all"], ts, cooldown_s, rows_per_chunk).drop("__all")
+        return cooldown_fires(df.withColumn("__all", F.lit(0)), ["__all"], ts, cooldown_s).drop("__all")
     keys = list(keys)
     wait = cooldown_s * MICROS
-    times = df.select(*keys, micros(ts).alias("__us")).distinct()
-    share = F.greatest(F.lit(1.0), F.count("*") / F.lit(rows_per_chunk))
-    rate = times.groupBy(*keys).agg(
-        (F.count("*") > rows_per_chunk).alias("__busy"),
-        F.greatest(F.lit(wait), F.ceil((F.max("__us") - F.min("__us") + 1) / share)).cast("long").alias("__span"),
-    )
-    if keys == ["__all"]:
-        rate = F.broadcast(rate)  # a single row
-    rated = times.join(rate, keys)
-    chunked = rated.filter("__busy").withColumn("__chunk", chunk_of(F.col("__us"), F.col("__span")))
-    types = dict(chunked.dtypes)
+    times = placed(df.select(*keys, micros(ts).alias("__us")).distinct(), keys, ["__us"]).drop("__at")
+    types = dict(times.dtypes)
     head = "".join(f"`{k}` {types[k]}, " for k in keys)
 
     def fill(pdf: pd.DataFrame, rows: dict) -> pd.DataFrame:
@@ -173,51 +121,38 @@ def cooldown_fires(
             out[k] = pdf[k].iloc[0]
         return out
 
-    def chunk_table(pdf: pd.DataFrame) -> pd.DataFrame:
+    def part_table(pdf: pd.DataFrame) -> pd.DataFrame:
         us = np.sort(pdf["__us"].to_numpy(dtype=np.int64))
-        chunk = int(pdf["__chunk"].iloc[0])
         exits = _exits(us, wait)
-        # An entry is at most one cooldown into the chunk; equal exits are one step.
-        reach = min(int(np.searchsorted(us, chunk * int(pdf["__span"].iloc[0]) + wait, side="left")) + 1, len(us))
+        # Fires before this partition lie before its first time, so it is entered at most a cooldown later.
+        reach = min(int(np.searchsorted(us, us[0] + wait, side="left")) + 1, len(us))
         changes = np.append(exits[:reach][1:] != exits[:reach][:-1], True)
         steps = {"__upto": us[:reach][changes], "__exit": exits[:reach][changes]}
-        return fill(pdf, {"__chunk": np.full(len(steps["__upto"]), chunk), **steps})
+        return fill(pdf, {"__part": np.full(len(steps["__upto"]), int(pdf["__part"].iloc[0])), **steps})
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         entry = np.iinfo(np.int64).min
-        chunks, entries = [], []
-        for chunk, part in pdf.sort_values("__upto").groupby("__chunk", sort=True):
-            chunks.append(int(chunk))
+        parts, entries = [], []
+        for part, table in pdf.sort_values("__upto").groupby("__part", sort=True):
+            parts.append(int(part))
             entries.append(entry)
-            at = int(np.searchsorted(part["__upto"].to_numpy(), entry, side="left"))
-            if at < len(part):
-                entry = int(part["__exit"].iloc[at])
-        return fill(pdf, {"__chunk": chunks, "__entry": entries})
+            at = int(np.searchsorted(table["__upto"].to_numpy(), entry, side="left"))
+            if at < len(table):
+                entry = int(table["__exit"].iloc[at])
+        return fill(pdf, {"__part": parts, "__entry": entries})
 
-    def fires_from(pdf: pd.DataFrame, entry: int) -> pd.DataFrame:
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         us = np.sort(pdf["__us"].to_numpy(dtype=np.int64))
         hop = _next_index(us, wait)
-        at = int(np.searchsorted(us, entry, side="left"))
+        at = int(np.searchsorted(us, int(pdf["__entry"].iloc[0]), side="left"))
         fires = []
         while at < len(us):
             fires.append(int(us[at]))
             at = int(hop[at])
         return fill(pdf, {"__us": np.array(fires, dtype=np.int64)})
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fires_from(pdf, np.iinfo(np.int64).min)
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fires_from(pdf, int(pdf["__entry"].iloc[0]))
-
-    tables = chunked.groupBy(*keys, "__chunk").applyInPandas(
-        chunk_table, f"{head}__chunk long, __upto long, __exit long"
-    )
-    entries = tables.groupBy(*keys).applyInPandas(fold, f"{head}__chunk long, __entry long")
-    fires = (
-        chunked.join(entries, [*keys, "__chunk"])
-        .groupBy(*keys, "__chunk")
-        .applyInPandas(replay, f"{head}__us long")
-    )
-    calm = rated.filter("not __busy").select(*keys, "__us").groupBy(*keys).applyInPandas(whole, f"{head}__us long")
-    return calm.unionByName(fires).select(*keys, from_micros(F.col("__us")).alias(ts))
+    tables = times.groupBy(*keys, "__part").applyInPandas(part_table, f"{head}__part long, __upto long, __exit long")
+    entries = tables.groupBy(*keys).applyInPandas(follow, f"{head}__part long, __entry long")
+    entered = times.join(entries, [*keys, "__part"])
+    fires = entered.groupBy(*keys, "__part").applyInPandas(replay, f"{head}__us long")
+    return fires.select(*keys, from_micros(F.col("__us")).alias(ts))

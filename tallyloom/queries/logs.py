@@ -277,7 +277,7 @@ def counter_delta(spark, d):
         (F.col("event_id") * 1000 + F.floor(F.col("value") * 100).cast("long")).alias("used"),
         (F.col("event_id") * 9000 + F.col("user_id")).alias("sys"),
     )
-    lagged = W.chunked_lag(counters, ["user_id"], ["ts", "event_id"], "ts", ["used", "sys"])
+    lagged = W.chunked_lag(counters, ["user_id"], ["ts", "event_id"], ["used", "sys"])
     share = L.cpu_percent(F.col("used"), F.col("prev_used"), F.col("sys"), F.col("prev_sys"))
     return lagged.select(
         "event_id",

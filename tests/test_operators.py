@@ -54,8 +54,36 @@ def by_key(rows):
     return {k: sorted(v) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("cooldown, rows_per_chunk", [(60, 500_000), (60, 40), (7, 25), (900, 10), (5000, 50)])
-def test_cooldown_fires(spark, bursts, cooldown, rows_per_chunk):
+@pytest.fixture(params=["whole", "cut"])
+def ranges(request, spark):
+    """Small tables fall into one range; ``cut`` keeps sixteen, so that summaries are handed over."""
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items() if request.param == "cut" else ():
+        spark.conf.set(name, value)
+    yield request.param
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_a_burst_is_cut_by_rows(spark):
+    """A third of the rows on one key and one hour: no range holds many more rows than its share."""
+    rng = random.Random(2)
+    rows = [("hot", rng.randrange(3_600_000_000)) for _ in range(4_000)]
+    rows += [(f"k{i % 50}", rng.randrange(30 * 86_400_000_000)) for i in range(8_000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        parts = [r["count"] for r in Q.placed(frame(spark, rows), ["k"], ["timestamp"]).groupBy("__part").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(parts) == 12_000 and max(parts) <= 2 * 12_000 / 24
+
+
+@pytest.mark.parametrize("cooldown", [7, 60, 900, 5000])
+def test_cooldown_fires(spark, bursts, ranges, cooldown):
     want = set()
     for key, times in by_key(bursts).items():
         last = None
@@ -63,19 +91,19 @@ def test_cooldown_fires(spark, bursts, cooldown, rows_per_chunk):
             if last is None or us - last >= cooldown * 1_000_000:
                 last = us
                 want.add((key, us))
-    got = W.cooldown_fires(frame(spark, bursts), ["k"], "timestamp", cooldown, rows_per_chunk).collect()
+    got = W.cooldown_fires(frame(spark, bursts), ["k"], "timestamp", cooldown).collect()
     assert len(got) == len(want)
     assert {(r["k"], micros_of(r["timestamp"])) for r in got} == want
 
 
-def test_cooldown_without_keys(spark, bursts):
+def test_cooldown_without_keys(spark, bursts, ranges):
     times = sorted({us for _, us in bursts})
     want, last = set(), None
     for us in times:
         if last is None or us - last >= 30_000_000:
             last = us
             want.add(us)
-    got = W.cooldown_fires(frame(spark, bursts), [], "timestamp", 30, rows_per_chunk=100)
+    got = W.cooldown_fires(frame(spark, bursts), [], "timestamp", 30)
     assert {micros_of(r["timestamp"]) for r in got.collect()} == want
 
 
@@ -85,22 +113,22 @@ def test_sliding_count_is_inclusive(spark):
     assert got == {0: 1, 600_000_000: 2, 1_200_000_001: 1}
 
 
-@pytest.mark.parametrize("window, chunk", [(60, 1), (60, 8), (1000, 2)])
-def test_sliding_count(spark, bursts, window, chunk):
+@pytest.mark.parametrize("window", [60, 1000])
+def test_sliding_count(spark, bursts, ranges, window):
     want = {}
     for key, times in by_key(bursts).items():
         for us in times:
             want[key, us] = sum(1 for t in times if us - window * 1_000_000 <= t <= us)
-    got = W.sliding_count(frame(spark, bursts), ["k"], "timestamp", window, chunk=chunk).collect()
+    got = W.sliding_count(frame(spark, bursts), ["k"], "timestamp", window).collect()
     assert {(r["k"], micros_of(r["timestamp"])): r["in_window"] for r in got} == want
 
 
-def test_chunked_lag(spark, bursts):
+def test_chunked_lag(spark, bursts, ranges):
     rows = [(k, us, i) for i, (k, us) in enumerate(bursts)]
     df = spark.createDataFrame(
         [(k, START + dt.timedelta(microseconds=us), i) for k, us, i in rows], "k string, timestamp timestamp_ntz, i long"
     )
-    got = W.chunked_lag(df, ["k"], ["timestamp", "i"], "timestamp", ["i"], chunk_s=50).collect()
+    got = W.chunked_lag(df, ["k"], ["timestamp", "i"], ["i"]).collect()
     want, last = {}, {}
     for k, us, i in sorted(rows, key=lambda r: (r[1], r[2])):
         want[i] = last.get(k)
@@ -108,7 +136,7 @@ def test_chunked_lag(spark, bursts):
     assert {r["i"]: r["prev_i"] for r in got} == want
 
 
-def test_sessions(spark, bursts):
+def test_sessions(spark, bursts, ranges):
     want = {}
     for key, times in by_key(bursts).items():
         start = previous = None
