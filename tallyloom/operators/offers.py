@@ -136,13 +136,17 @@ def match_offers_fallback(staged: DataFrame, k: int = C.OFFERS_KEPT) -> DataFram
     )
 
 
-def candidate_titles(products: DataFrame, titles: DataFrame, min_shared: int = 2, display: int = 100) -> DataFrame:
-    """Blocking in place of a remote search: titles of a brand that share words with a query.
+# Postings of a word are dealt to this many blocks, so that a common word is not one.
+BLOCKS = 8
+
+
+def candidate_titles(products: DataFrame, titles: DataFrame, min_shared: int = 1) -> DataFrame:
+    """Blocking in place of a remote search: (brand, query, title, shared) for titles of a brand that share words with a query.
 
     Works on distinct (brand, core words) and distinct (brand, title), so copies
-    of a name or title meet once. A title sharing ``min_shared`` of a query's n
-    words holds one of its n - min_shared + 1 rarest, so only those are joined
-    on. ``display`` is the page size of the search, best overlap first.
+    of a name or title meet once. A pair is found once for every word it
+    shares, so counting it counts the words. A query of fewer than
+    ``min_shared`` words has to share all of them.
     """
     queries = (
         products.select(F.lower("brand_name").alias("brand"), X.core_tokens(F.lower("prod_name")).alias("tokens"))
@@ -150,29 +154,16 @@ def candidate_titles(products: DataFrame, titles: DataFrame, min_shared: int = 2
         .select("brand", F.array_join("tokens", " ").alias("query"), F.array_distinct("tokens").alias("tokens"))
         .distinct()
     )
-    texts = (
-        titles.select(F.lower("brand_name").alias("brand"), "title")
-        .distinct()
-        .withColumn("words", F.array_distinct(X.core_tokens(F.lower(X.strip_markup(F.col("title"))), None)))
-    )
-    postings = texts.select("brand", "title", "words", F.explode("words").alias("token"))
-    spread = postings.groupBy("brand", "token").agg(F.count("*").alias("df"))
-    probes = queries.select("brand", "query", "tokens", F.explode("tokens").alias("token")).join(
-        spread, ["brand", "token"], "left"
-    )
-    needed = F.least(F.lit(min_shared), F.size("tokens"))
-    rare = R.top_per_key(
-        probes.withColumn("df", F.coalesce("df", F.lit(0))), ["brand", "query"], [F.col("df"), F.col("token")], 3, "rarity"
-    ).filter(F.col("rarity") <= F.size("tokens") - needed + 1)
-    pairs = (
-        rare.select("brand", "query", "tokens", "token")
-        .join(postings, ["brand", "token"])
-        .withColumn("shared", F.size(F.array_intersect("tokens", "words")))
-        .filter(F.col("shared") >= needed)
-        .groupBy("brand", "query", "title")
-        .agg(F.max("shared").alias("shared"))
-    )
-    return R.top_per_key(pairs, ["brand", "query"], [F.desc("shared"), F.asc("title")], display)
+    needed = F.least(F.lit(min_shared), F.size("tokens")).alias("needed")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
+    probes = queries.select("brand", "query", needed, F.explode("tokens").alias("token")).select("*", blocks)
+    words = F.array_distinct(X.core_tokens(F.lower(X.strip_markup(F.col("title"))), None))
+    texts = titles.select(F.lower("brand_name").alias("brand"), "title").distinct()
+    block = F.pmod(F.xxhash64("title"), F.lit(BLOCKS)).cast("int").alias("block")
+    postings = texts.select("brand", "title", block, F.explode(words).alias("token"))
+    pairs = probes.join(postings, ["brand", "token", "block"]).groupBy("brand", "query", "title")
+    found = pairs.agg(F.count("*").cast("int").alias("shared"), F.min("needed").alias("needed"))
+    return found.filter(F.col("shared") >= F.col("needed")).drop("needed")
 
 
 def candidate_codes(products: DataFrame, titles: DataFrame) -> DataFrame:
@@ -188,6 +179,23 @@ def candidate_codes(products: DataFrame, titles: DataFrame) -> DataFrame:
     return codes.join(words, ["brand", "word"]).select("product_id", "title")
 
 
+def staged_from_phrases(products: DataFrame, offers: DataFrame) -> DataFrame:
+    """What a search for each product's phrases finds among ``offers`` (brand_name, title, pos, offer_id, price, ..).
+
+    Name phrases find the titles of the brand that share a word, code phrases
+    those that hold the code. The rows are what ``match_offers`` takes.
+    """
+    own = products.select(
+        "product_id", F.lower("brand_name").alias("brand"), F.array_join(X.core_tokens(F.lower("prod_name")), " ").alias("query")
+    )
+    named = own.join(candidate_titles(products, offers), ["brand", "query"]).select("brand", "product_id", "title", F.lit("name").alias("by"))
+    coded = own.select("product_id", "brand").join(candidate_codes(products, offers), "product_id")
+    found = named.unionByName(coded.select("brand", "product_id", "title", F.lit("code").alias("by")))
+    phrases = query_phrases(products).select("product_id", "kind", F.substring_index("kind", "_", -1).alias("by"))
+    there = offers.withColumn("brand", F.lower("brand_name")).drop("brand_name", "kind", "product_id")
+    return found.join(phrases, ["product_id", "by"]).join(there, ["brand", "title"]).drop("brand", "by")
+
+
 def refine_prices(products: DataFrame, offers: DataFrame) -> DataFrame:
     """(part, id) of clean products, clean offers and quarantined offers, out of one join of offers and products.
 

@@ -240,27 +240,18 @@ def match_offers_fallback(spark, d):
 TITLES_SQL = "titles AS (SELECT DISTINCT lower(brand_name) AS brand, title FROM (SELECT p_brand AS brand_name, p_partkey FROM part) JOIN staged ON product_id = CAST(p_partkey AS VARCHAR))"
 
 
-def branded_titles(spark, d):
-    brand = D.products(spark, d).select("product_id", "brand_name")
-    return D.staged_offers(spark, d).select("product_id", "title").join(brand, "product_id")
+TEXTS_SQL = """texts AS (SELECT brand, title, list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(regexp_replace(title, '</?b>', '', 'g')),
+              '[^가-힣a-zA-Z0-9\\s]', ' ', 'g')), '\\s+'), lambda w: w <> '' AND NOT regexp_full_match(w, '[0-9]+'))) AS words FROM titles)"""
 
 
 @register(
     "candidate_titles",
-    with_(
-        STAGED_OFFERS_SQL,
-        TITLES_SQL,
-        "queries AS (SELECT DISTINCT lower(p_brand) AS brand, lower(p_name) AS query FROM part)",
-        """texts AS (SELECT brand, title, list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower(regexp_replace(title, '</?b>', '', 'g')),
-              '[^가-힣a-zA-Z0-9\\s]', ' ', 'g')), '\\s+'), lambda w: w <> '' AND NOT regexp_full_match(w, '[0-9]+'))) AS words FROM titles)""",
-    )
-    + """SELECT brand, query, title, shared, rank FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY brand, query ORDER BY shared DESC, title) AS INTEGER) AS rank FROM (
-    SELECT q.brand, query, title, CAST(len(list_intersect(string_split(query, ' '), words)) AS INTEGER) AS shared
-    FROM queries q JOIN texts t ON q.brand = t.brand) WHERE shared >= 2) WHERE rank <= 100""",
+    with_(STAGED_OFFERS_SQL, TITLES_SQL, "queries AS (SELECT DISTINCT lower(p_brand) AS brand, lower(p_name) AS query FROM part)", TEXTS_SQL)
+    + """SELECT * FROM (SELECT q.brand, query, title, CAST(len(list_intersect(string_split(query, ' '), words)) AS INTEGER) AS shared
+FROM queries q JOIN texts t ON q.brand = t.brand) WHERE shared >= 1""",
 )
 def candidate_titles(spark, d):
-    return M.candidate_titles(D.products(spark, d), branded_titles(spark, d))
+    return M.candidate_titles(D.products(spark, d), D.staged_offers(spark, d))
 
 
 @register(
@@ -270,7 +261,29 @@ def candidate_titles(spark, d):
 WHERE list_contains(string_split_regex(lower(regexp_replace(title, '</?b>', '', 'g')), '\\s+'), lower(printf('K%08d', p_partkey)))""",
 )
 def candidate_codes(spark, d):
-    return M.candidate_codes(D.products(spark, d), branded_titles(spark, d))
+    return M.candidate_codes(D.products(spark, d), D.staged_offers(spark, d))
+
+
+# The market is every fifth line item; a product is offered whatever its phrases find there.
+FOUND_SQL = (
+    STAGED_OFFERS_SQL.replace("staged AS", "market AS", 1).replace("FROM lineitem JOIN part ON l_partkey = p_partkey)", "FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 5 = 0)"),
+    TITLES_SQL.replace("JOIN staged", "JOIN market"),
+    TEXTS_SQL,
+    """found AS (SELECT CAST(p_partkey AS VARCHAR) AS product_id, brand, title, 'name' AS "by" FROM part JOIN texts ON lower(p_brand) = brand WHERE len(list_intersect(string_split(lower(p_name), ' '), words)) >= 1
+  UNION ALL SELECT DISTINCT CAST(p_partkey AS VARCHAR), brand, title, 'code' FROM part JOIN titles ON lower(p_brand) = brand
+    WHERE list_contains(string_split_regex(lower(regexp_replace(title, '</?b>', '', 'g')), '\\s+'), lower(printf('K%08d', p_partkey))))""",
+    """offered AS (SELECT lower(p_brand) AS brand, m.* FROM market m JOIN part ON m.product_id = CAST(p_partkey AS VARCHAR))""",
+    """staged AS (SELECT f.product_id, k.kind, o.* EXCLUDE (product_id, kind, brand) FROM found f JOIN (VALUES ('ko_name', 'name'), ('en_name', 'name'), ('ko_code', 'code'), ('en_code', 'code')) k(kind, "by") ON f."by" = k."by"
+  JOIN offered o ON o.brand = f.brand AND o.title = f.title)""",
+)
+
+
+@register("match_offers_from_phrases", matched_sql(V1_KEY).replace(STAGED_OFFERS_SQL, ",\n".join(FOUND_SQL)) + f"SELECT {MATCHED_COLUMNS} FROM matched")
+def match_offers_from_phrases(spark, d):
+    """From phrases through blocking and gates to the top five."""
+    market = D.staged_offers(spark, d).filter(F.expr("pos div 10 % 5 = 0"))
+    products = D.products(spark, d)
+    return M.match_offers(products, M.staged_from_phrases(products, market)).select(*MATCHED_NAMES)
 
 
 @register(
