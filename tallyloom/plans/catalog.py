@@ -1,7 +1,7 @@
 """Catalog load: five sources, one shape.
 
-Each source only states where it differs. All sources of a day are numbered
-together, by brand, so the load is one range exchange for everything.
+Each source only states where it differs. All sources of a day are read once
+and numbered together, by brand, so the load is one range exchange for everything.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from tallyloom.functions import catalog as G
 from tallyloom.functions.text import filter_attr_keys
 from tallyloom.operators.sequence import assign_sequence, next_sequences
-from tallyloom.operators.sets import union_feeds
 
 
 @dataclass(frozen=True)
@@ -79,16 +78,25 @@ def source_columns(source: Source) -> dict[str, Column]:
     }
 
 
-def catalog_rows(raw: dict[str, DataFrame], sources: tuple[Source, ...] = SOURCES) -> DataFrame:
-    """Union of the sources' canonical rows; ``raw`` maps brand to its records."""
-    feeds = [
-        raw[s.brand].select(*[c.alias(n) for n, c in source_columns(s).items()]) for s in sources if s.brand in raw
-    ]
-    return union_feeds(feeds)
+def catalog_rows(raw: DataFrame, sources: tuple[Source, ...] = SOURCES) -> DataFrame:
+    """Canonical rows of records with a column ``brand``; one pass, each row by its source's rules.
+
+    Records of other brands are left out.
+    """
+    rules = {s.brand: source_columns(s) for s in sources}
+
+    def value(name: str) -> Column:
+        out = None
+        for brand, columns in rules.items():
+            out = (F if out is None else out).when(F.col("brand") == brand, columns[name])
+        return out.alias(name)
+
+    names = next(iter(rules.values()))
+    return raw.filter(F.col("brand").isin(list(rules))).select(*[value(name) for name in names])
 
 
 def load_catalog(
-    raw: dict[str, DataFrame], last_seq: DataFrame, as_of: Column | None = None
+    raw: DataFrame, last_seq: DataFrame, as_of: Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Products with surrogate ids, and the sequence table after the load.
 

@@ -95,7 +95,5 @@ FROM attrs"""
 
 @register("load_catalog", LOAD_SQL)
 def load_catalog(spark, d):
-    records = raw_records(spark, d)
-    raw = {s.brand: records.filter(F.col("brand") == s.brand).drop("brand") for s in P.SOURCES}
     stored = spark.createDataFrame([("ZARA", 9990)], "brand_name string, last_seq int")
-    return P.load_catalog(raw, stored, as_of=F.lit(dt.datetime(2024, 1, 31)).cast("timestamp_ntz"))[0]
+    return P.load_catalog(raw_records(spark, d), stored, as_of=F.lit(dt.datetime(2024, 1, 31)).cast("timestamp_ntz"))[0]

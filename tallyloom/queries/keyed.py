@@ -98,7 +98,7 @@ def touch_latest(spark, d):
 
 @register(
     "toggle_state",
-    with_(ACTIVITY_SQL.replace("2000", "20"))
+    with_(ACTIVITY_SQL.replace("event_id // 5", "event_id * 7 % 20"))
     + """SELECT user_id, product_id, max("at") AS "at" FROM activity WHERE action IN ('click', 'error') GROUP BY 1, 2
 HAVING arg_max(action, event_id) = 'click'""",
 )

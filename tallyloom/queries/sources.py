@@ -92,10 +92,51 @@ def import_catalog_csv(spark, d):
     return S.import_catalog_csv(spark, path, known_ids(spark, d)).select(*IMPORTED)
 
 
+def json_arrays(rows, number, path: str):
+    """Rows as JSON arrays over several lines, a file for every 200 values of ``number``."""
+    packed = rows.select(F.floor(number / 200).alias("file"), F.to_json(F.struct("*")).alias("r")).groupBy("file")
+    body = F.concat(F.lit("[\n"), F.array_join(F.collect_list("r"), ",\n"), F.lit("\n]"))
+    packed.agg(body.alias("value")).write.partitionBy("file").text(path)
+    return path
+
+
 @register("import_catalog_json", with_(CSV_SQL) + IMPORT_SQL.format(url="http://o"))
 def import_catalog_json(spark, d):
     rows = catalog_text(spark, d).withColumn("origine_url", F.lit("http://o"))
-    return S.new_ids(S.import_catalog_rows(rows, alias_url="origine_url"), known_ids(spark, d)).select(*IMPORTED)
+    path = json_arrays(rows, F.pmod(F.xxhash64("product_id"), F.lit(100_000)), scratch_path(spark, "json"))
+    return S.import_catalog_json(spark, path, known_ids(spark, d)).select(*IMPORTED)
+
+
+@register(
+    "cut_ids",
+    "SELECT id[1:20] AS id, count(DISTINCT id) AS originals FROM (SELECT CAST(p_partkey % 50 AS VARCHAR) || repeat('y', 20) || CAST(p_partkey % 3 AS VARCHAR) AS id FROM part) GROUP BY 1 HAVING originals > 1",
+)
+def cut_ids(spark, d):
+    """Ids that differ behind the twentieth character alone."""
+    key = F.col("p_partkey")
+    longer = F.concat((key % 50).cast("string"), F.repeat(F.lit("y"), 20), (key % 3).cast("string"))
+    return S.cut_ids(D.table(spark, d, "part").select(longer.alias("product_id")))
+
+
+@register("read_raw_json", "SELECT 'G' || CAST(p_partkey AS VARCHAR) AS goodsNo, p_name AS goodsNm, CAST(p_size AS VARCHAR) AS price, TRUE AS has_path, CAST(p_size % 3 AS INTEGER) AS images FROM part")
+def read_raw_json(spark, d):
+    """Crawled records in files that hold an array each."""
+    key = F.col("p_partkey").cast("string")
+    records = D.table(spark, d, "part").select(
+        F.concat(F.lit("G"), key).alias("goodsNo"),
+        F.col("p_name").alias("goodsNm"),
+        F.col("p_size").cast("string").alias("price"),
+        F.slice(F.array(key, F.concat(key, F.lit("b"))), F.lit(1), F.col("p_size") % 3).alias("goodsImages"),
+    )
+    raw = S.read_raw_json(spark, json_arrays(records, F.substring("goodsNo", 2, 20).cast("long"), scratch_path(spark, "raw")))
+    return raw.select("goodsNo", "goodsNm", "price", F.endswith("file_path", F.lit(".txt")).alias("has_path"), F.size("goodsImages").alias("images"))
+
+
+@register("read_json_docs", "SELECT doc_id, lang, text FROM documents")
+def read_json_docs(spark, d):
+    """Documents in files that hold an array each; any other root would fail the job."""
+    path = json_arrays(D.table(spark, d, "documents").select("doc_id", "lang", "text"), F.col("doc_id"), scratch_path(spark, "docs"))
+    return S.read_json_docs(spark, f"{path}/file=*", "doc_id long, lang string, text string")
 
 
 @register(

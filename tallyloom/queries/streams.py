@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.plans import domain as D
@@ -18,9 +19,18 @@ from tallyloom.streaming import logs as L
 
 
 def event_stream(spark, d):
-    """The events table as a file stream."""
-    schema = D.table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    """The events table as a file stream that ends: a last event, a day later, closes every window before it.
+
+    That event is of no interest itself (id -1, a page view).
+    """
+    events = D.table(spark, d, "events")
+    kept = [F.col(c) for c in events.columns if c not in ("event_id", "ts", "event_type")]
+    end = events.agg(F.max_by(F.struct(*kept), "ts").alias("r"), F.max("ts").alias("last")).select(
+        F.lit(-1).cast("long").alias("event_id"), F.expr("last + interval 1 day").alias("ts"), F.lit("view").alias("event_type"), "r.*"
+    )
+    path = scratch_path(spark, "feed")
+    events.unionByName(end).write.parquet(path)
+    return spark.readStream.schema(events.schema).parquet(path)
 
 
 def log_stream(spark, d):
@@ -84,19 +94,31 @@ def ingest_metrics(spark, d):
     return stored.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
+@register("flush_by_count", with_(LOGS_SQL) + "SELECT container, count(*) AS stored, TRUE AS in_bounds FROM logs GROUP BY 1")
+def flush_by_count(spark, d):
+    """Batches flushed in files of at most fifty documents."""
+    out, state = scratch_path(spark, "flushed"), scratch_path(spark, "flushed-state")
+    feed = log_stream(spark, d).filter("event_id >= 0")
+    S.micro_batch_sink(feed, S.store_batches(out, documents=50), state).awaitTermination()
+    stored = spark.read.schema(feed.schema).option("recursiveFileLookup", True).parquet(out)
+    per_file = stored.groupBy(F.input_file_name().alias("file"), "container").agg(F.count("*").alias("n"))
+    sized = per_file.withColumn("held", F.sum("n").over(Window.partitionBy("file")))
+    return sized.groupBy("container").agg(F.sum("n").alias("stored"), (F.max("held") <= 50).alias("in_bounds"))
+
+
 DOC_ID = """concat_ws('_', container, strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%f'), substring(md5(message), 1, 8))"""
 
 
-@register("dedupe_logs", with_(LOGS_SQL) + f"SELECT DISTINCT {DOC_ID} AS doc_id FROM logs")
+@register("dedupe_logs", with_(LOGS_SQL) + f"""SELECT {DOC_ID} AS doc_id FROM (SELECT DISTINCT container, "timestamp", message FROM logs)""")
 def dedupe_logs(spark, d):
     """Every row twice in, once out (batch twin)."""
     logs = D.logs(spark, d)
     return L.dedupe_logs(logs.unionByName(logs)).select("doc_id")
 
 
-@register("dedupe_logs_stream", with_(LOGS_SQL) + f"SELECT DISTINCT {DOC_ID} AS doc_id FROM logs")
+@register("dedupe_logs_stream", with_(LOGS_SQL) + f"""SELECT {DOC_ID} AS doc_id FROM (SELECT DISTINCT container, "timestamp", message FROM logs)""")
 def dedupe_logs_stream(spark, d):
-    twice = log_stream(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    twice = log_stream(spark, d).filter("event_id >= 0").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     return run_once(L.dedupe_logs(twice), spark, "deduped").select("doc_id")
 
 
@@ -109,13 +131,8 @@ def tumbling_trend(spark, d):
     return trend.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
-# What a watermark of ten minutes has closed at the end of the table.
-CLOSED = """(SELECT max("timestamp") - INTERVAL 10 MINUTE FROM logs)"""
-
-
-@register("tumbling_trend_stream", with_(LOGS_SQL) + f"SELECT * FROM ({TUMBLING_SQL}) WHERE bucket + INTERVAL 1 HOUR <= {CLOSED}")
+@register("tumbling_trend_stream", with_(LOGS_SQL) + TUMBLING_SQL)
 def tumbling_trend_stream(spark, d):
-    """Closed hours only: the last hours stay open behind the watermark."""
     stored = run_once(L.tumbling_trend(log_stream(spark, d)), spark, "trend")
     return stored.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
@@ -153,12 +170,12 @@ def naive(stored):
     + f""",
 fires AS (SELECT message, min(moment) AS moment FROM keyed GROUP BY 1
   UNION ALL SELECT f.message, min(k.moment) FROM fires f JOIN keyed k ON k.message = f.message AND k.moment >= f.moment + INTERVAL 6 HOUR GROUP BY f.message, f.moment)
-SELECT message, moment AS "at" FROM fires WHERE moment + INTERVAL 1 SECOND <= {CLOSED}""",
+SELECT message, moment AS "at" FROM fires""",
 )
 def critical_alert_stream(spark, d):
     return naive(run_once(A.critical_alert_stream(log_stream(spark, d), 6 * 3600), spark, "critical"))
 
 
-@register("recovery_stream", DECIDED_SQL + f' AND moment + INTERVAL 1 SECOND <= {CLOSED}')
+@register("recovery_stream", DECIDED_SQL)
 def recovery_stream(spark, d):
     return naive(run_once(A.recovery_stream(log_stream(spark, d), **RECOVERY, restartable=RESTARTABLE), spark, "recovery"))

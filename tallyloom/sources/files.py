@@ -97,6 +97,13 @@ def new_ids(rows: DataFrame, existing: DataFrame | None, key: str = "product_id"
     return once if existing is None else once.join(existing.select(key), key, "left_anti")
 
 
+def cut_ids(rows: DataFrame, length: int = 20, key: str = "product_id") -> DataFrame:
+    """(id, originals): ids that several longer ones become when cut, which an import folds into one."""
+    cut = F.substring(F.coalesce(F.col(key), F.lit("")), 1, length)
+    pairs = rows.select(cut.alias("id"), F.col(key).alias("original")).distinct()
+    return pairs.groupBy("id").agg(F.count("original").alias("originals")).filter(F.col("originals") > 1)
+
+
 def scan_images(
     spark: SparkSession,
     root: str,

@@ -57,21 +57,31 @@ def micro_batch_sink(
     """Hand every micro-batch to ``write``; by interval, or once over what is there.
 
     The interval plays the part of a flush timer and also fires for a quiet
-    tail; batch size is set at the source (offsets or files per trigger).
+    tail; how much is read at a time is set at the source (offsets or files per
+    trigger), how much is flushed at a time by the writer.
     """
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode)
     return (writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
-def store_batches(path: str) -> Callable[[DataFrame, int], None]:
-    """Writer that puts each batch into its own folder, so that a replayed batch replaces itself."""
+def store_batches(path: str, documents: int = 0) -> Callable[[DataFrame, int], None]:
+    """Writer that puts each batch into its own folder, so that a replayed batch replaces itself.
+
+    ``documents`` is the most a flush holds: a larger batch is flushed in
+    several files as it is written.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").option("maxRecordsPerFile", documents).parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows that a query's stateful operators have dropped behind the watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def to_messages(df: DataFrame) -> DataFrame:
     """Rows as JSON values, the shape a topic takes; times keep their microseconds."""
     form = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"

@@ -49,11 +49,15 @@ def with_doc_id(logs: DataFrame) -> DataFrame:
 
 
 def dedupe_logs(logs: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """One row per document id. A stream forgets ids behind the watermark; a batch keeps the first row."""
-    keyed = with_doc_id(logs)
+    """One row per container, time and message, with its document id.
+
+    The id holds a short digest, which two messages may share, so it is not
+    what tells rows apart. A stream forgets rows behind the watermark.
+    """
+    keyed, same = with_doc_id(logs), ["container", "timestamp", "message"]
     if keyed.isStreaming:
-        return keyed.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(["doc_id"])
-    return keyed.dropDuplicates(["doc_id"])
+        return keyed.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(same)
+    return keyed.dropDuplicates(same)
 
 
 def tumbling_trend(logs: DataFrame, hours: int = 1, watermark: str = WATERMARK) -> DataFrame:

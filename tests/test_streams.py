@@ -126,3 +126,15 @@ def test_silent_keys_are_forgotten(spark, tmp_path):
     written, removed = (sum(op[m] for op in ops) for m in ("numRowsUpdated", "numRowsRemoved"))
     assert written >= 400 and removed == 400  # two values per message
     assert spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out")).count() == 200
+
+
+def test_late_rows_are_counted_in_the_stream(spark, tmp_path):
+    """A row a day behind what the watermark has seen is dropped, and counted."""
+    feed = tmp_path / "feed"
+    day = dt.timedelta(days=1)
+    for batch in ([(START + 2 * day, "s", "ERROR", "a")], [(START + 3 * day, "s", "ERROR", "b")], [(START, "s", "ERROR", "late")]):
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(str(feed))
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(feed))
+    query = S.micro_batch_sink(L.tumbling_trend(source), S.store_batches(str(tmp_path / "out")), str(tmp_path / "state"))
+    query.awaitTermination()
+    assert S.dropped_late(query) == 1
