@@ -92,9 +92,9 @@ def import_catalog_csv(spark, d):
     return S.import_catalog_csv(spark, path, known_ids(spark, d)).select(*IMPORTED)
 
 
-def json_arrays(rows, number, path: str):
-    """Rows as JSON arrays over several lines, a file for every 200 values of ``number``."""
-    packed = rows.select(F.floor(number / 200).alias("file"), F.to_json(F.struct("*")).alias("r")).groupBy("file")
+def json_arrays(rows, path: str):
+    """Rows as JSON arrays over several lines, a file for every 200 rows."""
+    packed = rows.select(F.floor(F.monotonically_increasing_id() / 200).alias("file"), F.to_json(F.struct("*")).alias("r")).groupBy("file")
     body = F.concat(F.lit("[\n"), F.array_join(F.collect_list("r"), ",\n"), F.lit("\n]"))
     packed.agg(body.alias("value")).write.partitionBy("file").text(path)
     return path
@@ -103,7 +103,7 @@ def json_arrays(rows, number, path: str):
 @register("import_catalog_json", with_(CSV_SQL) + IMPORT_SQL.format(url="http://o"))
 def import_catalog_json(spark, d):
     rows = catalog_text(spark, d).withColumn("origine_url", F.lit("http://o"))
-    path = json_arrays(rows, F.pmod(F.xxhash64("product_id"), F.lit(100_000)), scratch_path(spark, "json"))
+    path = json_arrays(rows, scratch_path(spark, "json"))
     return S.import_catalog_json(spark, path, known_ids(spark, d)).select(*IMPORTED)
 
 
@@ -128,14 +128,14 @@ def read_raw_json(spark, d):
         F.col("p_size").cast("string").alias("price"),
         F.slice(F.array(key, F.concat(key, F.lit("b"))), F.lit(1), F.col("p_size") % 3).alias("goodsImages"),
     )
-    raw = S.read_raw_json(spark, json_arrays(records, F.substring("goodsNo", 2, 20).cast("long"), scratch_path(spark, "raw")))
+    raw = S.read_raw_json(spark, json_arrays(records, scratch_path(spark, "raw")))
     return raw.select("goodsNo", "goodsNm", "price", F.endswith("file_path", F.lit(".txt")).alias("has_path"), F.size("goodsImages").alias("images"))
 
 
 @register("read_json_docs", "SELECT doc_id, lang, text FROM documents")
 def read_json_docs(spark, d):
     """Documents in files that hold an array each; any other root would fail the job."""
-    path = json_arrays(D.table(spark, d, "documents").select("doc_id", "lang", "text"), F.col("doc_id"), scratch_path(spark, "docs"))
+    path = json_arrays(D.table(spark, d, "documents").select("doc_id", "lang", "text"), scratch_path(spark, "docs"))
     return S.read_json_docs(spark, f"{path}/file=*", "doc_id long, lang string, text string")
 
 
