@@ -225,6 +225,15 @@ def match_detections(spark, d):
     return J.match_detections(boxes, products)
 
 
+@register(
+    "boxes_by_confidence",
+    with_(DETECT_SQL) + "SELECT product_id, pos, confidence, CAST(row_number() OVER (PARTITION BY product_id ORDER BY confidence DESC, pos) AS INTEGER) AS place FROM boxes",
+)
+def boxes_by_confidence(spark, d):
+    boxes = R.rank_boxes(detections(spark, d)[1], "product_id", "confidence", "pos")
+    return boxes.select("product_id", "pos", "confidence", "place")
+
+
 @register("best_detection", with_(DETECT_SQL) + "SELECT * FROM best")
 def best_detection(spark, d):
     products, boxes = detections(spark, d)
