@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Callable, Sequence
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,11 +53,26 @@ def worker_memo(name: str, make: Callable[[], Any]) -> Any:
     return kept[name]
 
 
+def broadcast(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Send ``value`` to the workers; the function returned gives it there, to be called once a task.
+
+    Like functions, objects go by value, so workers need not have the package.
+    """
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)
+
+
 def source_key(source: Column) -> Column:
     """A key without nulls in code-point order of the sources, null last."""
     return F.when(source.isNull(), F.lit("T")).otherwise(F.concat(F.lit("S"), source.cast("string")))
 
 
+def row_key(df: DataFrame) -> Column:
+    """A text that tells rows apart by all their columns; equal rows share it."""
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in df.columns]
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(*values).cast("string"))
+
+
 def id_block(doc_id: Column) -> Column:
     """256 even blocks of documents, the same on every run."""
     return F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 2)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import stored
+from tallyloom.llm.common import broadcast, stored
 
 TABLES = 4
 PROJECTIONS = 6  # numbers that make a bucket
@@ -139,22 +139,24 @@ def search(vectors: DataFrame, queries: Column, k: int, **options) -> DataFrame:
     index = fit(points, k, **options)
     if index is None:
         return asking.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = points.sparkSession.sparkContext.broadcast(index)
+    shared = broadcast(points.sparkSession, index)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared()
         for batch in batches:
             ids, data = batch.column("id").to_numpy(zero_copy_only=False), _matrix(batch.column("vector"))
-            slots = np.floor(shared.value.places(data)).astype(np.int64)
+            slots = np.floor(own.places(data)).astype(np.int64)
             for table in range(slots.shape[1]):
                 keys = bucket_ids(np.column_stack([np.full(len(ids), table), slots[:, table]]))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), batch.column("vector")], names=["bucket", "id", "vector"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared()
         for batch in batches:
             ids = batch.column("point").to_numpy(zero_copy_only=False)
-            places = shared.value.places(_matrix(batch.column("vector")))
+            places = index.places(_matrix(batch.column("vector")))
             for i, own in enumerate(places):
-                found = np.array([(t, *slots) for t, place in enumerate(own) for slots in shared.value.probes(place)], np.int64)
+                found = np.array([(t, *slots) for t, place in enumerate(own) for slots in index.probes(place)], np.int64)
                 keys = bucket_ids(found)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), ids[i]))], names=["bucket", "point"])
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tallyloom.llm.common import broadcast
+
 SAMPLE = 2400  # labelled texts the network learns from at most, half of each class
 STEP = 64  # a chunk is two steps of positions; neighbouring chunks share one
 CHUNKS = 16  # chunks of a text that are learnt from, spread over it; scoring takes them all
@@ -158,11 +160,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
 
 def scored(docs: DataFrame, network: Network) -> Column:
     """Probability of label 1 for the column ``text`` of ``docs``; every byte of a text is read, a null one is empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(network)
+    shared = broadcast(docs.sparkSession, network)
 
     @pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = shared()
         for texts in batches:
-            yield pd.Series([shared.value.score((t or "").encode()) for t in texts], dtype="float64")
+            yield pd.Series([own.score((t or "").encode()) for t in texts], dtype="float64")
 
     return of(F.col("text"))
