@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import WORD, id_block, running_total, source_key, stored
+from tallyloom.llm.common import WORD, id_block, row_key, running_total, source_key, stored
 
 WEIGHTS = (5, 2, 1)  # of the sources in code-point order, repeating
 SHARE = 1.5  # words of the mix, as a share of all words
@@ -82,10 +82,11 @@ def copies(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, columns unchanged.
 
-    Rows are told apart by their place in a stored copy, so repeated ids are
-    drawn one by one.
+    Equal rows are drawn one by one and come back as one row with their
+    copies; rows with one id that differ are documents of their own.
     """
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "mix")
-    drawn = copies(rows.select(F.col("__row").alias("doc_id"), "source", "text"), **options)
-    often = drawn.where("copies > 0").select(F.col("doc_id").alias("__row"), F.col("copies").cast("int").alias("__copies"))
-    return rows.join(often, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+    keyed = docs.withColumn("__row", row_key(docs))
+    drawn = copies(keyed.select(F.col("__row").alias("doc_id"), "source", "text"), **options)
+    often = drawn.groupBy("doc_id").agg(F.sum("copies").cast("int").alias("__copies")).where("__copies > 0")
+    taken = keyed.join(often.withColumnRenamed("doc_id", "__row"), "__row").dropDuplicates(["__row"])
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
