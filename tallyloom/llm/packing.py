@@ -14,7 +14,7 @@ from tallyloom.llm.common import id_block, running_total, source_key, stored, wo
 LENGTH = 2048  # tokens of a sequence
 WINDOW = 32 * LENGTH  # tokens in which the sources meet their proportions
 END = 1  # id behind every document
-CACHED = 1_000_000  # words whose ids a worker remembers before it starts anew
+CACHED = 1_200_000  # words whose ids a worker remembers before it starts anew
 
 
 class WordIds:
@@ -48,33 +48,36 @@ class WordIds:
         self.known: dict[str, bytes] = {"": b""}
 
     def learn(self, words: set[str]) -> None:
-        split = {}
+        """Add the ids of ``words``. A piece of a word is a word of its own, so pieces are remembered too."""
+        split, known = {}, self.known
         for word in words:
-            if self.pieces is not None and self.simple(word) and "<|" not in word:
+            if self.pieces is not None and "<|" not in word and (word.isascii() and word.isprintable() or self.simple(word)):
                 split[word] = self.split(word.lower())
             else:
-                ids = self.whole.encode(word, add_special_tokens=False).ids
-                self.known[word] = np.array(ids, self.dtype).tobytes()
-        parts = list({part for own in split.values() for part in own})
-        encoded = {}
+                known[word] = np.array(self.whole.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+        parts = list({part for own in split.values() for part in own if part not in known})
         if parts:
             found = self.pieces.encode(" ".join(parts), add_special_tokens=False)
-            ids, places = np.array(found.ids, self.dtype), np.array(found.word_ids)
-            cuts = np.searchsorted(places, np.arange(len(parts) + 1))
-            encoded = {part: ids[cuts[i] : cuts[i + 1]].tobytes() for i, part in enumerate(parts)}
+            ids = np.array(found.ids, self.dtype).tobytes()
+            cuts = (np.searchsorted(np.array(found.word_ids), np.arange(len(parts) + 1)) * self.dtype.itemsize).tolist()
+            known.update(zip(parts, [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
         for word, own in split.items():
-            self.known[word] = b"".join([encoded[part] for part in own])
+            known[word] = known[own[0]] if len(own) == 1 else b"".join([known[part] for part in own])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        distinct = set().union(*split)
-        fresh = distinct.difference(self.known)
+        found = [list(map(self.known.get, words)) for words in split]
+        lacking = [i for i, ids in enumerate(found) if None in ids]
+        fresh = {word for i in lacking for word, ids in zip(split[i], found[i], strict=True) if ids is None}
         if len(self.known) + len(fresh) > CACHED:
-            self.known, fresh = {"": b""}, distinct
+            self.known, lacking = {"": b""}, range(len(split))
+            fresh = set().union(*split)
         if fresh:
             self.learn(fresh)
-        of, end = self.known.__getitem__, np.array([END], self.dtype).tobytes()
-        return [b"".join(map(of, words)) + end for words in split]
+        for i in lacking:
+            found[i] = map(self.known.__getitem__, split[i])
+        end = np.array([END], self.dtype).tobytes()
+        return [b"".join(ids) + end for ids in found]
 
 
 def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
