@@ -280,12 +280,22 @@ FOUND_SQL = (
 
 @register("match_offers_from_phrases", matched_sql(V1_KEY).replace(STAGED_OFFERS_SQL, ",\n".join(FOUND_SQL)) + f"SELECT {MATCHED_COLUMNS} FROM matched")
 def match_offers_from_phrases(spark, d):
-    """From phrases through blocking and gates to the top five."""
+    """From phrases through blocking and gates to the top five, over a fifth of the offers, as its SQL has it."""
     market = D.staged_offers(spark, d).filter(F.expr("pos div 10 % 5 = 0"))
     products = D.products(spark, d)
     return M.match_offers(products, M.staged_from_phrases(products, market)).select(*MATCHED_NAMES)
 
 
+WHOLE_SQL = (STAGED_OFFERS_SQL.replace("staged AS", "market AS", 1), *FOUND_SQL[1:])
+
+
+@register("match_offers_from_phrases_whole", matched_sql(V1_KEY).replace(STAGED_OFFERS_SQL, ",\n".join(WHOLE_SQL)) + f"SELECT {MATCHED_COLUMNS} FROM matched")
+def match_offers_from_phrases_whole(spark, d):
+    """The same where every staged offer is on the market."""
+    products = D.products(spark, d)
+    return M.match_offers(products, M.staged_from_phrases(products, D.staged_offers(spark, d))).select(*MATCHED_NAMES)
+
+
 @register(
     "offer_coverage",
     matched_sql(V1_KEY)
