@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,11 @@ FURNITURE_NAMES = {
     "cookies", "consent", "disqus", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "pagination",
     "popup", "promo", "related", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+# Elements that are laid around whole articles, too.
+WRAPPERS = {"header", "fieldset", "dialog"}
+# Words in a class that say what an element holds or lacks, not what it is, and those that begin the name of an article's own parts.
+LAYOUT = {"has", "with", "no", "without", "layout"}
+OWN_PARTS = {"entry", "post", "article", "story"}
 
 FEATURES = ("words", "density", "before_words", "before_density", "after_words", "after_density", "main", "furniture")
 
@@ -56,6 +62,28 @@ LABELLED = (
     (10, 0.5, 2, 1.0, 3, 1.0, 0, 0, 0), (20, 0.6, 20, 0.6, 20, 0.6, 0, 0, 0), (30, 0.9, 10, 1.0, 10, 1.0, 0, 0, 0),
     (3, 0.0, 4, 0.0, 2, 0.0, 0, 0, 0), (8, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0), (5, 0.0, 2, 0.0, 0, 0.0, 0, 0, 0),
     (60, 0.5, 60, 0.0, 60, 0.0, 0, 0, 0), (15, 0.4, 3, 1.0, 2, 1.0, 0, 0, 0), (1, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0),
+    # Paragraphs of a main element before links, whatever their length, and the links after them.
+    (20, 0.0, 60, 0.0, 5, 1.0, 1, 0, 1), (20, 0.0, 30, 0.0, 5, 1.0, 1, 0, 1), (8, 0.0, 40, 0.0, 12, 1.0, 1, 0, 1),
+    (3, 0.0, 8, 0.0, 4, 1.0, 1, 0, 1), (30, 0.0, 20, 0.1, 6, 0.9, 1, 0, 1), (12, 0.0, 5, 1.0, 6, 1.0, 1, 0, 1),
+    (10, 0.0, 0, 0.0, 8, 0.8, 1, 0, 1), (6, 0.0, 70, 0.0, 1, 1.0, 1, 0, 1), (4, 1.0, 20, 0.0, 5, 1.0, 1, 0, 0),
+    (4, 1.0, 5, 1.0, 5, 1.0, 1, 0, 0), (6, 0.9, 12, 0.0, 3, 1.0, 1, 0, 0), (3, 1.0, 4, 1.0, 6, 0.8, 1, 0, 0),
+    # Short last paragraphs of an article that no main element holds.
+    (20, 0.0, 40, 0.0, 4, 1.0, 0, 0, 1), (16, 0.0, 30, 0.0, 4, 1.0, 0, 0, 1), (22, 0.0, 25, 0.0, 6, 0.9, 0, 0, 1),
+    (12, 0.0, 50, 0.0, 5, 1.0, 0, 0, 1), (18, 0.0, 50, 0.0, 0, 0.0, 0, 0, 1), (20, 0.0, 45, 0.0, 2, 0.0, 0, 0, 1),
+    (14, 0.0, 30, 0.0, 0, 0.0, 0, 0, 1), (10, 0.0, 60, 0.0, 1, 0.0, 0, 0, 1),
+    (40, 0.0, 3, 1.0, 0, 0.0, 1, 0, 1), (15, 0.0, 3, 1.0, 2, 1.0, 1, 0, 1), (9, 0.0, 5, 1.0, 0, 0.0, 1, 0, 1), (60, 0.0, 3, 1.0, 0, 0.0, 0, 0, 1),
+    (8, 0.0, 3, 1.0, 0, 0.0, 1, 0, 1), (8, 0.0, 0, 0.0, 40, 0.0, 1, 0, 1), (8, 0.0, 5, 0.0, 30, 0.0, 1, 0, 1), (15, 0.4, 30, 0.0, 20, 0.0, 1, 0, 1),
+    (12, 0.35, 20, 0.0, 30, 0.0, 1, 0, 1), (20, 0.4, 10, 0.0, 40, 0.0, 1, 0, 1), (14, 0.4, 3, 1.0, 2, 1.0, 1, 0, 1), (8, 0.0, 60, 0.0, 30, 0.0, 0, 0, 1),
+    # Headings, captions and list items of a main element.
+    (4, 0.0, 6, 0.0, 5, 0.0, 1, 0, 1), (5, 0.0, 4, 0.0, 6, 0.0, 1, 0, 1), (7, 0.0, 50, 0.0, 40, 0.0, 1, 0, 1), (2, 0.0, 30, 0.0, 3, 1.0, 1, 0, 1),
+    (5, 0.0, 3, 1.0, 20, 0.0, 1, 0, 1), (6, 0.0, 0, 0.0, 70, 0.0, 1, 0, 1), (1, 0.0, 5, 1.0, 30, 0.0, 1, 0, 1), (3, 0.0, 4, 1.0, 2, 0.0, 1, 0, 1),
+    # Headings before a long paragraph and paragraphs with links, where no main element holds them.
+    (3, 0.0, 4, 1.0, 80, 0.0, 0, 0, 1), (2, 0.0, 1, 1.0, 60, 0.0, 0, 0, 1), (4, 0.0, 50, 0.0, 70, 0.0, 0, 0, 1), (5, 0.0, 70, 0.0, 45, 0.0, 0, 0, 1),
+    (40, 0.4, 60, 0.0, 30, 0.0, 0, 0, 1), (25, 0.35, 30, 0.0, 50, 0.0, 0, 0, 1), (50, 0.4, 20, 0.0, 40, 0.1, 0, 0, 1),
+    (20, 0.4, 30, 0.0, 4, 1.0, 1, 0, 1), (16, 0.3, 40, 0.0, 0, 0.0, 1, 0, 1), (40, 0.4, 20, 0.0, 2, 1.0, 1, 0, 1), (30, 0.4, 60, 0.0, 3, 1.0, 0, 0, 1),
+    (12, 0.0, 3, 1.0, 50, 0.0, 0, 0, 1), (18, 0.0, 4, 1.0, 60, 0.0, 0, 0, 1), (20, 0.1, 2, 1.0, 30, 0.0, 0, 0, 1),
+    # Lines such as a copyright or a share request that follow it.
+    (6, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0), (5, 0.0, 40, 0.0, 3, 1.0, 0, 0, 0), (7, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0), (4, 0.0, 20, 0.0, 4, 1.0, 0, 0, 0),
 )
 
 
@@ -86,20 +114,35 @@ def judged(tree: tuple | float, values: tuple) -> float:
     return tree
 
 
+def furniture_name(value: str, main: int) -> bool:
+    """Whether a class, id or role says that the element is furniture. The header of an article is not."""
+    for name in value.lower().split():
+        parts = re.split(r"[_-]+", name)
+        if LAYOUT.intersection(parts) or parts[0] == "content" and len(parts) > 1:
+            continue
+        if (FURNITURE_NAMES - {"header"} if main or parts[0] in OWN_PARTS else FURNITURE_NAMES).intersection(parts):
+            return True
+    return False
+
+
 def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """(text, words, linked words, in a main element, in furniture) of each text block, in page order."""
-    out: list[tuple[str, int, int, int, int]] = []
+    """(text, words, linked words, in a main element, in furniture) of each text block, in page order.
+
+    A form is furniture, unless it holds most of the page's words, as one
+    around the whole page does.
+    """
+    out: list[tuple[str, int, int, int, int, int]] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, int, int]] = []  # open block elements: name, in main, in furniture
+    stack: list[tuple[str, int, int, int]] = []  # open block elements: name, in main, in furniture, number of the outermost form
     linked = False
+    forms = 0
 
     def end() -> None:
         text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
         if text:
             words = len(text.split())
             links = len(html.unescape(" ".join(p for p, link in parts if link)).split())
-            main, furniture = stack[-1][1:] if stack else (0, 0)
-            out.append((text, words, min(links, words), main, furniture))
+            out.append((text, words, min(links, words), *(stack[-1][1:] if stack else (0, 0, 0))))
         parts.clear()
 
     at = 0
@@ -137,16 +180,27 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         elif name not in VOID and not rest.endswith("/"):
             if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
                 stack.pop()
-            main, furniture = stack[-1][1:] if stack else (0, 0)
-            names = {w for m in CLASSES.finditer(rest) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower())}
-            if name in MAIN or "main" in names and not furniture:
+            main, furniture, form = stack[-1][1:] if stack else (0, 0, 0)
+            values = [m[1] or m[2] or m[3] or "" for m in CLASSES.finditer(rest)]
+            names = {w for value in values for w in re.split(r"[\s_-]+", value.lower())}
+            if name in MAIN and not main and (name == "main" or furniture < 2):
+                furniture = form = 0
+            if name in MAIN or "main" in names and not (furniture or form):
                 main = 1
-            # The heading of an article is part of it.
-            if (name in FURNITURE and not (name == "header" and main)) or (names & FURNITURE_NAMES and name not in ("html", "body", *MAIN)):
-                furniture = 1
-            stack.append((name, main, furniture))
+            if name == "form":
+                forms += 1
+                form = form or forms
+            elif name in FURNITURE and not (name == "header" and (main or names & OWN_PARTS)):
+                furniture = max(furniture, 1 if name in WRAPPERS else 2)
+            if name not in ("html", "body", "form", *MAIN) and any(furniture_name(value, main) for value in values):
+                furniture = 2
+            stack.append((name, main, furniture, form))
     end()
-    return out
+    held = Counter()
+    for _, words, _, _, _, form in out:
+        held[form] += words
+    whole = {form for form, words in held.items() if 2 * words > sum(held.values())}
+    return [(text, words, links, main, int(furniture > 0 or form > 0 and form not in whole)) for text, words, links, main, furniture, form in out]
 
 
 def main_text(page: str | None, tree: tuple | float) -> str:

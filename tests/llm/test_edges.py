@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,37 @@ def test_main_text(spark):
     assert frame.limit(0).select(pages.extracted(F.col("html"))).collect() == []
 
 
+def test_main_text_in_wrappers():
+    tree = pages.grown(np.array(pages.LABELLED, float))
+    body = "<header class='entry-header'><h1>A heading</h1></header><p>" + "some words of the text " * 12 + "</p><p>" + "last words " * 10 + "</p>"
+    text = "\n".join(["A heading", ("some words of the text " * 12).strip(), ("last words " * 10).strip()])
+    links = "<ul>" + "<li><a href='/'>another page</a></li>" * 4 + "</ul>"
+    for page in (
+        f"<main><article>{body}</article></main><nav>{links}</nav>",
+        f"<div class='layout has-sidebar'><main>{body}</main><aside>{links}</aside></div>",
+        f"<div class='layout has-sidebar'><article>{body}</article></div>",
+        f"<form id=f><nav>{links}</nav><main>{body}</main><footer>{links}</footer></form>",
+        f"<form id=f><div class=page><nav>{links}</nav>{body}</div></form>",
+        f"<div class='content-sidebar'><article>{body}</article><div class='site-sidebar'>{links}</div></div>",
+    ):
+        assert pages.main_text(page, tree) == text, page
+    # What only quotes or announces articles stays out.
+    teaser = "<article><p>" + "words of a teaser " * 10 + "</p></article>"
+    for page in (f"<aside>{teaser}</aside>", f"<main>{body}<div id=comments>{teaser}</div></main>", f"<div class='related-posts'>{teaser}</div>"):
+        assert "teaser" not in pages.main_text(page, tree), page
+
+
+def test_main_text_before_links():
+    tree = pages.grown(np.array(pages.LABELLED, float))
+    assert all(pages.judged(tree, row[:-1]) >= 0.5 for row in pages.LABELLED if row[-1])
+    for words in (1, 4, 8, 9, 15, 20, 27, 32, 80):
+        for before in (0, 10, 30, 60):
+            assert pages.judged(tree, (words, 0.0, before, 0.0, 4, 1.0, 1, 0)) >= 0.5, (words, before)
+            assert pages.judged(tree, (words, 0.0, before, 1.0, 0, 0.0, 1, 0)) >= 0.5, (words, before)
+            assert pages.judged(tree, (words, 0.4, before, 0.0, 30, 0.0, 1, 0)) >= 0.5, (words, before)
+            assert pages.judged(tree, (words, 0.4, before, 0.0, 4, 1.0, 1, 0)) >= 0.5, (words, before)
+
+
 def test_language(odd, none):
     models = langid.fit(odd)
     assert set(models) == {"en", "fr"}
