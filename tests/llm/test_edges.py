@@ -238,6 +238,22 @@ def test_language(odd, none):
     assert langid.keep_identified(odd, models).columns == odd.columns
 
 
+def test_language_keeps_every_gram(spark):
+    rng = np.random.default_rng(3)
+    texts = ["".join(chr(c) for c in rng.integers(0x4E00, 0x9FA0, 3_000)) for _ in range(80)]
+    counts = Counter(gram for text in texts for gram in langid.grams([text])[0].tolist())
+    assert len(counts) > 230_000
+    model = langid.fit(spark.createDataFrame([(t, "zh") for t in texts], "text string, lang string"))["zh"]
+    assert model.levels[0][0].tolist() == sorted(counts)
+    once, twice = (sum(n == m for n in counts.values()) for m in (1, 2))
+    context = Counter()
+    for gram, n in counts.items():
+        context[gram >> 16] += n
+    gram = next(iter(counts))
+    share = (counts[gram] - once / (once + 2 * twice)) / context[gram >> 16]
+    assert model.levels[0][1][model.levels[0][0].searchsorted(np.uint64(gram))] == pytest.approx(share)
+
+
 def test_language_model_sums_to_one(odd):
     import numpy as np
 
