@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,7 @@ PROJECTIONS = 6  # numbers that make a bucket
 SAMPLE = 2000  # vectors the index is fitted on at most
 SUCCESS = 0.97  # estimated chance that a query's buckets hold its k-th neighbour, over all tables
 CELL = 4096  # vectors that a task holds at a time, about
+ROUNDS = 3  # searches by buckets, each of twice the reach, before what is left is compared with every vector
 
 
 def usable(vector: Column) -> Column:
@@ -117,8 +118,8 @@ def search(vectors: DataFrame, queries: Column, k: int, **options) -> DataFrame:
     ``vectors`` has (vec_id, embedding) and maybe more columns; ``queries``
     says which rows ask. Score is the Euclidean distance in double precision;
     ties fall to the smaller vec_id. Rows with unusable vectors or null ids
-    take no part; a query with fewer candidates returns them all, where its
-    buckets reach them; repeated rows are one; an empty table gives no rows.
+    take no part; a query with fewer candidates returns them all; repeated
+    rows are one; an empty table gives no rows.
 
     Equal vectors are one point that carries its k + 1 smallest ids, which is
     all a result can need of it, so copies crowd no bucket. Every point is
@@ -126,7 +127,9 @@ def search(vectors: DataFrame, queries: Column, k: int, **options) -> DataFrame:
     joined with the buckets' sizes, those that are empty drop out, and large
     ones are cut into chunks of about CELL points. Buckets are dealt to cells
     by hash; in a cell exact distances are taken, and each query's nearest of
-    the cell leave it. These are merged per query.
+    the cell leave it. These are merged per query. Points that found too few,
+    or whose last lies beyond the reach that probing allows for, are searched
+    again with twice the reach and width, and at last among all vectors.
     """
     rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks")).distinct()
@@ -139,6 +142,34 @@ def search(vectors: DataFrame, queries: Column, k: int, **options) -> DataFrame:
     index = fit(points, k, **options)
     if index is None:
         return asking.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = asking.select("point").distinct().join(points.select(F.col("id").alias("point"), "vector"), "point")
+    near, pending = None, stored(asked, "asked")
+    needed = min(k + 1, ranked.count())
+    for at in range(ROUNDS + 1):
+        own = _by_buckets(points, pending, index, k) if at < ROUNDS else _by_all(points, pending, k)
+        own = stored(own, "near")
+        near = own if near is None else near.unionByName(own)
+        if at == ROUNDS:
+            break
+        # A point carries at most k + 1 ids, so a list of needed ids is full.
+        first = Window.partitionBy("point").orderBy("score", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        had = own.distinct().join(points.select("id", F.size("ids").alias("n")), "id").withColumn("n", F.sum("n").over(first))
+        full = had.where((F.col("n") >= needed) & (F.col("score") <= index.reach)).select("point").distinct()
+        pending = stored(pending.join(full, "point", "left_anti"), "pending")
+        if pending.isEmpty():
+            break
+        index = replace(index, width=2 * index.width, reach=2 * index.reach)
+    merged = near.distinct().withColumn("n", F.row_number().over(Window.partitionBy("point").orderBy("score", "id"))).where(F.col("n") <= k + 1)
+    members = merged.join(points.select("id", "ids"), "id").select("point", F.explode("ids").alias("vec_id"), "score")
+    # The point's k + 1 nearest ids are enough for each of its queries, which leaves itself out.
+    listed = members.withColumn("n", F.row_number().over(Window.partitionBy("point").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1).drop("n")
+    found = asking.join(listed, "point").where("query_id <> vec_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _by_buckets(points: DataFrame, asked: DataFrame, index: Index, k: int) -> DataFrame:
+    """(point, id, score): the nearest of each point of ``asked`` in every cell that holds a bucket it probes."""
     shared = broadcast(points.sparkSession, index)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,13 +202,32 @@ def search(vectors: DataFrame, queries: Column, k: int, **options) -> DataFrame:
     large = buckets.where("chunks > 1").select("bucket", "chunks")
     held = filed.join(large, "bucket", "left").withColumn("chunk", chunk(F.pmod(F.xxhash64("id"), F.coalesce("chunks", F.lit(1))).cast("int")))
     held = held.select(cell, "chunk", "id", "vector")
-    asked = asking.select("point").distinct().join(points.select(F.col("id").alias("point"), "vector"), "point")
     probes = asked.repartition("point").mapInArrow(probe, "bucket long, point long").join(buckets.select("bucket", "chunks"), "bucket")
     probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("chunk", chunk(F.col("part")))
     probes = probes.select(cell, "chunk", "point").groupBy("cell", "point").agg(F.collect_list("chunk").alias("wanted"))
     probes = probes.join(asked, "point")
 
-    def nearest(points_: pd.DataFrame, asked_: pd.DataFrame) -> pd.DataFrame:
+    return held.groupBy("cell").cogroup(probes.groupBy("cell")).applyInPandas(_nearest(k), "point long, id long, score double")
+
+
+def _by_all(points: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(point, id, score): the nearest of each point of ``asked`` in every block of vectors; blocks of both sides meet in a grid."""
+    blocks, others = (max(1, -(-side.count() // CELL)) for side in (points, asked))
+
+    def dealt(side: DataFrame, key: str, own: int, across: int, names: tuple[str, str]) -> DataFrame:
+        block = F.pmod(F.xxhash64(key), F.lit(own)).cast("int").alias(names[0])
+        return side.select("*", block, F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias(names[1]))
+
+    held = dealt(points.select("id", "vector"), "id", blocks, others, ("block", "other")).withColumn("chunk", F.lit(0).cast("long"))
+    wanted = dealt(asked, "point", others, blocks, ("other", "block")).withColumn("wanted", F.array(F.lit(0).cast("long")))
+    keys = ["block", "other"]
+    return held.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(_nearest(k), "point long, id long, score double")
+
+
+def _nearest(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Exact distances in a cell: each asking point's k + 1 nearest in the chunks it wants."""
+
+    def of(points_: pd.DataFrame, asked_: pd.DataFrame) -> pd.DataFrame:
         if points_.empty or asked_.empty:
             return pd.DataFrame({"point": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         points_ = points_.sort_values(["chunk", "id"])
@@ -193,14 +243,7 @@ def search(vectors: DataFrame, queries: Column, k: int, **options) -> DataFrame:
             out.append(pd.DataFrame({"point": point, "id": ids[at][best], "score": distance[best]}))
         return pd.concat(out)
 
-    near = held.groupBy("cell").cogroup(probes.groupBy("cell")).applyInPandas(nearest, "point long, id long, score double")
-    merged = near.distinct().withColumn("n", F.row_number().over(Window.partitionBy("point").orderBy("score", "id"))).where(F.col("n") <= k + 1)
-    members = merged.join(points.select("id", "ids"), "id").select("point", F.explode("ids").alias("vec_id"), "score")
-    # The point's k + 1 nearest ids are enough for each of its queries, which leaves itself out.
-    listed = members.withColumn("n", F.row_number().over(Window.partitionBy("point").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1).drop("n")
-    found = asking.join(listed, "point").where("query_id <> vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return of
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -91,6 +91,29 @@ def test_neighbours(spark):
     assert Counter(r.query_id for r in few) == {0: 2, 1: 2, 2: 2}
 
 
+@pytest.mark.parametrize("close, far", [(400, 6), (5, 3), (2, 1)])
+def test_neighbours_beyond_the_reach(spark, close, far):
+    rng = np.random.default_rng(5)
+    data = np.concatenate([rng.normal(size=(close, 8)), rng.normal(size=(far, 8)) * 10.0 ** np.arange(2, far + 2)[:, None]])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    rows = neighbours.search(frame, F.col("vec_id") >= close, 10).collect()
+    for query in range(close, close + far):
+        distance = np.sqrt(((data - data[query]) ** 2).sum(axis=1))
+        wanted = [i for i in np.lexsort((np.arange(len(data)), distance)) if i != query][:10]
+        assert [r.vec_id for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == query] == wanted
+
+
+def test_every_block_is_compared(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 16)
+    monkeypatch.setattr(neighbours, "ROUNDS", 0)
+    data = np.random.default_rng(6).normal(size=(120, 4))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    rows = neighbours.search(frame, F.lit(True), 7).collect()
+    for query in range(120):
+        distance = np.sqrt(((data - data[query]) ** 2).sum(axis=1))
+        assert [r.vec_id for r in sorted(rows, key=lambda r: r["rank"]) if r.query_id == query] == np.argsort(distance)[1:8].tolist()
+
+
 def test_hot_bucket_is_cut(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CELL", 16)
     vectors = [(i, [1.0 + i * 1e-3, 1.0, 1.0]) for i in range(300)]
