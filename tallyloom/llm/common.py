@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pickle
 import sys
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 from pyspark import cloudpickle
@@ -19,6 +19,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Rows of one Arrow batch. Texts are long, so a batch is kept to some MB.
 BATCH_ROWS = 256
 
+# Bytes of a long text that are split into words at a time.
+PIECE = 1 << 20
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -62,6 +65,18 @@ def broadcast(spark: SparkSession, value: Any) -> Callable[[], Any]:
     return lambda: pickle.loads(held.value)
 
 
+def pieces(data: bytes) -> Iterator[bytes]:
+    """``data`` in pieces of about ``PIECE`` bytes, cut at spaces; words stay whole."""
+    start = 0
+    while len(data) - start > PIECE:
+        cut = data.find(b" ", start + PIECE)
+        if cut < 0:
+            break
+        yield data[start:cut]
+        start = cut + 1
+    yield data[start:]
+
+
 def source_key(source: Column) -> Column:
     """A key without nulls in code-point order of the sources, null last."""
     return F.when(source.isNull(), F.lit("T")).otherwise(F.concat(F.lit("S"), source.cast("string")))

@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import langid, licenses, mixture, neighbours, ordermin, packing, pages, pii, quality, simhash
+from tallyloom.llm import (
+    decontamination,
+    langid,
+    licenses,
+    merkle,
+    mixture,
+    neighbours,
+    ordermin,
+    packing,
+    pages,
+    pii,
+    quality,
+    simhash,
+    spelling,
+    sql,
+)
 from tallyloom.llm.common import load, prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +136,29 @@ def pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(load(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@register("op11_benchmark_decontamination", sql.DECONTAMINATION)
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.found(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@register("op12_merkle_manifest", sql.MANIFEST)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", merkle.UPPER, merkle.LOWER)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = merkle.manifest(load(spark, sf_dir, "documents"), tampered, lowered)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@register("op13_spelling_variants", sql.SPELLING)
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(load(spark, sf_dir, "documents"), 97).select("word", "form", "root", "n", "n_near", "form_n")
