@@ -10,6 +10,7 @@ from tallyloom.functions import predicates as P
 from tallyloom.functions import text as X
 from tallyloom.operators import joins as J
 from tallyloom.operators import ranking as R
+from tallyloom.session import stored
 
 # Rows of one query kind that can matter: five, and as many as earlier kinds may have taken.
 _POOL = C.OFFERS_KEPT * len(C.QUERY_KINDS)
@@ -136,16 +137,29 @@ def match_offers_fallback(staged: DataFrame, k: int = C.OFFERS_KEPT) -> DataFram
     )
 
 
-# Postings of a word are dealt to this many blocks, so that a common word is not one.
-BLOCKS = 8
+# Rows of one side that meet in a block; words with more postings are cut into several.
+BLOCK_ROWS = 2_000
+
+
+def _blocks(rows: Column) -> Column:
+    return F.ceil(rows / F.lit(BLOCK_ROWS)).cast("int")
+
+
+def _every(blocks: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), blocks - 1))
 
 
 def candidate_titles(products: DataFrame, titles: DataFrame, min_shared: int = 1) -> DataFrame:
     """Blocking in place of a remote search: (brand, query, title, shared) for titles of a brand that share words with a query.
 
     Works on distinct (brand, core words) and distinct (brand, title), so copies
-    of a name or title meet once. A pair is found once for every word it
-    shares, so counting it counts the words. A query of fewer than
+    of a name or title meet once. How many queries and titles of a brand hold a
+    word is counted first. Words that only one side has are left out there.
+    Heavier words are cut into blocks, in proportion on both sides, and every
+    block of queries meets every block of titles. A pair is taken where it
+    meets at the rarest word it shares, by a test inside the join, and its
+    words are counted on the spot: what the join returns are the pairs
+    themselves, each once, and they need not be gathered. A query of fewer than
     ``min_shared`` words has to share all of them.
     """
     queries = (
@@ -155,14 +169,39 @@ def candidate_titles(products: DataFrame, titles: DataFrame, min_shared: int = 1
         .distinct()
     )
     needed = F.least(F.lit(min_shared), F.size("tokens")).alias("needed")
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
-    probes = queries.select("brand", "query", needed, F.explode("tokens").alias("token")).select("*", blocks)
-    words = F.array_distinct(X.core_tokens(F.lower(X.strip_markup(F.col("title"))), None))
-    texts = titles.select(F.lower("brand_name").alias("brand"), "title").distinct()
-    block = F.pmod(F.xxhash64("title"), F.lit(BLOCKS)).cast("int").alias("block")
-    postings = texts.select("brand", "title", block, F.explode(words).alias("token"))
-    pairs = probes.join(postings, ["brand", "token", "block"]).groupBy("brand", "query", "title")
-    found = pairs.agg(F.count("*").cast("int").alias("shared"), F.min("needed").alias("needed"))
+    asked = queries.select("brand", "query", needed, F.explode("tokens").alias("token"))
+    words = F.array_distinct(X.core_tokens(F.lower(X.strip_markup(F.col("title"))), None)).alias("words")
+    texts = titles.select(F.lower("brand_name").alias("brand"), "title").distinct().select("brand", "title", words)
+    given = texts.select("brand", "title", "words", F.explode("words").alias("token"))
+    word = ["brand", "token"]
+    frequency = asked.groupBy(*word).agg(F.count("*").alias("in_queries")).join(given.groupBy(*word).agg(F.count("*").alias("in_titles")), word)
+    frequency = stored(frequency, "words")
+    # A query's words, the rarest first.
+    rarest = asked.join(frequency, word).groupBy("brand", "query", "needed").agg(
+        F.array_sort(F.collect_list(F.struct("in_titles", "token", "in_queries"))).alias("known")
+    )
+    own = rarest.select("brand", "query", "needed", F.col("known.token").alias("tokens"), F.explode("known").alias("w"))
+    probes = own.select(
+        "brand",
+        "query",
+        "needed",
+        "tokens",
+        "w.token",
+        F.pmod(F.xxhash64("query"), _blocks(F.col("w.in_queries"))).alias("query_block"),
+        _every(_blocks(F.col("w.in_titles"))).alias("title_block"),
+    )
+    postings = given.join(frequency, word).select(
+        *word,
+        "title",
+        "words",
+        F.pmod(F.xxhash64("title"), _blocks(F.col("in_titles"))).alias("title_block"),
+        _every(_blocks(F.col("in_queries"))).alias("query_block"),
+    )
+    p, t = probes.alias("p"), postings.alias("t")
+    shared = F.array_intersect("p.tokens", "t.words")
+    equal = [F.col(f"p.{c}") == F.col(f"t.{c}") for c in ("brand", "token", "query_block", "title_block")]
+    pairs = p.join(t, [*equal, F.get(shared, F.lit(0)) == F.col("p.token")])
+    found = pairs.select("p.brand", "query", "title", F.size(shared).alias("shared"), "needed")
     return found.filter(F.col("shared") >= F.col("needed")).drop("needed")
 
 

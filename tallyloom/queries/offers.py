@@ -264,9 +264,9 @@ def candidate_codes(spark, d):
     return M.candidate_codes(D.products(spark, d), D.staged_offers(spark, d))
 
 
-# The market is every fifth line item; a product is offered whatever its phrases find there.
+# A product is offered whatever its phrases find on the market, which is all that is staged.
 FOUND_SQL = (
-    STAGED_OFFERS_SQL.replace("staged AS", "market AS", 1).replace("FROM lineitem JOIN part ON l_partkey = p_partkey)", "FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 5 = 0)"),
+    STAGED_OFFERS_SQL.replace("staged AS", "market AS", 1),
     TITLES_SQL.replace("JOIN staged", "JOIN market"),
     TEXTS_SQL,
     """found AS (SELECT CAST(p_partkey AS VARCHAR) AS product_id, brand, title, 'name' AS "by" FROM part JOIN texts ON lower(p_brand) = brand WHERE len(list_intersect(string_split(lower(p_name), ' '), words)) >= 1
@@ -278,20 +278,9 @@ FOUND_SQL = (
 )
 
 
-@register("match_offers_from_phrases", matched_sql(V1_KEY).replace(STAGED_OFFERS_SQL, ",\n".join(FOUND_SQL)) + f"SELECT {MATCHED_COLUMNS} FROM matched")
-def match_offers_from_phrases(spark, d):
-    """From phrases through blocking and gates to the top five, over a fifth of the offers, as its SQL has it."""
-    market = D.staged_offers(spark, d).filter(F.expr("pos div 10 % 5 = 0"))
-    products = D.products(spark, d)
-    return M.match_offers(products, M.staged_from_phrases(products, market)).select(*MATCHED_NAMES)
-
-
-WHOLE_SQL = (STAGED_OFFERS_SQL.replace("staged AS", "market AS", 1), *FOUND_SQL[1:])
-
-
-@register("match_offers_from_phrases_whole", matched_sql(V1_KEY).replace(STAGED_OFFERS_SQL, ",\n".join(WHOLE_SQL)) + f"SELECT {MATCHED_COLUMNS} FROM matched")
+@register("match_offers_from_phrases_whole", matched_sql(V1_KEY).replace(STAGED_OFFERS_SQL, ",\n".join(FOUND_SQL)) + f"SELECT {MATCHED_COLUMNS} FROM matched")
 def match_offers_from_phrases_whole(spark, d):
-    """The same where every staged offer is on the market."""
+    """From phrases through blocking and gates to the top five, over all staged offers."""
     products = D.products(spark, d)
     return M.match_offers(products, M.staged_from_phrases(products, D.staged_offers(spark, d))).select(*MATCHED_NAMES)
 
