@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import constants as C
 from tallyloom.functions import predicates as P
+from tallyloom.session import stored
 
 
 def with_lowest_price(products: DataFrame, offers: DataFrame) -> DataFrame:
@@ -196,7 +197,8 @@ def hydrate_scores(
     wanted = products if condition is None else products.filter(condition)
     hits = scores.filter(F.col("score").isNotNull()).join(wanted, scores["id"] == wanted[key])
     hits = hits.withColumn("similarity_score", F.round("score", 4))
-    best = top_per_key(hits, ["query_id"], [F.desc("similarity_score"), F.desc("product_id")], limit)
+    # Joined twice below, so kept: ``limit`` rows a query.
+    best = stored(top_per_key(hits, ["query_id"], [F.desc("similarity_score"), F.desc("product_id")], limit), "best")
     mine = best.select(F.col("query_id").alias("__q"), F.col("product_id").alias("__p")).join(offers, F.col("__p") == offers["product_id"])
     cheapest = mine.groupBy("__q", "__p").agg(
         F.min_by(F.struct("price", "mall_name", "mall_url"), F.struct("price", "offer_id")).alias("__o")

@@ -6,7 +6,8 @@ answers all of them at once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,12 +17,17 @@ from pyspark.sql import functions as F
 from tallyloom.functions import constants as C
 from tallyloom.functions.vectors import dot, l2_normalize, norm
 from tallyloom.operators.ranking import rank_hits
+from tallyloom.session import stored
+from tallyloom.sources.versioned import PartTable
 
 # Rows of one side that meet in a cell of the grid, and scores computed at a time.
 QUERIES_PER_CELL, ITEMS_PER_CELL = 2_000, 50_000
 SCORES_AT_ONCE = 4_000_000
 DIGITS = 9
 
+# Cells of an inverted file, the vectors they are learnt from at most, and the vectors a query is ranked against at least.
+CELLS, CELL_SAMPLE, CANDIDATES = 64, 20_000, 1_000
+
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
@@ -78,6 +84,14 @@ def _best(queries: pd.DataFrame, unit_queries: np.ndarray, batch: pd.DataFrame,
     return pd.concat(out, ignore_index=True)
 
 
+def _met(queries: pd.DataFrame, items: pd.DataFrame, names: Sequence[str], k: int) -> pd.DataFrame:
+    """Top k of a cell's items for each of its queries; no columns where there are none, as empty text columns cannot be handed back."""
+    if not len(queries) or not len(items):
+        return pd.DataFrame()
+    hits = _best(queries, _unit(_matrix(queries["vector"])), items, names, k)
+    return hits if len(hits) else pd.DataFrame()
+
+
 def _hits_schema(queries: DataFrame) -> str:
     return f"query_id {dict(queries.dtypes)['query_id']}, id string, score double"
 
@@ -98,9 +112,7 @@ def _by_grid(items: DataFrame, queries: DataFrame, names: Sequence[str], k: int,
     its = items.withColumn("__i", block("id", columns)).withColumn("__q", every(rows))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        return _best(left, _unit(_matrix(left["vector"])), right, names, k)
+        return _met(left, right, names, k)
 
     return qs.groupBy("__q", "__i").cogroup(its.groupBy("__q", "__i")).applyInPandas(meet, _hits_schema(queries))
 
@@ -144,35 +156,112 @@ def knn_within(items: DataFrame, queries: DataFrame, field: str, candidates: Dat
     return rank_hits(scored, k=k)
 
 
-def knn_lsh(
-    items: DataFrame, queries: DataFrame, field: str, k: int, radius: float = 1.2, tables: int = 4, bucket: float = 0.5, seed: int = 7
+@dataclass(frozen=True)
+class InvertedFile:
+    """Vectors stored by the cell of their nearest centre, one part of the table a cell."""
+
+    table: PartTable
+    centres: np.ndarray  # unit vectors, a row per cell
+    filters: tuple[str, ...]
+
+
+def _centres(vectors: np.ndarray, cells: int, seed: int, rounds: int = 12) -> np.ndarray:
+    """Spherical k-means: unit centres of at most ``cells`` groups of unit vectors."""
+    rng = np.random.default_rng(seed)
+    vectors = vectors[rng.permutation(len(vectors))]
+    centres = np.unique(vectors, axis=0)
+    centres = centres[rng.permutation(len(centres))[:cells]]
+    for _ in range(rounds):
+        nearest = (vectors @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, vectors)
+        filled = np.linalg.norm(sums, axis=1) > 1e-12
+        centres = np.where(filled[:, None], _unit(sums), centres)
+    return centres
+
+
+def build_inverted_file(
+    items: DataFrame, field: str, root: str, filters: Sequence[str] = (), cells: int = CELLS, sample: int = CELL_SAMPLE, seed: int = 7
+) -> InvertedFile:
+    """Cut the vectors of ``field`` into ``cells`` cells and store them below ``root``.
+
+    Centres are learnt by k-means from at most ``sample`` vectors, those whose
+    hashed id is smallest; every vector is then stored. Rows without a vector,
+    or of length zero, have no direction and are left out.
+    """
+    spark = items.sparkSession
+    there = items.filter(F.coalesce(norm(F.col(field)) > 0, F.lit(False)))
+    rows = there.select(F.col("id").cast("string").alias("id"), l2_normalize(F.col(field)).alias("__vec"), *filters)
+    some = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("__vec").toPandas()["__vec"]
+    centres = _centres(_unit(_matrix(some)), cells, seed) if len(some) else np.zeros((1, 1))
+    sent = spark.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("int")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        return pd.Series((_matrix(vectors) @ sent.value.T).argmax(axis=1).astype("int32"))
+
+    table = PartTable(spark, root, F.col("cell").cast("string"))
+    table.create(rows.withColumn("cell", nearest("__vec")))
+    return InvertedFile(table, centres, tuple(filters))
+
+
+def knn_inverted_file(
+    index: InvertedFile, queries: DataFrame, k: int, candidates: int = CANDIDATES, cell: tuple[int, int] = (QUERIES_PER_CELL, ITEMS_PER_CELL)
 ) -> DataFrame:
-    """Approximate top k by random projections of unit vectors; scores are exact cosines.
+    """Approximate top k per query: (query_id, id, score, rank); scores are exact cosines.
 
-    For unit vectors the Euclidean distance d gives the cosine 1 - d*d/2.
+    A query looks into the cells with the nearest centres, until they hold
+    ``candidates`` vectors together, and ranks all of those. Only cells that a
+    query asks for are read. Within a cell blocks of queries meet blocks of
+    items, so a large cell is many tasks. Queries left with fewer than k hits,
+    by filters or in a small table, are asked once more, exactly.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    some = queries.filter(F.col("vector").isNotNull()).select(F.size("vector").alias("n")).first()
-    # Rows without a direction drop out; the stand-in keeps the hash defined wherever the filter runs.
-    stand_in = F.array_repeat(F.lit(1.0), some["n"] if some else 1)
-
-    def unit(df: DataFrame, name: str, source: str, out: str) -> DataFrame:
-        there = F.coalesce(norm(F.col(source)) > 0, F.lit(False))
-        direction = F.when(there, l2_normalize(F.col(source))).otherwise(stand_in)
-        return df.filter(there).select(F.col(name).alias(out), array_to_vector(direction).alias("features"))
-
-    stored, asked = unit(items, "id", field, "id"), unit(queries, "query_id", "vector", "query_id")
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed
-    ).fit(stored)
-    near = model.approxSimilarityJoin(asked, stored, radius, "d").select(
-        F.col("datasetA.query_id").alias("query_id"),
-        F.col("datasetB.id").cast("string").alias("id"),
-        F.round(1 - F.col("d") * F.col("d") / 2, DIGITS).alias("score"),
-    )
-    return rank_hits(near, k=k)
+    spark, names = queries.sparkSession, list(index.filters)
+    asked = queries.filter(F.col("vector").isNotNull()).select("query_id", "vector", *names)
+    sizes = index.table.read().groupBy("cell").agg(F.count("*").alias("items"))
+    held = np.zeros(len(index.centres), np.int64)
+    for row in sizes.collect():  # a row per cell
+        held[row["cell"]] = row["items"]
+    sent = spark.sparkContext.broadcast((index.centres, held))
+
+    @F.pandas_udf("array<int>")
+    def cells(vectors: pd.Series) -> pd.Series:
+        centres, counts = sent.value
+        order = np.argsort(-(_matrix(vectors) @ centres.T), axis=1, kind="stable")
+        before = np.cumsum(counts[order], axis=1) - counts[order]
+        return pd.Series([[int(c) for c in o[(b < candidates) & (counts[o] > 0)]] for o, b in zip(order, before, strict=True)])
+
+    if not held.any():
+        return rank_hits(spark.createDataFrame([], _hits_schema(queries)), k=k)
+    probes = stored(asked.withColumn("cell", F.explode(cells("vector"))), "probes")
+    wanted = probes.groupBy("cell").agg(F.count("*").alias("queries"))
+    wanted = stored(wanted.join(sizes, "cell"), "cells")
+    probed = [str(r["cell"]) for r in wanted.select("cell").collect()]
+
+    def blocks(column: str, size: int) -> Column:
+        return F.ceil(F.col(column) / F.lit(size)).cast("int")
+
+    def own(name: str, column: str, size: int) -> Column:
+        return F.pmod(F.xxhash64(name), blocks(column, size)).cast("int")
+
+    def every(column: str, size: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), blocks(column, size) - 1))
+
+    by = ["cell", "__q", "__i"]
+    qs = probes.join(wanted, "cell").withColumn("__q", own("query_id", "queries", cell[0])).withColumn("__i", every("items", cell[1]))
+    its = index.table.read(probed).join(wanted, "cell").withColumn("__i", own("id", "items", cell[1])).withColumn("__q", every("queries", cell[0]))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _met(left, right, names, k)
+
+    near = qs.drop("queries", "items").groupBy(*by).cogroup(its.drop("queries", "items").groupBy(*by)).applyInPandas(meet, _hits_schema(queries))
+    hits = stored(rank_hits(near, k=k), "hits")
+    full = hits.filter(F.col("rank") == k).select("query_id")
+    short = stored(asked.join(full, "query_id", "left_anti"), "short")
+    if short.isEmpty():
+        return hits
+    exact = knn(index.table.read(), short, "__vec", k, names)
+    return hits.join(full, "query_id", "left_semi").unionByName(exact)
 
 
 def _both(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
@@ -232,11 +321,13 @@ def search(
     neither vector fails the job with a clear message.
     """
     names = [f for f in filters if f in queries.columns]
+    queries = stored(queries.select("query_id", "image_vector", "text_vector", *names), "queries")
     image, text = F.col("image_vector"), F.col("text_vector")
     def ask(rows: DataFrame, field: str) -> DataFrame:
         return rows.select("query_id", F.col(field).alias("vector"), *names)
 
-    by_image = knn(items, ask(queries.filter(image.isNotNull()), "image_vector"), "image_vector", image_k, names)
+    # Read by both stages and by whoever ranks the result, so kept: ``image_k`` rows a query.
+    by_image = stored(knn(items, ask(queries.filter(image.isNotNull()), "image_vector"), "image_vector", image_k, names), "hits")
     missing = F.raise_error(F.lit("a query needs an image or a text")).cast(queries.schema["text_vector"].dataType)
     no_image = queries.filter(image.isNull()).withColumn("text_vector", F.when(text.isNull(), missing).otherwise(text))
     by_text = knn(items, ask(no_image, "text_vector"), "text_vector", text_k, names)

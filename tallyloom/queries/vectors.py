@@ -13,6 +13,7 @@ from tallyloom.plans import search as S
 from tallyloom.plans.domain import ITEMS_SQL, OFFERS_SQL, PRODUCTS_SQL, with_
 from tallyloom.queries import register
 from tallyloom.queries.offers import MALL_SQL, RANKED_SQL
+from tallyloom.session import scratch_path
 
 # One query per (label, last digit): the group's first vector as image, its last as text.
 ASKED_SQL = """asked AS (
@@ -78,9 +79,25 @@ def knn_grid(spark, d):
     )
 
 
-@register("knn_lsh")
-def knn_lsh(spark, d):
-    return rounded(V.knn_lsh(D.items(spark, d), image_queries(spark, d), "image_vector", 10))
+def inverted_file(spark, d):
+    return V.build_inverted_file(D.items(spark, d), "image_vector", scratch_path(spark, "cells"), ("category", "gender"))
+
+
+@register("knn_inverted_file")
+def knn_inverted_file(spark, d):
+    return rounded(V.knn_inverted_file(inverted_file(spark, d), image_queries(spark, d), 10))
+
+
+@register("knn_inverted_file_recall", with_(ASKED_SQL) + "SELECT count(*) AS queries, TRUE AS good, TRUE AS complete FROM asked")
+def knn_inverted_file_recall(spark, d):
+    """Held against the exact search: at least nine in ten of all hits found, and k hits for every query that has them."""
+    found = V.knn_inverted_file(inverted_file(spark, d), image_queries(spark, d), 10).select("query_id", "id", F.lit(1).alias("found"))
+    exact = V.knn(D.items(spark, d), image_queries(spark, d), "image_vector", 10, ("category", "gender"))
+    both = exact.select("query_id", "id", F.lit(1).alias("wanted")).join(found, ["query_id", "id"], "full_outer")
+    per = both.groupBy("query_id").agg(F.count("wanted").alias("wanted"), F.count("found").alias("found"), F.count(F.col("wanted") + F.col("found")).alias("both"))
+    return per.agg(
+        F.count("*").alias("queries"), (F.sum("both") >= 0.9 * F.sum("wanted")).alias("good"), F.bool_and(F.col("found") == F.col("wanted")).alias("complete")
+    )
 
 
 IMAGE_HITS = hits_sql("image_hits", "image_vector", 30)
