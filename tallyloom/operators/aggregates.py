@@ -70,9 +70,15 @@ def top_errors(df: DataFrame, n: int = 5, services: int = 5, longest: int | None
     seen everywhere is as many rows as there are services.
     """
     errors = df.filter(_is_error() if longest is None else _is_error() & (F.length("message") <= longest))
-    cells = errors.groupBy("message", "service").agg(
-        F.count("*").alias("c"), F.max(F.struct("timestamp", "event_id", "container")).alias("last")
-    )
+    return _worst(errors.groupBy("message", "service").agg(F.count("*").alias("c"), _latest().alias("last")), n, services)
+
+
+def _latest() -> Column:
+    return F.max(F.struct("timestamp", "event_id", "container"))
+
+
+def _worst(cells: DataFrame, n: int = 5, services: int = 5) -> DataFrame:
+    """The most frequent messages of (message, service, c, last) rows."""
     message = Window.partitionBy("message")
     ranked = cells.select(
         "message",
@@ -134,6 +140,11 @@ def dashboard(
         "service",
         "level",
     ).agg(F.count("*").alias("n"))
+    return _dashboard(cube, top_errors(window, longest=longest), levels_listed, services_listed)
+
+
+def _dashboard(cube: DataFrame, worst: DataFrame, levels_listed: int | None, services_listed: int | None) -> DataFrame:
+    """The sections of a (bucket, recent, service, level, n) cube, and of the messages counted beside it."""
     no_hour = F.lit(None).cast("timestamp_ntz")
 
     def member(section: str, key: Column, hour: Column) -> Column:
@@ -176,16 +187,54 @@ def dashboard(
     entries = F.when(F.col("of") == "level", levels).when(F.col("of") == "service", services).otherwise(trend)
     key = F.coalesce("key", F.date_format("bucket", "yyyy-MM-dd HH:mm"))
     counted = full.select(key.alias("key"), F.explode(entries).alias("e")).select("e.section", "key", "e.metric", "e.value", "e.text")
-    worst = F.array(
+    facts = F.array(
         entry("top_errors", "count", F.col("count")),
         entry("top_errors", "services", None, F.array_join("services", ",")),
         entry("top_errors", "last_seen", None, F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss")),
         entry("top_errors", "container", None, F.col("container")),
     )
-    top = top_errors(window, longest=longest).select(F.col("message").alias("key"), F.explode(worst).alias("e"))
+    top = worst.select(F.col("message").alias("key"), F.explode(facts).alias("e"))
     return counted.unionByName(top.select("e.section", "key", "e.metric", "e.value", "e.text"))
 
 
+ROLLUP_KEYS = ["bucket", "service", "level", "message"]
+
+
+def hourly_rollup(df: DataFrame, longest: int | None = None) -> DataFrame:
+    """(bucket, service, level, message, n, last) per hour: what the dashboard needs to know of it.
+
+    Only errors keep their message, and of those only messages of at most
+    ``longest`` characters. Rollups of two sets of rows, put together by
+    ``merged_rollup``, are the rollup of both.
+    """
+    named = _is_error() if longest is None else _is_error() & (F.length("message") <= longest)
+    rows = df.select(hour_bucket().alias("bucket"), "service", "level", F.when(named, F.col("message")).alias("message"), "timestamp", "event_id", "container")
+    return rows.groupBy(*ROLLUP_KEYS).agg(F.count("*").alias("n"), _latest().alias("last"))
+
+
+def merged_rollup(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*ROLLUP_KEYS).agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+
+
+def dashboard_from_rollup(
+    rollup: DataFrame,
+    as_of: dt.datetime,
+    hours: int = 24,
+    recent_hours: int = 1,
+    levels_listed: int | None = None,
+    services_listed: int | None = None,
+) -> DataFrame:
+    """``dashboard`` from hourly rollups; ``as_of`` is a full hour."""
+    if as_of.replace(minute=0, second=0, microsecond=0) != as_of:
+        raise ValueError("rollups end at full hours")
+    window = rollup.filter(P.since(F.col("bucket"), as_of, hours))
+    recent = P.since(F.col("bucket"), as_of, recent_hours).alias("recent")
+    cube = window.groupBy("bucket", recent, "service", "level").agg(F.sum("n").alias("n"))
+    named = window.filter(_is_error() & F.col("message").isNotNull())
+    cells = named.groupBy("message", "service").agg(F.sum("n").alias("c"), F.max("last").alias("last"))
+    return _dashboard(cube, _worst(cells), levels_listed, services_listed)
+
+
 def metric_stats(df: DataFrame, digits: int | None = 2) -> DataFrame:
     """Mean CPU, mean memory share and peak memory in MB by service."""
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import constants as C
 from tallyloom.functions.logs import in_active_hours, is_startup_noise, level_rank
 from tallyloom.functions.predicates import alertable
-from tallyloom.operators.windows import cooldown_fires, sessions, sliding_count
+from tallyloom.operators.windows import asof_join, cooldown_fires, sessions, sliding_count
 
 
 def to_second(ts: str = "timestamp") -> Column:
@@ -31,6 +31,16 @@ def after_grace(df: DataFrame, started_at: dt.datetime, grace_s: int = C.STARTUP
     return df.filter(F.col(ts) >= F.lit(started_at + dt.timedelta(seconds=grace_s)).cast("timestamp_ntz"))
 
 
+def after_starts(
+    df: DataFrame, starts: DataFrame, key: str = "service", grace_s: int = C.STARTUP_GRACE_S, ts: str = "timestamp"
+) -> DataFrame:
+    """Rows of a service that are not within ``grace_s`` of its last start; ``starts`` has (key, ts), any number a service."""
+    begun = starts.select(key, ts, F.col(ts).alias("__started"))
+    rows = asof_join(df, begun, [key], ts, ["__started"])
+    open_ = F.col("__started").isNull() | (F.col(ts) >= F.col("__started") + F.make_dt_interval(secs=F.lit(grace_s)))
+    return rows.filter(open_).drop("__started")
+
+
 def counts_toward_spike(min_level: str = "CRITICAL", excluded: Sequence[str] = ()) -> Column:
     """Errors of a level high enough, of a service not excluded, that are no start-up noise."""
     counted = F.col("level").isin("ERROR", "CRITICAL") & (level_rank(F.col("level")) >= C.LEVEL_RANK.get(min_level, 0))

@@ -112,6 +112,15 @@ def touch_latest(events: DataFrame, keys: Sequence[str], ts: str = "at") -> Data
     return events.groupBy(*keys).agg(F.max(ts).alias(ts))
 
 
+def last_action(events: DataFrame, keys: Sequence[str], action: str = "action", ts: str = "at") -> DataFrame:
+    """The last action of each key with its time and event id. Equal times: the later event id decides.
+
+    What it returns may be put together with further events, and it asked again.
+    """
+    last = events.groupBy(*keys).agg(F.max(F.struct(F.col(ts), F.col("event_id"), F.col(action))).alias("__last"))
+    return last.select(*keys, F.col(f"__last.{action}").alias(action), F.col(f"__last.{ts}").alias(ts), "__last.event_id")
+
+
 def toggle_state(events: DataFrame, keys: Sequence[str], on: str, action: str = "action", ts: str = "at") -> DataFrame:
     """Current members: keys whose last action is ``on``. Equal times: the later event id decides."""
     order = F.struct(F.col(ts), F.col("event_id"))
@@ -166,6 +175,12 @@ def increment_counter(base: DataFrame, events: DataFrame, keys: Sequence[str], c
     )
 
 
+def add_counts(base: DataFrame, counts: DataFrame, keys: Sequence[str], counter: str = "view_count") -> DataFrame:
+    """counter = counter + ``n`` of ``counts`` (keys, n), one row per key; keys the base lacks are left out."""
+    added = F.coalesce(F.col(counter), F.lit(0)) + F.coalesce(F.col("n"), F.lit(0))
+    return base.join(counts.select(*keys, "n"), list(keys), "left").withColumn(counter, added).drop("n")
+
+
 def evolve_schema(
     df: DataFrame,
     rename: Mapping[str, str] | None = None,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import catalog as G
 from tallyloom.functions.text import filter_attr_keys
-from tallyloom.operators.sequence import assign_sequence, next_sequences
+from tallyloom.operators.sequence import SequenceLedger, assign_sequence, next_sequences
 
 
 @dataclass(frozen=True)
@@ -111,3 +111,9 @@ def load_catalog(
         *G.audit_columns(as_of),
     )
     return products, next_sequences(numbered, "brand_name")
+
+
+def load_catalog_batch(raw: DataFrame, ledger: SequenceLedger, batch: str, as_of: Column | None = None) -> DataFrame:
+    """Products of one batch, with the ids its ledger holds for it: a load that is repeated gives the same ids."""
+    counts = catalog_rows(raw).groupBy("brand_name").agg(F.count("*").alias("n"))
+    return load_catalog(raw, ledger.reserve(batch, counts, "brand_name"), as_of)[0]

@@ -22,6 +22,7 @@ MODULES = (
     "catalog",
     "sources",
     "streams",
+    "stored",
 )
 
 QUERIES: dict[str, Query] = {}

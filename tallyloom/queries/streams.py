@@ -179,3 +179,13 @@ def critical_alert_stream(spark, d):
 @register("recovery_stream", DECIDED_SQL)
 def recovery_stream(spark, d):
     return naive(run_once(A.recovery_stream(log_stream(spark, d), **RECOVERY, restartable=RESTARTABLE), spark, "recovery"))
+
+
+@register(
+    "sliding_error_count_stream",
+    with_(LOGS_SQL, """errors AS (SELECT service, date_trunc('second', "timestamp") AS moment FROM logs WHERE level IN ('ERROR', 'CRITICAL'))""")
+    + """SELECT DISTINCT service, moment AS "at", count(*) OVER (PARTITION BY service ORDER BY moment RANGE BETWEEN INTERVAL 7200 SECOND PRECEDING AND CURRENT ROW) AS in_window
+FROM errors""",
+)
+def sliding_error_count_stream(spark, d):
+    return naive(run_once(A.sliding_count_stream(log_stream(spark, d), window_s=7200), spark, "sliding"))

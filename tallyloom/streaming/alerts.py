@@ -119,6 +119,55 @@ class RecoveryProcessor(_Seconds):
         return pd.DataFrame(rows, columns=["service", "at", "action", "errors"])
 
 
+class SlidingProcessor(StatefulProcessor):
+    """How many rows of a key are at most ``window_s`` old, at every second with rows.
+
+    The seconds inside the window are a map from a second to its count and the
+    next second after it, so what leaves is found from the oldest on, and each
+    second enters and leaves once. A key whose window runs empty is forgotten
+    by an event-time timer.
+    """
+
+    def __init__(self, key: str, window_s: int):
+        self.key, self.window_s = key, window_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "s long", "n long, following long")
+        self.ends = handle.getValueState("ends", "oldest long, newest long, total long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seconds = pd.concat(list(rows)).sort_values("s")  # one micro-batch of closed seconds
+        oldest, newest, total = self.ends.get() if self.ends.exists() else (None, None, 0)
+        counts = []
+        for now, n in zip(seconds["s"].tolist(), seconds["n"].tolist(), strict=True):
+            while oldest is not None and oldest < now - self.window_s:
+                gone, following = self.held.getValue((oldest,))
+                self.held.removeKey((oldest,))
+                total -= gone
+                oldest = following if following >= 0 else None
+            if oldest is None:
+                oldest = now
+            else:
+                self.held.updateValue((newest,), (self.held.getValue((newest,))[0], now))
+            self.held.updateValue((now,), (n, -1))
+            newest, total = now, total + n
+            counts.append(total)
+        self.ends.update((oldest, newest, total))
+        self.handle.registerTimer((newest + self.window_s + 1) * 1000)
+        yield pd.DataFrame({self.key: [key[0]] * len(counts), "at": list(seconds["at"]), "in_window": counts})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        if self.ends.exists() and self.ends.get()[1] + self.window_s < due:
+            self.held.clear()
+            self.ends.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
 def _stateful(seconds: DataFrame, keys: Sequence[str], processor: StatefulProcessor, schema: str) -> DataFrame:
     return seconds.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
@@ -150,3 +199,11 @@ def recovery_stream(
         RecoveryProcessor(window_s, threshold, cooldown_s, per_hour),
         "service string, at timestamp, action string, errors long",
     )
+
+
+def sliding_count_stream(
+    logs: DataFrame, key: str = "service", window_s: int = 600, condition: Column | None = None, watermark: str = "10 minutes"
+) -> DataFrame:
+    """(key, at, in_window): at every second with errors of a key, its errors aged 0 to ``window_s`` seconds, exactly."""
+    counted = per_second(logs, {key: F.col(key)}, _is_error() if condition is None else condition, watermark)
+    return _stateful(counted, [key], SlidingProcessor(key, window_s), f"`{key}` string, at timestamp, in_window long")

@@ -96,6 +96,44 @@ def test_cooldown_fires(spark, bursts, ranges, cooldown):
     assert {(r["k"], micros_of(r["timestamp"])) for r in got} == want
 
 
+@pytest.mark.parametrize("cooldown", [30, 900])
+def test_cooldown_fires_by_doubling(spark, bursts, ranges, cooldown):
+    """Dense keys are followed another way, with the same result."""
+    near = W.cooldown_fires(frame(spark, bursts), ["k"], "timestamp", cooldown).collect()
+    doubled = W.cooldown_fires(frame(spark, bursts), ["k"], "timestamp", cooldown, followed=0).collect()
+    assert sorted(map(tuple, near)) == sorted(map(tuple, doubled)) and near
+
+
+def test_a_dense_key_is_never_gathered(spark, monkeypatch):
+    """A million times of one key inside a cooldown, and as many spread thinly: no task is handed a key's rows together."""
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    plans = []
+    kind = type(spark.range(1))
+    group = kind.groupBy
+
+    def watched(self, *keys):
+        plans.append((self, keys))
+        return group(self, *keys)
+
+    monkeypatch.setattr(kind, "groupBy", watched)
+    try:
+        at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * F.when(F.col("id") < 1_000_000, 50).otherwise(5_000)).cast("timestamp_ntz")
+        df = spark.range(1_100_000).select(F.lit("hot").alias("k"), at.alias("timestamp"))
+        fires = W.cooldown_fires(df, ["k"], "timestamp", 60)
+        # 50 s at 20,000 a second, then 200 a second up to 5,500 s; the first fire is at 0.
+        got = sorted(micros_of(r["timestamp"]) for r in fires.collect())
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert got[0] == 0 and got[1] == 5_000_000_000 and all(60_000_000 <= b - a < 60_005_001 for a, b in zip(got[1:], got[2:]))
+    # The first count by key is combined before it is shuffled; what is grouped by key after that holds no dense key.
+    tables = [frame for frame, keys in plans if keys == ("k",) and "__upto" in frame.columns][1:]
+    assert tables and all((group(frame, "k").count().agg(F.max("count")).first()[0] or 0) < 1_000 for frame in tables)
+
+
 def test_cooldown_without_keys(spark, bursts, ranges):
     times = sorted({us for _, us in bursts})
     want, last = set(), None
@@ -123,6 +161,20 @@ def test_sliding_count(spark, bursts, ranges, window):
     assert {(r["k"], micros_of(r["timestamp"])): r["in_window"] for r in got} == want
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_join(spark, bursts, ranges, strict):
+    rng = random.Random(9)
+    right = [(k, us + rng.choice([0, 1, 10**7]), i) for i, (k, us) in enumerate(rng.sample(bursts, 200)) if k != "k3"]
+    want = []
+    for k, us in bursts:
+        found = [(at, i) for key, at, i in right if key == k and (at < us or at == us and not strict)]
+        want.append((k, us, max(found)[1] if found else None))
+    schema = "k string, timestamp timestamp_ntz, i long"
+    other = spark.createDataFrame([(k, START + dt.timedelta(microseconds=us), i) for k, us, i in right], schema)
+    got = W.asof_join(frame(spark, bursts), other, ["k"], "timestamp", ["i"], strict).collect()
+    assert Counter((r["k"], micros_of(r["timestamp"]), r["i"]) for r in got) == Counter(want)
+
+
 def test_chunked_lag(spark, bursts, ranges):
     rows = [(k, us, i) for i, (k, us) in enumerate(bursts)]
     df = spark.createDataFrame(
@@ -151,33 +203,34 @@ def test_sessions(spark, bursts, ranges):
 
 
 def test_recovery_decisions(spark):
-    """Against the rule told error by error, at whole seconds."""
+    """What has to hold of any decisions, whoever takes them."""
     rng = random.Random(3)
     rows = [("svc", rng.randrange(4_000) * 1_000_000) for _ in range(500)] + [("idle", i * 10**9) for i in range(20)]
     rows += [("svc", (20_000 + rng.randrange(500)) * 1_000_000) for _ in range(100)]
     window, threshold, cooldown, per_hour = 300, 10, 120, 3
-    want = []
-    for key, times in by_key(rows).items():
-        errors, restarts, limited = deque(), [], set()
-        for us in times:
-            now = us // 1_000_000
-            errors.append(now)
-            while now - errors[0] > window:
-                errors.popleft()
-            if len(errors) < threshold or (restarts and now - restarts[-1] < cooldown):
-                continue
-            if len([r for r in restarts if r > now - 3600]) >= per_hour:
-                if now not in limited:
-                    want.append((key, now, "restart_limit"))
-                limited.add(now)
-                continue
-            want.append((key, now, "restart"))
-            restarts.append(now)
-            errors.clear()
     df = frame(spark, rows, "service string, timestamp timestamp_ntz")
     got = A.recovery_decisions(df, window_s=window, threshold=threshold, cooldown_s=cooldown, per_hour=per_hour).collect()
-    assert sorted((r["service"], micros_of(r["at"]) // 1_000_000, r["action"]) for r in got) == sorted(want)
-    assert {r["action"] for r in got} == {"restart", "restart_limit"}
+    assert {r["service"] for r in got} == {"svc"} and {r["action"] for r in got} == {"restart", "restart_limit"}
+    seconds = Counter(us // 1_000_000 for key, us in rows if key == "svc")
+    acted = {micros_of(r["at"]) // 1_000_000: r for r in got}
+    restarts = sorted(s for s, r in acted.items() if r["action"] == "restart")
+    # The cooldown and the bound of an hour hold.
+    assert all(b - a >= cooldown for a, b in zip(restarts, restarts[1:]))
+    assert all(sum(s - 3600 < t <= s for t in restarts) <= per_hour for s in restarts)
+    used = Counter()  # errors that a restart has used up, by second
+    for s in sorted(seconds):
+        before = [t for t in restarts if t < s]
+        since = max(before, default=-1)
+        # Errors in the window that no restart has used, this second's among them.
+        free = sum(n - used[t] for t, n in seconds.items() if max(since, s - window) <= t <= s)
+        may = (not before or s - since >= cooldown) and free >= threshold
+        full = sum(t > s - 3600 for t in before) >= per_hour
+        assert (s in acted) == may, s
+        if s in acted:
+            assert acted[s]["action"] == ("restart_limit" if full else "restart") and threshold <= acted[s]["errors"] <= free
+            if not full:
+                # Nothing counts twice across a restart: what it used is gone, the rest of its second stays.
+                used[s] = seconds[s] - (free - acted[s]["errors"])
 
 
 def test_rate_limit(spark):
@@ -211,6 +264,14 @@ def test_only_listed_services_restart(spark):
     assert {r["service"] for r in A.recovery_decisions(df, restartable=["b"]).collect()} == {"b"}
 
 
+def test_grace_after_every_start(spark):
+    df = frame(spark, [(k, s * 1_000_000) for k in "abc" for s in range(0, 100, 10)], "service string, timestamp timestamp_ntz")
+    starts = frame(spark, [("a", 5_000_000), ("a", 50_000_000), ("a", 55_000_000), ("b", 90_000_000)], "service string, timestamp timestamp_ntz")
+    kept = {(r["service"], micros_of(r["timestamp"]) // 1_000_000) for r in A.after_starts(df, starts, grace_s=20).collect()}
+    assert {s for k, s in kept if k == "a"} == {0, 30, 40, 80, 90}
+    assert {s for k, s in kept if k == "b"} == set(range(0, 90, 10)) and len({s for k, s in kept if k == "c"}) == 10
+
+
 def test_boxes_by_confidence(spark):
     boxes = spark.createDataFrame([("i", 0, 0.4), ("i", 1, 0.9), ("i", 2, 0.4), ("j", 0, 0.1)], "path string, box int, confidence double")
     got = sorted((r["path"], r["place"], r["box"]) for r in R.rank_boxes(boxes).collect())
@@ -413,11 +474,27 @@ def test_knn_is_exact(corpus, options):
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in hits])
 
 
-def test_lsh_finds_most(corpus):
+@pytest.mark.parametrize("cells, candidates", [(8, 60), (200, 40), (1, 10)])
+def test_inverted_file(spark, corpus, tmp_path, cells, candidates):
+    """Most of the exact hits, k of them for every query, with exact scores; all of them where every cell is looked into."""
+    items, queries, _ = corpus
+    k = 5
+    exact = {(r["query_id"], r["id"]): r["score"] for r in V.knn(items, queries, "image_vector", k, ("category",)).collect()}
+    index = V.build_inverted_file(items, "image_vector", str(tmp_path), ("category",), cells=cells)
+    directed = items.filter(F.exists("image_vector", lambda x: x != 0))
+    assert index.table.read().count() == directed.count()
+    for wanted, floor in ((candidates, 0.6), (10**6, 1.0)):
+        rows = V.knn_inverted_file(index, queries, k, candidates=wanted, cell=(3, 50)).collect()
+        near = {(r["query_id"], r["id"]): r["score"] for r in rows}
+        both = set(near) & set(exact)
+        assert len(near) == len(rows) == len(exact) and len(both) >= floor * len(exact)
+        assert all(near[p] == pytest.approx(exact[p], abs=1e-8) for p in both)
+
+
+def test_inverted_file_of_nothing(spark, corpus, tmp_path):
     items, queries, _ = corpus
-    exact = {(r["query_id"], r["id"]) for r in V.knn(items, queries, "image_vector", 5).collect()}
-    near = {(r["query_id"], r["id"]) for r in V.knn_lsh(items, queries, "image_vector", 5, radius=2.0, tables=8, bucket=1.0).collect()}
-    assert len(exact & near) / len(exact) > 0.8
+    index = V.build_inverted_file(items.limit(0), "image_vector", str(tmp_path), ("category",))
+    assert V.knn_inverted_file(index, queries, 5).collect() == []
 
 
 def test_fusion_values(spark):
