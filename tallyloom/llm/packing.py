@@ -21,10 +21,11 @@ class WordIds:
     """Ids of white-space separated words, each encoded once by the tokenizer.
 
     The tokenizer's normaliser and its splitting never reach over white space,
-    so a text's ids are its words' ids in a row. Words of ASCII and Latin-1
-    letters need no Unicode normalisation: lower-cased and split by the
-    tokenizer's own pattern they are encoded in one call; other words, and
-    those that may hold a special token, go through the whole tokenizer.
+    so a text's ids are its words' ids in a row. Texts of ASCII and Latin-1
+    letters need no Unicode normalisation: they are lower-cased first, which
+    leaves fewer words to remember, and their words, split by the tokenizer's
+    own pattern, are encoded in one call; other words, and those that may hold
+    a special token, go through the whole tokenizer.
     """
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # the tokenizer's
@@ -43,16 +44,30 @@ class WordIds:
                 [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
             )
         self.split = regex.compile(self.PATTERN).findall
-        self.simple = regex.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*").fullmatch
+        self.plain = regex.compile(r"[\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*").fullmatch
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {"": b""}
 
+    def is_plain(self, text: str) -> bool:
+        """Whether the tokenizer only lower-cases this text and splits it by its pattern."""
+        return self.pieces is not None and "<|" not in text and (text.isascii() and text.isprintable() or self.plain(text) is not None)
+
     def learn(self, words: set[str]) -> None:
-        """Add the ids of ``words``. A piece of a word is a word of its own, so pieces are remembered too."""
+        """Add the ids of ``words``. A piece of a word is a word of its own, so pieces are remembered too.
+
+        Letters alone are one piece, and so are the letters before a full stop
+        or a comma; the pattern is asked only about other words.
+        """
         split, known = {}, self.known
         for word in words:
-            if self.pieces is not None and "<|" not in word and (word.isascii() and word.isprintable() or self.simple(word)):
-                split[word] = self.split(word.lower())
+            if self.is_plain(word):
+                low = word.lower()
+                if low.isalpha():
+                    split[word] = [low]
+                elif low[-1] in ".," and low[:-1].isalpha():
+                    split[word] = [low[:-1], low[-1]]
+                else:
+                    split[word] = self.split(low)
             else:
                 known[word] = np.array(self.whole.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
         parts = list({part for own in split.values() for part in own if part not in known})
@@ -64,20 +79,20 @@ class WordIds:
         for word, own in split.items():
             known[word] = known[own[0]] if len(own) == 1 else b"".join([known[part] for part in own])
 
+    def words(self, text: str | None) -> list[str]:
+        text = (text or "").replace("\n", " ").replace("\t", " ")
+        return (text.lower() if self.is_plain(text) else text).split(" ")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        found = [list(map(self.known.get, words)) for words in split]
-        lacking = [i for i, ids in enumerate(found) if None in ids]
-        fresh = {word for i in lacking for word, ids in zip(split[i], found[i], strict=True) if ids is None}
+        split = [self.words(text) for text in texts]
+        fresh = set().union(*split).difference(self.known)
         if len(self.known) + len(fresh) > CACHED:
-            self.known, lacking = {"": b""}, range(len(split))
+            self.known = {"": b""}
             fresh = set().union(*split)
         if fresh:
             self.learn(fresh)
-        for i in lacking:
-            found[i] = map(self.known.__getitem__, split[i])
-        end = np.array([END], self.dtype).tobytes()
-        return [b"".join(ids) + end for ids in found]
+        end, ids = np.array([END], self.dtype).tobytes(), self.known.__getitem__
+        return [b"".join(map(ids, words)) + end for words in split]
 
 
 def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
