@@ -13,8 +13,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+# One piece of markup. Attributes are taken one after the other and never given back, and what is cut off
+# ends with the page, so a tag is read twice at most. Where quotes do not pair a tag ends at the next ">".
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|"
+    r"<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<rest>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>|\Z)|[^<>]*+)(?:>|\Z)",
+    re.S,
 )
 CLASSES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -37,13 +41,19 @@ WRAPPERS = {"header", "fieldset", "dialog"}
 # Words in a class that say what an element holds or lacks, not what it is, and those that begin the name of an article's own parts.
 LAYOUT = {"has", "with", "no", "without", "layout"}
 OWN_PARTS = {"entry", "post", "article", "story"}
+# Names that also say where something stands in a layout, and those whose compounds may as well be about the text.
+STRUCTURAL = {
+    "banner", "breadcrumb", "breadcrumbs", "complementary", "contentinfo", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation",
+    "pagination", "sidebar", "toolbar", "widget",
+}
+AMBIGUOUS = STRUCTURAL | {"notice", "related", "share", "sharing", "social"}
 
-FEATURES = ("words", "density", "before_words", "before_density", "after_words", "after_density", "main", "furniture")
+FEATURES = ("words", "density", "before_words", "before_density", "after_words", "after_density", "main", "furniture", "named", "share")
 
 # Labelled by hand: words and share of linked words of a block, of the block
 # before and the block after, whether a main element and whether a furniture
 # element holds it, and the label: 1 for the article, 0 for the rest.
-LABELLED = (
+UNNAMED = (
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (2, 1.0, 1, 1.0, 12, 0.0, 0, 1, 0),
     (12, 0.0, 2, 1.0, 9, 0.0, 0, 1, 0), (14, 0.0, 1, 1.0, 60, 0.0, 0, 1, 0), (45, 0.0, 1, 1.0, 80, 0.0, 0, 1, 0),
     (9, 0.0, 14, 0.0, 70, 0.0, 1, 0, 1), (6, 0.0, 12, 0.0, 4, 0.0, 1, 0, 1), (2, 0.0, 40, 0.0, 50, 0.0, 1, 0, 1),
@@ -86,8 +96,27 @@ LABELLED = (
     (6, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0), (5, 0.0, 40, 0.0, 3, 1.0, 0, 0, 0), (7, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0), (4, 0.0, 20, 0.0, 4, 1.0, 0, 0, 0),
 )
 
+# The same where an element with a furniture name holds the block: before the
+# label how plainly it is named (1: by a part of a compound that may be about
+# the text, 2: plainly) and the share of the page's words that it holds.
+NAMED = (
+    # Plain names: adverts, comments, notices, wherever they stand and whatever they say.
+    (8, 0.0, 60, 0.0, 70, 0.0, 1, 0, 2, 0.03, 0), (40, 0.0, 60, 0.0, 0, 0.0, 1, 0, 2, 0.2, 0), (90, 0.0, 80, 0.0, 85, 0.0, 1, 0, 2, 0.4, 0), (3, 1.0, 50, 0.0, 4, 1.0, 1, 0, 2, 0.05, 0),
+    (8, 0.0, 3, 1.0, 70, 0.0, 0, 0, 2, 0.03, 0), (40, 0.0, 60, 0.0, 20, 0.0, 0, 0, 2, 0.2, 0), (90, 0.0, 80, 0.0, 85, 0.0, 0, 0, 2, 0.6, 0), (2, 0.0, 0, 0.0, 60, 0.0, 0, 0, 2, 0.02, 0),
+    (15, 0.1, 30, 0.0, 30, 0.0, 1, 0, 2, 0.9, 0), (60, 0.0, 0, 0.0, 40, 0.0, 0, 0, 2, 1.0, 0), (20, 0.0, 40, 0.0, 4, 1.0, 0, 0, 2, 0.1, 0), (5, 0.0, 40, 0.0, 50, 0.0, 1, 0, 2, 0.01, 0),
+    # Compounds within a main element: a section about something, if it is text; links, if it is links.
+    (60, 0.0, 50, 0.0, 40, 0.0, 1, 0, 1, 0.3, 1), (12, 0.0, 60, 0.0, 50, 0.0, 1, 0, 1, 0.1, 1), (3, 0.0, 60, 0.0, 40, 0.0, 1, 0, 1, 0.2, 1), (30, 0.2, 3, 0.0, 0, 0.0, 1, 0, 1, 0.1, 1),
+    (8, 0.0, 0, 0.0, 20, 0.0, 1, 0, 1, 0.6, 1), (25, 0.0, 40, 0.0, 4, 1.0, 1, 0, 1, 0.4, 1), (5, 0.0, 12, 0.0, 9, 0.0, 1, 0, 1, 0.05, 1), (80, 0.1, 70, 0.0, 60, 0.0, 1, 0, 1, 0.9, 1),
+    (2, 1.0, 60, 0.0, 3, 1.0, 1, 0, 1, 0.03, 0), (6, 0.9, 3, 1.0, 4, 1.0, 1, 0, 1, 0.1, 0), (12, 0.8, 40, 0.0, 0, 0.0, 1, 0, 1, 0.05, 0), (4, 1.0, 12, 0.0, 9, 0.0, 1, 0, 1, 0.4, 0),
+    # Compounds outside: what surrounds the article.
+    (8, 0.0, 3, 1.0, 60, 0.0, 0, 0, 1, 0.04, 0), (40, 0.0, 60, 0.0, 30, 0.0, 0, 0, 1, 0.3, 0), (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 1, 0.1, 0), (25, 0.1, 50, 0.0, 0, 0.0, 0, 0, 1, 0.15, 0),
+    (60, 0.0, 0, 0.0, 70, 0.0, 0, 0, 1, 1.0, 0), (90, 0.0, 40, 0.0, 80, 0.0, 0, 0, 1, 0.5, 0), (20, 0.0, 40, 0.0, 4, 1.0, 0, 0, 1, 0.1, 0), (5, 0.0, 40, 0.0, 70, 0.0, 0, 0, 1, 0.05, 0),
+)
+
+LABELLED = tuple((*row[:-1], 0, 0.0, row[-1]) for row in UNNAMED) + NAMED
 
-def grown(rows: np.ndarray, depth: int = 6) -> tuple | float:
+
+def grown(rows: np.ndarray, depth: int = 9) -> tuple | float:
     """A decision tree, (feature, threshold, at most, above), with the share of label 1 at its leaves."""
     labels = rows[:, -1]
     share = labels.mean()
@@ -110,39 +139,47 @@ def grown(rows: np.ndarray, depth: int = 6) -> tuple | float:
 def judged(tree: tuple | float, values: tuple) -> float:
     while isinstance(tree, tuple):
         feature, threshold, low, high = tree
-        tree = low if values[feature] <= threshold else high
+        tree = low if feature >= len(values) or values[feature] <= threshold else high  # unnamed where not told
     return tree
 
 
-def furniture_name(value: str, main: int) -> bool:
-    """Whether a class, id or role says that the element is furniture. The header of an article is not."""
+def furniture_name(value: str, main: int) -> tuple[int, bool]:
+    """How plainly a class, id or role names furniture (0, 1, 2), and whether by words of layout only.
+
+    The header of an article is none. A name that is also used for layout, or
+    may be about the text, is plain only as the last part of its compound.
+    """
+    strength, layout = 0, True
     for name in value.lower().split():
-        parts = re.split(r"[_-]+", name)
-        if LAYOUT.intersection(parts) or parts[0] == "content" and len(parts) > 1:
+        parts = [p for p in re.split(r"[_-]+", name) if p]
+        if not parts or LAYOUT.intersection(parts):
             continue
-        if (FURNITURE_NAMES - {"header"} if main or parts[0] in OWN_PARTS else FURNITURE_NAMES).intersection(parts):
-            return True
-    return False
+        names = (FURNITURE_NAMES - {"header"} if main or parts[0] in OWN_PARTS else FURNITURE_NAMES).intersection(parts)
+        if names:
+            plain = parts[-1] in names or bool(names - AMBIGUOUS)
+            strength, layout = max(strength, 1 + plain), layout and names <= STRUCTURAL
+    return strength, layout
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
-    """(text, words, linked words, in a main element, in furniture) of each text block, in page order.
+def blocks(page: str) -> list[tuple[str, int, int, int, int, int, float]]:
+    """(text, words, linked words, in a main element, in furniture, how plainly named furniture, its share) of each text block, in page order.
 
     A form is furniture, unless it holds most of the page's words, as one
-    around the whole page does.
+    around the whole page does; nor is an element with most of them named by
+    words that are also used for layout.
     """
-    out: list[tuple[str, int, int, int, int, int]] = []
+    out: list[tuple] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, int, int, int]] = []  # open block elements: name, in main, in furniture, number of the outermost form
+    stack: list[tuple] = []  # open block elements: name, in main, in furniture, number of the outermost form, named elements around it
     linked = False
-    forms = 0
+    forms = elements = 0
 
     def end() -> None:
         text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
         if text:
             words = len(text.split())
             links = len(html.unescape(" ".join(p for p, link in parts if link)).split())
-            out.append((text, words, min(links, words), *(stack[-1][1:] if stack else (0, 0, 0))))
+            out.append((text, words, min(links, words), *(stack[-1][1:] if stack else (0, 0, 0, ()))))
         parts.clear()
 
     at = 0
@@ -180,36 +217,50 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int]]:
         elif name not in VOID and not rest.endswith("/"):
             if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
                 stack.pop()
-            main, furniture, form = stack[-1][1:] if stack else (0, 0, 0)
+            main, furniture, form, around = stack[-1][1:] if stack else (0, 0, 0, ())
             values = [m[1] or m[2] or m[3] or "" for m in CLASSES.finditer(rest)]
             names = {w for value in values for w in re.split(r"[\s_-]+", value.lower())}
             if name in MAIN and not main and (name == "main" or furniture < 2):
                 furniture = form = 0
-            if name in MAIN or "main" in names and not (furniture or form):
+                around = () if name == "main" else around
+            if name in MAIN or "main" in names and not (furniture or form or around):
                 main = 1
             if name == "form":
                 forms += 1
                 form = form or forms
             elif name in FURNITURE and not (name == "header" and (main or names & OWN_PARTS)):
                 furniture = max(furniture, 1 if name in WRAPPERS else 2)
-            if name not in ("html", "body", "form", *MAIN) and any(furniture_name(value, main) for value in values):
-                furniture = 2
-            stack.append((name, main, furniture, form))
+            if name not in ("html", "body", "form", *MAIN):
+                strength, layout = max((furniture_name(value, main) for value in values), key=lambda x: (x[0], not x[1]), default=(0, True))
+                if strength:
+                    elements += 1
+                    around = (*around, (elements, strength, layout, main))
+            stack.append((name, main, furniture, form, around))
     end()
-    held = Counter()
-    for _, words, _, _, _, form in out:
+    total, held, inside = 0, Counter(), Counter()
+    for _, words, _, _, _, form, around in out:
+        total += words
         held[form] += words
-    whole = {form for form, words in held.items() if 2 * words > sum(held.values())}
-    return [(text, words, links, main, int(furniture > 0 or form > 0 and form not in whole)) for text, words, links, main, furniture, form in out]
+        for element, *_ in around:
+            inside[element] += words
+    whole = {form for form, words in held.items() if 2 * words > total}
+    found = []
+    for text, words, links, main, furniture, form, around in out:
+        named = [(strength, -inside[e] / total, within) for e, strength, layout, within in around if not (layout and 2 * inside[e] > total)]
+        strength, share, _ = max(named, default=(0, 0.0, 1))
+        # An article in something named furniture is not the page's.
+        main = int(main and all(within for _, _, within in named))
+        found.append((text, words, links, main, int(furniture > 0 or form > 0 and form not in whole), strength, -share))
+    return found
 
 
 def main_text(page: str | None, tree: tuple | float) -> str:
     """The blocks that the tree takes for the article, in page order, one to a line."""
     found = blocks(page or "")
-    sides = [(0, 0.0), *((words, links / words) for _, words, links, _, _ in found), (0, 0.0)]
+    sides = [(0, 0.0), *((words, links / words) for _, words, links, *_ in found), (0, 0.0)]
     kept = []
-    for i, (text, _, _, main, furniture) in enumerate(found):
-        if judged(tree, (*sides[i + 1], *sides[i], *sides[i + 2], main, furniture)) >= 0.5:
+    for i, (text, _, _, *holders) in enumerate(found):
+        if judged(tree, (*sides[i + 1], *sides[i], *sides[i + 2], *holders)) >= 0.5:
             kept.append(text)
     return "\n".join(kept)
 
