@@ -13,11 +13,12 @@ from pyspark.sql.functions import pandas_udf
 from tallyloom.llm.common import broadcast
 
 SAMPLE = 2400  # labelled texts the network learns from at most, half of each class
+SAMPLE_BYTES = 6 << 20  # bytes of those texts at most; each is learnt from whole, so long ones leave room for fewer
 STEP = 64  # a chunk is two steps of positions; neighbouring chunks share one
-CHUNKS = 16  # chunks of a text that are learnt from, spread over it; scoring takes them all
 WIDTH, DEPTH, FILTERS = 8, 4, 32  # bytes a filter sees, numbers that stand for a byte, filters
 EPOCHS, BATCH, RATE, DECAY = 14, 48, 0.006, 1e-4
 SLICE = 1 << 16  # positions worked on at once
+LEARNT_AT_ONCE = 4096  # chunks
 
 
 class Network:
@@ -61,47 +62,62 @@ class Network:
         logit = np.concatenate([chunks.mean(axis=0), chunks.max(axis=0)]) @ self.weights + self.offset[0]
         return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
-    def gradients(self, chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
-        """Gradients of the log loss over a batch; ``chunks`` (chunk, byte), ``owner`` the text of each, in order.
+    def tops(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of every chunk of a text each filter's maximum, and the bytes it was taken from (chunk, filter, byte)."""
+        positions = len(data) - WIDTH + 1
+        maxima, places = [], []
+        for at in range(0, positions, SLICE):
+            found = self.responses(data[at : at + SLICE + WIDTH - 1])
+            short = -len(found) % STEP
+            if short:
+                found = np.concatenate([found, np.full((short, FILTERS), -np.inf, np.float32)])
+            steps = found.reshape(-1, STEP, FILTERS)
+            place = steps.argmax(axis=1)
+            maxima.append(np.take_along_axis(steps, place[:, None], axis=1)[:, 0])
+            places.append(place + (at + np.arange(len(steps)) * STEP)[:, None])
+        top, place = np.concatenate(maxima), np.concatenate(places)
+        if len(top) > 1:
+            later = top[1:] > top[:-1]
+            top, place = np.where(later, top[1:], top[:-1]), np.where(later, place[1:], place[:-1])
+        return np.maximum(top, 0), data[place[:, :, None] + np.arange(WIDTH)]
+
+    def gradients(self, texts: list[np.ndarray], labels: np.ndarray) -> list[np.ndarray]:
+        """Gradients of the log loss over a batch of whole texts, pooled over all their chunks as for scoring.
 
         A maximum hands its gradient to the one position it was taken from.
         """
-        texts = len(labels)
-        found = self.responses(chunks.reshape(-1))
-        span = chunks.shape[1] - WIDTH + 1
-        rows = (np.arange(len(chunks))[:, None] * chunks.shape[1] + np.arange(span)).reshape(-1)
-        found = found[np.minimum(rows, len(found) - 1)].reshape(len(chunks), span, FILTERS)
-        place = found.argmax(axis=1)
-        top = np.maximum(np.take_along_axis(found, place[:, None], axis=1)[:, 0], 0)
-        sizes = np.bincount(owner, minlength=texts)
+        each = [self.tops(data) for data in texts]
+        top, bytes_at = np.concatenate([t for t, _ in each]), np.concatenate([b for _, b in each])
+        sizes = np.array([len(t) for t, _ in each])
+        owner = np.repeat(np.arange(len(texts)), sizes)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         mean = np.add.reduceat(top, starts) / sizes[:, None]
         most = np.maximum.reduceat(top, starts)
         joined = np.concatenate([mean, most], axis=1)
         wrong = 1 / (1 + np.exp(-np.clip(joined @ self.weights + self.offset[0], -30, 30))) - labels
-        wrong = (wrong / texts).astype(np.float32)
-        back = (wrong[owner] / sizes[owner])[:, None] * self.weights[:FILTERS]
+        wrong = (wrong / len(texts)).astype(np.float32)
+        back = (wrong[owner] / sizes[owner]).astype(np.float32)[:, None] * self.weights[:FILTERS]
         is_most = top == most[owner]
-        back = back + is_most / np.maximum(np.add.reduceat(is_most.astype(np.float32), starts)[owner], 1) * wrong[owner][:, None] * self.weights[FILTERS:]
-        back = np.where(top > 0, back, 0)
-        bytes_at = chunks[np.arange(len(chunks))[:, None, None], place[:, :, None] + np.arange(WIDTH)]  # chunk, filter, byte
-        seen = self.embedding[bytes_at].reshape(len(chunks), FILTERS, WIDTH * DEPTH)
-        filters = np.einsum("cf,cfk->kf", back, seen)
-        to_bytes = (back[:, :, None] * self.filters.T[None]).reshape(-1, DEPTH)
-        embedding = np.stack([np.bincount(bytes_at.reshape(-1), to_bytes[:, d], 256) for d in range(DEPTH)], axis=1)
+        shared = np.maximum(np.add.reduceat(is_most.astype(np.float32), starts)[owner], 1)
+        back = np.where(top > 0, back + is_most / shared * wrong[owner][:, None] * self.weights[FILTERS:], 0)
+        filters, embedding = np.zeros((WIDTH * DEPTH, FILTERS), np.float32), np.zeros((256, DEPTH))
+        for at in range(0, len(back), LEARNT_AT_ONCE):
+            part, places = back[at : at + LEARNT_AT_ONCE], bytes_at[at : at + LEARNT_AT_ONCE]
+            seen = self.embedding[places].reshape(len(part), FILTERS, WIDTH * DEPTH)
+            filters += np.matmul(seen.transpose(1, 2, 0), part.T[:, :, None])[:, :, 0].T
+            to_bytes = (part[:, :, None] * self.filters.T[None]).reshape(-1, DEPTH)
+            embedding += np.stack([np.bincount(places.reshape(-1), to_bytes[:, d], 256) for d in range(DEPTH)], axis=1)
         return [embedding, filters, back.sum(axis=0), wrong @ joined, np.array([wrong.sum()])]
 
-    def learn(self, texts: list[list[bytes]], labels: np.ndarray, seed: int = 7) -> None:
-        """Adam over texts given as lists of chunks."""
-        size = 2 * STEP + WIDTH - 1
-        data = [np.stack([np.frombuffer(c[:size].ljust(size, b"\0"), np.uint8) for c in chunks]) for chunks in texts]
+    def learn(self, texts: list[bytes], labels: np.ndarray, seed: int = 7) -> None:
+        """Adam over whole texts."""
+        data = [np.frombuffer(text.ljust(WIDTH, b"\0"), np.uint8) for text in texts]
         rng, first, second, step = np.random.default_rng(seed), None, None, 0
         for _ in range(EPOCHS):
             order = rng.permutation(len(data))
             for at in range(0, len(order), BATCH):
                 some = order[at : at + BATCH]
-                owner = np.repeat(np.arange(len(some)), [len(data[i]) for i in some])
-                found = self.gradients(np.concatenate([data[i] for i in some]), owner, labels[some])
+                found = self.gradients([data[i] for i in some], labels[some])
                 step += 1
                 first = first or [np.zeros_like(p) for p in self.parameters()]
                 second = second or [np.zeros_like(p) for p in self.parameters()]
@@ -112,23 +128,17 @@ class Network:
                     p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
 
-def cut(text: str | None, chunks: int = CHUNKS) -> bytes:
-    """At most ``chunks`` chunks spread evenly over a text, each at its full length, for learning."""
-    data, size = (text or "").encode(), 2 * STEP + WIDTH - 1
-    count = max(1, min(chunks, -(-len(data) // (2 * STEP))))
-    starts = np.linspace(0, max(0, len(data) - size), count).astype(int)
-    return b"".join(data[s : s + size].ljust(size, b"\0") for s in starts)
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network:
     """A network that learns ``quality`` of ``labels`` (doc_id, quality) from the texts of ``docs``.
 
     At most ``sample`` texts, half of each class, chosen by a hash of the id
-    from all labelled ones; their ids, a bounded number, are broadcast. The
-    offset is then moved to the classes' shares among all labels. A text with
-    contrary labels counts as 0. Without both classes the score is the share
-    of 1, or 0.5 without labels.
+    from all labelled ones, and of those as many as ``sample_bytes`` hold, each
+    whole; their ids, a bounded number, are broadcast. The offset is then moved
+    to the classes' shares among all labels. A text with contrary labels counts
+    as 0, a repeated id gives its smallest text. Without both classes the score
+    is the share of 1, or 0.5 without labels.
     """
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     counts = {row.quality: row.n for row in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     network = Network()
@@ -141,18 +151,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     for quality in (0, 1):
         some = known.where(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
         chosen = some if chosen is None else chosen.unionByName(some)
-
-    @pandas_udf("binary")
-    def chunked(texts: pd.Series) -> pd.Series:
-        return pd.Series([cut(t) for t in texts], dtype=object)
-
-    # A repeated id gives several texts; one is enough, and bounds what the driver receives.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", chunked("text").alias("chunks"))
-    rows = rows.groupBy("doc_id", "quality").agg(F.min("chunks").alias("chunks")).toPandas().sort_values("doc_id")
-    size = 2 * STEP + WIDTH - 1
-    texts = [[bytes(c[at : at + size]) for at in range(0, len(c), size)] for c in rows["chunks"]]
+    rows = docs.join(F.broadcast(chosen), "doc_id")
+    sizes = rows.groupBy("doc_id", "quality").agg(F.min(F.octet_length("text")).alias("size"), F.min(F.xxhash64("doc_id")).alias("place")).collect()
+    taken, left = [], {0: sample_bytes // 2, 1: sample_bytes // 2}
+    for row in sorted(sizes, key=lambda r: (r.place, r.doc_id)):
+        if row["size"] <= left[row.quality]:
+            left[row.quality] -= row["size"]
+            taken.append((row.doc_id, row["size"]))
+    some = docs.sparkSession.createDataFrame(taken, f"doc_id {dict(docs.dtypes)['doc_id']}, size int")
+    rows = rows.join(F.broadcast(some), "doc_id").where(F.octet_length("text") == F.col("size"))
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     if rows["quality"].nunique() == 2:
-        network.learn(texts, rows["quality"].to_numpy().astype(np.float32))
+        network.learn([t.encode() for t in rows["text"]], rows["quality"].to_numpy().astype(np.float32))
         drawn = rows["quality"].value_counts()
         network.offset[0] += np.log(drawn[0] / drawn[1]) - np.log(shares)
     return network
