@@ -40,7 +40,7 @@ def tree_key(source: Column) -> Column:
 def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
     """Add ``rank`` (from 0, by ``order``) and ``size`` of each ``tree``; a hot tree spreads over partitions."""
     numbered = stored(assign_sequence(rows, order, "tree", name="rank"), "ranked")
-    sizes = numbered.groupBy("tree").agg(F.count(F.lit(1)).alias("size"))
+    sizes = stored(numbered.groupBy("tree").agg(F.count(F.lit(1)).alias("size")), "sizes")  # known to be small, or not
     return numbered.join(sizes, "tree").withColumn("rank", F.col("rank") - 1)
 
 
