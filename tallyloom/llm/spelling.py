@@ -173,7 +173,9 @@ def near(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     neighbours than its length and the letters allow, so gathering by word
     is bounded.
     """
-    reduced = words.select("reduced", "key").distinct()
+    # A row makes a hundred and more, so there are as many tasks as for what they make.
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reduced = words.select("reduced", "key").repartition(tasks, "reduced", "key").distinct()
     known = reduced.select(F.col("key").alias("probe")).distinct()
     beside = probes(reduced, symbols).join(known, "probe")
     mine = words.select("key", "word", "n")
