@@ -366,3 +366,32 @@ def test_pipeline(spark, odd, none):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, "")
         docs.collect()
+
+
+def test_terms_far_from_their_entity(spark):
+    """Names at the other end of a long text, short names, and names that an address spells out; common words stay."""
+    filler = [" ".join(f"{chr(97 + (i * j) % 26) * 3}" for j in range(1, 200)) for i in range(1, 40)]
+    rows = [(i, f"{w} Quorlin {w} met Li {w} here. {filler[i]} And so on, write to box@x.example.com for more") for i, w in enumerate(["one", "two", "three", "four", "five", "six"])]
+    rows += [(50, "Dear reader, Miss Vantongeren lives here. " + filler[7] + " Her address: vantongeren.k@y.example.com, and " + filler[8])]
+    rows += [(60, "This is common to many, common and kind. Mail common.kind@y.example.com")]
+    rows += [(100 + i, f"{filler[i % 39]} common here, and kind to all; met one two three four five six. This is more, write {filler[(i * 7) % 39]}") for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: {s for s in r.spans.split(",") if s.startswith("term")} for r in pii.personal(frame).collect()}
+    texts = dict(rows)
+
+    def words(doc_id):
+        return {texts[doc_id][int(s.split(":")[1]) : int(s.split(":")[2])] for s in found[doc_id]}
+
+    assert all(words(i) == {"Quorlin", "Li"} for i in range(6))
+    assert words(50) == {"Vantongeren"} and words(60) == set()
+    assert not any(found[100 + i] for i in range(200))
+    clean = {r.doc_id: r.text for r in pii.sanitised(frame).collect()}
+    assert "Quorlin" not in clean[0] and "Vantongeren" not in clean[50] and clean[100] == texts[100] and clean[60].endswith("Mail [EMAIL]")
+
+
+def test_every_mention_is_found():
+    text = "Ann saw Bob. ann and BOB, Bob mail bob.b@x.org bob"
+    spans = pii.base_spans(text)
+    found = pii.terms_of(text, spans)
+    assert [text[p["start"] : p["stop"]] for p in found["bob"][1]] == ["Bob", "BOB", "Bob", "bob"]
+    assert "org" not in found and pii.parts("email:bob.b@x.org") == {"bob"} and pii.parts("ip:1.2.3.4") == set()
