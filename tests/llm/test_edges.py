@@ -395,3 +395,35 @@ def test_every_mention_is_found():
     found = pii.terms_of(text, spans)
     assert [text[p["start"] : p["stop"]] for p in found["bob"][1]] == ["Bob", "BOB", "Bob", "bob"]
     assert "org" not in found and pii.parts("email:bob.b@x.org") == {"bob"} and pii.parts("ip:1.2.3.4") == set()
+
+
+def test_rejection_is_calibrated():
+    """Junk goes, however much it looks like words; new text stays, down to single words."""
+    import random
+
+    rng = random.Random(4)
+    stems = ["ver", "lich", "sch", "und", "ung", "ein", "heit", "ge", "ten", "er"]
+    texts = [" ".join("".join(rng.choice(stems) for _ in range(rng.randrange(1, 5))) for _ in range(rng.choice([1, 3, 30, 300]))) for _ in range(900)]
+    learnt, new = texts[:600], texts[600:]
+    codes, _ = langid.grams(learnt)
+    codes, counts = np.unique(codes, return_counts=True)
+    model = langid.Model(codes, counts)
+    assert model.slack == langid.SLACK * model.mean
+    langid.calibrated(model, codes, counts, learnt[:40])
+    assert model.slack == langid.SLACK * model.mean  # too few to tell
+    langid.calibrated(model, codes, counts, learnt[:200])
+    assert langid.EXTRA <= model.slack < langid.SLACK * model.mean
+    found = langid.predict({"de": model}, new, "calibrated")
+    assert found.rejected.mean() <= 0.01
+    junk = [" ".join("".join(rng.choice("verlichsungtd") for _ in range(rng.randrange(2, 9))) for _ in range(n)) for n in (3, 10, 100, 1000)]
+    assert langid.predict({"de": model}, junk, "calibrated").rejected.tolist() == [False, True, True, True] or langid.predict({"de": model}, junk, "calibrated").rejected.all()
+    assert langid.predict({"de": model}, ["Привет мир, как дела", "你好世界你好", "12 34", "", None], "calibrated").rejected.all()
+
+
+def test_calibration_in_the_table(spark):
+    rows = [(f"{'abcdefg'[i % 7]} some words of text {i % 11} and more of them", "en") for i in range(80)] + [("x" * 40_000, "en"), (None, "en"), ("no language", None)]
+    frame = spark.createDataFrame(rows, "text string, lang string")
+    assert {r.lang for r in langid.held_texts(frame).collect()} == {"en"}
+    models = langid.fit(frame)
+    assert set(models) == {"en"} and langid.EXTRA <= models["en"].slack != langid.SLACK * models["en"].mean
+    assert langid.fit(frame.limit(0)) == {}
