@@ -225,5 +225,46 @@ def recovery_decisions(
     )
 
 
+def alert_status(
+    errors: DataFrame,
+    sent: DataFrame,
+    starts: DataFrame,
+    as_of: dt.datetime,
+    window_s: int = C.SPIKE_WINDOW_S,
+    rate_window_s: int = C.RATE_WINDOW_S,
+    max_sent: int = C.RATE_MAX,
+    grace_s: int = C.STARTUP_GRACE_S,
+    key: str = "service",
+) -> DataFrame:
+    """What stands between each service and its next alert at ``as_of``.
+
+    Errors in the window, alerts sent in the rate window and how many are
+    left, seconds since the last one, and what remains of the grace after the
+    last start. ``errors`` and ``starts`` have (key, timestamp), ``sent`` has
+    (key, at, sent). Each side is folded to one row a service before they meet.
+    """
+    now = F.lit(as_of).cast("timestamp_ntz")
+
+    def ago(ts: str) -> Column:
+        return (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))) / 1_000_000
+
+    within = errors.filter((ago("timestamp") >= 0) & (ago("timestamp") <= window_s)).groupBy(key).agg(F.count("*").alias("in_window"))
+    out = sent.filter((ago("at") >= 0) & (F.col("sent") > 0)).groupBy(key).agg(
+        F.sum(F.when(ago("at") <= rate_window_s, F.col("sent")).otherwise(0)).alias("sent_in_window"), F.floor(F.min(ago("at"))).alias("last_sent_ago")
+    )
+    begun = starts.filter(ago("timestamp") >= 0).groupBy(key).agg(F.min(ago("timestamp")).alias("__up"))
+    rows = within.join(out, key, "full_outer").join(begun, key, "full_outer")
+    count = F.coalesce("sent_in_window", F.lit(0).cast("long"))
+    remaining = F.greatest(F.lit(0.0), F.lit(grace_s) - F.coalesce("__up", F.lit(float(grace_s))))
+    return rows.select(
+        key,
+        F.coalesce("in_window", F.lit(0).cast("long")).alias("in_window"),
+        count.alias("sent_in_window"),
+        F.greatest(F.lit(0).cast("long"), F.lit(max_sent) - count).alias("may_send"),
+        "last_sent_ago",
+        F.ceil(remaining).alias("grace_remaining"),
+    )
+
+
 def last_actions(decisions: DataFrame, n: int = 10) -> DataFrame:
     return decisions.orderBy(F.desc("at"), F.asc("service")).limit(n)

@@ -122,6 +122,32 @@ def rate_limit_by_service(spark, d):
     return AL.rate_limit(errors, ["service"], **RATE)
 
 
+STATUS_AT = dt.datetime(2024, 1, 20, 12)
+
+
+@register(
+    "alert_status",
+    recursive(
+        LOGS_SQL,
+        limiter_sql(BY_SERVICE),
+        f"""within_ AS (SELECT service, count(*) AS in_window FROM logs WHERE level IN ('ERROR', 'CRITICAL') AND "timestamp" BETWEEN TIMESTAMP '{STATUS_AT}' - INTERVAL 12 HOUR AND TIMESTAMP '{STATUS_AT}' GROUP BY 1)""",
+        f"""out_ AS (SELECT service, coalesce(sum(sent) FILTER (moment >= TIMESTAMP '{STATUS_AT}' - INTERVAL 12 HOUR), 0)::BIGINT AS sent_in_window,
+  floor((epoch_us(TIMESTAMP '{STATUS_AT}') - epoch_us(max(moment))) / 1000000)::BIGINT AS last_sent_ago FROM walk WHERE i > 0 AND sent > 0 AND moment <= TIMESTAMP '{STATUS_AT}' GROUP BY 1)""",
+        f"""up_ AS (SELECT service, (epoch_us(TIMESTAMP '{STATUS_AT}') - epoch_us(max("timestamp"))) / 1000000 AS up FROM logs WHERE level = 'CRITICAL' AND "timestamp" <= TIMESTAMP '{STATUS_AT}' GROUP BY 1)""",
+    )
+    + """SELECT service, coalesce(in_window, 0) AS in_window, coalesce(sent_in_window, 0) AS sent_in_window, greatest(0, 4 - coalesce(sent_in_window, 0))::BIGINT AS may_send,
+  last_sent_ago, ceil(greatest(0, 36000 - coalesce(up, 36000)))::BIGINT AS grace_remaining
+FROM within_ FULL OUTER JOIN out_ USING (service) FULL OUTER JOIN up_ USING (service)""",
+)
+def alert_status(spark, d):
+    """Errors, alerts sent by the limiter and the grace after the last start, at one moment; critical lines stand for starts."""
+    logs = D.logs(spark, d)
+    errors = logs.filter(F.col("level").isin("ERROR", "CRITICAL"))
+    sent = AL.rate_limit(logs.filter(F.col("level") == "ERROR"), ["service"], **RATE)
+    starts = logs.filter(F.col("level") == "CRITICAL")
+    return AL.alert_status(errors, sent, starts, STATUS_AT, 12 * 3600, 12 * 3600, 4, 10 * 3600)
+
+
 RECOVERY_SQL = f"""seconds AS (SELECT service, date_trunc('second', "timestamp") AS moment, epoch(date_trunc('second', "timestamp"))::BIGINT AS s, count(*) AS n,
     row_number() OVER (PARTITION BY service ORDER BY date_trunc('second', "timestamp")) AS i FROM logs WHERE level IN ('ERROR', 'CRITICAL') AND service IN ({', '.join(map(repr, RESTARTABLE))}) GROUP BY 1, 2, 3),
 walk AS (
