@@ -427,3 +427,12 @@ def test_calibration_in_the_table(spark):
     models = langid.fit(frame)
     assert set(models) == {"en"} and langid.EXTRA <= models["en"].slack != langid.SLACK * models["en"].mean
     assert langid.fit(frame.limit(0)) == {}
+
+
+def test_asking_points_are_cut_into_blocks(spark, monkeypatch):
+    """Few points filed, many asking the same cells: the answers are those of one block."""
+    data = np.random.default_rng(3).normal(size=(150, 4))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, neighbours.search(frame, F.lit(True), 5).collect()))
+    monkeypatch.setattr(neighbours, "ASKED", 7)
+    assert sorted(map(tuple, neighbours.search(frame, F.lit(True), 5).collect())) == whole

@@ -21,4 +21,4 @@ def test_queries_run_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", SCRIPT], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
     assert out.returncode == 0, out.stderr[-2000:]
-    assert out.stdout.count("rows ") == 11
+    assert out.stdout.count("rows ") == 14
