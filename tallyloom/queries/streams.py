@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tallyloom.functions import constants as C
 from tallyloom.plans import domain as D
 from tallyloom.plans.domain import LOGS_SQL, METRICS_SQL, with_
-from tallyloom.queries import register
-from tallyloom.queries.alerts import DECIDED_SQL, RECOVERY, RESTARTABLE
+from tallyloom.queries import ORACLES, register
+from tallyloom.queries.alerts import DECIDED_SQL, RATE, RECOVERY, RESTARTABLE
 from tallyloom.queries.logs import SUMS
 from tallyloom.session import scratch_path
 from tallyloom.sources import streams as S
@@ -241,3 +241,8 @@ FROM errors""",
 )
 def sliding_error_count_stream(spark, d):
     return naive(run_once(A.sliding_count_stream(log_stream(spark, d), window_s=7200), spark, "sliding"))
+
+
+@register("rate_limit_stream", ORACLES["rate_limit_by_service"])
+def rate_limit_stream(spark, d):
+    return naive(run_once(A.rate_limit_stream(log_stream(spark, d), condition=F.col("level") == "ERROR", **RATE), spark, "limited"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tallyloom.functions import constants as C
-from tallyloom.operators.alerts import Recovery
+from tallyloom.operators.alerts import Limiter, Recovery
 
 
 def per_second(
@@ -119,6 +119,22 @@ class RecoveryProcessor(_Seconds):
         return pd.DataFrame(rows, columns=["service", "at", "action", "errors"])
 
 
+class LimiterProcessor(_Seconds):
+    """Sends, limits and open circuits of one key."""
+
+    def __init__(self, key: str, window_s: int, max_sent: int, open_s: int):
+        self.key, self.rules = key, (window_s, max_sent, open_s)
+        self.keep_s = max(window_s, open_s, self.keep_s)
+
+    def walk(self, key, seconds: pd.DataFrame) -> pd.DataFrame:
+        state = self.load() or {"sent": [], "opened": None}
+        limiter = Limiter(*self.rules, {at: n for at, n in state["sent"]}, state["opened"])
+        steps = [limiter.step(int(now), int(n)) for now, n in zip(seconds["s"], seconds["n"])]
+        self.store({"sent": [[int(at), int(n)] for at, n in limiter.sent.items()], "opened": limiter.opened})
+        rows = [(key[0], at, *step) for at, step in zip(seconds["at"], steps)]
+        return pd.DataFrame(rows, columns=[self.key, "at", "sent", "rate_limited", "circuit_open"])
+
+
 class SlidingProcessor(StatefulProcessor):
     """How many rows of a key are at most ``window_s`` old, at every second with rows.
 
@@ -207,3 +223,18 @@ def sliding_count_stream(
     """(key, at, in_window): at every second with errors of a key, its errors aged 0 to ``window_s`` seconds, exactly."""
     counted = per_second(logs, {key: F.col(key)}, _is_error() if condition is None else condition, watermark)
     return _stateful(counted, [key], SlidingProcessor(key, window_s), f"`{key}` string, at timestamp, in_window long")
+
+
+def rate_limit_stream(
+    logs: DataFrame,
+    key: str = "service",
+    condition: Column | None = None,
+    window_s: int = C.RATE_WINDOW_S,
+    max_sent: int = C.RATE_MAX,
+    open_s: int = C.CIRCUIT_OPEN_S,
+    watermark: str = "10 minutes",
+) -> DataFrame:
+    """(key, at, sent, rate_limited, circuit_open): the limiter's answer to the attempts of every second of a key."""
+    counted = per_second(logs, {key: F.col(key)}, _is_error() if condition is None else condition, watermark)
+    schema = f"`{key}` string, at timestamp, sent long, rate_limited long, circuit_open long"
+    return _stateful(counted, [key], LimiterProcessor(key, window_s, max_sent, open_s), schema)

@@ -55,3 +55,24 @@ def test_refined_parts_come_from_one_join(spark, small):
 
 def test_a_read_is_not_dealt_out(spark, small):
     assert "RoundRobinPartitioning" not in plan(D.offers(spark, small))
+
+
+def test_a_search_is_planned_once(spark, small):
+    """Hits are stored where they are read more than once, so what is left to run searches for text queries only."""
+    text = plan(QUERIES["search"](spark, small))
+    assert text.count("FlatMapCoGroupsInPandas") == 1
+    shown = plan(QUERIES["search_and_hydrate"](spark, small))
+    assert shown.count("FlatMapCoGroupsInPandas") == 0 and shown.count("FileScan") <= 8
+
+
+def test_a_pair_of_name_and_title_is_met_once(spark, small):
+    """The join itself takes a pair at its rarest shared word, and nothing is gathered after it."""
+    text = plan(M.candidate_titles(D.products(spark, small), D.staged_offers(spark, small)))
+    top = text.split("Join", 1)
+    assert "Aggregate" not in top[0] and "array_intersect" in top[1].split("\n", 1)[0]
+
+
+def test_numbers_meet_a_stored_side(spark, small):
+    """What each range adds is small and known to be, so the numbered rows are not shuffled again."""
+    text = plan(QUERIES["load_catalog"](spark, small))
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text

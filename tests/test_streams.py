@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import alerts as B
+from tallyloom.operators.windows import sliding_count
 from tallyloom.queries.streams import run_once
 from tallyloom.sources import streams as S
 from tallyloom.streaming import alerts as A
@@ -83,6 +84,46 @@ def test_recovery(spark, feed):
     assert {r["action"] for r in want} == {"restart", "restart_limit"}
 
 
+def test_rate_limit(spark, feed):
+    table, stream = feed
+    rules = dict(window_s=300, max_sent=3, open_s=600)
+    got = run_once(A.rate_limit_stream(stream(), **rules), spark, "t-limit").collect()
+    want = B.rate_limit(table.filter(F.col("level").isin("ERROR", "CRITICAL")), ["service"], **rules).collect()
+
+    def answers(rows):
+        return sorted((r["service"], (r["at"] - START).total_seconds(), r["sent"], r["rate_limited"], r["circuit_open"]) for r in rows)
+
+    assert answers(got) == answers(want) and {r["rate_limited"] for r in want} == {0, 1}
+
+
+def test_sliding_counts(spark, feed):
+    """Against the batch twin on whole seconds, service by service; windows hang over the batches' ends."""
+    table, stream = feed
+    got = run_once(A.sliding_count_stream(stream(), window_s=600), spark, "t-sliding").collect()
+    errors = table.filter(F.col("level").isin("ERROR", "CRITICAL")).withColumn("timestamp", B.to_second())
+    want = sliding_count(errors, ["service"], "timestamp", 600).collect()
+    assert sorted((r["service"], (r["at"] - START).total_seconds(), r["in_window"]) for r in got) == sorted(
+        (r["service"], (r["timestamp"] - START).total_seconds(), r["in_window"]) for r in want
+    )
+    assert len(got) > 200 and max(r["in_window"] for r in got) > 10
+
+
+def test_empty_windows_are_forgotten(spark, tmp_path):
+    """Once a key's window has run empty nothing of it stays in the state, and it starts anew."""
+    feed = tmp_path / "feed"
+    early = [(START + dt.timedelta(seconds=i % 50), f"s{i % 20}", "ERROR", "m") for i in range(400)]
+    later = [(START + dt.timedelta(days=1, hours=1), "s1", "ERROR", "m")]
+    for batch in (early, [(START + dt.timedelta(days=1), "s", "INFO", "a")], later, [(START + dt.timedelta(days=2), "s", "INFO", "b")], [(START + dt.timedelta(days=3), "s", "INFO", "c")]):
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(str(feed))
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(feed))
+    query = S.micro_batch_sink(A.sliding_count_stream(source, window_s=60), S.store_batches(str(tmp_path / "out")), str(tmp_path / "state"))
+    query.awaitTermination()
+    last = [op for op in query.recentProgress[-1]["stateOperators"] if op["operatorName"].startswith("transformWithState")]
+    assert last and last[0]["numRowsTotal"] <= 2
+    rows = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out")).filter("service = 's1'").orderBy("at").collect()
+    assert rows[-1]["in_window"] == 1 and rows[-2]["in_window"] == 20
+
+
 def test_shipper_message_shapes(spark):
     schema = S.SHIPPER_SCHEMA
     path = "/var/lib/docker/containers/" + "ab" * 32 + "/x-json.log"

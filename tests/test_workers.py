@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
 import __spark_entry__ as entry
 queries = entry.queries()
-for name in ("knn_image", "knn_grid", "critical_alerts", "recovery_decisions", "rate_limit_by_service", "recovery_stream"):
+for name in ("knn_image", "knn_grid", "critical_alerts", "recovery_decisions", "rate_limit_by_service", "recovery_stream", "knn_inverted_file", "sliding_error_count_stream"):
     print("rows", name, queries[name](spark, "/root/testdata/sf0.001").count())
 """
 
@@ -21,4 +21,4 @@ def test_queries_run_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", SCRIPT], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert out.returncode == 0, out.stderr[-2000:]
-    assert out.stdout.count("rows ") == 6
+    assert out.stdout.count("rows ") == 8
