@@ -21,10 +21,13 @@ from pyspark.sql.types import StructType
 
 from tallyloom.session import scratch_path
 
-LISTED = "batch string, schema string, parts map<string,string>, version long"
+LISTED = "batch string, streams map<string,bigint>, schema string, parts map<string,string>, version long"
 
 Rule = Callable[[DataFrame, DataFrame], DataFrame]
 
+# What a write is known by: a name of its own, or a stream's name and the number of its batch.
+Batch = str | tuple[str, int]
+
 
 class VersionTaken(RuntimeError):
     """Another writer published the next version first; read again and repeat the write."""
@@ -35,6 +38,7 @@ class Version:
     number: int
     schema: StructType
     parts: Mapping[str, str]  # part -> folder below the root
+    streams: Mapping[str, int]  # stream -> number of the last batch that is in
 
 
 def bucket(keys: Sequence[str], count: int) -> Column:
@@ -63,7 +67,7 @@ class PartTable:
     # --- versions ---
 
     def versions(self) -> DataFrame:
-        """(batch, schema, parts, version), a row per version."""
+        """(batch, streams, schema, parts, version), a row per version."""
         return self.spark.read.schema(LISTED).option("basePath", f"{self.root}/versions").parquet(f"{self.root}/versions")
 
     def current(self, number: int | None = None) -> Version:
@@ -72,14 +76,19 @@ class PartTable:
         if number is None:
             number = listed.agg(F.max("version")).first()[0]
         row = listed.where(F.col("version") == number).first()
-        return Version(number, StructType.fromJson(json.loads(row.schema)), dict(row.parts))
+        return Version(number, StructType.fromJson(json.loads(row.schema)), dict(row.parts), dict(row.streams))
 
-    def applied(self, batch: str) -> bool:
-        """Whether a version holds this batch already."""
+    def applied(self, batch: Batch) -> bool:
+        """Whether this batch is in already: a name in any version, a number up to the last of its stream."""
+        if isinstance(batch, tuple):
+            return self.current().streams.get(batch[0], -1) >= batch[1]
         return not self.versions().where(F.col("batch") == batch).isEmpty()
 
-    def _publish(self, number: int, batch: str | None, schema: StructType, parts: Mapping[str, str]) -> int:
-        row = self.spark.createDataFrame([(batch, schema.json(), dict(parts))], LISTED.rsplit(",", 1)[0])
+    def _publish(self, number: int, batch: Batch | None, schema: StructType, parts: Mapping[str, str], streams: Mapping[str, int] | None = None) -> int:
+        name, streams = batch, dict(streams or {})
+        if isinstance(batch, tuple):
+            name, streams = None, streams | {batch[0]: batch[1]}
+        row = self.spark.createDataFrame([(name, streams, schema.json(), dict(parts))], LISTED.rsplit(",", 1)[0])
         try:
             row.coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/versions/version={number}")
         except AnalysisException as error:
@@ -128,15 +137,15 @@ class PartTable:
 
     # --- writes ---
 
-    def create(self, df: DataFrame, batch: str | None = None) -> int:
+    def create(self, df: DataFrame, batch: Batch | None = None) -> int:
         """The first version."""
         return self._publish(1, batch, df.schema, self._write(df, 1))
 
-    def apply(self, delta: DataFrame, rule: Rule, batch: str | None = None) -> int:
+    def apply(self, delta: DataFrame, rule: Rule, batch: Batch | None = None) -> int:
         """Replace the parts that ``delta`` falls into by ``rule(their rows, delta)``; the number of the version.
 
-        A ``batch`` that a version already holds changes nothing, whoever
-        repeats it. The rule may add columns; rows of other parts read null
+        A ``batch`` that is in already changes nothing, whoever repeats it; a
+        stream's batches come in the order of their numbers. The rule may add columns; rows of other parts read null
         there.
         """
         now = self.current()
@@ -150,17 +159,17 @@ class PartTable:
         old = self._rows(now.schema, [f for p, f in now.parts.items() if p in touched])
         return self._replace(now, touched, rule(old, fresh), batch)
 
-    def rewrite(self, parts: Sequence[str], change: Callable[[DataFrame], DataFrame], batch: str | None = None) -> int:
+    def rewrite(self, parts: Sequence[str], change: Callable[[DataFrame], DataFrame], batch: Batch | None = None) -> int:
         """Replace the named parts by ``change(their rows)``; a part left without rows is gone."""
         now = self.current()
         held = [p for p in parts if p in now.parts]
         return self._replace(now, set(held), change(self._rows(now.schema, [now.parts[p] for p in held])), batch)
 
-    def drop(self, parts: Sequence[str], batch: str | None = None) -> int:
+    def drop(self, parts: Sequence[str], batch: Batch | None = None) -> int:
         """A version without the named parts; no rows are read or written."""
         now = self.current()
         kept = {p: f for p, f in now.parts.items() if p not in set(parts)}
-        return self._publish(now.number + 1, batch, now.schema, kept)
+        return self._publish(now.number + 1, batch, now.schema, kept, now.streams)
 
     def keep_since(self, ts: str, cutoff: dt.datetime) -> int:
         """For a table cut by ``day(ts)``: only rows from ``cutoff`` on stay.
@@ -175,20 +184,20 @@ class PartTable:
         rows = self._rows(now.schema, [now.parts[boundary]])
         return self._replace(now, old | {boundary}, rows.filter(F.col(ts) >= F.lit(cutoff).cast("timestamp_ntz")), None)
 
-    def _replace(self, now: Version, touched: set[str], rows: DataFrame, batch: str | None) -> int:
+    def _replace(self, now: Version, touched: set[str], rows: DataFrame, batch: Batch | None) -> int:
         number = now.number + 1
         schema = StructType([*now.schema, *[f for f in rows.schema if f.name not in now.schema.names]])
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
         written = self._write(rows, number)
         if not set(written) <= touched:
             raise ValueError("a rule may only return rows of the parts it was given")
-        return self._publish(number, batch, schema, {p: f for p, f in now.parts.items() if p not in touched} | written)
+        return self._publish(number, batch, schema, {p: f for p, f in now.parts.items() if p not in touched} | written, now.streams)
 
     def expire(self, keep: int = 2) -> int:
         """Delete part folders that none of the last ``keep`` versions names; how many went.
 
-        Their lists go too, but for the last ``keep`` and those that name a
-        batch, which tell what was applied.
+        Their lists go too, but for the last ``keep`` and those of named
+        batches, which tell what was applied; of streams the last list knows.
         """
         listed = [(r.version, r.batch, dict(r.parts)) for r in self.versions().collect()]
         last = sorted(v for v, _, _ in listed)[-keep:]

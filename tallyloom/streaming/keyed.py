@@ -32,7 +32,7 @@ def into_table(
     """Merge every micro-batch, combined, into ``table`` by ``rule``; ``name`` tells the batches of several streams apart."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.apply(combine(batch), rule, batch=f"{name}:{batch_id}")
+        table.apply(combine(batch), rule, batch=(name, batch_id))
 
     return micro_batch_sink(stream, write, checkpoint, seconds)
 

@@ -112,6 +112,18 @@ def test_expired_folders_go(spark, table):
     assert table.apply(spark.createDataFrame([(1, "x", 9)], ROWS), full, batch="b0") == 5
 
 
+def test_streams_are_known_by_their_last_batch(spark, table):
+    """A long stream leaves no list behind for every batch."""
+    for i in range(3):
+        assert table.apply(spark.createDataFrame([(1, f"s{i}", i)], ROWS), full, batch=("s", i)) == i + 2
+    assert table.apply(spark.createDataFrame([(1, "other", 7)], ROWS), full, batch=("t", 0)) == 5
+    table.expire(keep=1)
+    assert table.versions().count() == 1 and table.current().streams == {"s": 2, "t": 0}
+    assert table.apply(spark.createDataFrame([(1, "again", 9)], ROWS), full, batch=("s", 1)) == 5
+    assert table.applied(("s", 2)) and not table.applied(("s", 3)) and not table.applied(("u", 0))
+    assert table.read().filter("id = 1").first()["x"] == "other"
+
+
 def test_whole_days_go_by_name(spark, tmp_path):
     at = (F.lit(START).cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("ts")
     rows = spark.range(240).select("id", at).unionByName(spark.createDataFrame([(999, None)], "id long, ts timestamp_ntz"))
