@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tallyloom.llm.common import components, stored
+from tallyloom.llm.common import components, row_key, stored
 
 SHINGLE = 3  # words
 MAX_BITS = 3  # differing bits of two linked fingerprints
@@ -114,17 +114,10 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE)
     unchanged.
     """
 
-    def row_key(doc_id: str) -> Column:
-        return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col("__fp").cast("string")).alias("__row")
-
-    prints = stored(docs.select("doc_id", fingerprints(F.col("text"), shingle).alias("fp")), "simhash")
-    kept = (
-        prints.join(classes(prints, max_bits), "fp")
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("root", "component_id")
-        .agg(F.min("fp").alias("__fp"))
-        .select(row_key("component_id"))
-    )
-    marked = docs.withColumn("__fp", fingerprints(F.col("text"), shingle))
-    marked = marked.select(*docs.columns, row_key("doc_id"))
+    key = row_key(docs)
+    prints = docs.select("doc_id", key.alias("row"), fingerprints(F.col("text"), shingle).alias("fp"))
+    prints = stored(prints, "simhash")
+    grouped = prints.join(classes(prints.select("doc_id", "fp"), max_bits), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = grouped.groupBy("root", "component_id").agg(F.min(F.struct("fp", "row")).alias("least")).select(F.col("least.row").alias("__row"))
+    marked = docs.select(*docs.columns, key.alias("__row"))
     return marked.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
