@@ -20,6 +20,7 @@ PROJECTIONS = 6  # numbers that make a bucket
 SAMPLE = 2000  # vectors the index is fitted on at most
 SUCCESS = 0.97  # estimated chance that a query's buckets hold its k-th neighbour, over all tables
 CELL = 4096  # vectors that a task holds at a time, about
+ASKED = 4096  # points that ask, in a block of a cell
 ROUNDS = 3  # searches by buckets, each of twice the reach, before what is left is compared with every vector
 
 
@@ -202,12 +203,17 @@ def _by_buckets(points: DataFrame, asked: DataFrame, index: Index, k: int) -> Da
     large = buckets.where("chunks > 1").select("bucket", "chunks")
     held = filed.join(large, "bucket", "left").withColumn("chunk", chunk(F.pmod(F.xxhash64("id"), F.coalesce("chunks", F.lit(1))).cast("int")))
     held = held.select(cell, "chunk", "id", "vector")
-    probes = asked.repartition("point").mapInArrow(probe, "bucket long, point long").join(buckets.select("bucket", "chunks"), "bucket")
+    # Listing buckets is work of its own, so it gets as many tasks as a shuffle has, however few the points.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probes = asked.repartition(tasks, "point").mapInArrow(probe, "bucket long, point long").join(buckets.select("bucket", "chunks"), "bucket")
     probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("chunk", chunk(F.col("part")))
-    probes = probes.select(cell, "chunk", "point").groupBy("cell", "point").agg(F.collect_list("chunk").alias("wanted"))
-    probes = probes.join(asked, "point")
-
-    return held.groupBy("cell").cogroup(probes.groupBy("cell")).applyInPandas(_nearest(k), "point long, id long, score double")
+    probes = stored(probes.select(cell, "chunk", "point").groupBy("cell", "point").agg(F.collect_list("chunk").alias("wanted")), "probes")
+    # A cell that many points ask meets them in blocks; one that none asks is left out.
+    sizes = stored(probes.groupBy("cell").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("blocks")), "sizes")
+    wanted = probes.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("point"), "blocks").cast("int")).join(asked, "point")
+    held = held.join(sizes, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["cell", "block"]
+    return held.drop("blocks").groupBy(*keys).cogroup(wanted.drop("blocks").groupBy(*keys)).applyInPandas(_nearest(k), "point long, id long, score double")
 
 
 def _by_all(points: DataFrame, asked: DataFrame, k: int) -> DataFrame:
