@@ -341,6 +341,37 @@ def test_match_offers(spark, blank_once):
         assert len(own) == min(5, len(malls))
 
 
+def test_staged_from_phrases_is_enough(spark):
+    """Against all that phrases find: the same matches, out of rows that grow with products, not with products times offers."""
+    rng = random.Random(11)
+    names = ["large ring", "large bolt", "large rings set", "tiny bolt"]
+    wanted = [(str(i % 88), f"K{i % 88:03d}-{i % 3}", rng.choice(["B1", "b1", "B2", None]), rng.choice(names), rng.choice([0, None, 90, 95, 100, 300])) for i in range(90)]
+    products = spark.createDataFrame(wanted, "product_id string, model_code string, brand_name string, prod_name string, base_price int")
+    rows = []
+    for pos in range(3000):
+        name, code = rng.choice(names), f"K{rng.randrange(95):03d}"
+        title = rng.choice([f"<b>{name}</b> {code}", f"{name}", f"{code} {name[::-1]}", f"{name} x{code[:2]} {code[2:]} and much more", f"중고 {name}", None])
+        price = rng.choice([None, rng.randrange(20, 60), rng.randrange(20, 900)])
+        rows.append(("any", rng.choice(["B1", "B2"]), "any", pos // 2, rng.choice(["", None, *map(str, range(40))]), title, price, f"mall{rng.randrange(8)}", "u"))
+    kinds = "product_id string, brand_name string, kind string, pos long, offer_id string, title string, price int, mall_name string, mall_url string"
+    offers = spark.createDataFrame(rows, kinds)
+    own = products.select("product_id", F.lower("brand_name").alias("brand"), F.array_join(M.X.core_tokens(F.lower("prod_name")), " ").alias("query"))
+    named = own.join(M.candidate_titles(products, offers), ["brand", "query"]).select("brand", "product_id", "title", F.lit("name").alias("by"))
+    coded = own.select("product_id", "brand").join(M.candidate_codes(products, offers), "product_id").select("brand", "product_id", "title", F.lit("code").alias("by"))
+    phrases = M.query_phrases(products).select("product_id", "kind", F.substring_index("kind", "_", -1).alias("by"))
+    there = offers.withColumn("brand", F.lower("brand_name")).drop("brand_name", "kind", "product_id")
+    every = named.unionByName(coded).join(phrases, ["product_id", "by"]).join(there, ["brand", "title"]).drop("brand", "by")
+    staged = M.staged_from_phrases(products, offers).cache()
+
+    def matches(found):
+        accepted = M.accepted_offers(products, found).select("product_id", "kind_ord", "pos", "offer_id", "title", "price", "mall_name", "similarity").collect()
+        ranked = M.match_offers(products, found).select("product_id", "rank", "kind_ord", "pos", "offer_id", "title", "price", "similarity_score").collect()
+        return Counter(map(tuple, accepted)), Counter(map(tuple, ranked))
+
+    assert matches(staged) == matches(every) and matches(staged)[1]
+    assert staged.filter("kind like '%name'").count() < 90 * 2 * 60 < every.count() / 4
+
+
 def test_seen_id_is_kept_under_the_earlier_kind(spark):
     p = spark.createDataFrame([("p", "AB-1", "Zara", "linen", 100)], "product_id string, model_code string, brand_name string, prod_name string, base_price int")
     rows = [("p", "en_code", 1, "7", "linen AB", 50, "m1", "u"), ("p", "ko_name", 2, "7", "linen", 60, "m2", "u")]
