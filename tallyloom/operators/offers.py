@@ -215,11 +215,10 @@ def candidate_codes(products: DataFrame, titles: DataFrame) -> DataFrame:
     codes = products.select(
         "product_id", F.lower("brand_name").alias("brand"), F.lower(X.clean_model_code(F.col("model_code"))).alias("word")
     ).filter(X.is_valid_code(F.col("word")))
-    words = titles.select(
-        F.lower("brand_name").alias("brand"),
-        "title",
-        F.explode(F.array_distinct(F.split(F.lower(X.strip_markup(F.col("title"))), r"\s+"))).alias("word"),
-    ).distinct()
+    # Titles are told apart before they are split, and words that are no code stay where they are.
+    texts = titles.select(F.lower("brand_name").alias("brand"), "title").distinct()
+    split = F.array_distinct(F.split(F.lower(X.strip_markup(F.col("title"))), r"\s+"))
+    words = texts.select("brand", "title", F.explode(F.filter(split, X.is_valid_code)).alias("word"))
     return codes.join(words, ["brand", "word"]).select("product_id", "title")
 
 

@@ -72,6 +72,12 @@ def test_a_pair_of_name_and_title_is_met_once(spark, small):
     assert "Aggregate" not in top[0] and "array_intersect" in top[1].split("\n", 1)[0]
 
 
+def test_titles_are_told_apart_before_they_are_split(spark, small):
+    """What is gathered are titles, once each; their words are only passed on."""
+    text = plan(M.candidate_codes(D.products(spark, small), D.staged_offers(spark, small)))
+    assert "Generate" in text and "Aggregate" not in text.split("Generate", 1)[0]
+
+
 def test_numbers_meet_a_stored_side(spark, small):
     """What each range adds is small and known to be, so the numbered rows are not shuffled again."""
     text = plan(QUERIES["load_catalog"](spark, small))
