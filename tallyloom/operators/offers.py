@@ -176,7 +176,8 @@ def candidate_titles(products: DataFrame, titles: DataFrame, min_shared: int = 1
     needed = F.least(F.lit(min_shared), F.size("tokens")).alias("needed")
     asked = queries.select("brand", "query", needed, F.explode("tokens").alias("token"))
     words = F.array_distinct(X.core_tokens(F.lower(X.strip_markup(F.col("title"))), None)).alias("words")
-    texts = titles.select(F.lower("brand_name").alias("brand"), "title").distinct().select("brand", "title", words)
+    # Stored, so that titles are told apart once and no title is split before that.
+    texts = stored(titles.select(F.lower("brand_name").alias("brand"), "title").distinct().select("brand", "title", words), "titles")
     given = texts.select("brand", "title", "words", F.explode("words").alias("token"))
     word = ["brand", "token"]
     frequency = asked.groupBy(*word).agg(F.count("*").alias("in_queries")).join(given.groupBy(*word).agg(F.count("*").alias("in_titles")), word)

@@ -78,6 +78,11 @@ def test_titles_are_told_apart_before_they_are_split(spark, small):
     assert "Generate" in text and "Aggregate" not in text.split("Generate", 1)[0]
 
 
+def test_titles_are_split_once(spark, small):
+    """Titles are stored with their words: what counts words and what pairs them reads no offers again."""
+    assert "lineitem" not in plan(M.candidate_titles(D.products(spark, small), D.staged_offers(spark, small)))
+
+
 def test_numbers_meet_a_stored_side(spark, small):
     """What each range adds is small and known to be, so the numbered rows are not shuffled again."""
     text = plan(QUERIES["load_catalog"](spark, small))
