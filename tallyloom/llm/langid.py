@@ -8,15 +8,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tallyloom.llm.common import broadcast, stored, worker_memo
+from tallyloom.llm.common import broadcast, worker_memo
 
 ORDER = 4  # characters of the longest gram; four 16-bit characters fill one 64-bit key
 SIGMAS = 4.0  # standard errors that a text may cost more than its language does on average; they matter in short texts
-HELD, HELD_BYTES = 300, 1 << 14  # learning texts of a language that calibrate it, at most, and the longest of them
+FOLDS = 4  # shares of the learning texts; each calibrates by a model of all the others
+BIN = 1e-4  # nats a character to which costs are rounded before they are counted
 KEEPS = 0.99  # quantile of what those cost beyond that, as the models of all other texts see them
 WIDER, EXTRA = 1.5, 0.25  # so much wider, and so many nats more, is what is still accepted
 SLACK = 1.0  # a language with fewer than 50 such texts: the share of its mean that a text may cost beyond it
@@ -64,42 +65,56 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array(sizes, np.int64)
 
 
+def held_texts(docs: DataFrame) -> DataFrame:
+    """(lang, text, place, fold): every learning text; equal texts have one place and so one fold."""
+    rows = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("place"))
+    return rows.withColumn("fold", F.pmod(F.shiftrightunsigned("place", 33), F.lit(FOLDS)).cast("int"))
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n): how often each gram occurs in all texts of each language.
+    """(lang, gram, n0, n1, ..): how often each gram occurs in all texts of each language, fold by fold.
 
     Every task adds up what it reads before anything is shuffled.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        totals: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, (codes, counts) in totals.items():
+            for (lang, fold), (codes, counts) in totals.items():
                 for at in range(0, len(codes), 50_000):
                     part = slice(at, at + 50_000)
+                    size = len(codes[part])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(codes[part])), pa.array(codes[part].view(np.int64)), pa.array(counts[part])],
-                        names=["lang", "gram", "n"],
+                        [pa.array([lang] * size), pa.array([fold] * size, pa.int32()), pa.array(codes[part].view(np.int64)), pa.array(counts[part])],
+                        names=["lang", "fold", "gram", "n"],
                     )
 
         for batch in batches:
-            langs = np.array(batch.column("lang").to_pylist(), object)
             texts = batch.column("text").to_pylist()
-            for lang in set(langs):
-                found, _ = grams([t for t, at in zip(texts, langs, strict=True) if at == lang])
+            for key, places in _by_share(batch).items():
+                found, _ = grams([texts[i] for i in places])
                 codes, counts = np.unique(found, return_counts=True)
-                if lang in totals:
-                    known, had = totals[lang]
+                if key in totals:
+                    known, had = totals[key]
                     codes, where = np.unique(np.concatenate([known, codes]), return_inverse=True)
                     counts = np.bincount(where, np.concatenate([had, counts])).astype(np.int64)
-                totals[lang] = codes, counts
+                totals[key] = codes, counts
             if sum(len(codes) for codes, _ in totals.values()) > 2_000_000:
                 yield from out()
                 totals.clear()
         yield from out()
 
-    rows = docs.where("lang is not null and text is not null").select("lang", "text")
-    return rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = held_texts(docs).select("lang", "fold", "text").mapInArrow(count, "lang string, fold int, gram long, n long")
+    return rows.groupBy("lang", "gram").agg(*[F.sum(F.when(F.col("fold") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(FOLDS)])
+
+
+def _by_share(batch: pa.RecordBatch) -> dict[tuple[str, int], list[int]]:
+    """(lang, fold) -> its rows in the batch."""
+    shares: dict[tuple[str, int], list[int]] = {}
+    for i, key in enumerate(zip(batch.column("lang").to_pylist(), batch.column("fold").to_pylist(), strict=True)):
+        shares.setdefault(key, []).append(i)
+    return shares
 
 
 class Model:
@@ -133,10 +148,6 @@ class Model:
         self.deviation = float(np.sqrt(np.sum(weight * (cost - self.mean) ** 2)))
         self.slack = SLACK * self.mean
 
-    def beyond(self, cost: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """What texts cost a character beyond the mean and SIGMAS standard errors."""
-        return cost - self.mean - SIGMAS * self.deviation / np.sqrt(sizes)
-
     def probability(self, codes: np.ndarray) -> np.ndarray:
         out = np.full(len(codes), self.uniform)
         for length, (grams, share, context, rest) in zip(range(1, ORDER + 1), reversed(self.levels), strict=True):
@@ -150,21 +161,21 @@ def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: fl
     return np.where(keys[at] == wanted, values[at], missing)
 
 
-def held_texts(docs: DataFrame) -> DataFrame:
-    """(lang, text): of each language at most HELD different texts, those with the smallest hash.
+def _beyond(mean: float, deviation: float, others: Model, texts: list[str]) -> np.ndarray:
+    """What each text costs ``others``, which have not seen it, a character beyond ``mean`` and SIGMAS standard errors; nan without letters."""
+    out = np.full(len(texts), np.nan)
+    found, sizes = grams(texts)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        distinct, where = np.unique(found, return_inverse=True)
+        cost = -np.log(others.probability(distinct))[where]
+        cost = np.add.reduceat(cost, np.concatenate([[0], np.cumsum(sizes[full])[:-1]])) / sizes[full]
+        out[full] = cost - mean - SIGMAS * deviation / np.sqrt(sizes[full])
+    return out
 
-    Of a large language only hashes small enough for about twice as many are
-    looked at, so that no task sees more of it.
-    """
-    some = docs.where("lang is not null").where(F.octet_length("text").between(1, HELD_BYTES))
-    rows = some.select("lang", "text", F.xxhash64("text").alias("place"))
-    sizes = stored(rows.groupBy("lang").agg((F.lit(2.0 * HELD) / F.count("*")).alias("share")), "shares")
-    small = F.shiftrightunsigned("place", 33) < F.col("share") * float(1 << 31)
-    likely = rows.select("lang", "place").join(sizes, "lang").where(small).select("lang", "place").distinct()
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("place", 33), "place"))
-    # Stored like the shares, so that Spark knows both to be small and moves nothing to meet them.
-    taken = stored(likely.withColumn("first", first).where(F.col("first") <= HELD).drop("first"), "held")
-    return rows.join(taken, ["lang", "place"]).select("lang", "text").distinct()
+
+def _slack(most: float) -> float:
+    return WIDER * max(0.0, most) + EXTRA
 
 
 def calibrated(model: Model, codes: np.ndarray, counts: np.ndarray, texts: list[str]) -> None:
@@ -176,28 +187,55 @@ def calibrated(model: Model, codes: np.ndarray, counts: np.ndarray, texts: list[
     order = np.argsort(codes)
     rest = counts[order].copy()
     rest[np.searchsorted(codes[order], own)] -= held
-    others = Model(codes[order][rest > 0], rest[rest > 0])
-    cost = -np.log(others.probability(found))
-    full = sizes[sizes > 0]
-    mean = np.add.reduceat(cost, np.concatenate([[0], np.cumsum(full)[:-1]])) / full
-    model.slack = WIDER * max(0.0, float(np.quantile(others.beyond(mean, full), KEEPS))) + EXTRA
+    beyond = _beyond(model.mean, model.deviation, Model(codes[order][rest > 0], rest[rest > 0]), texts)
+    model.slack = _slack(float(np.quantile(beyond[~np.isnan(beyond)], KEEPS)))
+
+
+def held_costs(docs: DataFrame, expected: dict[str, Model], others: dict[tuple[str, int], Model]) -> DataFrame:
+    """(lang, bin, n): how many different texts of a language cost the model of the other folds how much, in units of BIN."""
+    shared = broadcast(docs.sparkSession, ({lang: (m.mean, m.deviation) for lang, m in expected.items()}, others))
+
+    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        means, models = shared()
+        for batch in batches:
+            texts, beyond = batch.column("text").to_pylist(), np.full(batch.num_rows, np.nan)
+            for (lang, fold), places in _by_share(batch).items():
+                if (lang, fold) in models:
+                    beyond[places] = _beyond(*means[lang], models[lang, fold], [texts[i] for i in places])
+            told = pa.array(~np.isnan(beyond))
+            bins = pa.array(np.round(np.nan_to_num(beyond) / BIN).astype(np.int64))
+            rows = pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("place"), bins], names=["lang", "place", "bin"])
+            yield rows.filter(told)
+
+    rows = held_texts(docs).mapInArrow(cost, f"lang {dict(docs.dtypes)['lang']}, place long, bin long")
+    return rows.dropDuplicates(["lang", "place"]).groupBy("lang", "bin").agg(F.count("*").alias("n"))
 
 
 def fit(docs: DataFrame) -> dict[str, Model]:
     """One model per language of ``docs`` (text, lang), from all its rows and all their grams.
 
     The driver receives a row for each distinct gram of a language, not for
-    each place where it occurs, and HELD texts a language, by which the
-    model's rejection is calibrated: their grams are taken out of the counts
-    again, and what they cost without them shows what to expect of new texts.
+    each place where it occurs. The model's rejection is calibrated by all
+    learning texts: what each costs a model of the other folds shows what to
+    expect of new texts. Of that the driver receives rounded costs and how
+    many texts have them. A language of fewer than 50 different texts keeps
+    its slack.
     """
     table = gram_counts(docs).toPandas()
-    held = held_texts(docs).toPandas()
-    models = {}
+    models, others = {}, {}
     for lang, own in sorted(table.groupby("lang"), key=lambda x: x[0]):
-        codes, counts = own["gram"].to_numpy().view(np.uint64), own["n"].to_numpy()
+        codes, folds = own["gram"].to_numpy().view(np.uint64), [own[f"n{i}"].to_numpy() for i in range(FOLDS)]
+        counts = sum(folds)
         models[lang] = Model(codes, counts)
-        calibrated(models[lang], codes, counts, sorted(held["text"][held["lang"] == lang]))
+        for fold, held in enumerate(folds):
+            rest = counts - held
+            if held.any() and rest.any():
+                others[lang, fold] = Model(codes[rest > 0], rest[rest > 0])
+    costs = held_costs(docs, models, others).toPandas()
+    for lang, own in costs.sort_values("bin").groupby("lang"):
+        upto = own["n"].cumsum().to_numpy()
+        if upto[-1] >= 50:
+            models[lang].slack = _slack(float(own["bin"].to_numpy()[np.searchsorted(upto, KEEPS * upto[-1])]) * BIN)
     return models
 
 

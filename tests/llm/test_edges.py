@@ -429,6 +429,32 @@ def test_calibration_in_the_table(spark):
     assert langid.fit(frame.limit(0)) == {}
 
 
+def test_every_learning_text_calibrates(spark):
+    """Many texts, some of them long: the slack is the quantile over all of them, copies counted once."""
+    import random
+
+    rng = random.Random(8)
+    stems = ["ver", "lich", "sch", "und", "ung", "ein", "heit", "ge", "ten", "er"]
+    texts = [f"{i} " + " ".join("".join(rng.choice(stems) for _ in range(rng.randrange(1, 5))) for _ in range(3 + i % 40)) for i in range(700)]
+    texts += [" ".join(rng.choice(["zyx", "qwv", "kkj"]) for _ in range(8_000)) + str(i) for i in range(20)]
+    frame = spark.createDataFrame([(t, "de") for t in [*texts, texts[0], texts[1], "12 34"]], "text string, lang string")
+    held = langid.held_texts(frame).collect()
+    assert {r.text for r in held} == {*texts, "12 34"}
+    model = langid.fit(frame)["de"]
+
+    def counted(rows):
+        return np.unique(langid.grams([r.text for r in rows])[0], return_counts=True)
+
+    cost = []
+    for fold in range(langid.FOLDS):
+        others = langid.Model(*counted([r for r in held if r.fold != fold]))
+        for text in {r.text for r in held if r.fold == fold} - {"12 34"}:
+            found, (size,) = langid.grams([text])
+            cost.append(float(-np.log(others.probability(found)).mean()) - model.mean - langid.SIGMAS * model.deviation / size**0.5)
+    want = langid.WIDER * max(0.0, sorted(cost)[-(-len(cost) * 99 // 100) - 1]) + langid.EXTRA
+    assert len(cost) == 720 and abs(model.slack - want) < 2 * langid.WIDER * langid.BIN
+
+
 def test_asking_points_are_cut_into_blocks(spark, monkeypatch):
     """Few points filed, many asking the same cells: the answers are those of one block."""
     data = np.random.default_rng(3).normal(size=(150, 4))
