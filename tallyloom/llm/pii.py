@@ -29,7 +29,6 @@ NAMED = 4  # pieces of evidence that a part of the entity's own text counts for
 CONFIDENCE = 1.645  # standard errors that an estimate is lowered by: one-sided, 95 %
 DISCLOSES = 0.5  # chance, by that lower bound, with which a term may not tell the entity
 REMOVES = 0.6  # from this chance on a term is removed, below it is generalised
-CONTEXTS = 4  # different neighbourhoods of a term that one text can be evidence by
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -98,9 +97,8 @@ def terms_of(text: str, spans: list[tuple[int, int, str]]) -> dict[str, tuple[se
             continue
         near, places = out.setdefault(word, (set(), []))
         places.append({"start": first, "stop": last})
-        if len(near) < CONTEXTS:
-            before, after = words[i - 1][0] if i else "", words[i + 1][0] if i + 1 < len(words) else ""
-            near.add(xxhash.xxh64_intdigest(f"{before} {after}".encode()) >> 1)
+        before, after = words[i - 1][0] if i else "", words[i + 1][0] if i + 1 < len(words) else ""
+        near.add(xxhash.xxh64_intdigest(f"{before} {after}".encode()) >> 1)
     return out
 
 
@@ -113,8 +111,8 @@ FOUND = (
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: counts of the fixed kinds and their spans; where there are any, the entities and the text's terms.
 
-    A null text is empty. Terms come with up to CONTEXTS hashes of what stands
-    beside them and with all their places outside the spans; ``own`` are those
+    A null text is empty. Terms come with the hashes of all that stands beside
+    them and with all their places outside the spans; ``own`` are those
     that an entity spells out. Documents without an entity have none of that.
     """
     span = pa.struct([("start", pa.int32()), ("stop", pa.int32())])

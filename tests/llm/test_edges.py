@@ -397,6 +397,18 @@ def test_every_mention_is_found():
     assert "org" not in found and pii.parts("email:bob.b@x.org") == {"bob"} and pii.parts("ip:1.2.3.4") == set()
 
 
+def test_every_neighbourhood_is_evidence(spark):
+    """Texts that begin alike and differ only where a term stands for the fifth time and later are evidence each."""
+    alike = "aa Norvex bb Norvex cc Norvex dd Norvex ee "
+    found = pii.terms_of(alike + "Norvex ff Norvex gg", [])
+    assert len(found["norvex"][0]) == len(found["norvex"][1]) == 6
+    ways = "pqrstuvwxyz"
+    rows = [(i, alike + " ".join(f"{w}{ways[i]} Norvex" for w in ways) + " mail zz@yy.org") for i in range(10)]
+    frame = spark.createDataFrame([*rows, (90, "other words zz@yy.org")], "doc_id long, text string")
+    terms = pii.disclosing(pii.scan(frame), frame).where("term = 'norvex'").collect()
+    assert len(terms) == 1 and abs(terms[0].share - 1 / (1 + pii.CONFIDENCE**2 / 10)) < 1e-9
+
+
 def test_rejection_is_calibrated():
     """Junk goes, however much it looks like words; new text stays, down to single words."""
     import random
