@@ -17,6 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tallyloom.functions import constants as C
 from tallyloom.operators.alerts import Limiter, Recovery
 
+SLOT_S = 3600  # shortest stretch of a key's time that is counted on its own
+
 
 def per_second(
     stream: DataFrame, keys: Mapping[str, Column], condition: Column | None = None, watermark: str = "10 minutes", ts: str = "timestamp"
@@ -136,48 +138,45 @@ class LimiterProcessor(_Seconds):
 
 
 class SlidingProcessor(StatefulProcessor):
-    """How many rows of a key are at most ``window_s`` old, at every second with rows.
+    """How many rows of a key are at most ``window_s`` old, at every second of a slot with rows.
 
-    The seconds inside the window are a map from a second to its count and the
-    next second after it, so what leaves is found from the oldest on, and each
-    second enters and leaves once. A key whose window runs empty is forgotten
-    by an event-time timer.
+    Keys are (key, slot): a slot sees its own seconds and, before them, those
+    of the slot before that still count in it. A slot that the watermark has
+    not passed keeps the seconds inside its last window; one that it has
+    passed keeps nothing, and what it kept goes by an event-time timer.
     """
 
-    def __init__(self, key: str, window_s: int):
-        self.key, self.window_s = key, window_s
+    def __init__(self, key: str, window_s: int, slot_s: int):
+        self.key, self.window_s, self.slot_s = key, window_s, slot_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "s long", "n long, following long")
-        self.ends = handle.getValueState("ends", "oldest long, newest long, total long")
+        self.held = handle.getListState("held", "s long, n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seconds = pd.concat(list(rows)).sort_values("s")  # one micro-batch of closed seconds
-        oldest, newest, total = self.ends.get() if self.ends.exists() else (None, None, 0)
-        counts = []
-        for now, n in zip(seconds["s"].tolist(), seconds["n"].tolist(), strict=True):
-            while oldest is not None and oldest < now - self.window_s:
-                gone, following = self.held.getValue((oldest,))
-                self.held.removeKey((oldest,))
-                total -= gone
-                oldest = following if following >= 0 else None
-            if oldest is None:
-                oldest = now
-            else:
-                self.held.updateValue((newest,), (self.held.getValue((newest,))[0], now))
-            self.held.updateValue((now,), (n, -1))
-            newest, total = now, total + n
-            counts.append(total)
-        self.ends.update((oldest, newest, total))
-        self.handle.registerTimer((newest + self.window_s + 1) * 1000)
-        yield pd.DataFrame({self.key: [key[0]] * len(counts), "at": list(seconds["at"]), "in_window": counts})
+        import numpy as np
+
+        fresh = pd.concat(list(rows)).sort_values("s")  # one micro-batch of closed seconds of a slot
+        held = list(self.held.get()) if self.held.exists() else []
+        known = pd.DataFrame(held, columns=["s", "n"], dtype="int64")
+        every = pd.concat([known, fresh[["s", "n"]]]).sort_values("s")
+        s, total = every["s"].to_numpy(), np.concatenate([[0], np.cumsum(every["n"].to_numpy())])
+        own = fresh[fresh["s"] // self.slot_s == key[1]]
+        now = own["s"].to_numpy()
+        counts = total[np.searchsorted(s, now, "right")] - total[np.searchsorted(s, now - self.window_s, "left")]
+        end = (key[1] + 1) * self.slot_s * 1000
+        if timerValues.getCurrentWatermarkInMs() < end:
+            last = every[s >= s[-1] - self.window_s]
+            self.held.put(list(zip(last["s"].tolist(), last["n"].tolist(), strict=True)))
+            if not held:
+                self.handle.registerTimer(end)
+        elif held:
+            self.held.clear()
+        if len(own):
+            yield pd.DataFrame({self.key: [key[0]] * len(own), "at": list(own["at"]), "in_window": counts})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        if self.ends.exists() and self.ends.get()[1] + self.window_s < due:
-            self.held.clear()
-            self.ends.clear()
+        self.held.clear()
         return iter([])
 
     def close(self) -> None:
@@ -222,7 +221,11 @@ def sliding_count_stream(
 ) -> DataFrame:
     """(key, at, in_window): at every second with errors of a key, its errors aged 0 to ``window_s`` seconds, exactly."""
     counted = per_second(logs, {key: F.col(key)}, _is_error() if condition is None else condition, watermark)
-    return _stateful(counted, [key], SlidingProcessor(key, window_s), f"`{key}` string, at timestamp, in_window long")
+    # A key's time is cut into slots, so that a busy key is counted by many tasks; a second late in a slot also counts in the next.
+    slot_s = max(window_s, SLOT_S)
+    slots = F.sequence(F.floor(F.col("s") / slot_s), F.floor((F.col("s") + window_s) / slot_s))
+    processor = SlidingProcessor(key, window_s, slot_s)
+    return _stateful(counted.withColumn("slot", F.explode(slots)), [key, "slot"], processor, f"`{key}` string, at timestamp, in_window long")
 
 
 def rate_limit_stream(

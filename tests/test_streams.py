@@ -108,6 +108,17 @@ def test_sliding_counts(spark, feed):
     assert len(got) > 200 and max(r["in_window"] for r in got) > 10
 
 
+def test_a_busy_service_is_counted_by_many_tasks(spark, feed):
+    """Slots of a service's time are keys of their own, so one service's seconds do not pass one task."""
+    _, stream = feed
+    one = stream().withColumn("service", F.lit("API_BE"))
+    out = A.sliding_count_stream(one, window_s=600)
+    assert "slot" in out._jdf.queryExecution().analyzed().toString()
+    got = run_once(out, spark, "t-busy").collect()
+    errors = sorted((r["at"].replace(tzinfo=None) - START).total_seconds() for r in got)
+    assert errors[0] < A.SLOT_S <= errors[-1] and len(got) == len(set(errors))
+
+
 def test_empty_windows_are_forgotten(spark, tmp_path):
     """Once a key's window has run empty nothing of it stays in the state, and it starts anew."""
     feed = tmp_path / "feed"
