@@ -13,7 +13,7 @@ from tallyloom.operators import paging as G
 from tallyloom.operators import postings as N
 from tallyloom.operators.sequence import SequenceLedger, assign_reserved
 from tallyloom.plans import domain as D
-from tallyloom.sources.versioned import PartTable, VersionTaken, bucket, day
+from tallyloom.sources.versioned import SORTED_BYTES, PartTable, VersionTaken, bucket, day
 from tallyloom.streaming import keyed as T
 
 START = dt.datetime(2024, 1, 1)
@@ -256,3 +256,13 @@ def test_phrases(spark, tmp_path):
     for _ in range(2):
         N.add_documents(table, more, "id", "body", "more")
     assert 50 in {r.doc for r in N.phrase_documents(table, "brown fox").collect()} and N._of(table, ["more"]).count() == 1
+
+
+def test_a_common_word_is_sorted_in_slices(spark, tmp_path):
+    """Every text holds the same word: its part is cut, though all of it comes from one task in few bytes."""
+    docs = spark.range(0, 400_000, 1, 1).select(F.col("id").alias("doc"), F.lit("same").alias("text"))
+    table = N.build_postings(docs, "doc", "text", str(tmp_path / "postings"))
+    files = table.read().groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 1 and sum(r["count"] for r in files) == 400_000
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") != SORTED_BYTES
+    assert N.phrase_documents(table, "same").count() == 400_000
