@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+FLUSHES = 20  # flushes that are worth a task
+
 SHIPPER_SCHEMA = (
     "`@timestamp` string, message string, container struct<name:string>, "
     "docker struct<container:struct<name:string>>, fields struct<container:string>, "
@@ -68,13 +71,23 @@ def store_batches(path: str, documents: int = 0) -> Callable[[DataFrame, int], N
     """Writer that puts each batch into its own folder, so that a replayed batch replaces itself.
 
     ``documents`` is the most a flush holds: a larger batch is flushed in
-    several files as it is written.
+    several files as it is written. Opening files is what that costs, so a
+    batch of many flushes is dealt out to as many tasks as a shuffle has.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").option("maxRecordsPerFile", documents).parquet(f"{path}/batch={batch_id}")
 
-    return write
+    def flush(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            most = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            tasks = min(most, kept.count() // (FLUSHES * documents))
+            store(kept.repartition(tasks) if tasks > 1 else kept, batch_id)
+        finally:
+            kept.unpersist()
+
+    return flush if documents else store
 
 
 def dropped_late(query: StreamingQuery) -> int:

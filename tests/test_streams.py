@@ -190,3 +190,14 @@ def test_late_rows_are_counted_in_the_stream(spark, tmp_path):
     query = S.micro_batch_sink(L.tumbling_trend(source), S.store_batches(str(tmp_path / "out")), str(tmp_path / "state"))
     query.awaitTermination()
     assert S.dropped_late(query) == 1
+
+
+def test_flushes_are_dealt_out(spark, tmp_path):
+    """A large batch in one partition is flushed by several tasks, a small one in few files; none holds more than is allowed."""
+    write = S.store_batches(str(tmp_path), documents=10)
+    write(spark.range(0, 4_000, 1, 1), 0)
+    write(spark.range(0, 35, 1, 1), 1)
+    names = {batch: sorted(f.name for f in (tmp_path / f"batch={batch}").glob("part-*")) for batch in (0, 1)}
+    assert len({name.split("-")[1] for name in names[0]}) > 1 and len(names[1]) == 4
+    rows = spark.read.parquet(str(tmp_path)).groupBy(F.input_file_name()).count().collect()
+    assert max(r["count"] for r in rows) == 10 and sum(r["count"] for r in rows) == 4_035
