@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.session import materialize, scratch_path, tune
+from tallyloom.session import scratch_path, tune
 
 # Separators of words in the contracts: space and the five ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -121,28 +121,35 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars: every round each node hands its
     neighbours to the smallest of them, until the links are stars. Rounds grow
     with the logarithm of the longest chain. A node's neighbours are never
-    gathered; only their minimum is, and it is joined back.
+    gathered; only their minimum is, and it is joined back. One task streams
+    all links of a node past it.
+
+    Every job of a round costs the driver memory for its plan and tasks. So
+    nothing is broadcast, which is a job and a copy on the driver, the links
+    are written where few tasks read them again, and rounds end as soon as
+    the links are stars, not when a further round has changed nothing.
     """
 
     def star(links: DataFrame, larger: bool) -> DataFrame:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pairs = both if larger else both.where("b < a")
+        pairs = both if larger else links.select(F.col("b").alias("a"), F.col("a").alias("b"))
         least = pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        near = pairs.join(least, "a")
+        near = pairs.join(least.hint("merge"), "a")
         if larger:
-            out = near.where("b > a").select("m", F.col("b"))
+            out = near.where("b > a").select(F.col("m").alias("a"), "b")
         else:
-            out = near.select("m", "b").unionByName(least.select("m", F.col("a").alias("b")))
-        return out.where("m <> b").select(F.col("m").alias("a"), "b").distinct()
-
-    def state(links: DataFrame) -> tuple:
-        return links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
-    links = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    before, now = None, state(links)
-    while now != before and now[0]:
-        links = materialize(star(star(links, True), False))
-        before, now = now, state(links)
+            # Each node meets its minimum in one row, which gives the node's own link.
+            out = near.select(F.col("m").alias("a"), F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("b"))
+        return out.distinct()
+
+    def stars(links: DataFrame) -> bool:
+        ends = F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("leaf")), F.struct(F.col("b").alias("node"), F.lit(1).alias("leaf")))
+        nodes = links.select(F.explode(ends).alias("e")).groupBy("e.node").agg(F.sum("e.leaf").alias("leaf"), F.count("*").alias("n"))
+        return nodes.where("leaf > 0 and n > 1").agg(F.count("*")).first()[0] == 0
+
+    links = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    while not stars(links):
+        links = stored(star(star(links, True), False), "links")
     return links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(
         links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     )

@@ -47,6 +47,37 @@ def test_components(spark):
     assert sorted((r.node, r.root) for r in rows) == [(i, 0) for i in range(61)] + [(i, 100) for i in (100, 101, 103)]
 
 
+def test_components_need_few_jobs(spark):
+    """Jobs and their plans are what the links cost the driver: a hub costs no round, a chain few, without broadcasts."""
+    hub = [(0, i) for i in range(1, 300)] + [(500, 501), (501, 500)]
+    chain = [(i, i + 1) for i in range(0, 60)] + [(100, 103), (103, 101)]
+    context = spark.sparkContext
+    try:
+        for name, pairs, most in (("hub", hub, 6), ("chain", chain, 80)):
+            edges = spark.createDataFrame(pairs, "a long, b long")
+            context.setJobGroup(f"components-{name}", name)
+            found = components(edges)
+            jobs = context.statusTracker().getJobIdsForGroup(f"components-{name}")
+            context.setLocalProperty("spark.jobGroup.id", None)
+            assert {r.root for r in found.collect()} == ({0, 500} if name == "hub" else {0, 100})
+            assert 0 < len(jobs) <= most, (name, len(jobs))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_of_any_links(spark):
+    for seed, nodes, size in ((1, 60, 40), (2, 200, 190), (3, 40, 300)):
+        rng = np.random.default_rng(seed)
+        pairs = [(int(a), int(b)) for a, b in rng.integers(-nodes, nodes, (size, 2))]
+        root = {x: x for pair in pairs if pair[0] != pair[1] for x in pair}
+        for _ in root:
+            for a, b in pairs:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+        rows = components(spark.createDataFrame([*pairs, *pairs[:5], (None, 1)], "a long, b long")).collect()
+        assert sorted((r.node, r.root) for r in rows) == sorted(root.items())
+
+
 def test_order_minhash(odd, none):
     rows = ordermin.compared(odd).collect()
     assert len(rows) == len(ODD)
