@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -201,6 +202,47 @@ def test_words_as_the_tokenizer_sees_them():
         assert np.frombuffer(ids, words.dtype).tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1], text
 
 
+def test_words_are_remembered_by_their_pieces():
+    """A word is encoded and remembered once, however it is written and whatever stands beside it."""
+    with open(tokenizer(), encoding="utf-8") as file:
+        words = packing.WordIds(file.read())
+    words.encode(["Word, word. (WORD)! 2024", None, "word\tÉté été, ÉTÉ."])
+    assert {word.lower() for word in words.known} == {"word", ",", ".", "(", ")!", "2", "0", "4", "été"}
+
+
+@pytest.mark.parametrize("cached", [packing.CACHED, 20])
+def test_ids_of_texts_cut_as_bytes(monkeypatch, cached):
+    """Texts of one array, null, empty, plain and odd, with and without an offset, as the tokenizer alone sees them."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHED", cached)
+    monkeypatch.setattr(packing, "LEARNT", 7)
+    plain = ["a", "S", "t", "ll", "RE", "don", "'", "''", " ", "\n", "\t", ".", ",", "<", "|", "1", "20", "É", "ñ", "ß"]
+    odd = [*plain, "×", "÷", "ª", "\xa0", "\r", "\x1c", "\x7f", "\u0301", "\u0338", "“", "’", "İ", "日", "😀", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    draw = random.Random(4)
+    texts = ["".join(draw.choices(draw.choice([plain, odd]), k=draw.randrange(12))) for _ in range(600)] + [None, ""]
+    draw.shuffle(texts)
+    with open(tokenizer(), encoding="utf-8") as file:
+        spec = file.read()
+    words, whole = packing.WordIds(spec), Tokenizer.from_str(spec)
+    for start, stop in ((0, 0), (0, 1), (1, 200), (200, 201), (201, 602)):
+        got = words.rows(pa.array(texts, pa.string()).slice(start, stop - start)).to_pylist()
+        assert len(got) == stop - start
+        for text, ids in zip(texts[start:stop], got, strict=True):
+            want = [*whole.encode(text or "", add_special_tokens=False).ids, 1]
+            assert np.frombuffer(ids, words.dtype).tolist() == want, text
+
+
+def test_gathered_batches_keep_their_rows():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"text": ["x" * n] * 3, "n": [n] * 3}) for n in (1, 50, 0, 9, 200, 2)]
+    got = list(packing.gathered(iter(batches), "text", 100))
+    assert [row for batch in got for row in batch.to_pylist()] == [row for batch in batches for row in batch.to_pylist()]
+    assert len(got) < len(batches) and list(packing.gathered(iter([]), "text", 100)) == []
+
+
 def test_windows_keep_the_proportions(spark):
     """A third of the tokens in one source: every full window has a third of it, give or take a packet."""
     tokens = [(i, i, "Sa" if i % 3 == 0 else f"S{i % 3}", b"", 300 + i % 11) for i in range(3000)]
