@@ -64,6 +64,10 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     one around each. Of two segments that differ by one bit, the one with the
     0 finds the other, which halves the ball. Matches are verified on all bits.
     ``prints`` holds each fingerprint once, so copies cost nothing here.
+
+    Spark sizes a table after an explode like the one before it, so the join
+    is merged: a ball is some 17 rows a segment, and broadcast by that size
+    they would not fit the driver.
     """
     count = max_bits // 2 + 1
     cuts = [64 * i // count for i in range(count + 1)]
@@ -77,7 +81,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     probes = prints.select(F.col("fp").alias("b"), F.explode(F.flatten(F.array(*balls))).alias("s")).select("b", "s.segment", "s.key", "s.same")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     once = ~F.col("same") | (F.col("a") < F.col("b"))
-    found = filed.join(probes, ["segment", "key"]).where((F.col("a") != F.col("b")) & once & near)
+    found = filed.join(probes.hint("merge"), ["segment", "key"]).where((F.col("a") != F.col("b")) & once & near)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -85,7 +89,8 @@ def classes(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(fp, root, component_id) for every fingerprint of ``prints`` (doc_id, fp).
 
     ``root`` is the smallest fingerprint the links reach, ``component_id`` the
-    smallest doc_id, nulls left out.
+    smallest doc_id, nulls left out. A row for each fingerprint, so it is to
+    be merged with ``prints``, of which a file shows a fraction of the size.
     """
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(least.select("fp"), max_bits))
@@ -103,7 +108,7 @@ def groups(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) ->
     each, an empty table gives none, other columns of ``docs`` are not read.
     """
     prints = stored(docs.select("doc_id", fingerprints(F.col("text"), shingle).alias("fp")), "simhash")
-    return prints.join(classes(prints, max_bits), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(classes(prints, max_bits).hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
@@ -117,7 +122,7 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE)
     key = row_key(docs)
     prints = docs.select("doc_id", key.alias("row"), fingerprints(F.col("text"), shingle).alias("fp"))
     prints = stored(prints, "simhash")
-    grouped = prints.join(classes(prints.select("doc_id", "fp"), max_bits), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    grouped = prints.join(classes(prints.select("doc_id", "fp"), max_bits).hint("merge"), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = grouped.groupBy("root", "component_id").agg(F.min(F.struct("fp", "row")).alias("least")).select(F.col("least.row").alias("__row"))
     marked = docs.select(*docs.columns, key.alias("__row"))
     return marked.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)

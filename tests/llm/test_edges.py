@@ -547,3 +547,14 @@ def test_asking_points_are_cut_into_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, neighbours.search(frame, F.lit(True), 5).collect()))
     monkeypatch.setattr(neighbours, "ASKED", 7)
     assert sorted(map(tuple, neighbours.search(frame, F.lit(True), 5).collect())) == whole
+
+
+def test_the_balls_around_fingerprints_are_not_broadcast(spark):
+    """Spark sizes the exploded balls like the few fingerprints they come from, which is below its threshold."""
+    prints = spark.createDataFrame([(1, 7), (2, 7), (3, 15), (4, 1 << 40)], "doc_id long, fp long")
+    found = simhash.links(prints.select("fp").distinct())
+    assert {(r.a, r.b) for r in found.collect()} == {(7, 15)}
+    groups = simhash.groups(prints.select("doc_id", F.col("fp").cast("string").alias("text")))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (found, groups)]
+    assert "BroadcastHashJoin" not in plans[0] and "SortMergeJoin" in plans[0]
+    assert "Join" in plans[1] and plans[1].index("Join") == plans[1].index("SortMergeJoin") + len("SortMerge")  # the last join of all
