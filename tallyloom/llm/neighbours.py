@@ -205,7 +205,8 @@ def _by_buckets(points: DataFrame, asked: DataFrame, index: Index, k: int) -> Da
     held = held.select(cell, "chunk", "id", "vector")
     # Listing buckets is work of its own, so it gets as many tasks as a shuffle has, however few the points.
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    probes = asked.repartition(tasks, "point").mapInArrow(probe, "bucket long, point long").join(buckets.select("bucket", "chunks"), "bucket")
+    # A point lists some thousand buckets, and Spark takes the list to be as large as the point: merged, or it would be broadcast.
+    probes = asked.repartition(tasks, "point").mapInArrow(probe, "bucket long, point long").join(buckets.select("bucket", "chunks").hint("merge"), "bucket")
     probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("chunk", chunk(F.col("part")))
     probes = stored(probes.select(cell, "chunk", "point").groupBy("cell", "point").agg(F.collect_list("chunk").alias("wanted")), "probes")
     # A cell that many points ask meets them in blocks; one that none asks is left out.

@@ -558,3 +558,18 @@ def test_the_balls_around_fingerprints_are_not_broadcast(spark):
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in (found, groups)]
     assert "BroadcastHashJoin" not in plans[0] and "SortMergeJoin" in plans[0]
     assert "Join" in plans[1] and plans[1].index("Join") == plans[1].index("SortMergeJoin") + len("SortMerge")  # the last join of all
+
+
+def test_the_buckets_that_points_list_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes the thousands of buckets a point lists like the point, which is below its threshold."""
+    plans, stored = {}, neighbours.stored
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(neighbours, "stored", seen)
+    data = np.random.default_rng(5).normal(size=(60, 4))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    assert neighbours.search(frame, F.col("vec_id") < 3, 2).count() == 6
+    assert "MapInArrow" in plans["probes"] and "BroadcastHashJoin" not in plans["probes"] and "SortMergeJoin" in plans["probes"]
