@@ -174,6 +174,10 @@ def disclosing(found: DataFrame, docs: DataFrame, support: int = SUPPORT, disclo
     A term met with an entity is counted for it only if at least half of its
     documents name any entity at all, and for entities that ``support``
     different texts name: no other pair can reach the threshold.
+
+    Spark sizes terms after an explode, and counted terms in a file, at a
+    fraction of what they are in memory, so their joins are merged; ``likely``
+    is what few terms are left.
     """
     named = found.where(F.size("entities") > 0).select("row", "body", "entities", "own", "terms")
     terms = named.select("row", "body", F.explode("terms").alias("t")).select("row", "body", "t.term", "t.near")
@@ -182,10 +186,10 @@ def disclosing(found: DataFrame, docs: DataFrame, support: int = SUPPORT, disclo
     likely = stored(counted.where((F.col("bearing") >= discloses * F.col("df")) & (F.col("bearing") >= support)).select("term", "df"), "likely")
     entities = named.select("row", "body", F.explode("entities").alias("entity"))
     often = entities.groupBy("entity").agg(F.count_distinct("body").alias("texts")).where(F.col("texts") >= support)
-    met = entities.join(often, "entity").select("row", "entity").join(terms.join(likely, "term"), "row")
+    met = entities.join(often, "entity").select("row", "entity").join(terms.join(likely, "term").hint("merge"), "row")
     met = met.select("entity", "term", "row", "body", "near", "df", F.lit(False).alias("own"))
-    spelt = named.select("row", F.explode("own").alias("o")).select("row", "o.entity", "o.term").join(terms, ["row", "term"])
-    spelt = spelt.join(counted.select("term", "df"), "term").select("entity", "term", "row", "body", "near", "df", F.lit(True).alias("own"))
+    spelt = named.select("row", F.explode("own").alias("o")).select("row", "o.entity", "o.term").join(terms.hint("merge"), ["row", "term"])
+    spelt = spelt.join(counted.select("term", "df").hint("merge"), "term").select("entity", "term", "row", "body", "near", "df", F.lit(True).alias("own"))
     both = met.unionByName(spelt).groupBy("entity", "term", "row", "body", "near", "df").agg(F.bool_or("own").alias("own"))
     pairs = both.select("*", F.explode("near").alias("beside")).groupBy("entity", "term").agg(
         F.count_distinct("row").alias("both"),
@@ -201,11 +205,14 @@ def disclosing(found: DataFrame, docs: DataFrame, support: int = SUPPORT, disclo
 
 
 def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """(row, terms): per document every place of the terms that disclose an entity it names."""
+    """(row, terms): per document every place of the terms that disclose an entity it names.
+
+    Places are merged: Spark takes them, exploded, for small.
+    """
     named = found.select("row", F.explode("entities").alias("entity")).join(terms, "entity")
     worst = named.groupBy("row", "term").agg(F.max("share").alias("share"))
     places = found.where(F.size("entities") > 0).select("row", F.explode("terms").alias("t")).select("row", "t.term", "t.places")
-    hits = places.join(worst, ["row", "term"]).select("row", "share", F.explode("places").alias("p"))
+    hits = places.hint("merge").join(worst, ["row", "term"]).select("row", "share", F.explode("places").alias("p"))
     return hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("p.start", "p.stop", "share"))).alias("terms"))
 
 

@@ -573,3 +573,17 @@ def test_the_buckets_that_points_list_are_not_broadcast(spark, monkeypatch):
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
     assert neighbours.search(frame, F.col("vec_id") < 3, 2).count() == 6
     assert "MapInArrow" in plans["probes"] and "BroadcastHashJoin" not in plans["probes"] and "SortMergeJoin" in plans["probes"]
+
+
+def test_exploded_terms_are_not_broadcast(odd):
+    """Spark sizes terms after an explode like the rows they come from."""
+    found = pii.scan(odd.select("doc_id", "text"))
+    spans = pii.term_spans(found, pii.disclosing(found, odd))
+    held, inside = [], None  # the lines below an exchange are indented further
+    for line in spans._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        inside = None if inside is not None and depth <= inside else inside
+        if inside is None and "BroadcastExchange" in line:
+            inside = depth
+        held += [line] if inside is not None else []
+    assert held and not [line for line in held if "Generate explode(terms" in line]
