@@ -372,6 +372,22 @@ def test_staged_from_phrases_is_enough(spark):
     assert staged.filter("kind like '%name'").count() < 90 * 2 * 60 < every.count() / 4
 
 
+def test_names_stage_what_their_kind_can_take(spark):
+    """Five ids for the first kind, ten for the second: twice that was staged, and shuffled with every product."""
+    products = spark.createDataFrame([("p", "AB-1", "B1", "large ring", 100), ("q", "AC-1", "B1", "large ring", 90)], "product_id string, model_code string, brand_name string, prod_name string, base_price int")
+    rows = [("B1", f"large ring {i}", i, str(i // 2 % 30), 40 + i % 50, f"m{i % 9}", "u") for i in range(300)]
+    offers = spark.createDataFrame(rows, "brand_name string, title string, pos long, offer_id string, price int, mall_name string, mall_url string")
+    staged = M.staged_from_phrases(products, offers).cache()
+    ids = {(r["product_id"], r["kind"]): r["n"] for r in staged.groupBy("product_id", "kind").agg(F.count_distinct("offer_id").alias("n")).collect()}
+    assert ids == {(p, kind): n for p in "pq" for kind, n in (("ko_name", 5), ("en_name", 10))} and staged.count() == 30
+    got = Counter((r["product_id"], r["kind_ord"], r["offer_id"]) for r in M.accepted_offers(products, staged).collect())
+    cheapest = {}
+    for _, _, pos, key, price, *_ in rows:
+        cheapest[key] = min(cheapest.get(key, (999, 0)), (price, pos))
+    order = sorted(cheapest, key=cheapest.get)
+    assert got == Counter((p, i // 5, key) for p in "pq" for i, key in enumerate(order[:10]))
+
+
 def test_seen_id_is_kept_under_the_earlier_kind(spark):
     p = spark.createDataFrame([("p", "AB-1", "Zara", "linen", 100)], "product_id string, model_code string, brand_name string, prod_name string, base_price int")
     rows = [("p", "en_code", 1, "7", "linen AB", 50, "m1", "u"), ("p", "ko_name", 2, "7", "linen", 60, "m2", "u")]
